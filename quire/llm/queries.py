@@ -23,8 +23,16 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_chain, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op9_token_store": op9_token_store,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
