@@ -15,6 +15,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    per, _ = mix(table(spark, sf_dir, "documents"))
+    return per.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +45,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_source_mix": op5_source_mix,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
 }
