@@ -22,6 +22,27 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("doc_id", "size", "source_size", "target", "taken")
 
 
+#: Fixed value: the rules that the query judges by.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+#: Fixed value: hosts with one of these names are blocked where no rule holds.
+URL_TERMS = ("ads", "adult", "bets", "betting", "casino", "pills", "poker", "porn", "spam", "xxx")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlfilter import hosts_with_terms, judge_urls
+
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, URL_RULES, hosts_with_terms(pages, URL_TERMS))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_dedup import near_duplicates
 
@@ -46,8 +67,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_source_mix": op5_source_mix,
+    "op6_url_filter": op6_url_filter,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL = {
+    "op6_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, coalesce(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)), '') AS host,
+                   coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+            FROM pages),
+        rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+            ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        met AS (
+            SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(rules.verdict, length(h || p)) AS verdict
+            FROM parts JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
+        SELECT parts.page_id, host, path, rule, coalesce(verdict, CASE WHEN path <> '' AND
+            regexp_matches(host, '(^|[.-])(ads|adult|bets|betting|casino|pills|poker|porn|spam|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+        FROM parts LEFT JOIN met ON parts.page_id = met.page_id""",
+}
