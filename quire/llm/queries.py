@@ -49,6 +49,12 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import link_components
+
+    return link_components(table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op5_source_mix": op5_source_mix,
     "op6_url_filter": op6_url_filter,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
 }
