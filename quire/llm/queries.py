@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_source_mix": op5_source_mix,
     "op6_url_filter": op6_url_filter,
