@@ -26,10 +26,22 @@ from .common import require, whole_text
 
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Marks at which a text is cut if no piece joins one to a letter or a space before it or anything but itself after it.
+MARKS = "\n.,!?;:%&$*#|"
 #: Parts longer than this are encoded but not remembered.
-LONG_PART = 64
+LONG_PART = 48
 #: Remembered parts of one worker; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+
+
+class Known(dict):
+    """Remembered parts; one that is missing is merged."""
+
+    def __init__(self, vocab: MergeVocabulary):
+        self.learn = vocab.learn
+
+    def __missing__(self, part: str) -> str:
+        return self.learn(part)
 
 
 class MergeVocabulary:
@@ -56,9 +68,17 @@ class MergeVocabulary:
                 self.texts.append(piece.replace(SPACE, " ").encode())
         if any("\n" in p for p in self.pieces) or any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces of this model reach across words or lines")
+        joined = {a + b for p in self.pieces for a, b in zip(p, p[1:], strict=False)}
+        letters = {c for p in self.pieces for c in p if re.match(r"[^\W\d_]", c)}
+        marks = [m for m in MARKS if not any(c + m in joined for c in letters)]
+        #: A run without these marks that ends in a letter, or anything else up to the next such place.
+        self.cut = re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(marks))}])").split
+        self.has_mark = re.compile(f"[{re.escape(''.join(marks))}]").search
         self.end = lib.eos_id()
-        self.known: dict[str, tuple[str, str]] = {}
-        self.fresh: list[tuple[str, list[int]]] = []
+        #: Part to its ids as decimal text; odd: what a part decodes to, if not to itself.
+        self.known: dict[str, str] = Known(self)
+        self.odd: dict[str, str] = {}
+        self.fresh: list[tuple[str, str]] = []
 
     def merge(self, part: str) -> list[int]:
         """Ids of one part, by the agenda of adjacent pairs."""
@@ -95,16 +115,17 @@ class MergeVocabulary:
                 ids.append(self.unknown)
         return ids
 
-    def of_part(self, part: str) -> tuple[str, str]:
-        """Ids of a part as decimal text, and what they decode to."""
-        found = self.known.get(part)
-        if found is None:
-            ids = self.merge(part)
-            found = " ".join(map(str, ids)), b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
-            self.fresh.append((part, ids))
-            if len(part) <= LONG_PART:
-                self.known[part] = found
-        return found
+    def learn(self, part: str) -> str:
+        """Ids of a part as decimal text; remembered, and kept for the next check."""
+        ids = self.merge(part)
+        text = " ".join(map(str, ids))
+        decoded = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", "replace")
+        if decoded != part.replace(SPACE, " "):
+            self.odd[part] = decoded
+        self.fresh.append((part, text))
+        if len(part) <= LONG_PART:
+            self.known[part] = text
+        return text
 
     def parts(self, text: str) -> list[str]:
         """The parts of a text; no piece reaches from one into the next."""
@@ -114,21 +135,25 @@ class MergeVocabulary:
         for n, line in enumerate((SPACE + text.replace(" ", SPACE)).split("\n")):
             if n:
                 out.append("\n")
-            if SPACE + SPACE in line or line.endswith(SPACE):
-                out += _RUNS.findall(line)
-            elif line:
-                first, *rest = line.split(SPACE)
-                if first:
-                    out.append(first)
-                out += [SPACE + x for x in rest]
+            for run in self.cut(line) if self.has_mark(line) else (line,):
+                if SPACE + SPACE in run or run.endswith(SPACE):
+                    out += _RUNS.findall(run)
+                elif run:
+                    first, *rest = run.split(SPACE)
+                    if first:
+                        out.append(first)
+                    out += [SPACE + x for x in rest]
         return out
 
     def ids_and_text(self, text: str) -> tuple[str, str]:
         """All ids of a text with the end id, as decimal text, and the decoded text."""
-        known, of_part = self.known, self.of_part
-        found = [known.get(x) or of_part(x) for x in self.parts(text)]
-        decoded = "".join([x[1] for x in found])
-        ids = " ".join([x[0] for x in found] + [str(self.end)])
+        parts, known = self.parts(text), self.known
+        ids = " ".join([*[known[x] for x in parts], str(self.end)])
+        if self.odd:
+            parts = [self.odd.get(x, x) if x in self.odd else x.replace(SPACE, " ") for x in parts]
+            decoded = "".join(parts)
+        else:
+            decoded = "".join(parts).replace(SPACE, " ")
         return ids, decoded[1:] if decoded.startswith(" ") else decoded
 
     def encode(self, text: str) -> list[int]:
@@ -145,10 +170,11 @@ class MergeVocabulary:
         bare = [x for x in fresh if x[0][0] != SPACE]
         for some, ask, skip in ((spaced, lambda p: p[1:], 0), (bare, lambda p: "\n" + p, len(self.merge(SPACE + "\n")))):
             for (part, ids), expected in zip(some, self.library.encode([ask(p) for p, _ in some], num_threads=1), strict=True):
-                if ids != expected[skip:] and part != SPACE:
+                if ids != " ".join(map(str, expected[skip:])) and part != SPACE:
                     raise RuntimeError(f"the library encodes {part[:80]!r} otherwise")
-        if len(self.known) > REMEMBERED:
+        if len(self.known) + len(self.odd) > REMEMBERED:
             self.known.clear()
+            self.odd.clear()
 
 
 _LOADED: dict[bytes, MergeVocabulary] = {}
