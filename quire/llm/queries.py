@@ -13,6 +13,13 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import fit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit(docs))
+
+
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -84,6 +91,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
+    "op2_license_scan": op2_license_scan,
     "op3_repeated_bytes": op3_repeated_bytes,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_source_mix": op5_source_mix,

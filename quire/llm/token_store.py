@@ -17,9 +17,11 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,19 +29,27 @@ from pyspark.sql.window import Window
 
 from .common import require, shared_dir, whole_text
 
-#: Texts of these characters are cut by the pattern below exactly as the library cuts them.
+#: Texts of these characters are cut at spaces exactly as the library cuts them.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-‧€]*"
-#: Fixed value: the byte-level pre-tokenizer's pattern.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-REMEMBERED = 300_000
-LONG_WORD = 64
+#: Parts that one worker remembers: the first ones it meets, among them all frequent ones.
+REMEMBERED = 400_000
+LONG_PART = 40
+#: Bytes of text encoded at once.
+TEXT_BYTES = 12 << 20
 BLOCK_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 
 
 class Encoder:
-    """A tokenizers file; words that were seen before are not encoded again."""
+    """A tokenizers file; words that were seen before are not encoded again.
+
+    A text of plain characters, where no space follows white space, falls apart
+    at its spaces: the pre-tokenizer never joins what lies on both sides of the
+    start of a space. Each part is remembered with the ids of " " + part. New
+    parts go to the library joined, with its word numbers to tell them apart.
+    Any other text goes to the library whole.
+    """
 
     def __init__(self, content: str):
         import regex
@@ -49,33 +59,84 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         spec = json.loads(content)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.plain, self.words = regex.compile(PLAIN).fullmatch, regex.compile(PATTERN).findall
+        self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.plain, self.gap = regex.compile(PLAIN).fullmatch, regex.compile(r"[\t-\r\x20]\x20").search
         self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,!?:;", self._library(list(".,!?:;")), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, out, cut, whole = self.known, [b""] * len(texts), [], []
-        for n, text in enumerate(texts):
-            if self.by_word and self.plain(text):
-                cut.append((n, self.words(text)))
-            else:
-                whole.append(n)
-        fresh = list({w for _, words in cut for w in words if w not in known})
-        once = {}
-        for word, ids in zip(fresh, self._library(fresh), strict=True):
-            (known if len(word) <= LONG_WORD else once)[word] = ids
-        for n, words in cut:
-            out[n] = b"".join([known.get(w) or once[w] for w in words])
-        for n, ids in zip(whole, self._library([texts[n] for n in whole]), strict=True):
-            out[n] = ids
-        if len(known) > REMEMBERED:
-            known.clear()
+    def _letters(self, parts: list[str]) -> list[bytes]:
+        """Ids of " " + part for parts of letters alone, each a word to the pre-tokenizer."""
+        out = []
+        for x in self.tokenizer.encode_batch([" " + " ".join(parts[k : k + 100]) for k in range(0, len(parts), 100)], add_special_tokens=False):
+            ids, words = np.array(x.ids, "<u4").tobytes(), np.array(x.word_ids)
+            ends = [0, *(4 * (np.flatnonzero(np.diff(words)) + 1)).tolist(), len(ids)]
+            out += [ids[i:j] for i, j in pairwise(ends)]
+        if len(out) != len(parts):
+            raise RuntimeError("the library cuts words otherwise")
         return out
 
+    def _learned(self, parts: list[str]) -> list[bytes]:
+        """Ids of " " + part for distinct parts."""
+        known = self.known
+        found = [known.get(w) for w in parts]
+        letters, others, ended = set(), [], []
+        for w in [w for w, ids in zip(parts, found, strict=True) if ids is None]:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1:] in self.marks and w[:-1].isalpha():
+                # A mark after letters is a word of its own to the pre-tokenizer.
+                ended.append(w)
+                if w[:-1] not in known:
+                    letters.add(w[:-1])
+            else:
+                others.append(w)
+        once: dict[str, bytes] = {}
+        for some, run in ((list(letters), self._letters), (others, lambda x: self._library([" " + w for w in x]))):
+            for at in range(0, len(some), 4_000):
+                piece = some[at : at + 4_000]
+                for w, ids in zip(piece, run(piece), strict=True):
+                    (known if len(w) <= LONG_PART and len(known) < REMEMBERED else once)[w] = ids
+        for w in ended:
+            once[w] = (known.get(w[:-1]) or once[w[:-1]]) + self.marks[w[-1]]
+        return [ids if ids is not None else known.get(w) or once[w] for w, ids in zip(parts, found, strict=True)]
+
+    def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all texts one after the other, each followed by end, and how many each has."""
+        cut, heads = [], []
+        for text in texts:
+            if self.by_part and self.plain(text) and not self.gap(text):
+                cut.append(text)
+                heads.append(text.partition(" ")[0])
+            else:
+                cut.append("")
+                heads.append(text)
+        parts = pc.split_pattern(pa.array(cut, pa.string()), " ")
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.dictionary_encode()
+        # The first part of a text, or a text that is not cut, is an entry of its own, and so is the end.
+        entries = [*self._learned(words.dictionary.to_pylist()), *self._library(heads), end]
+        at = words.indices.to_numpy().copy()
+        at[ends[:-1]] = len(words.dictionary) + np.arange(len(texts))
+        at = np.insert(at, ends[1:], len(entries) - 1)
+        size = np.array([len(x) >> 2 for x in entries], np.int32)
+        start = np.cumsum(size, dtype=np.int64) - size
+        each = size[at]
+        total = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        flat = np.frombuffer(b"".join(entries), "<u4")
+        ids = flat[np.repeat(start[at] - total[:-1], each) + np.arange(total[-1])]
+        return ids, np.diff(total[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])])
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about TEXT_BYTES of text at a time."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
+    cuts = np.flatnonzero(np.diff(size // TEXT_BYTES)) + 1
+    for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
+
 
 _LOADED: dict[int, Encoder] = {}
 
@@ -98,13 +159,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(content.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                rows = [x + end for x in enc.encode(some.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in rows], np.int64)
+            for some in _slices(batch):
+                ids, n = enc.encode(some.column(1).to_pylist(), end)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), part, np.int32)), some.column(0), pa.array(n), pa.array(start + ends[:-1]), tokens], ["part", id_col, "n_tokens", "local_start", "tokens"])
+                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(n), pa.array(start + ends[:-1]), tokens], ["part", id_col, "n_tokens", "local_start", "tokens"])
                 start += int(ends[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
