@@ -5,7 +5,7 @@ documents with equal sets are one class. A class has a signature of COORDINATES
 minima and is posted under (coordinate, value) pairs. Two sets with a
 similarity of 0.8 agree in 80% of the coordinates on average; pairs that agree
 in at least MATCHES are candidates, and a pair at 0.8 falls short of that with
-a chance of about 2e-7. Prefix: a class is posted only under its
+a chance of less than 1e-6. Prefix: a class is posted only under its
 COORDINATES - MATCHES + 1 rarest pairs, since pairs with MATCHES in common must
 meet there. Skip: candidates in the same component already need no count.
 
@@ -33,11 +33,13 @@ from .common import require, whole_text, written
 from .components import components
 from .hashing import Polynomial, mixed
 
-COORDINATES = 32
-MATCHES = 12
+COORDINATES = 64
+MATCHES = 32
 PERCENT = 80
-#: Leaders tried in each list before all members of different components are compared.
-LEADER_ROUNDS = 2
+#: Leaders of each list; after them only members of different components are compared.
+LEADERS = 2
+#: Ids that are broadcast to pick their documents; more than that are joined.
+BROADCAST_IDS = 1_000_000
 #: Texts hashed at once.
 BATCH_BYTES = 4 << 20
 
@@ -141,30 +143,47 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(value, id): each class under its rarest signature pairs, where another class is."""
+    """(value, id, n): each class under its rarest signature pairs, where another class is; n: the size of its set."""
     pairs = classes.select("id", F.posexplode("signature").alias("coordinate", "value"))
     pairs = pairs.select("id", (F.shiftleft(F.col("value").cast("long"), 8) + F.col("coordinate")).alias("value"))
     often = pairs.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     shared = pairs.join(often, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("found"))
     # The pairs that only this class has are its rarest; they fill the prefix first.
     room = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("found"))
-    return shared.where(room > 0).select("id", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("id", "x.value")
+    lists = shared.where(room > 0).select("id", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("id", "x.value")
+    return lists.join(classes.select("id", F.col("n_shingles").alias("n")), "id").select("value", "id", "n")
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return 100 * F.least(x, y) >= PERCENT * F.greatest(x, y)
 
 
 def matching(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least so many coordinates and whose sizes allow the similarity."""
-    of = classes.select("id", "n_shingles", "signature")
-    pairs = pairs.join(of.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa")), "a")
-    pairs = pairs.join(of.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb")), "b")
-    pairs = pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+    """The distinct pairs (a, b) whose signatures agree in at least so many coordinates."""
+    of = classes.select("id", "signature")
+    pairs = pairs.distinct().join(of.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a")
+    pairs = pairs.join(of.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
     return pairs.where(same >= matches).select("a", "b")
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of the documents in pairs, as a written table.
+
+    The ids are broadcast if a count shows that they are few, else joined.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return written(shingle_sets(texts, words), "sets")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
+    # An id that stands in several rows has several sets: any of them may link.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,43 +218,39 @@ def link_components(docs: DataFrame, words: int) -> DataFrame:
     groups = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles")
     classes = written(groups.agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
     lists = written(postings(classes), "postings")
-    met = lists.select(F.col("id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    sets = shingle_sets(texts.join(met, "doc_id", "left_semi"), words)
-    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
-    links = None
-    for n in range(LEADER_ROUNDS + 1):
-        left = lists if links is None else apart(lists, found)
-        pairs = led(left, n) if n < LEADER_ROUNDS else across(left)
-        more = confirmed(matching(pairs.distinct(), classes), sets)
-        links = written(more if links is None else links.unionByName(more), "found")
-        found = written(components(links), "components")
+    led_pairs = None
+    for n in range(LEADERS):
+        more = led(lists, n)
+        led_pairs = more if led_pairs is None else led_pairs.unionByName(more)
+    close = written(matching(led_pairs, classes), "close")
+    links = written(confirmed(close, sets_of(texts, close, words)).distinct(), "found")
+    left = written(apart(lists, components(links)), "apart")
+    close = written(matching(across(left), classes).join(close, ["a", "b"], "left_anti"), "close")
+    links = links.unionByName(confirmed(close, sets_of(texts, close, words))).distinct()
+    found = components(links)
     per = classes.join(found, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = signed.where("n_shingles > 0").join(per, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _order(n: int) -> Column:
-    return F.struct(F.xxhash64("id", F.lit(n)), F.col("id"))
-
-
 def led(lists: DataFrame, n: int) -> DataFrame:
     """Pairs of each member of a list with the list's leader; another leader for every n."""
-    leaders = lists.groupBy("value").agg(F.min(_order(n))["id"].alias("leader"))
-    pairs = lists.join(leaders, "value").where("id <> leader")
-    return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    leaders = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), "id", "n")).alias("top"))
+    pairs = lists.join(leaders.select("value", F.col("top.id").alias("leader"), F.col("top.n").alias("m")), "value")
+    return pairs.where((F.col("id") != F.col("leader")) & _alike("n", "m")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
 
 
 def apart(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """(value, id, component) of the lists whose members lie in different components."""
-    placed = lists.join(found, "id", "left").select("value", "id", F.coalesce("component", "id").alias("component"))
+    """(value, id, n, component) of the lists whose members lie in different components."""
+    placed = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
     return placed.join(several, "value", "left_semi")
 
 
 def across(lists: DataFrame) -> DataFrame:
     """Pairs of a list's members that lie in different components."""
-    x = lists.select("value", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = lists.select("value", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return x.join(y, "value").where("a < b AND ca <> cb").select("a", "b")
+    x = lists.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    return x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb")).select("a", "b")

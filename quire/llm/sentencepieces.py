@@ -19,6 +19,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -32,6 +33,8 @@ MARKS = "\n.,!?;:%&$*#|"
 LONG_PART = 48
 #: Remembered parts of one worker; the memory is emptied when it is full.
 REMEMBERED = 700_000
+#: Documents whose ids are held as arrays at once.
+ROWS = 500
 
 
 class Known(dict):
@@ -196,19 +199,19 @@ def _model(path: str) -> bytes:
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded string): every whole text with the end id, and back."""
     require(docs, id_col, text_col)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(_model(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model.value)
-        for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column(1).to_pylist():
-                x, y = vocab.ids_and_text(text)
-                ids.append([int(i) for i in x.split(" ")])
-                decoded.append(y)
-            vocab.check()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [vocab.ids_and_text(x.as_py()) for x in batch.column(1)]
+                vocab.check()
+                ids = [np.fromstring(x, np.int32, sep=" ") for x, _ in found]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([y for _, y in found], pa.string())], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, whole_text(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
