@@ -25,16 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Spark's setting that removes the shuffle files of a finished query.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than the tasks since
-    this table. The folder is scratch space; clean it as the cluster cleans
+    this table. The shuffle files of the write are removed at its end, as nothing
+    reads them again. The folder is scratch space; clean it as the cluster cleans
     checkpoints.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,24 +1,27 @@
 """Repeated byte strings by prefix-free parsing.
 
-A rolling hash over TRIGGER bytes ends a phrase wherever it hits: equal bytes are
-cut alike wherever they stand. The parse is the list of cuts of every document.
+A rolling hash over TRIGGER bytes cuts the texts into phrases: a cut stands where
+the hash is the least among the REACH + 1 places that some start can see before
+it. Equal bytes are cut alike wherever they stand, and every start of a string of
+LENGTH bytes has a first cut inside that string. The parse is the list of cuts.
 A suffix of the corpus is then a suffix of a phrase followed by a suffix of the
-parse, and two positions lie next to each other in corpus order, with LENGTH
-bytes in common, only if the parts before and after their first cut agree. So
-suffixes are ordered in two steps, both to a depth of LENGTH bytes:
+parse, and two starts are neighbours in corpus order, with LENGTH bytes in
+common, only if what stands before and after their cuts agrees. So suffixes are
+ordered in two steps, both to a depth of LENGTH bytes:
 
 1. Parse suffixes. Each cut is ranked by a fingerprint of the ANCHOR bytes after
-   it, then by one of its context: the phrase before it, as far as it matters,
-   and LENGTH bytes after it. Cuts with an equal context hold equal strings
-   throughout; they are one entry of the dictionary.
-2. Phrase suffixes. Where contexts with equal anchors differ, every start in the
-   phrase before the cut is ranked by the fingerprint of its string, once for
-   each distinct context, and equal neighbours are repeats.
+   it, then by one of its context: all bytes of the strings whose cut it is.
+   Cuts with an equal context are one entry of the dictionary, and all their
+   strings are repeated.
+2. Phrase suffixes. Where contexts with equal anchors differ, the starts that
+   have the cut are ranked once for each distinct context: first in blocks of
+   BLOCK starts by the bytes that all strings of a block share, then by all bytes
+   of the block, and only where blocks differ start by start, by the fingerprint
+   of the string. Equal neighbours are repeats.
 
 Positions are ranked by 64-bit fingerprints, two of them together, in place of
 byte order: only neighbours with equal strings matter here, and they are the
-same in either order. A start with no cut in the next REACH bytes (a long run of
-one byte, say) is ranked by its own string.
+same in either order.
 
 Rows: one output row per input row. A null text is an empty text. Repeated rows
 repeat each other. Extra columns are dropped; an empty table gives an empty
@@ -40,14 +43,20 @@ from .hashing import Polynomial, mixed
 
 LENGTH = 400
 TRIGGER = 16
-#: Mean bytes between cuts.
-PHRASE = 56
-#: A cut serves the starts up to so many bytes before it.
+#: A start sees its cut at most so many bytes ahead; cuts lie REACH / 2 apart on average.
 REACH = 300
 ANCHOR = LENGTH - REACH
+#: Starts ranked together, by their distance to the cut.
+BLOCK = 16
 #: Bytes parsed at once.
 BATCH_BYTES = 2 << 20
-_TAG = np.uint64(0x2545F4914F6CDD1D)
+#: Bits of the rolling hash that are compared; the rest of a word holds a place.
+_PLACE_BITS = 24
+_CHUNK = 1 << 22
+
+
+ENTRY = ["key", "context", "doc", "mark", "place", "times"]
+ENTRY_SCHEMA = "key bigint, context bigint, doc bigint, mark int, place bigint, times bigint"
 
 
 class Parser:
@@ -57,79 +66,85 @@ class Parser:
         self.one, self.two, self.roll = Polynomial(101), Polynomial(202), Polynomial(303)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
-        if len(data) < TRIGGER:
+        """For each start the place of the least rolling hash in reach, the first among equals."""
+        places = len(data) - TRIGGER + 1
+        starts = places - REACH
+        if starts <= 0:
             return np.zeros(0, np.int64)
         sums = self.roll.sums(data)
-        rolled = (sums[TRIGGER:] - sums[:-TRIGGER]) * self.roll.inverses[: len(data) - TRIGGER + 1]
-        return np.flatnonzero(rolled >> np.uint64(40) < np.uint64((1 << 24) // PHRASE))
+        rolled = mixed((sums[TRIGGER:] - sums[:-TRIGGER]) * self.roll.inverses[:places]) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)
+        width, out = REACH + 1, np.empty(starts, np.int64)
+        for at in range(0, starts, _CHUNK):
+            some = rolled[at : min(at + _CHUNK + REACH, places)]
+            key = some | np.arange(len(some), dtype=np.uint64)
+            n = len(key) - REACH
+            # The least of each window is that of a block's end and the next block's start.
+            blocks = -(-len(key) // width)
+            grid = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
+            grid[: len(key)] = key
+            grid = grid.reshape(blocks, width)
+            ahead = np.minimum.accumulate(grid, axis=1).ravel()
+            behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+            least = np.minimum(behind[:n], ahead[REACH : REACH + n])
+            out[at : at + n] = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) + at
+        return out
 
     def entries(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text number, anchor, context, place) of every cut and of every start without one.
-
-        place holds the cut's position, the starts before it and the bytes after it.
-        """
+        """(text number, anchor, context, place) of every cut; place: see places()."""
         data = np.frombuffer(b"".join(texts), np.uint8)
         size = np.array([len(x) for x in texts], np.int64)
         end = np.cumsum(size)
-        start = end - size
+        n = np.maximum(size - LENGTH + 1, 0)
+        of = np.repeat(np.arange(len(texts)), n)
+        if not len(of):
+            return of, of.astype(np.uint64), of.astype(np.uint64), of
+        first = end - size
+        i = np.arange(len(of)) + np.repeat(first - (np.cumsum(n) - n), n)
+        cut = self.cuts(data)[i]
+        new = np.flatnonzero(np.concatenate([[True], (cut[1:] != cut[:-1]) | (of[1:] != of[:-1])]))
+        low, high, cut, of = i[new], i[np.concatenate([new[1:] - 1, [len(i) - 1]])], cut[new], of[new]
         one, two = self.one.sums(data), self.two.sums(data)
-        cut = self.cuts(data)
-        of = np.searchsorted(end, cut, "right")
-        inside = cut + TRIGGER <= end[of]
-        cut, of = cut[inside], of[inside]
-        before = np.where(np.concatenate([[-1], of[:-1]]) == of, np.concatenate([[-1], cut[:-1]]), -1) if len(cut) else cut
-        low = np.maximum(np.maximum(before + 1, start[of]), cut - REACH)
-        right = np.minimum(LENGTH, end[of] - cut)
-        good = low + LENGTH <= end[of]
-        c, lo, r, k = cut[good], low[good], right[good], of[good]
-        anchor = mixed(self.one.of(one, c, c + ANCHOR))
-        shape = (c - lo) << 9 | r
-        context = mixed(self.two.of(two, lo, c + r) ^ mixed(shape.astype(np.uint64)))
-        # Starts whose next cut, in their own text, is farther than REACH.
-        follows = np.concatenate([cut, [len(data) + REACH + 1]])
-        owner = np.concatenate([of, [-1]])
-        far_k, far = [], []
-        reach = np.concatenate([[-1], cut])
-        for a, b, n, last in zip(reach.tolist(), follows.tolist(), owner.tolist(), [-1, *of.tolist()], strict=True):
-            if b - a > REACH or n != last:
-                far += self._far(a, b, n, last, start, end, far_k)
-        i = np.concatenate(far) if far else np.zeros(0, np.int64)
-        ik = np.concatenate(far_k) if far_k else np.zeros(0, np.int64)
-        alone = mixed(self.one.of(one, i, i + LENGTH) ^ _TAG)
-        whole = mixed(self.two.of(two, i, i + LENGTH))
-        place = np.concatenate([(c - start[k]) << 18 | shape, (i - start[ik]) << 18 | LENGTH])
-        return np.concatenate([k, ik]), np.concatenate([anchor, alone]), np.concatenate([context, whole]), place
-
-    @staticmethod
-    def _far(a: int, b: int, n: int, last: int, start: np.ndarray, end: np.ndarray, far_k: list) -> list[np.ndarray]:
-        """Starts between the cuts a and b (of texts last and n) that lie farther than REACH before a cut of their text."""
-        out = []
-        for k in range(max(last, 0), (n if n >= 0 else len(start) - 1) + 1):
-            lo = max(a + 1, start[k]) if k == last else start[k]
-            hi = end[k] - LENGTH
-            if k == n:
-                hi = min(hi, b - REACH - 1)
-            if hi >= lo:
-                out.append(np.arange(lo, hi + 1))
-                far_k.append(np.full(hi + 1 - lo, k))
-        return out
-
-    def strings(self, text: bytes, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts low..high of each context, and the fingerprint of the string at each."""
-        sums = self.two.sums(np.frombuffer(text, np.uint8))
+        anchor = mixed(self.one.of(one, cut, cut + ANCHOR))
+        shape = (cut - low) << 9 | (high - low)
+        context = mixed(self.two.of(two, low, high + LENGTH) ^ mixed(shape.astype(np.uint64)))
+        return of, anchor, context, (low - first[of]) << 18 | (cut - low) << 9 | (high - low)
+
+    def blocks(self, text: bytes, key: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, context, place, times) of the blocks of each entry."""
+        data = np.frombuffer(text, np.uint8)
+        one, two = self.one.sums(data), self.two.sums(data)
+        low, cut, high = places(place)
+        first, last = (cut - high) // BLOCK, (cut - low) // BLOCK
+        n = last - first + 1
+        of = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+        near, far = np.maximum(k * BLOCK, (cut - high)[of]), np.minimum(k * BLOCK + BLOCK - 1, (cut - low)[of])
+        cut, key, times = cut[of], key[of], times[of]
+        core = self.two.of(two, cut - k * BLOCK, cut - k * BLOCK - (BLOCK - 1) + LENGTH)
+        whole = self.one.of(one, cut - far, cut - near + LENGTH)
+        shape = near << 9 | far
+        return mixed(core ^ mixed(key ^ mixed(k.astype(np.uint64)))), mixed(whole ^ mixed(shape.astype(np.uint64))), (cut - far) << 18 | (far << 9) | (far - near), times
+
+    def strings(self, text: bytes, key: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, context, place, times) of each start of each entry; the context is its string."""
+        data = np.frombuffer(text, np.uint8)
+        sums = self.two.sums(data)
+        low, _, high = places(place)
         n = high - low + 1
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return at, mixed(self.two.of(sums, at, at + LENGTH))
+        of = np.repeat(np.arange(len(n)), n)
+        at = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        string = mixed(self.two.of(sums, at, at + LENGTH))
+        return mixed(key[of] ^ mixed(string)), string, at << 18, times[of]
 
 
-def _starts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last start of an entry."""
-    cut, before, after = place >> 18, place >> 9 & 511, place & 511
-    return cut - before, np.minimum(cut, cut + after - LENGTH)
+def places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, cut and last start that an entry's place holds."""
+    low = place >> 18
+    return low, low + (place >> 9 & 511), low + (place & 511)
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """(anchor, context, doc, mark, place) of every entry of the parse."""
+    """(key, context, doc, mark, place, times) of every entry of the parse; the key is its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
@@ -141,53 +156,59 @@ def parse(docs: DataFrame) -> DataFrame:
                     if some:
                         k, anchor, context, place = parser.entries(some)
                         k = pa.array(k + first)
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), batch.column(0).take(k), batch.column(1).take(k), pa.array(place)], ["anchor", "context", "doc", "mark", "place"])
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), batch.column(0).take(k), batch.column(1).take(k), pa.array(place), pa.array(np.ones(len(place), np.int64))], ENTRY)
                     some, size, first = [], 0, n
                 if n < batch.num_rows:
                     some.append(texts[n].as_py().encode())
                     size += len(some[-1])
 
-    return docs.mapInArrow(run, "anchor bigint, context bigint, doc bigint, mark int, place bigint")
+    return docs.mapInArrow(run, ENTRY_SCHEMA)
 
 
-def _ranked(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(anchor, string, doc, mark, start, times) for each start of each distinct context."""
-    wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("anchor", "place", "times")).alias("own"))
+def _refined(docs: DataFrame, entries: DataFrame, step: str) -> DataFrame:
+    """Finer entries of the same starts: step is the Parser's method that makes them from a text."""
+    wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "place", "times")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
         for batch in batches:
             for n in range(batch.num_rows):
                 own = batch.column(3)[n].values
-                anchor, place, times = (own.field(x).to_numpy() for x in ("anchor", "place", "times"))
-                low, high = _starts(place)
-                at, string = parser.strings(batch.column(2)[n].as_py().encode(), low, high)
-                each = high - low + 1
-                alike = [pa.array(np.full(len(at), batch.column(k)[n].as_py(), kind)) for k, kind in ((0, np.int64), (1, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(anchor, each)), pa.array(string.view(np.int64)), *alike, pa.array(at), pa.array(np.repeat(times, each))], ["anchor", "string", "doc", "mark", "start", "times"])
+                key, place, times = (own.field(x).to_numpy() for x in ("key", "place", "times"))
+                key, context, place, times = getattr(parser, step)(batch.column(2)[n].as_py().encode(), key.view(np.uint64), place, times)
+                alike = [pa.array(np.full(len(key), batch.column(k)[n].as_py(), kind)) for k, kind in ((0, np.int64), (1, np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), *alike, pa.array(place), pa.array(times)], ENTRY)
+
+    return docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "own").mapInArrow(run, ENTRY_SCHEMA)
+
 
-    rows = docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "own")
-    return rows.mapInArrow(run, "anchor bigint, string bigint, doc bigint, mark int, start bigint, times bigint")
+def _decided(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """(spans, open): the starts that are repeated for certain, and the entries to be refined.
+
+    Entries with a key of their own share nothing; those with a context in common
+    share all. What stands once among others of its key is open, and so is, once
+    for each context, what it can share with. Sums over keys combine before the
+    shuffle, and joins have one row per key on one side: a hot key is split.
+    """
+    keys = entries.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
+    met = written(entries.join(keys.select("key", (F.col("lo") == F.col("hi")).alias("same")), "key"), label)
+    contexts = met.where("NOT same").groupBy("key", "context").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "mark", "place")).alias("one"))
+    contexts = written(contexts, f"{label}-contexts")
+    some_single = contexts.groupBy("key").agg(F.min("times").alias("least")).where("least = 1").select("key")
+    still_open = contexts.join(some_single, "key", "left_semi").select("key", "times", "one.*")
+    several = contexts.where("times > 1").select("key", "context")
+    low = F.shiftright("place", 18)
+    starts = ["doc", "mark", low.alias("low"), (low + F.col("place").bitwiseAND(511)).alias("high")]
+    whole = met.where("same").select(*starts)
+    return whole.unionByName(met.where("NOT same").join(several, ["key", "context"], "left_semi").select(*starts)), still_open
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc, mark, low, high): starts low..high of strings that also start elsewhere. docs: (doc, mark, text)."""
-    entries = parse(docs)
-    anchors = entries.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    met = written(entries.join(anchors.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "anchor"), "anchors")
-    mixed_up = met.where("NOT same")
-    contexts = written(mixed_up.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("doc", "mark", "place")).alias("one")), "contexts")
-    # Contexts that stand once may still share some of their strings with others of their anchor.
-    open_anchors = contexts.groupBy("anchor").agg(F.min("times").alias("least")).where("least = 1").select("anchor")
-    to_rank = contexts.join(open_anchors, "anchor", "left_semi").select("anchor", "times", "one.*")
-    ranked = written(_ranked(docs, to_rank), "ranked")
-    often = ranked.groupBy("anchor", "string").agg(F.sum("times").alias("n")).where("n > 1").select("anchor", "string")
-    single = ranked.where("times = 1").join(often, ["anchor", "string"], "left_semi").select("doc", "mark", F.col("start").alias("low"), F.col("start").alias("high"))
-    cut, before, after = F.shiftright("place", 18), F.shiftright("place", 9).bitwiseAND(511), F.col("place").bitwiseAND(511)
-    starts = ["doc", "mark", (cut - before).alias("low"), F.least(cut, cut + after - LENGTH).alias("high")]
-    several = contexts.where("times > 1").select("anchor", "context")
-    whole = met.where("same").select(*starts).unionByName(mixed_up.join(several, ["anchor", "context"], "left_semi").select(*starts))
-    return whole.unionByName(single)
+    by_cut, rest = _decided(parse(docs), "cuts")
+    by_block, rest = _decided(written(_refined(docs, rest, "blocks"), "block-entries"), "blocks")
+    by_start, _ = _decided(written(_refined(docs, rest, "strings"), "string-entries"), "strings")
+    return by_cut.unionByName(by_block).unionByName(by_start)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
