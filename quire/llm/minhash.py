@@ -5,14 +5,19 @@ documents with equal sets are one class. A class has a signature of COORDINATES
 minima and is posted under (coordinate, value) pairs. Two sets with a
 similarity of 0.8 agree in 80% of the coordinates on average; pairs that agree
 in at least MATCHES are candidates, and a pair at 0.8 falls short of that with
-a chance of less than 1e-6. Prefix: a class is posted only under its
+a chance of less than 1e-6. Postings carry two bits of every coordinate, so that
+most chance meetings are dropped in the list, before any signature is fetched. Prefix: a class is posted only under its
 COORDINATES - MATCHES + 1 rarest pairs, since pairs with MATCHES in common must
 meet there. Skip: candidates in the same component already need no count.
 
-No list emits all its pairs. First every list links its members to its leader;
+No list emits all its pairs. First every list links its members to its leaders;
 what the full sets confirm is joined into components. Then only members of a
-list that lie in different components are compared, list by list, until none
-are left, so no link that changes a component is lost.
+list that lie in different components are compared: all of them in lists of up
+to SHORT_LIST members, a bounded number for each posting. The members of longer
+lists are posted once more, under the rarest of their shingles themselves: two
+sets of that similarity share one of the n - ceil(0.8 n) + 1 rarest, for certain,
+and at the first they share enough of both sets still has to follow.
+So no link that changes a component is lost.
 
 Rows: one output row per input row. A null or empty text, or one without words,
 has an empty set and links with nothing; with fewer words than a shingle has,
@@ -35,13 +40,17 @@ from .hashing import Polynomial, mixed
 
 COORDINATES = 64
 MATCHES = 32
+#: Two bits of every coordinate go with a posting; pairs that agree in fewer of them are not looked at further.
+SKETCH_MATCHES = 36
 PERCENT = 80
 #: Leaders of each list; after them only members of different components are compared.
 LEADERS = 2
+#: Members up to which a list's pairs are compared as they are.
+SHORT_LIST = 32
 #: Ids that are broadcast to pick their documents; more than that are joined.
 BROADCAST_IDS = 1_000_000
 #: Texts hashed at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,10 +105,10 @@ class Shingler:
         return (mixed(np.array(low, np.uint64)) >> np.uint64(33)).astype(np.int32)
 
 
-def _batches(texts: list[str]) -> Iterator[list[bytes]]:
+def _batches(texts: pa.Array) -> Iterator[list[bytes]]:
     some, size = [], 0
     for x in texts:
-        some.append(x.encode())
+        some.append(x.as_py().encode())
         size += len(some[-1])
         if size >= BATCH_BYTES:
             yield some
@@ -115,7 +124,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         for batch in batches:
             size, k1, k2, sig = [], [], [], []
-            for texts in _batches(batch.column(1).to_pylist()):
+            for texts in _batches(batch.column(1)):
                 for s in shingler.sets(texts):
                     size.append(len(s))
                     k1.append(int(mixed(s).sum().view(np.int64)) if len(s) else 0)
@@ -134,7 +143,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         for batch in batches:
             at = 0
-            for texts in _batches(batch.column(1).to_pylist()):
+            for texts in _batches(batch.column(1)):
                 sets = [x.tobytes() for x in shingler.sets(texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
                 at += len(texts)
@@ -143,15 +152,38 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
-    """(value, id, n): each class under its rarest signature pairs, where another class is; n: the size of its set."""
+    """(value, id, n, s1, s2, common): each class under its rarest signature pairs, where another class is.
+
+    n is the size of its set, s1 and s2 hold two bits of every coordinate, and
+    common says how often its signature pairs stand in the corpus: of a group of
+    near copies the one that the others were made from has the most.
+    """
     pairs = classes.select("id", F.posexplode("signature").alias("coordinate", "value"))
     pairs = pairs.select("id", (F.shiftleft(F.col("value").cast("long"), 8) + F.col("coordinate")).alias("value"))
     often = pairs.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
     shared = pairs.join(often, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("found"))
     # The pairs that only this class has are its rarest; they fill the prefix first.
     room = F.lit(COORDINATES - matches + 1) - (F.lit(COORDINATES) - F.size("found"))
-    lists = shared.where(room > 0).select("id", F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("id", "x.value")
-    return lists.join(classes.select("id", F.col("n_shingles").alias("n")), "id").select("value", "id", "n")
+    common = F.aggregate("found", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    lists = shared.where(room > 0).select("id", common.alias("common"), F.explode(F.slice("found", F.lit(1), room)).alias("x")).select("id", "common", "x.value")
+    half = COORDINATES // 2
+    sketch = [_packed(F.slice("signature", F.lit(k * half + 1), F.lit(half))).alias(f"s{k + 1}") for k in (0, 1)]
+    return lists.join(classes.select("id", F.col("n_shingles").alias("n"), *sketch), "id").select("value", "id", "n", "s1", "s2", "common")
+
+
+def _packed(coordinates: Column) -> Column:
+    """The low two bits of up to 32 coordinates in one integer."""
+    return F.aggregate(coordinates, F.lit(0).cast("long"), lambda x, c: F.shiftleft(x, 2).bitwiseOR(c.bitwiseAND(3)))
+
+
+def _near(x: str, y: str) -> Column:
+    """Whether enough coordinates of two postings agree in two bits; x and y: prefixes of their columns."""
+    apart = F.lit(0)
+    for k in ("s1", "s2"):
+        differ = F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))
+        either = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        apart = apart + F.bit_count(either)
+    return apart <= COORDINATES - SKETCH_MATCHES
 
 
 def _alike(x: str, y: str) -> Column:
@@ -226,7 +258,11 @@ def link_components(docs: DataFrame, words: int) -> DataFrame:
     close = written(matching(led_pairs, classes), "close")
     links = written(confirmed(close, sets_of(texts, close, words)).distinct(), "found")
     left = written(apart(lists, components(links)), "apart")
-    close = written(matching(across(left), classes).join(close, ["a", "b"], "left_anti"), "close")
+    long = left.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT_LIST).select("value")
+    short = left.join(long, "value", "left_anti")
+    rare = written(rarest_shingles(left.join(long, "value", "left_semi"), texts, words), "rarest")
+    pairs = across(short).unionByName(across(rare))
+    close = written(matching(pairs, classes).join(close, ["a", "b"], "left_anti"), "close")
     links = links.unionByName(confirmed(close, sets_of(texts, close, words))).distinct()
     found = components(links)
     per = classes.join(found, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -236,21 +272,56 @@ def link_components(docs: DataFrame, words: int) -> DataFrame:
 
 
 def led(lists: DataFrame, n: int) -> DataFrame:
-    """Pairs of each member of a list with the list's leader; another leader for every n."""
-    leaders = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("id", F.lit(n)).alias("o"), "id", "n")).alias("top"))
-    pairs = lists.join(leaders.select("value", F.col("top.id").alias("leader"), F.col("top.n").alias("m")), "value")
-    return pairs.where((F.col("id") != F.col("leader")) & _alike("n", "m")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    """Pairs of each member of a list with the list's leader: the most common one, or for other n one by a hash."""
+    order = -F.col("common") if n == 0 else F.xxhash64("id", F.lit(n))
+    leaders = lists.groupBy("value").agg(F.min(F.struct(order.alias("o"), "id", "n", "s1", "s2")).alias("top"))
+    tops = leaders.select("value", *[F.col(f"top.{c}").alias(f"top_{c}") for c in ("id", "n", "s1", "s2")])
+    pairs = lists.join(tops, "value").where((F.col("id") != F.col("top_id")) & _alike("n", "top_n") & _near("", "top_"))
+    return pairs.select(F.least("id", "top_id").alias("a"), F.greatest("id", "top_id").alias("b"))
 
 
 def apart(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """(value, id, n, component) of the lists whose members lie in different components."""
-    placed = lists.join(found, "id", "left").select("value", "id", "n", F.coalesce("component", "id").alias("component"))
+    """The lists (with component) whose members lie in different components."""
+    placed = lists.join(found, "id", "left").select(*lists.columns, F.coalesce("component", "id").alias("component"))
     several = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("value")
     return placed.join(several, "value", "left_semi")
 
 
+def rarest_shingles(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """The members posted under the rarest of their shingles, with rest: how many shingles are not rarer.
+
+    Of n shingles, ceil(0.8 n) at least are shared by any set similar enough, so
+    one of the other n - ceil(0.8 n) + 1 is, whichever they are; the rarest among
+    the members are taken.
+    """
+    ids = members.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
+    sets = sets_of(texts, ids, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                hashes = np.frombuffer(batch.column(1)[n].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), batch.column(0)[n].as_py(), np.int64)), pa.array(hashes)], ["id", "value"])
+
+    shingles = written(sets.mapInArrow(run, "id bigint, value bigint"), "shingles")
+    often = shingles.groupBy("value").agg(F.count("*").alias("k")).where("k > 1")
+    # Shingles of one member alone are its rarest: they fill the prefix first.
+    size = shingles.groupBy("id").agg(F.count("*").alias("size"))
+    shared = shingles.join(often, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("found"))
+    room = F.expr(f"int(size - (size * {PERCENT} + 99) div 100 + 1 - (size - size(found)))")
+    taken = shared.join(size, "id").withColumn("room", room).where("room > 0")
+    taken = taken.select("id", F.posexplode(F.slice("found", F.lit(1), F.col("room"))).alias("at", "x"), F.expr("size - size(found)").alias("alone"))
+    own = members.select("id", "n", "s1", "s2", "common", "component").distinct()
+    taken = taken.select("id", "x.value", (F.col("alone") + F.col("at")).alias("before")).join(own, "id")
+    return taken.select(*members.columns, (F.col("n") - F.col("before")).alias("rest"))
+
+
 def across(lists: DataFrame) -> DataFrame:
-    """Pairs of a list's members that lie in different components."""
-    x = lists.select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = lists.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    return x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb")).select("a", "b")
+    """Pairs of a list's members that lie in different components, and that rest, if there, does not rule out."""
+    columns = [c for c in ("id", "n", "s1", "s2", "component", "rest") if c in lists.columns]
+    x, y = (lists.select("value", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in "xy")
+    wanted = (x["value"] == y["value"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_component") != F.col("y_component")) & _alike("x_n", "y_n") & _near("x_", "y_")
+    if "rest" in columns:
+        # What two sets share is no more than what follows, in both, the first they share.
+        wanted = wanted & (F.least("x_rest", "y_rest") * (100 + PERCENT) >= PERCENT * (F.col("x_n") + F.col("y_n")))
+    return x.join(y, wanted).select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))

@@ -49,7 +49,7 @@ ANCHOR = LENGTH - REACH
 #: Starts ranked together, by their distance to the cut.
 BLOCK = 16
 #: Bytes parsed at once.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 #: Bits of the rolling hash that are compared; the rest of a word holds a place.
 _PLACE_BITS = 24
 _CHUNK = 1 << 22
