@@ -116,4 +116,16 @@ ORACLE_SQL = {
         SELECT parts.page_id, host, path, rule, coalesce(verdict, CASE WHEN path <> '' AND
             regexp_matches(host, '(^|[.-])(ads|adult|bets|betting|casino|pills|poker|porn|spam|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parts LEFT JOIN met ON parts.page_id = met.page_id""",
+    "op7_embedding_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+        parts AS (SELECT id, min(other) AS component FROM reach GROUP BY id),
+        degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+        FROM embeddings LEFT JOIN parts ON id = vec_id LEFT JOIN degrees ON a = vec_id""",
 }

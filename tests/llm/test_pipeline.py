@@ -76,7 +76,8 @@ def test_queries(spark):
     for name, sql in Q.ORACLE_SQL.items():
         df = Q.QUERIES[name](spark, SF)
         c = duckdb.connect()
-        c.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+        for t in ("pages", "embeddings"):
+            c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = c.sql(sql)
         order = [df.columns.index(x) for x in want.columns]
         assert sorted((tuple(r[k] for k in order) for r in df.collect()), key=str) == sorted(want.fetchall(), key=str)
