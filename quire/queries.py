@@ -226,17 +226,14 @@ def redirect_substitute(spark, sf):
 
 
 @query("category_ancestry", f"""WITH {_PAGES}, {_CATLINKS}, steps AS (SELECT c."from", p.id AS "to" FROM catlinks c JOIN pages p ON p.title = c."to" WHERE p.namespace = 14),
-    top AS (SELECT title FROM pages WHERE namespace = 14 AND id < 100 ORDER BY id LIMIT 1),
-    one AS (SELECT "from" FROM steps JOIN pages p ON p.id = "to" JOIN top USING (title) WHERE p.namespace = 14),
-    two AS (SELECT s."from" FROM steps s JOIN one ON s."to" = one."from")
+    wanted AS (SELECT id FROM pages WHERE namespace = 14 AND id < 60),
+    one AS (SELECT "from" FROM steps WHERE "to" IN (SELECT id FROM wanted)),
+    two AS (SELECT "from" FROM steps WHERE "to" IN (SELECT "from" FROM one))
     SELECT DISTINCT id, title FROM pages WHERE id IN (SELECT "from" FROM one UNION SELECT "from" FROM two)""")
 def category_ancestry(spark, sf):
     p = pages(spark, sf)
     found = L.resolve_category_links(p, p.where(F.col("namespace") == S.CATEGORY_NS), category_links(spark, sf))
-    top = p.where("namespace = 14 AND id < 100").agg(F.min_by("title", "id").alias("top"))
-    steps = found.select("from", "id")
-    wanted = p.join(F.broadcast(top), F.col("title") == F.col("top")).select(p.columns)
-    return L.category_ancestry(steps, p.join(wanted.select("id"), "id", "left_anti").unionByName(wanted.withColumn("title", F.concat(F.lit("top:"), "title"))), F.concat(F.lit("top:"), F.expr("substring(title, 5)"))).select("id", F.regexp_replace("title", "^top:", "").alias("title"))
+    return L.category_ancestry(found.select("from", "id"), p, F.when(F.col("id") < 60, F.col("title")))
 
 
 # ---- page views ------------------------------------------------------------------------------------------------
@@ -464,7 +461,7 @@ def triplets(spark, sf):
     SELECT p_partkey AS id, p_name AS title, coalesce(total, 0) AS total FROM part LEFT JOIN s ON page_id = p_partkey""")
 def outer_series(spark, sf):
     vertices, _ = forest(spark, sf)
-    return G.with_attributes(vertices, V.top_pages(visits(spark, sf), 2_000_000_000), "page_id").select("id", "title", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
+    return G.with_attributes(vertices, visits(spark, sf).groupBy("page_id").agg(F.sum(F.col("count").cast("long")).alias("total")), "page_id").select("id", "title", F.coalesce("total", F.lit(0).cast("long")).alias("total"))
 
 
 _COMPONENTS = """WITH RECURSIVE parent AS (SELECT p_partkey AS id, CASE WHEN p_size <= 35 AND p_partkey > 1 THEN p_partkey // 2 END AS up FROM part),
