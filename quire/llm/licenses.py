@@ -184,20 +184,27 @@ def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     named = scanner.families[:-1]
     templates = [(f, grams(t)) for f in named for t in TEMPLATES[f]]
     weights = dict(zip(scanner.vocabulary, scanner.weights.tolist(), strict=True))
-    rows = [(g, *weights.get(g, [0.0] * len(scanner.families)), *[1.0 / len(own) if g in own else 0.0 for _, own in templates]) for g in sorted({*weights, *(g for _, own in templates for g in own)})]
-    z, t = [f"z{n}" for n in range(len(scanner.families))], [f"t{n}" for n in range(len(templates))]
-    # A row for each n-gram of the templates and a column for each family and template.
-    table = docs.sparkSession.createDataFrame(rows, ", ".join(["gram string", *(f"{c} double" for c in z + t)]))
+    classes = len(scanner.families)
+    # A row for each n-gram and class that it has a weight for, and for each template that it is in.
+    rows = [(g, n, w) for g, own in weights.items() for n, w in enumerate(own) if w]
+    rows += [(g, classes + n, 1.0 / len(own)) for n, (_, own) in enumerate(templates) for g in sorted(own)]
+    table = docs.sparkSession.createDataFrame(rows, "gram string, slot int, worth double")
     met = hit.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")
-    sums = [(F.sum(c) + F.lit(float(b))).alias(c) for c, b in zip(z, scanner.bias, strict=True)] + [F.sum(c).alias(c) for c in t]
-    met = met.groupBy(*key).agg(*sums).withColumn("top", F.greatest(*z))
-    met = met.withColumn("whole", sum((F.exp(F.col(c) - F.col("top")) for c in z), F.lit(0.0)))
-    met = met.withColumn("best", F.greatest(*z[:-1])).where(F.exp(F.col(z[-1]) - F.col("top")) / F.col("whole") < 0.5)
-    met = met.withColumn("probability", F.exp(F.col("best") - F.col("top")) / F.col("whole"))
-    family = F.coalesce(*[F.when(F.col(c) == F.col("best"), F.lit(f)) for c, f in zip(z, named, strict=False)])
-    met = met.withColumn("likeliest", family)
-    met = met.withColumn("similarity", F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(F.col("likeliest") == f, F.col(c)) for c, (f, _) in zip(t, templates, strict=True)]))
-    met = met.withColumn("family", F.when(F.col("probability") >= scanner.threshold, F.col("likeliest")).otherwise("unknown"))
+    met = met.groupBy(*key, "slot").agg(F.sum("worth").alias("worth"))
+    # At most one entry for each class and template.
+    met = met.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "worth"))).alias("m"))
+    bias = F.array(*[F.lit(float(b)) for b in scanner.bias])
+    met = met.withColumn("z", F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda n: F.get(bias, n) + F.coalesce(F.try_element_at("m", n), F.lit(0.0))))
+    met = met.withColumn("top", F.array_max("z")).withColumn("e", F.transform("z", lambda v: F.exp(v - F.col("top"))))
+    met = met.withColumn("whole", F.aggregate("e", F.lit(0.0), lambda x, y: x + y)).where(F.get("e", F.lit(classes - 1)) / F.col("whole") < 0.5)
+    licences = F.slice("e", F.lit(1), F.lit(classes - 1))
+    met = met.withColumn("likeliest", F.array_position(licences, F.array_max(licences)).cast("int") - 1)
+    met = met.withColumn("probability", F.get("e", F.col("likeliest")) / F.col("whole"))
+    family_of = F.array(*[F.lit(named.index(f)) for f, _ in templates])
+    shares = F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda n: F.when(F.get(family_of, n) == F.col("likeliest"), F.coalesce(F.try_element_at("m", n + classes), F.lit(0.0))).otherwise(0.0))
+    met = met.withColumn("similarity", F.array_max(shares))
+    names = F.array(*[F.lit(f) for f in named])
+    met = met.withColumn("family", F.when(F.col("probability") >= scanner.threshold, F.get(names, F.col("likeliest"))).otherwise("unknown"))
     confirmed = (F.col("family") != "unknown") & (F.col("similarity") >= CONFIRMED)
     return met.select("doc_id", "mark", "paragraph", "family", "probability", "similarity", confirmed.alias("confirmed")).distinct()
 
