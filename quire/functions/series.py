@@ -6,6 +6,8 @@ recursive or iterative, work on one series at a time and run in Arrow batches.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -60,35 +62,36 @@ def smoothed_zscore(y: np.ndarray, lag: int, threshold: float, influence: float)
     return signal
 
 
-def _kernel(width: int, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each point: the width nearest of x (evenly spaced), and their tricube weights."""
-    n, q = len(x), min(width, len(x))
-    first = np.clip(np.round(at - x[0]).astype(int) - (q - 1) // 2, 0, n - q)
+@lru_cache(maxsize=64)
+def _kernel(width: int, n: int, before: int, after: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place from -before to n + after: the nearest of n places, how far off they are, and their tricube weights."""
+    at = np.arange(-before, n + after, dtype=np.float64)
+    q = min(width, n)
+    first = np.clip(np.round(at).astype(int) - (q - 1) // 2, 0, n - q)
     index = first[:, None] + np.arange(q)
-    far = np.abs(x[index] - at[:, None])
-    reach = far.max(1) + (max(width - n, 0) // 2) + 1e-12
-    reach = np.maximum(reach, 1.0)
-    return index, np.clip(1 - (far / reach[:, None]) ** 3, 0, None) ** 3
+    off = index - at[:, None]
+    reach = np.maximum(np.abs(off).max(1) + max(width - n, 0) // 2 + 1e-12, 1.0)
+    return index, off, np.clip(1 - (np.abs(off) / reach[:, None]) ** 3, 0, None) ** 3
 
 
 def loess(y: np.ndarray, width: int, degree: int, weights: np.ndarray | None = None, before: int = 0, after: int = 0) -> np.ndarray:
-    """Local regression of evenly spaced values, at their places and as many before and after as asked for."""
-    x = np.arange(len(y), dtype=np.float64)
-    at = np.arange(-before, len(y) + after, dtype=np.float64)
-    index, w = _kernel(width, x, at)
-    if weights is not None:
-        w = w * weights[index]
-    total = w.sum(1)
+    """Local regression of evenly spaced values, at their places and as many before and after as asked for.
+
+    y may hold several series of one length, one in each row.
+    """
+    index, off, w = _kernel(width, y.shape[-1], before, after)
+    near = y[..., index]
+    w = w * weights[..., index] if weights is not None else np.broadcast_to(w, near.shape)
+    total = w.sum(-1)
     flat = total <= 1e-300
     total = np.where(flat, 1.0, total)
-    mean_y = (w * y[index]).sum(1) / total
+    fit = (w * near).sum(-1) / total
     if degree:
-        mean_x = (w * x[index]).sum(1) / total
-        off = x[index] - mean_x[:, None]
-        spread = (w * off * off).sum(1)
-        slope = np.where(spread > 1e-9 * total, (w * off * y[index]).sum(1) / np.where(spread > 0, spread, 1.0), 0.0)
-        mean_y = mean_y + slope * (at - mean_x)
-    return np.where(flat, y[index].mean(1), mean_y)
+        middle = (w * off).sum(-1) / total
+        spread = (w * off * off).sum(-1) / total - middle**2
+        slope = ((w * off * near).sum(-1) / total - middle * fit) / np.where(spread > 1e-9, spread, np.inf)
+        fit = fit - slope * middle
+    return np.where(flat, near.mean(-1), fit)
 
 
 def _odd(x: float) -> int:
@@ -113,8 +116,13 @@ def stl_trend(y: np.ndarray, period: int = 24, seasonal_width: int = 240, inner:
         for _ in range(inner):
             rest = y - trend
             cycle = np.empty(n + 2 * period)
-            for k in range(period):
-                cycle[k::period] = loess(rest[k::period], seasonal_width, 1, weights[k::period], 1, 1)[: len(cycle[k::period])]
+            # Hours of the day with the same number of values are smoothed together.
+            for first, last in ((0, n % period), (n % period, period)):
+                if first < last:
+                    values = np.stack([rest[k::period] for k in range(first, last)])
+                    own = np.stack([weights[k::period] for k in range(first, last)])
+                    for k, smoothed in zip(range(first, last), loess(values, seasonal_width, 1, own, 1, 1), strict=True):
+                        cycle[k::period] = smoothed
             smooth = cycle
             for window in (period, period, 3):
                 smooth = np.convolve(smooth, np.ones(window) / window, "valid")
