@@ -188,13 +188,15 @@ def _decided(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     Entries with a key of their own share nothing; those with a context in common
     share all. What stands once among others of its key is open, and so is, once
     for each context, what it can share with. Sums over keys combine before the
-    shuffle, and joins have one row per key on one side: a hot key is split.
+    shuffle. They are written before they are joined with the entries: then both
+    sides of the join are plain shuffles, and adaptive execution splits a hot key.
     """
     keys = entries.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    met = written(entries.join(keys.select("key", (F.col("lo") == F.col("hi")).alias("same")), "key"), label)
+    keys = written(keys.select("key", (F.col("lo") == F.col("hi")).alias("same")), f"{label}-keys")
+    met = written(entries.join(keys, "key"), label)
     contexts = met.where("NOT same").groupBy("key", "context").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "mark", "place")).alias("one"))
     contexts = written(contexts, f"{label}-contexts")
-    some_single = contexts.groupBy("key").agg(F.min("times").alias("least")).where("least = 1").select("key")
+    some_single = written(contexts.groupBy("key").agg(F.min("times").alias("least")).where("least = 1").select("key"), f"{label}-open")
     still_open = contexts.join(some_single, "key", "left_semi").select("key", "times", "one.*")
     several = contexts.where("times > 1").select("key", "context")
     low = F.shiftright("place", 18)
