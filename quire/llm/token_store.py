@@ -17,7 +17,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,18 @@ from pyspark.sql.window import Window
 
 from .common import require, shared_dir, whole_text
 
-#: Texts of these characters are cut at spaces exactly as the library cuts them.
+#: Texts of these characters are cut exactly as the library cuts them.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-‧€]*"
+#: Stands before a part that follows a line end; not a plain character.
+_LINE = "\x01"
+#: Each is a word of its own to the pre-tokenizer after a letter.
+MARKS = ".,!?:;"
 #: Parts that one worker remembers: the first ones it meets, among them all frequent ones.
-REMEMBERED = 400_000
-LONG_PART = 40
+REMEMBERED = 250_000
+#: New parts given to the library at once.
+JOINED = 200
 #: Bytes of text encoded at once.
-TEXT_BYTES = 12 << 20
+TEXT_BYTES = 7 << 20
 BLOCK_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -44,11 +49,11 @@ PAGE_ROWS = 2_000
 class Encoder:
     """A tokenizers file; words that were seen before are not encoded again.
 
-    A text of plain characters, where no space follows white space, falls apart
-    at its spaces: the pre-tokenizer never joins what lies on both sides of the
-    start of a space. Each part is remembered with the ids of " " + part. New
-    parts go to the library joined, with its word numbers to tell them apart.
-    Any other text goes to the library whole.
+    A text of plain characters without two white spaces in a row falls apart at
+    its spaces and line ends: the pre-tokenizer never joins what lies on both
+    sides of the start of one. Its parts are numbered by Arrow, looked up among
+    the known ones, and the new ones go to the library joined, with its word
+    numbers to tell them apart. Any other text goes to the library whole.
     """
 
     def __init__(self, content: str):
@@ -60,55 +65,58 @@ class Encoder:
         spec = json.loads(content)
         pre = spec.get("pre_tokenizer") or {}
         self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.plain, self.gap = regex.compile(PLAIN).fullmatch, regex.compile(r"[\t-\r\x20]\x20").search
-        self.known: dict[str, bytes] = {}
-        self.marks = dict(zip(".,!?:;", self._library(list(".,!?:;")), strict=True))
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _letters(self, parts: list[str]) -> list[bytes]:
-        """Ids of " " + part for parts of letters alone, each a word to the pre-tokenizer."""
-        out = []
-        for x in self.tokenizer.encode_batch([" " + " ".join(parts[k : k + 100]) for k in range(0, len(parts), 100)], add_special_tokens=False):
-            ids, words = np.array(x.ids, "<u4").tobytes(), np.array(x.word_ids)
-            ends = [0, *(4 * (np.flatnonzero(np.diff(words)) + 1)).tolist(), len(ids)]
-            out += [ids[i:j] for i, j in pairwise(ends)]
-        if len(out) != len(parts):
-            raise RuntimeError("the library cuts words otherwise")
-        return out
-
-    def _learned(self, parts: list[str]) -> list[bytes]:
-        """Ids of " " + part for distinct parts."""
-        known = self.known
-        found = [known.get(w) for w in parts]
-        letters, others, ended = set(), [], []
-        for w in [w for w, ids in zip(parts, found, strict=True) if ids is None]:
-            if w.isalpha():
-                letters.add(w)
-            elif w[-1:] in self.marks and w[:-1].isalpha():
-                # A mark after letters is a word of its own to the pre-tokenizer.
-                ended.append(w)
-                if w[:-1] not in known:
-                    letters.add(w[:-1])
-            else:
-                others.append(w)
-        once: dict[str, bytes] = {}
-        for some, run in ((list(letters), self._letters), (others, lambda x: self._library([" " + w for w in x]))):
-            for at in range(0, len(some), 4_000):
-                piece = some[at : at + 4_000]
-                for w, ids in zip(piece, run(piece), strict=True):
-                    (known if len(w) <= LONG_PART and len(known) < REMEMBERED else once)[w] = ids
-        for w in ended:
-            once[w] = (known.get(w[:-1]) or once[w[:-1]]) + self.marks[w[-1]]
-        return [ids if ids is not None else known.get(w) or once[w] for w, ids in zip(parts, found, strict=True)]
+        self.plain, self.gap = regex.compile(PLAIN).fullmatch, regex.compile(r"[\t-\r\x20]{2}").search
+        self.words = pa.array([], pa.string())
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of texts, one by one."""
+        found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
+
+    def _joined(self, parts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of parts that are so many words each to the pre-tokenizer."""
+        ids, size = [], []
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            x = self.tokenizer.encode("".join(some), add_special_tokens=False)
+            ids.append(np.array(x.ids, np.uint32))
+            size.append(np.bincount(np.array(x.word_ids, np.int64) // words, minlength=len(some)))
+            if len(size[-1]) != len(some):
+                raise RuntimeError("the library cuts words otherwise")
+        return np.concatenate(ids), np.concatenate(size)
+
+    def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of distinct parts; a part that starts with \\x01 follows a line end, any other a space."""
+        line, mark = pc.starts_with(parts, _LINE).to_numpy(False), pc.match_substring_regex(parts, f"[{MARKS}]$").to_numpy(False)
+        simple = pc.match_substring_regex(parts, rf"^\x01?\p{{L}}+[{MARKS}]?$").to_numpy(False)
+        ids, size, order = [], [], []
+        for after_line in (False, True):
+            for with_mark in (False, True):
+                rows = np.flatnonzero(simple & (line == after_line) & (mark == with_mark))
+                if len(rows):
+                    some = parts.take(pa.array(rows)).to_pylist()
+                    some = [x.replace(_LINE, "\n") for x in some] if after_line else [" " + x for x in some]
+                    found = self._joined(some, 1 + after_line + with_mark)
+                    ids.append(found[0])
+                    size.append(found[1])
+                    order.append(rows)
+        rows = np.flatnonzero(~simple)
+        some = [x.replace(_LINE, "\n") if x[:1] == _LINE else " " + x for x in parts.take(pa.array(rows)).to_pylist()]
+        found = self._library(some)
+        ids, size, order = np.concatenate([*ids, found[0]]), np.concatenate([*size, found[1]]), np.concatenate([*order, rows])
+        # Back in the order of the parts.
+        start = np.empty(len(parts), np.int64)
+        count = np.empty(len(parts), np.int64)
+        start[order], count[order] = np.cumsum(size) - size, size
+        return ids[_places(start, count)], count
 
     def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts one after the other, each followed by end, and how many each has."""
         cut, heads = [], []
         for text in texts:
             if self.by_part and self.plain(text) and not self.gap(text):
-                cut.append(text)
+                cut.append(text := text.replace("\n", " " + _LINE))
                 heads.append(text.partition(" ")[0])
             else:
                 cut.append("")
@@ -116,18 +124,33 @@ class Encoder:
         parts = pc.split_pattern(pa.array(cut, pa.string()), " ")
         ends = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.dictionary_encode()
+        known = pc.index_in(words.dictionary, value_set=self.words).fill_null(-1).to_numpy()
+        new = np.flatnonzero(known < 0)
+        new_words = words.dictionary.take(pa.array(new))
+        new_ids, new_size = self._new(new_words) if len(new) else (self.flat[:0], self.size[:0])
+        head_ids, head_size = self._library(heads)
+        tail = np.frombuffer(end, "<u4")
         # The first part of a text, or a text that is not cut, is an entry of its own, and so is the end.
-        entries = [*self._learned(words.dictionary.to_pylist()), *self._library(heads), end]
+        size = np.concatenate([self.size[known] if len(self.size) else np.zeros(len(known), np.int64), head_size, [len(tail)]])
+        start = np.concatenate([self.start[known] if len(self.size) else np.zeros(len(known), np.int64), len(self.flat) + len(new_ids) + np.cumsum(head_size) - head_size, [len(self.flat) + len(new_ids) + len(head_ids)]])
+        size[new], start[new] = new_size, len(self.flat) + np.cumsum(new_size) - new_size
+        flat = np.concatenate([self.flat, new_ids, head_ids, tail])
         at = words.indices.to_numpy().copy()
         at[ends[:-1]] = len(words.dictionary) + np.arange(len(texts))
-        at = np.insert(at, ends[1:], len(entries) - 1)
-        size = np.array([len(x) >> 2 for x in entries], np.int32)
-        start = np.cumsum(size, dtype=np.int64) - size
+        at = np.insert(at, ends[1:], len(size) - 1)
         each = size[at]
-        total = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-        flat = np.frombuffer(b"".join(entries), "<u4")
-        ids = flat[np.repeat(start[at] - total[:-1], each) + np.arange(total[-1])]
-        return ids, np.diff(total[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])])
+        total = np.concatenate([[0], np.cumsum(each)])
+        out = flat[_places(start[at], each)], np.diff(total[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])])
+        if len(new) and len(self.words) < REMEMBERED:
+            self.words = pa.concat_arrays([self.words, new_words])
+            self.start, self.size, self.flat = np.concatenate([self.start, start[new]]), np.concatenate([self.size, new_size]), np.concatenate([self.flat, new_ids])
+        return out
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of all entries, one after the other."""
+    total = np.cumsum(size)
+    return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -168,7 +191,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, whole_text(text_col).alias("text"))
-    rows = rows.repartitionByRange(partitions, id_col, "text") if partitions else rows.repartitionByRange(id_col, "text")
+    # Ranges are found from a sample of the ids alone; rows with one id stay together.
+    rows = rows.repartitionByRange(partitions, id_col) if partitions else rows.repartitionByRange(id_col)
     encoded = rows.sortWithinPartitions(id_col, "text").mapInArrow(run, f"part int, `{id_col}` {kind}, n_tokens bigint, local_start bigint, tokens array<int>")
     (
         encoded.write.option("parquet.writer.version", "PARQUET_2_0")
@@ -176,7 +200,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         .option("parquet.block.size", BLOCK_BYTES)
         .option("parquet.page.size", PAGE_BYTES)
         .option("parquet.page.row.count.limit", PAGE_ROWS)
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .parquet(path)
     )
 
