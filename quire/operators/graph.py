@@ -64,7 +64,8 @@ def triplets(vertices: DataFrame, edges: DataFrame, *attributes: str) -> DataFra
     return rows
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at path, and read back: what follows does not compute it again."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -78,7 +79,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, scratch: str | N
     """
     base = f"{scratch or checkpoint_dir(edges)}/components-{uuid.uuid4().hex}"
     pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    now = _written(pairs.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v")).distinct(), f"{base}/0")
+    now = written(pairs.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v")).distinct(), f"{base}/0")
     before = None
     for n in range(1, MOST_ROUNDS + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -86,7 +87,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, scratch: str | N
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = _written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{base}/{n}")
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{base}/{n}")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before or not after[0]:
             break

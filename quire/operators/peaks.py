@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -62,4 +63,6 @@ def peak_graph(vertices: DataFrame, edges: DataFrame, series: DataFrame, hours:
     """The largest component of the active subgraph, edges weighted by likeness and pruned."""
     pairs = G.undirected(edges, F.max)
     weighted = G.prune_edges(edge_similarity(vertices, pairs, series, hours, correlation), min_weight)
+    # Trends are the costly part: the rounds of components read their result, not the series.
+    weighted = G.written(weighted, f"{scratch or G.checkpoint_dir(edges)}/weighted-{uuid.uuid4().hex}")
     return G.largest_component_graph(G.without_singletons(vertices, weighted), weighted, scratch)
