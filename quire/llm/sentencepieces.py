@@ -17,22 +17,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import require, whole_text
+from .common import require, small_batches, whole_text
 
 SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Marks at which a text is cut if no piece joins one to a letter or a space before it or anything but itself after it.
+#: Marks before which a text is cut, if no piece joins one to a letter before it.
 MARKS = "\n.,!?;:%&$*#|"
 #: Parts longer than this are encoded but not remembered.
 LONG_PART = 48
-#: Remembered parts of one worker; the memory is emptied when it is full.
-REMEMBERED = 700_000
+#: Parts that one worker remembers: the first ones it meets, among them all frequent ones.
+REMEMBERED = 250_000
 #: Documents whose ids are held as arrays at once.
 ROWS = 500
 
@@ -72,10 +73,11 @@ class MergeVocabulary:
         if any("\n" in p for p in self.pieces) or any(SPACE in p.lstrip(SPACE) for p in self.pieces):
             raise ValueError("pieces of this model reach across words or lines")
         joined = {a + b for p in self.pieces for a, b in zip(p, p[1:], strict=False)}
-        letters = {c for p in self.pieces for c in p if re.match(r"[^\W\d_]", c)}
-        marks = [m for m in MARKS if not any(c + m in joined for c in letters)]
-        #: A run without these marks that ends in a letter, or anything else up to the next such place.
-        self.cut = re.compile(f"(?<=[^\\W\\d_])(?=[{re.escape(''.join(marks))}])").split
+        marks = [m for m in MARKS if not any(c + m in joined for c in string.ascii_letters)]
+        # Few other letters, if any, are joined to a mark; no cut is made after them.
+        bound = "".join(sorted({c for c, m in joined if m in marks}))
+        #: Cuts a line between a letter and a mark.
+        self.cut = re.compile(f"(?<=[^\\W\\d_{re.escape(bound)}])(?=[{re.escape(''.join(marks))}])").split
         self.has_mark = re.compile(f"[{re.escape(''.join(marks))}]").search
         self.end = lib.eos_id()
         #: Part to its ids as decimal text; odd: what a part decodes to, if not to itself.
@@ -126,7 +128,7 @@ class MergeVocabulary:
         if decoded != part.replace(SPACE, " "):
             self.odd[part] = decoded
         self.fresh.append((part, text))
-        if len(part) <= LONG_PART:
+        if len(part) <= LONG_PART and len(self.known) < REMEMBERED:
             self.known[part] = text
         return text
 
@@ -175,7 +177,7 @@ class MergeVocabulary:
             for (part, ids), expected in zip(some, self.library.encode([ask(p) for p, _ in some], num_threads=1), strict=True):
                 if ids != " ".join(map(str, expected[skip:])) and part != SPACE:
                     raise RuntimeError(f"the library encodes {part[:80]!r} otherwise")
-        if len(self.known) + len(self.odd) > REMEMBERED:
+        if len(self.odd) > REMEMBERED:
             self.known.clear()
             self.odd.clear()
 
@@ -214,7 +216,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([y for _, y in found], pa.string())], [id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, whole_text(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
+    return small_batches(docs).select(id_col, whole_text(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")
 
 
 def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,4 +238,4 @@ def digest_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, whole_text(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(id_col, whole_text(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
