@@ -25,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: While a table is written: shuffle files go with the finished query, and Python gets rows a few at a time.
-_WHILE_WRITING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-}
+#: Rows that Python gets at once; with whole texts, Spark's default is too much for an executor's memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that the session hands out at most BATCH_ROWS rows of text at once.
+
+    The setting counts when a query runs, and the caller runs it, so it stays.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return df
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -42,14 +52,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = {key: spark.conf.get(key) for key in _WHILE_WRITING}
-    for key, value in _WHILE_WRITING.items():
-        spark.conf.set(key, value)
+    small_batches(df)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, require, whole_text
+from .common import WORD_SPACE, require, small_batches, whole_text
 
 TRAINING_DOCS = 1_500
 TRAINING_LINES = 120
@@ -184,7 +184,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * training_docs ids, whatever the tables' size.
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = texts.select(F.col("quality").cast("int"), "text").mapInArrow(run, "quality int, rows binary").toPandas()
+    found = small_batches(texts).select(F.col("quality").cast("int"), "text").mapInArrow(run, "quality int, rows binary").toPandas()
     # Rows arrive in any order: sorted, so that the fitted sums are the same in every run.
     pairs = sorted((int(q), bytes(r)) for q, r in zip(found["quality"], found["rows"], strict=True) if len(r))
     pairs = pairs if len(pairs) <= 4 * training_docs else pairs[:: len(pairs) // (2 * training_docs)]
@@ -219,7 +219,7 @@ def judge(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, content_share double, kept boolean"
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHARE) -> DataFrame:
@@ -233,4 +233,4 @@ def keep_good(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHAR
         for batch in batches:
             yield batch.filter(pa.array([verdict(x.as_py() or "", model, content_share)[3] for x in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, whole_text, written
+from .common import require, small_batches, whole_text, written
 from .hashing import Polynomial, mixed
 
 LENGTH = 400
@@ -253,4 +253,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(runs, run_kind)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     joined = rows.join(spans, ["doc", "mark"], "left").select("doc", "mark", "text", "no_id", "found")
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>")
+    return small_batches(joined).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, stop: bigint>>")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import require, shared_dir, whole_text
+from .common import require, shared_dir, small_batches, whole_text
 
 #: Texts of these characters are cut exactly as the library cuts them.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-‧€]*"
@@ -62,9 +62,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        spec = json.loads(content)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not self.tokenizer.normalizer
         self.plain, self.gap = regex.compile(PLAIN).fullmatch, regex.compile(r"[\t-\r\x20]{2}").search
         self.words = pa.array([], pa.string())
         self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -153,12 +152,20 @@ def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch, about TEXT_BYTES of text at a time."""
-    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64))
-    cuts = np.flatnonzero(np.diff(size // TEXT_BYTES)) + 1
-    for a, b in pairwise([0, *cuts.tolist(), batch.num_rows]):
-        yield batch.slice(a, b - a)
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) of the rows in order, about TEXT_BYTES of text at a time."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            ids.append(some.column(0))
+            texts += some.column(1).to_pylist()
+            size += pc.sum(pc.binary_length(some.column(1))).as_py()
+            if size >= TEXT_BYTES:
+                yield pa.concat_arrays(ids), texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
 
 
 _LOADED: dict[int, Encoder] = {}
@@ -181,19 +188,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(content.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for some in _slices(batch):
-                ids, n = enc.encode(some.column(1).to_pylist(), end)
-                ends = np.concatenate([[0], np.cumsum(n)])
-                tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), some.column(0), pa.array(n), pa.array(start + ends[:-1]), tokens], ["part", id_col, "n_tokens", "local_start", "tokens"])
-                start += int(ends[-1])
+        for ids, texts in _gathered(batches):
+            flat, n = enc.encode(texts, end)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            tokens = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int32)))
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), ids, pa.array(n), pa.array(start + ends[:-1]), tokens], ["part", id_col, "n_tokens", "local_start", "tokens"])
+            start += int(ends[-1])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, whole_text(text_col).alias("text"))
     # Ranges are found from a sample of the ids alone; rows with one id stay together.
     rows = rows.repartitionByRange(partitions, id_col) if partitions else rows.repartitionByRange(id_col)
-    encoded = rows.sortWithinPartitions(id_col, "text").mapInArrow(run, f"part int, `{id_col}` {kind}, n_tokens bigint, local_start bigint, tokens array<int>")
+    encoded = small_batches(rows).sortWithinPartitions(id_col, "text").mapInArrow(run, f"part int, `{id_col}` {kind}, n_tokens bigint, local_start bigint, tokens array<int>")
     (
         encoded.write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")
@@ -233,7 +240,7 @@ def with_crc32(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
             crc = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], [id_col, "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select(id_col, "start", "n_tokens", "tokens").mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return small_batches(tokens).select(id_col, "start", "n_tokens", "tokens").mapInArrow(run, f"`{id_col}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
