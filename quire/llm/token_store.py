@@ -53,15 +53,20 @@ class Encoder:
     its spaces and line ends: the pre-tokenizer never joins what lies on both
     sides of the start of one. Its parts are numbered by Arrow, looked up among
     the known ones, and the new ones go to the library joined, with its word
-    numbers to tell them apart. Any other text goes to the library whole.
+    numbers to tell them apart. Any other text goes to the library whole, and so
+    does a text that holds the content of an added token. literal takes special
+    tokens in a text for plain characters; else they are what the library makes
+    of them as loaded.
     """
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, literal: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
+        if literal:
+            self.tokenizer.encode_special_tokens = True
+        self.added = [x["content"] for x in json.loads(content).get("added_tokens") or []]
         pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not self.tokenizer.normalizer
         self.plain, self.gap = regex.compile(PLAIN).fullmatch, regex.compile(r"[\t-\r\x20]{2}").search
@@ -73,11 +78,19 @@ class Encoder:
         found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
 
+    def _holds_added(self, text: str) -> bool:
+        return any(x in text for x in self.added)
+
     def _joined(self, parts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of parts that are so many words each to the pre-tokenizer."""
         ids, size = [], []
         for at in range(0, len(parts), JOINED):
             some = parts[at : at + JOINED]
+            if self._holds_added("".join(some)):
+                found = self._library(some)
+                ids.append(found[0])
+                size.append(found[1])
+                continue
             x = self.tokenizer.encode("".join(some), add_special_tokens=False)
             ids.append(np.array(x.ids, np.uint32))
             size.append(np.bincount(np.array(x.word_ids, np.int64) // words, minlength=len(some)))
@@ -114,7 +127,7 @@ class Encoder:
         """(ids, counts): the ids of all texts one after the other, each followed by end, and how many each has."""
         cut, heads = [], []
         for text in texts:
-            if self.by_part and self.plain(text) and not self.gap(text):
+            if self.by_part and self.plain(text) and not self.gap(text) and not self._holds_added(text):
                 cut.append(text := text.replace("\n", " " + _LINE))
                 heads.append(text.partition(" ")[0])
             else:
@@ -168,18 +181,21 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, lis
         yield pa.concat_arrays(ids), texts
 
 
-_LOADED: dict[int, Encoder] = {}
+_LOADED: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(content: str) -> Encoder:
-    key = hash(content)
+def encoder(content: str, literal: bool = False) -> Encoder:
+    key = hash(content), literal
     if key not in _LOADED:
-        _LOADED[key] = Encoder(content)
+        _LOADED[key] = Encoder(content, literal)
     return _LOADED[key]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
-    """Encode whole texts and write (part, id, n_tokens, local_start, tokens) under path, in ascending id order."""
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, literal: bool = True) -> None:
+    """Encode whole texts and write (part, id, n_tokens, local_start, tokens) under path, in ascending id order.
+
+    literal: special tokens that stand in a text are plain characters. Without it they get their ids, as the library has it when loaded.
+    """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -187,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, start = encoder(content.value), TaskContext.get().partitionId(), 0
+        enc, part, start = encoder(content.value, literal), TaskContext.get().partitionId(), 0
         for ids, texts in _gathered(batches):
             flat, n = enc.encode(texts, end)
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -244,8 +260,8 @@ def with_crc32(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Write a store into the shared folder and return what its files hold, with checksums."""
+    """Write a store into the shared folder, encoded by the library as loaded, and return what its files hold, with checksums."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, path, tokenizer_path, end_id)
+    write_tokens(docs, path, tokenizer_path, end_id, literal=False)
     return with_crc32(read_tokens(spark, path))

@@ -334,6 +334,20 @@ def test_token_store(spark, tmp_path):
     assert sorted(r.start for r in again.collect()) == [0, 2, 4]
 
 
+def test_token_store_takes_special_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    texts = ["foo <|endoftext|> bar", "plain words", "<|endoftext|>", "a<|endoftext|>b\n<|endof text|> c", *ODD]
+    got = {r.doc_id: r for r in token_store.store_and_read(docs(spark, texts), BYTES, 2).collect()}
+    start = 0
+    for i, t in enumerate(texts):
+        want = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
+    assert 50256 in lib.encode(texts[0], add_special_tokens=False).ids
+
+
 # ---- 10 ----
 
 
