@@ -1,14 +1,20 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph (a line of a text) becomes its set of word one- and two-grams. A
-sparse multinomial logistic regression over the n-grams of the templates gives
+A paragraph is a run of lines that are not blank. Notices are looked for in its
+lines and in its windows, two or more lines side by side, so that neither a
+notice that is wrapped over lines nor one beside other text is lost; a window
+has room for WINDOW words before and after a line end. Of those that overlap,
+the one most like a template counts, and the shortest of equal ones.
+
+A line or window becomes its set of word one- and two-grams. A sparse multinomial logistic regression over the n-grams of the templates gives
 each licence family, and a class for everything else, a probability; it is
 fitted here, on the templates with words dropped and foreign words put around
 them, and on a bounded sample of the corpus's own paragraphs that share nothing
-characteristic with a template. N-grams of that sample carry no weight. A
-paragraph whose best family has less than a calibrated probability, the lowest
-that keeps PRECISION on held-out paragraphs, is of unknown licence. A family is
-confirmed if the paragraph holds enough of the n-grams of one of its templates.
+characteristic with a template. N-grams of that sample carry no weight. A line
+or window whose best family has less than a calibrated probability, the lowest
+that keeps PRECISION on held-out lines, is of unknown licence. A family is
+confirmed if the line or window holds enough of the n-grams of one of its
+templates.
 
 Scoring is DataFrame expressions alone: no Python runs on the executors. The
 fitted weights are literals, their number bounded by the templates.
@@ -72,6 +78,10 @@ COPIES = 60
 PRECISION = 0.99
 #: Share of a template's n-grams that confirms its family.
 CONFIRMED = 0.6
+#: Words that a wrapped notice can have on either side of a line end: twice those of the longest template.
+WINDOW = 2 * max(len(re.findall(TOKEN, t.lower())) for own in TEMPLATES.values() for t in own)
+#: One blank line or more between two lines.
+BLANK = r"\n(?:[^\S\n]*+\n)++"
 
 
 def grams(text: str) -> set[str]:
@@ -167,20 +177,53 @@ def fit(docs: DataFrame, background: int = BACKGROUND, background_docs: int = BA
     return Scanner(families, [vocabulary[i] for i in used], w[used], b, threshold)
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
+
+
+def _windows(lines: Column, telling: Column, known: Column) -> Column:
+    """Array of (first, last, grams) of the lines and windows with a telling n-gram; grams are the known ones."""
+    sizes = F.transform(lines, F.size)
+    heads = F.transform(lines, lambda x: F.slice(x, 1, WINDOW))
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
+
+    def of(own: Column, i: Column) -> Column:
+        # The lines after this one that start within WINDOW words of its end; each line has a word.
+        after = F.slice(sizes, i + 2, F.lit(WINDOW))
+        reach = F.aggregate(after, start, lambda a, x: F.when(a["words"] < WINDOW, F.struct((a["words"] + x).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a), lambda a: a["lines"])
+        tail = F.slice(own, F.greatest(F.size(own) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
+        texts = F.transform(F.sequence(F.lit(0), reach), lambda k: F.struct(k.alias("k"), F.when(k == 0, own).otherwise(F.concat(tail, F.flatten(F.slice(heads, i + 2, k)))).alias("words")))
+        found = F.transform(texts, lambda x: F.struct(x["k"].alias("k"), grams_of(x["words"]).alias("grams")))
+        found = F.filter(found, lambda x: F.arrays_overlap(x["grams"], telling))
+        return F.transform(found, lambda x: F.struct(i.alias("first"), (i + x["k"]).alias("last"), F.array_intersect(x["grams"], known).alias("grams")))
+
+    return F.flatten(F.transform(lines, of))
+
+
+def _apart(units: Column) -> Column:
+    """The units (first, last, ...) that overlap none before them."""
+    none = F.slice(units, 1, 0)
+    return F.aggregate(units, none, lambda got, x: F.when(F.exists(got, lambda y: (y["first"] <= x["last"]) & (y["last"] >= x["first"])), got).otherwise(F.concat(got, F.array(x))))
+
+
 def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """(doc_id, mark, paragraph, family, probability, similarity, confirmed) of the paragraphs with a licence.
+    """(doc_id, mark, paragraph, first, last, family, probability, similarity, confirmed) of the notices, the lines first to last of a paragraph.
 
     family is unknown where the best one stays under the calibrated probability
-    though a licence is more likely than none.
+    though a licence is more likely than none. Lines without a word do not count.
     """
-    words = F.transform(F.split("text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(f"({TOKEN})"), F.lit(1)))
-    texts = docs.select("doc_id", whole_text().alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), words.alias("lines"))
-    lines = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "mark", F.posexplode("lines").alias("paragraph", "words"))
+    texts = docs.select("doc_id", whole_text().alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), F.split("text", BLANK).alias("runs"))
+    runs = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "mark", F.posexplode("runs").alias("paragraph", "run"))
     vocabulary = F.array(*[F.lit(g) for g in scanner.vocabulary])
+    known = F.array(*[F.lit(g) for g in sorted({*scanner.vocabulary, *(g for own in TEMPLATES.values() for t in own for g in grams(t))})])
     # A paragraph without any n-gram that has a weight is of no licence: the bias says so.
-    hit = lines.withColumn("grams", grams_of(F.col("words"))).where(F.size(F.array_intersect("grams", vocabulary)) > 0)
-    hit = written(hit.drop("words"), "paragraphs")
-    key = ["row", "doc_id", "mark", "paragraph"]
+    runs = runs.where(F.arrays_overlap(grams_of(_words(F.col("run"))), vocabulary))
+    runs = written(runs, "paragraphs")
+    lines = F.filter(F.transform(F.split("run", "\n"), _words), lambda x: F.size(x) > 0)
+    hit = runs.select("row", "doc_id", "mark", "paragraph", lines.alias("lines"))
+    hit = hit.select("row", "doc_id", "mark", "paragraph", F.inline(_windows(F.col("lines"), vocabulary, known)))
+    hit = written(hit.withColumn("n", F.size("grams")), "windows")
+    key = ["row", "doc_id", "mark", "paragraph", "first", "last", "n"]
     named = scanner.families[:-1]
     templates = [(f, grams(t)) for f in named for t in TEMPLATES[f]]
     weights = dict(zip(scanner.vocabulary, scanner.weights.tolist(), strict=True))
@@ -202,15 +245,22 @@ def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     met = met.withColumn("probability", F.get("e", F.col("likeliest")) / F.col("whole"))
     family_of = F.array(*[F.lit(named.index(f)) for f, _ in templates])
     shares = F.transform(F.sequence(F.lit(0), F.lit(len(templates) - 1)), lambda n: F.when(F.get(family_of, n) == F.col("likeliest"), F.coalesce(F.try_element_at("m", n + classes), F.lit(0.0))).otherwise(0.0))
-    met = met.withColumn("similarity", F.array_max(shares))
+    sizes = F.array(*[F.lit(len(own)) for _, own in templates])
+    # How much of a template and of the window's known n-grams is common to both: other words do not tell a wrapped notice from its lines, those of another licence do.
+    likeness = F.transform(shares, lambda x, n: 2 * x * F.get(sizes, n) / (F.col("n") + F.get(sizes, n)))
+    met = met.withColumn("similarity", F.array_max(shares)).withColumn("likeness", F.array_max(likeness))
     names = F.array(*[F.lit(f) for f in named])
     met = met.withColumn("family", F.when(F.col("probability") >= scanner.threshold, F.get(names, F.col("likeliest"))).otherwise("unknown"))
-    confirmed = (F.col("family") != "unknown") & (F.col("similarity") >= CONFIRMED)
-    return met.select("doc_id", "mark", "paragraph", "family", "probability", "similarity", confirmed.alias("confirmed")).distinct()
+    met = met.withColumn("confirmed", (F.col("family") != "unknown") & (F.col("similarity") >= CONFIRMED))
+    # Confirmed ones first, by their likeness; the others by their lines.
+    order = F.struct((~F.col("confirmed")).alias("a"), F.when(F.col("confirmed"), -F.round("likeness", 9)).alias("b"), (F.col("last") - F.col("first")).alias("c"), F.col("first").alias("d"))
+    units = met.groupBy("row", "doc_id", "mark", "paragraph").agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "first", "last", "family", "probability", "similarity", "confirmed"))).alias("units"))
+    notices = units.select("doc_id", "mark", "paragraph", F.inline(_apart(F.col("units"))))
+    return notices.drop("order").distinct()
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
-    """(doc_id, n_licences, n_confirmed, families) of every document; families: the confirmed ones, or unknown, sorted."""
+    """(doc_id, n_licences, n_confirmed, families) of every document: its notices; families: the confirmed ones, or unknown, sorted."""
     require(docs, "doc_id", "text")
     found = paragraphs(docs, scanner).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
         F.count("*").alias("n_distinct"),

@@ -89,6 +89,33 @@ def test_licences(spark):
     assert licenses.scan(empty, licenses.fit(empty)).count() == 0
 
 
+NOTICES = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+}
+
+
+@pytest.mark.parametrize("width", [16, 30, 60, 75])
+def test_wrapped_licences(spark, width):
+    import textwrap
+
+    rng = random.Random(3)
+    plain = [noise(rng, 300, "abcdefgh    ") for _ in range(40)]
+    wrapped = {f: textwrap.fill(t, width, break_on_hyphens=False, break_long_words=False) for f, t in NOTICES.items()}
+    texts, want = list(plain), [""] * 40
+    for f, t in wrapped.items():
+        texts += [t, f"{plain[0]}\n{t}\n{plain[1]}", f"{plain[0]}\n\n{t}\n\n{plain[1]}", "\n".join(f" * {x}" for x in t.split("\n")), f"{plain[2]} {t}"]
+        want += [f] * 5
+    texts += [wrapped["mit"] + "\n" + wrapped["gpl"], wrapped["bsd"] + "\n \n" + wrapped["bsd"], "Released under the MIT License.\nReleased under the MIT License.\n" + wrapped["gpl"], wrapped["mit"].replace("\n", "\n\n").partition(" any")[0]]
+    df = docs(spark, texts)
+    got = [(r.families, r.n_licences, r.n_confirmed) for r in licenses.scan(df, licenses.fit(df)).orderBy("doc_id").collect()]
+    assert got[:60] == [(w, *[int(w != "")] * 2) for w in want]
+    assert got[60:63] == [("gpl,mit", 2, 2), ("bsd", 2, 2), ("gpl,mit", 3, 3)]
+    assert got[63][2] == 0
+
+
 # ---- 3 ----
 
 
