@@ -1,14 +1,20 @@
 """Personal data: fixed patterns, and identifiers found by the words around them.
 
 Base spans are the leftmost non-overlapping matches of one pattern for each
-kind, less those that fail the kind's rule. They are the seeds of a bootstrap:
-identifier-shaped tokens and the words beside them form a bipartite graph of
+kind, less those that fail the kind's rule. They all are the seeds of a
+bootstrap: base spans, identifier-shaped tokens and matches with spaces that fail
+their rule form, with the words beside them, a bipartite graph of
 instances and lexical patterns ("l2 l1 _" and "l1 _ r1"). A pattern's confidence
 is the mean score of its distinct instances, an instance's score is 1 for seeds
 and else one minus the product of its patterns' doubts; both are computed again
 in ROUNDS rounds. Patterns of high confidence and enough distinct seeds mark the
 unseen identifiers that stand in them. Base spans always stay.
 
+Any other word in the slot of such a pattern, without a digit and of any length,
+is an unseen identifier too, if the pattern is trusted with all the distinct
+words that stand in its slot counted as doubts. An unseen identifier of several
+words is found only in the shape of a phone, card or ip.
+
 Everything here is DataFrame expressions: no Python runs on the executors.
 
 Rows: one output row per input row. A null text is an empty text and has no
@@ -35,10 +41,13 @@ PATTERNS = {
 #: Identifier-shaped tokens: phone numbers, and runs of 6 to 64 characters with a digit.
 CANDIDATE = PATTERNS["phone"] + r"|(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]{6,64}+(?![A-Za-z0-9@._%+-])"
 SPANS = "array<struct<start: bigint, kind: int, stop: bigint>>"
+MATCHES = "array<struct<start: bigint, stop: bigint, value: string, before: string, after: string, kind: int>>"
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.9
+#: Documents that patterns are tried on before they are looked up in all; any number gives the same result.
+FIRST_DOCS = 2_000
 #: Characters beside a token that are searched for its context words.
 CONTEXT_CHARS = 80
 
@@ -102,10 +111,15 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["stop"])), ",")
 
 
-def _good(kind: str, n: int) -> Column:
-    """The valid ones of a kind's matches, as spans."""
-    good = F.filter(kind, lambda x: valid(kind, x["value"]))
-    return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(n).alias("kind"), x["stop"].alias("stop")))
+def _seen(kind: str, n: int) -> Column:
+    """A kind's matches with their context: the valid ones have the kind, the others (null) stay if they are several whole words."""
+    found = F.transform(kind, lambda x: x.withField("kind", F.when(valid(kind, x["value"]), F.lit(n))))
+    apart = lambda x: x["value"].contains(" ") & ~x["before"].rlike(r"[^\s(]$") & ~x["after"].rlike(r"^[^\s).,;:!?]")
+    return F.filter(found, lambda x: x["kind"].isNotNull() | apart(x))
+
+
+def _spans(seen: Column) -> Column:
+    return F.transform(F.filter(seen, lambda x: x["kind"].isNotNull()), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
 
 
 def _count(spans: str, n: int) -> Column:
@@ -113,49 +127,121 @@ def _count(spans: str, n: int) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, base, candidates): base is sorted (start, kind, stop); candidates have their context."""
+    """(doc_id, mark, base, matches, candidates): base is sorted (start, kind, stop); matches, with a kind if valid, and candidates have their context."""
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("mark", F.xxhash64("text"))
-    spans = []
+    seen, spans = [], []
     for n, kind in enumerate(KINDS):
-        rows = _placed(rows, "text", PATTERNS[kind], kind)
-        spans.append(F.coalesce(_good(kind, n), F.array().cast(SPANS)))
+        rows = _placed(rows, "text", PATTERNS[kind], kind, context=True)
+        rows = rows.withColumn(kind, _seen(kind, n))
+        seen.append(F.coalesce(kind, F.array().cast(MATCHES)))
+        spans.append(F.coalesce(_spans(F.col(kind)), F.array().cast(SPANS)))
     rows = _placed(rows, "text", CANDIDATE, "candidates", context=True)
-    return rows.select("doc_id", "mark", F.array_sort(F.concat(*spans)).alias("base"), "candidates")
+    return rows.select("doc_id", "mark", F.array_sort(F.concat(*spans)).alias("base"), F.concat(*seen).alias("matches"), "candidates")
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, stop, value, kind, patterns) of every candidate; kind: that its value has by itself, else null."""
-    x = found.where("candidates IS NOT NULL").select("doc_id", "mark", F.explode("candidates").alias("c"))
+    """(doc_id, mark, start, stop, value, kind, patterns) of every match and candidate; kind: that of a base span, else null."""
+    value = F.col("c.value")
+    whole = [(F.regexp_extract(value, PATTERNS[k], 0), k) for k in KINDS]
+    # Candidates that are base spans by themselves are among the matches.
+    own = F.coalesce(*[F.when((v != "") & valid(k, v), F.lit(True)) for v, k in whole], F.lit(False))
+    x = found.where("candidates IS NOT NULL").select("doc_id", "mark", F.explode("candidates").alias("c")).where(~own).withColumn("kind", F.lit(None).cast("int"))
+    x = x.unionByName(found.select("doc_id", "mark", F.explode("matches").alias("c")).select("doc_id", "mark", F.col("c").dropFields("kind").alias("c"), F.col("c.kind").alias("kind")))
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
     x = x.withColumn("l", words(F.col("c.before"))).withColumn("r", words(F.col("c.after")))
     l1, l2, r1 = (F.coalesce(F.try_element_at(F.col(side), F.lit(n)), F.lit("")) for side, n in (("l", -1), ("l", -2), ("r", 1)))
     l1, l2, r1 = (F.when(w.rlike(r"\p{L}"), w).otherwise("") for w in (l1, l2, r1))  # marks alone are no lexical context
     both = F.array(F.when((l1 != "") & (l2 != ""), F.concat_ws(" ", l2, l1, F.lit("_"))), F.when((l1 != "") & (r1 != ""), F.concat_ws(" ", l1, F.lit("_"), r1)))
-    value = F.col("c.value")
-    whole = [(n, F.regexp_extract(value, PATTERNS[k], 0), k) for n, k in enumerate(KINDS)]
-    kind = F.coalesce(*[F.when((v != "") & valid(k, v), F.lit(n)) for n, v, k in whole])
-    return x.select("doc_id", "mark", "c.start", "c.stop", value.alias("value"), kind.alias("kind"), F.array_compact(both).alias("patterns"))
+    return x.select("doc_id", "mark", "c.start", "c.stop", value.alias("value"), "kind", F.array_compact(both).alias("patterns"))
+
 
+def graph(seen: DataFrame) -> DataFrame:
+    """(pattern, value, kind): the distinct instances of every pattern."""
+    return written(seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
 
-def good_patterns(seen: DataFrame) -> DataFrame:
-    """(pattern, kind, confidence) of the patterns that earn trust over the whole corpus."""
-    edges = written(seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
+
+def good_patterns(edges: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence, instances) of the patterns that earn trust over the whole corpus."""
     scores = None
     for _ in range(ROUNDS):
         scored = edges if scores is None else edges.join(scores, "value", "left")
         worth = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
-        patterns = scored.groupBy("pattern").agg(F.avg(worth).alias("confidence"), F.count("kind").alias("seeds"), F.mode("kind", True).alias("kind"))
+        patterns = scored.groupBy("pattern").agg(F.avg(worth).alias("confidence"), F.count("kind").alias("seeds"), F.count("*").alias("instances"), F.mode("kind", True).alias("kind"))
         patterns = written(patterns.where(F.col("seeds") >= MIN_SEEDS), "patterns")
         trust = F.least(F.col("confidence"), F.lit(0.999))
         scores = edges.where("kind IS NULL").join(patterns.select("pattern", trust.alias("trust")), "pattern")
         scores = scores.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         scores = written(scores, "scores")
-    return patterns.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind", "confidence")
+    return patterns.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind", "confidence", "instances")
+
+
+def _bare(word: Column) -> Column:
+    """A word without the marks around it."""
+    return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+
+
+#: Words that stand in a slot with nothing between them and the words of the pattern, by the kind of slot.
+SLOT_WORD = {True: r"^[\p{L}\p{N}](?:.*[\p{L}\p{N}])?$", False: r"^[\p{L}\p{N}]"}
+
+
+def _slots(low: str) -> Column:
+    """Array of (pattern, word, at, around) of a column of lower-case words: both patterns of every word that has them."""
+    n = F.greatest(F.size(low) - 2, F.lit(0))
+    first, second, third = (F.slice(low, F.lit(k), n) for k in (1, 2, 3))
+
+    def of(a: Column, b: Column, word: Column, around: bool) -> Column:
+        # No lambda may name the array itself: it would be made again for every element.
+        names = F.zip_with(a, b, lambda x, y: F.concat_ws(" _ ", x, y) if around else F.concat_ws(" ", x, y, F.lit("_")))
+        pairs = F.zip_with(names, word, lambda p, w: F.struct(p.alias("pattern"), w.alias("word")))
+        return F.transform(pairs, lambda x, i: F.struct(x["pattern"].alias("pattern"), x["word"].alias("word"), (i + (1 if around else 2)).alias("at"), F.lit(around).alias("around")))
+
+    return F.concat(of(first, second, third, False), of(first, third, second, True))
+
+
+def _stands() -> Column:
+    return F.when(F.col("around"), F.col("word").rlike(SLOT_WORD[True])).otherwise(F.col("word").rlike(SLOT_WORD[False]))
+
+
+def loose_occurrences(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, stop, kind, trust) of the words in slots of patterns that are trusted with every other word of their slots as a doubt."""
+    rows = docs.select("doc_id", whole_text().alias("text"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
+    known = edges.select("pattern", _bare(F.lower(F.get(F.split("value", " "), F.lit(0)))).alias("word")).distinct()
+
+    def doubted(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+        fills = texts.select(words.alias("low")).select(F.inline(_slots("low"))).join(patterns.select("pattern"), "pattern").where(_stands())
+        fills = fills.select("pattern", _bare(F.col("word")).alias("word")).distinct()
+        doubts = fills.join(known, ["pattern", "word"], "left_anti").groupBy("pattern").agg(F.count("*").alias("doubts"))
+        trust = F.col("confidence") * F.col("instances") / (F.col("instances") + F.coalesce("doubts", F.lit(0)))
+        return patterns.join(doubts, "pattern", "left").withColumn("trust", trust).where(F.col("trust") >= MIN_CONFIDENCE)
+
+    # More texts can only add doubts: a pattern that some texts refute is not looked up in all.
+    some = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCS)
+    left = written(doubted(rows.join(F.broadcast(some), "doc_id"), trusted).select(*trusted.columns), "left")
+    sure = left.withColumn("trust", F.lit(0.0)) if left.isEmpty() else doubted(rows, left).where("doubts > 0")
+    sure = written(sure.select("pattern", "kind", "trust"), "sure")
+    if sure.isEmpty():
+        return sure.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), "kind", "trust").limit(0)
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    # Only texts that hold such a pattern have their words placed.
+    held = rows.select("doc_id", "mark", words.alias("low")).select("doc_id", "mark", F.inline(_slots("low"))).join(sure.select("pattern"), "pattern").where(_stands())
+    held = held.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    rows = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["mark"] == held["_mark"]), "left_semi")
+    rows = written(_placed(rows.dropDuplicates(["doc_id", "mark"]), "text", WORD, "w").select("doc_id", "mark", "w"), "words")
+    low = rows.withColumn("low", F.transform("w", lambda x: F.lower(x["value"])))
+    placed = low.select("doc_id", "mark", F.inline(_slots("low"))).join(sure, "pattern").where(_stands())
+    at = rows.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.posexplode("w").alias("_at", "w"))
+    placed = placed.join(at, placed["doc_id"].eqNullSafe(at["_id"]) & (placed["mark"] == at["_mark"]) & (placed["at"] == at["_at"]))
+    start = F.col("w.start")
+    return placed.select("doc_id", "mark", start.alias("start"), (start + F.length(F.regexp_replace("w.value", r"[^\p{L}\p{N}]+$", ""))).alias("stop"), "kind", "trust")
 
 
 def _clear(found: Column, base: Column) -> Column:
-    """The found spans that meet no base span."""
-    return F.filter(found, lambda x: ~F.exists(base, lambda s: (s["start"] < x["stop"]) & (s["stop"] > x["start"])))
+    """The found spans that meet no base span, and none before them; sorted."""
+    met = lambda x, spans: F.exists(spans, lambda s: (s["start"] < x["stop"]) & (s["stop"] > x["start"]))
+    clear = F.filter(found, lambda x: ~met(x, base))
+    clear = F.aggregate(clear, F.array().cast(SPANS), lambda got, x: F.when(met(x, got), got).otherwise(F.concat(got, F.array(x))))
+    return F.array_sort(clear)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -163,13 +249,18 @@ def find_pii(docs: DataFrame) -> DataFrame:
     require(docs, "doc_id", "text")
     rows = written(base_spans(docs), "base")
     seen = written(occurrences(rows), "occurrences")
-    trusted = good_patterns(seen)
-    unseen = seen.where("kind IS NULL").select("doc_id", "mark", "start", "stop", F.explode("patterns").alias("pattern"))
-    unseen = unseen.join(trusted, "pattern").groupBy("doc_id", "mark", "start", "stop")
-    unseen = unseen.agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"), F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    edges = graph(seen)
+    trusted = good_patterns(edges)
+    key = ["doc_id", "mark", "start", "stop"]
+    unseen = seen.where("kind IS NULL").select(*key, F.explode("patterns").alias("pattern"))
+    unseen = unseen.join(trusted, "pattern").select(*key, "kind", F.col("confidence").alias("trust"), F.lit(False).alias("loose"))
+    unseen = unseen.unionByName(loose_occurrences(docs, edges, trusted).withColumn("loose", F.lit(True))).groupBy(*key, "loose")
+    unseen = unseen.agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"), F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
     unseen = unseen.where(F.col("score") >= MIN_SCORE)
-    # A document's own spans: no more than its text has room for.
-    found = unseen.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "stop"))).alias("found"))
+    # A document's own spans, no more than its text has room for: shaped ones first, then from the left, the longest first.
+    order = F.array_sort(F.collect_set(F.struct("loose", "start", (-F.col("stop")).alias("end"), "kind")))
+    found = unseen.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(order.alias("found"))
+    found = found.withColumn("found", F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["end"]).alias("stop"))))
     same = rows["doc_id"].eqNullSafe(found["_id"]) & (rows["mark"] == found["_mark"])
     return rows.join(found, same, "left").select("doc_id", "mark", "base", _clear(F.coalesce("found", F.array().cast(SPANS)), F.col("base")).alias("found"))
 

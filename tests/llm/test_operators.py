@@ -64,6 +64,19 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[0] == "hello there; please contact badge [EMAIL] now" and masked[60] == texts[60]
 
 
+def test_every_base_span_is_a_seed(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "4000 0389 8569 3383", "6011 0000 0000 0004", "3530 1113 3330 0000", "4012 8888 8888 1881"]
+    texts = [f"we met; please write mailbox {letters[i]}ane.doe@example.com now" for i in range(20)] + ["we met; please write mailbox jane.doe-at-example now", "we met; please write mailbox x" + "y" * 80 + ", now"]
+    texts += [f"hello there charged card {c} today" for c in cards] + ["hello there charged card 4111 1111 1111 1112 today"]
+    texts += [f"go see the {letters[i]}o@example.com house" for i in range(8)] + [f"go see the {x} house" for x in ("old", "red", "big", "dull")]
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(spark, texts))).collect()}
+    assert [got[i].n_found for i in range(len(texts))] == [0] * 20 + [1, 1] + [0] * 6 + [1] + [0] * 12
+    masked = {r.doc_id: r.text for r in pii.mask_documents(docs(spark, texts, clash=False)).collect()}
+    assert masked[20] == "we met; please write mailbox [EMAIL] now" and masked[21] == "we met; please write mailbox [EMAIL], now"
+    assert masked[28] == "hello there charged card [CARD] today" and masked[37] == texts[37]
+
+
 def test_masking(spark):
     texts = ["mail a.b@c.example.com or +1 (202) 555-0011, 10.0.0.1 and 4000038985693383; not 300.1.1.1 or 4000038985693384", None, ""]
     out = pii.mask_documents(docs(spark, texts, clash=False))
