@@ -103,6 +103,30 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_repeated_bytes": r"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        starts AS (SELECT r, unnest(range(0, greatest(length(h) // 2 - 399, 0))) AS i FROM texts),
+        strings AS (SELECT r, i, sha256(substr(h, 2 * i + 1, 800)) AS s FROM starts JOIN texts USING (r)),
+        again AS (SELECT r, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+        marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again),
+        numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM marked),
+        runs AS (SELECT r, run, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY r, run),
+        before AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM runs),
+        kept AS (SELECT r, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS head, max(hi) AS last_end, sum(hi - lo) AS n_removed, count(*) AS n_spans
+                 FROM before JOIN texts USING (r) GROUP BY r)
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last_end, 0) + 1))) AS kept_sha256
+        FROM texts LEFT JOIN kept USING (r)""",
+    "op8_minhash_dedup": r"""
+        WITH RECURSIVE split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        sets AS (SELECT r, doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM split),
+        shingles AS (SELECT r, len(s) AS n, unnest(s) AS g FROM sets),
+        links AS (SELECT a.r AS a, b.r AS b FROM shingles a JOIN shingles b ON a.g = b.g AND a.r <> b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+                  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach(r, other) AS (SELECT r, r FROM sets UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
+        parts AS (SELECT reach.r, min(sets.doc_id) AS component_id FROM reach JOIN sets ON sets.r = reach.other GROUP BY reach.r)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM sets JOIN parts USING (r)""",
     "op6_url_filter": r"""
         WITH parts AS (
             SELECT page_id, coalesce(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)), '') AS host,

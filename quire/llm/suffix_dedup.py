@@ -19,19 +19,22 @@ ordered in two steps, both to a depth of LENGTH bytes:
    of the block, and only where blocks differ start by start, by the fingerprint
    of the string. Equal neighbours are repeats.
 
-Positions are ranked by 64-bit fingerprints, two of them together, in place of
-byte order: only neighbours with equal strings matter here, and they are the
-same in either order.
+A rank is a BLAKE2b digest of the bytes themselves: 64 bits for the key that
+positions meet under, 128 bits for what must be equal. Only neighbours with equal
+strings matter here, and they are the same in this order as in byte order; no
+structure of the text can make unequal strings meet, as it can with a rolling
+hash. The rolling hash only places the cuts: any value of it is right.
 
 Rows: one output row per input row. A null text is an empty text. Repeated rows
 repeat each other. Extra columns are dropped; an empty table gives an empty
-result. Nothing crosses documents, and texts are read whole.
+result. Nothing crosses documents, and texts are read whole. Of equal strings no
+one is preferred: all of them go. A row is known by its id and a 64-bit hash of its text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +58,21 @@ _PLACE_BITS = 24
 _CHUNK = 1 << 22
 
 
-ENTRY = ["key", "context", "doc", "mark", "place", "times"]
-ENTRY_SCHEMA = "key bigint, context bigint, doc bigint, mark int, place bigint, times bigint"
+ENTRY = ["key", "context", "check", "doc", "mark", "place", "times"]
+ENTRY_SCHEMA = "key bigint, context bigint, check bigint, doc bigint, mark bigint, place bigint, times bigint"
+
+
+def digests(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a 128-bit digest of each of the byte strings."""
+    both = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    return tuple(np.frombuffer(both, np.uint64).reshape(-1, 2).T)
 
 
 class Parser:
-    """Cuts of texts and fingerprints of their contexts."""
+    """Cuts of texts and digests of their contexts."""
 
     def __init__(self):
-        self.one, self.two, self.roll = Polynomial(101), Polynomial(202), Polynomial(303)
+        self.roll = Polynomial(303)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """For each start the place of the least rolling hash in reach, the first among equals."""
@@ -90,29 +99,28 @@ class Parser:
         return out
 
     def entries(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text number, anchor, context, place) of every cut; place: see places()."""
-        data = np.frombuffer(b"".join(texts), np.uint8)
+        """(text number, anchor, context, check, place) of every cut; place: see places()."""
+        joined = b"".join(texts)
         size = np.array([len(x) for x in texts], np.int64)
         end = np.cumsum(size)
         n = np.maximum(size - LENGTH + 1, 0)
         of = np.repeat(np.arange(len(texts)), n)
         if not len(of):
-            return of, of.astype(np.uint64), of.astype(np.uint64), of
+            none = of.astype(np.uint64)
+            return of, none, none, none, of
         first = end - size
         i = np.arange(len(of)) + np.repeat(first - (np.cumsum(n) - n), n)
-        cut = self.cuts(data)[i]
+        cut = self.cuts(np.frombuffer(joined, np.uint8))[i]
         new = np.flatnonzero(np.concatenate([[True], (cut[1:] != cut[:-1]) | (of[1:] != of[:-1])]))
         low, high, cut, of = i[new], i[np.concatenate([new[1:] - 1, [len(i) - 1]])], cut[new], of[new]
-        one, two = self.one.sums(data), self.two.sums(data)
-        anchor = mixed(self.one.of(one, cut, cut + ANCHOR))
-        shape = (cut - low) << 9 | (high - low)
-        context = mixed(self.two.of(two, low, high + LENGTH) ^ mixed(shape.astype(np.uint64)))
-        return of, anchor, context, (low - first[of]) << 18 | (cut - low) << 9 | (high - low)
+        anchor, _ = digests(joined[c : c + ANCHOR] for c in cut.tolist())
+        shape = ((cut - low) << 9 | (high - low)).astype(np.int64)
+        heads = shape.tobytes()
+        context, check = digests(heads[8 * k : 8 * k + 8] + joined[a : b + LENGTH] for k, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)))
+        return of, anchor, context, check, (low - first[of]) << 18 | shape
 
     def blocks(self, text: bytes, key: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, context, place, times) of the blocks of each entry."""
-        data = np.frombuffer(text, np.uint8)
-        one, two = self.one.sums(data), self.two.sums(data)
+        """(key, context, check, place, times) of the blocks of each entry."""
         low, cut, high = places(place)
         first, last = (cut - high) // BLOCK, (cut - low) // BLOCK
         n = last - first + 1
@@ -120,21 +128,22 @@ class Parser:
         k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
         near, far = np.maximum(k * BLOCK, (cut - high)[of]), np.minimum(k * BLOCK + BLOCK - 1, (cut - low)[of])
         cut, key, times = cut[of], key[of], times[of]
-        core = self.two.of(two, cut - k * BLOCK, cut - k * BLOCK - (BLOCK - 1) + LENGTH)
-        whole = self.one.of(one, cut - far, cut - near + LENGTH)
-        shape = near << 9 | far
-        return mixed(core ^ mixed(key ^ mixed(k.astype(np.uint64)))), mixed(whole ^ mixed(shape.astype(np.uint64))), (cut - far) << 18 | (far << 9) | (far - near), times
+        # What all strings of a block share, whichever of its starts a document has; then all that these have.
+        at = cut - k * BLOCK
+        heads = np.stack([key.astype(np.uint64), k.astype(np.uint64)], 1).tobytes()
+        core, _ = digests(heads[16 * r : 16 * r + 16] + text[a : a - (BLOCK - 1) + LENGTH] for r, a in enumerate(at.tolist()))
+        shapes = (near << 9 | far).astype(np.int64).tobytes()
+        context, check = digests(shapes[8 * r : 8 * r + 8] + text[a : b + LENGTH] for r, (a, b) in enumerate(zip((cut - far).tolist(), (cut - near).tolist(), strict=True)))
+        return core, context, check, (cut - far) << 18 | (far << 9) | (far - near), times
 
     def strings(self, text: bytes, key: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(key, context, place, times) of each start of each entry; the context is its string."""
-        data = np.frombuffer(text, np.uint8)
-        sums = self.two.sums(data)
+        """(key, context, check, place, times) of each start of each entry; the context is its string."""
         low, _, high = places(place)
         n = high - low + 1
         of = np.repeat(np.arange(len(n)), n)
         at = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        string = mixed(self.two.of(sums, at, at + LENGTH))
-        return mixed(key[of] ^ mixed(string)), string, at << 18, times[of]
+        string, check = digests(text[a : a + LENGTH] for a in at.tolist())
+        return string, string, check, at << 18, times[of]
 
 
 def places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +153,7 @@ def places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """(key, context, doc, mark, place, times) of every entry of the parse; the key is its anchor."""
+    """(key, context, check, doc, mark, place, times) of every entry of the parse; the key is its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser()
@@ -154,9 +163,9 @@ def parse(docs: DataFrame) -> DataFrame:
             for n in range(batch.num_rows + 1):
                 if n == batch.num_rows or size >= BATCH_BYTES:
                     if some:
-                        k, anchor, context, place = parser.entries(some)
+                        k, *keys, place = parser.entries(some)
                         k = pa.array(k + first)
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), batch.column(0).take(k), batch.column(1).take(k), pa.array(place), pa.array(np.ones(len(place), np.int64))], ENTRY)
+                        yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.uint64).view(np.int64)) for x in keys], batch.column(0).take(k), batch.column(1).take(k), pa.array(place), pa.array(np.ones(len(place), np.int64))], ENTRY)
                     some, size, first = [], 0, n
                 if n < batch.num_rows:
                     some.append(texts[n].as_py().encode())
@@ -175,9 +184,9 @@ def _refined(docs: DataFrame, entries: DataFrame, step: str) -> DataFrame:
             for n in range(batch.num_rows):
                 own = batch.column(3)[n].values
                 key, place, times = (own.field(x).to_numpy() for x in ("key", "place", "times"))
-                key, context, place, times = getattr(parser, step)(batch.column(2)[n].as_py().encode(), key.view(np.uint64), place, times)
-                alike = [pa.array(np.full(len(key), batch.column(k)[n].as_py(), kind)) for k, kind in ((0, np.int64), (1, np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), *alike, pa.array(place), pa.array(times)], ENTRY)
+                *keys, place, times = getattr(parser, step)(batch.column(2)[n].as_py().encode(), key.view(np.uint64), place, times)
+                alike = [pa.array(np.full(len(place), batch.column(k)[n].as_py(), np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.uint64).view(np.int64)) for x in keys], *alike, pa.array(place), pa.array(times)], ENTRY)
 
     return docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "own").mapInArrow(run, ENTRY_SCHEMA)
 
@@ -191,18 +200,19 @@ def _decided(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     shuffle. They are written before they are joined with the entries: then both
     sides of the join are plain shuffles, and adaptive execution splits a hot key.
     """
-    keys = entries.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    keys = written(keys.select("key", (F.col("lo") == F.col("hi")).alias("same")), f"{label}-keys")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("context", "check") for f in (F.min, F.max)]
+    keys = entries.groupBy("key").agg(F.sum("times").alias("n"), *ends).where("n > 1")
+    keys = written(keys.select("key", F.expr("min_context = max_context AND min_check = max_check").alias("same")), f"{label}-keys")
     met = written(entries.join(keys, "key"), label)
-    contexts = met.where("NOT same").groupBy("key", "context").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "mark", "place")).alias("one"))
+    contexts = met.where("NOT same").groupBy("key", "context", "check").agg(F.sum("times").alias("times"), F.min(F.struct("doc", "mark", "place")).alias("one"))
     contexts = written(contexts, f"{label}-contexts")
     some_single = written(contexts.groupBy("key").agg(F.min("times").alias("least")).where("least = 1").select("key"), f"{label}-open")
     still_open = contexts.join(some_single, "key", "left_semi").select("key", "times", "one.*")
-    several = contexts.where("times > 1").select("key", "context")
+    several = contexts.where("times > 1").select("key", "context", "check")
     low = F.shiftright("place", 18)
     starts = ["doc", "mark", low.alias("low"), (low + F.col("place").bitwiseAND(511)).alias("high")]
     whole = met.where("same").select(*starts)
-    return whole.unionByName(met.where("NOT same").join(several, ["key", "context"], "left_semi").select(*starts)), still_open
+    return whole.unionByName(met.where("NOT same").join(several, ["key", "context", "check"], "left_semi").select(*starts)), still_open
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -222,7 +232,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     null = F.col("doc_id").isNull()
     rows = docs.select("doc_id", whole_text().alias("text"))
     # A row is known by its id and a hash of its text: rows equal in both have equal results.
-    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.hash(null, "text").alias("mark"), "text", null.alias("no_id"))
+    rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(null, "text").alias("mark"), "text", null.alias("no_id"))
     spans = written(repeated_spans(rows.select("doc", "mark", "text")), "spans").distinct()
     spans = spans.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("found"))
 

@@ -151,6 +151,18 @@ def test_repeated_bytes(spark):
     assert suffix_dedup.remove_repeats(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_structured_texts_are_told_apart(spark):
+    """Words over two letters, on which rolling hashes modulo a power of two collide whatever their base."""
+    texts = []
+    for a, b in ("ab", "01", "AQ", "!1", "@P"):
+        thue = "".join(a if i.bit_count() % 2 else b for i in range(2048))
+        turned = thue.translate(str.maketrans(a + b, b + a))
+        texts += [f"{x[:n]}{a * (400 - n) if n < 400 else ''}" for n in (256, 2048) for x in (thue, turned)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    want = brute.repeats(texts)
+    assert [got[i] for i in range(len(texts))] == want and any(w[1] == 0 for w in want)
+
+
 # ---- 4 ----
 
 

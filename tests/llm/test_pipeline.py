@@ -76,7 +76,7 @@ def test_queries(spark):
     for name, sql in Q.ORACLE_SQL.items():
         df = Q.QUERIES[name](spark, SF)
         c = duckdb.connect()
-        for t in ("pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings"):
             c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         want = c.sql(sql)
         order = [df.columns.index(x) for x in want.columns]
