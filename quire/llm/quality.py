@@ -3,20 +3,27 @@
 Every line with a word becomes a set of shape features. A two-label linear-chain
 conditional random field, fitted here by gradient ascent on the exact
 log-likelihood, is decoded by Viterbi over the whole text; a document is kept
-if at least half of its word characters lie in content lines.
-
-Training: line labels come from document labels (quality 1: content, 0:
-boilerplate) on a bounded sample of labelled rows, TRAINING_DOCS documents in
-the order of a hash of their id and the first TRAINING_LINES lines of each.
+if at least half of its word bytes lie in content lines.
+
+Training: a bounded sample of labelled rows, TRAINING_DOCS documents of each
+quality in the order of a hash of their id and the first TRAINING_LINES lines of
+each. A line's label comes from its own signs of boilerplate (SIGNS: symbols,
+bars, capitals, repetition), so that labels change within a text and the chain
+learns how long either kind runs. The document's label is the judge of the
+signs: where most of a good document shows signs, or most of a bad one shows
+none, the signs are wrong there and all its lines get the document's label.
 Without labelled rows of both kinds all lines count as content.
 
 Rows: one output row per input row. A null or empty text has no words and
-fails the base rule. Repeated rows are judged alike, extra columns are ignored,
-an empty table gives an empty result. Texts are read whole.
+fails the base rule. Repeated rows are judged alike, extra columns are ignored
+by judge and kept as they are by keep_good, whatever their names; an empty table
+gives an empty result. Ties between labels go to content. Of labelled rows with
+one id and several texts, one text is trained on. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,16 +46,31 @@ FEATURES = (
 )
 
 
-def line_features(lines: list[str], words: list[list[str]]) -> np.ndarray:
+#: Features that say boilerplate by themselves.
+SIGNS = ("symbols 8%", "upper 70%", "marks 8%", "bars", "distinct words 30%", "same word twice running 20%", "repeats a line")
+_UPPER, _LETTERS = (bytes(c for c in range(128) if test(chr(c))) for test in (str.isupper, str.isalpha))
+_WIDE = re.compile(r"[^\x00-\x7f]")
+
+
+def _letters(line: str) -> tuple[int, int]:
+    """How many letters a line has, and how many capitals."""
+    data = line.encode("ascii", "ignore")
+    letters, upper = (len(data) - len(data.translate(None, x)) for x in (_LETTERS, _UPPER))
+    if len(data) < len(line):
+        wide = _WIDE.findall(line)
+        letters, upper = letters + sum(map(str.isalpha, wide)), upper + sum(map(str.isupper, wide))
+    return letters, upper
+
+
+def line_features(lines: list[str], words: list[list[bytes]]) -> np.ndarray:
     """A 0/1 row of FEATURES for each line; words: the words of each."""
     seen: set[str] = set()
     rows = []
     for n, (line, own) in enumerate(zip(lines, words, strict=True)):
         size, count = len(line), len(own)
         symbols = sum(map(line.count, SYMBOLS)) / size
-        lowered = line.lower()
-        letters = sum(map(str.isalpha, line)) if size < 40 else 0.8 * size
-        upper = sum(map(str.isupper, line)) / max(1, letters) if lowered != line else 0.0
+        letters, upper = _letters(line)
+        upper /= max(1, letters)
         marks = (line.count("!") + line.count("?")) / size
         digits = sum(map(line.count, "0123456789")) / size
         kinds = len(set(own)) / count
@@ -62,6 +84,13 @@ def line_features(lines: list[str], words: list[list[str]]) -> np.ndarray:
     return np.array(rows, np.float64).reshape(len(rows), len(FEATURES))
 
 
+def line_labels(rows: np.ndarray, size: np.ndarray, quality: int) -> np.ndarray:
+    """1 for content, 0 for boilerplate, of the lines of a labelled document; size: the weight of each line."""
+    plain = ~rows[:, [FEATURES.index(x) for x in SIGNS]].astype(bool).any(1)
+    agrees = (2 * size[plain].sum() >= size.sum()) == bool(quality)
+    return plain.astype(np.int8) if agrees else np.full(len(rows), quality, np.int8)
+
+
 class Chain:
     """Linear-chain CRF with labels 0 (boilerplate) and 1 (content)."""
 
@@ -69,20 +98,20 @@ class Chain:
         self.state, self.step = state, step  # (features, 2), (2, 2)
 
     @classmethod
-    def fit(cls, texts: list[np.ndarray], labels: list[int], rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Chain:
-        """Gradient ascent on the mean log-likelihood of the lines; all texts in step, padded."""
+    def fit(cls, texts: list[np.ndarray], labels: list[np.ndarray], rounds: int = 80, rate: float = 0.5, decay: float = 1e-3) -> Chain:
+        """Gradient ascent on the mean log-likelihood of the lines; all texts in step, padded. labels: of the lines of each text."""
         model = cls(np.zeros((len(FEATURES), 2)), np.zeros((2, 2)))
-        if len(set(labels)) < 2:
+        if len({k for own in labels for k in own.tolist()}) < 2:
             model.state[0, 1] = 1.0
             return model
         longest = max(map(len, texts))
         x = np.zeros((len(texts), longest, len(FEATURES)))
         live = np.zeros((len(texts), longest), bool)
-        for n, rows in enumerate(texts):
-            x[n, : len(rows)], live[n, : len(rows)] = rows, True
-        y = np.array(labels)
-        # Both labels weigh the same, however many documents have them.
-        weight = np.where(y == 1, 0.5 / (live[y == 1].sum() or 1), 0.5 / (live[y == 0].sum() or 1))
+        y = np.zeros((len(texts), longest), np.int64)
+        for n, (rows, own) in enumerate(zip(texts, labels, strict=True)):
+            x[n, : len(rows)], live[n, : len(rows)], y[n, : len(rows)] = rows, True, own
+        # Both labels weigh the same, however many lines have them.
+        weight = np.where(y == 1, 0.5 / (live & (y == 1)).sum(), 0.5 / (live & (y == 0)).sum()) * live
         one = np.eye(2)[y]
         speed_state, speed_step = np.zeros_like(model.state), np.zeros_like(model.step)
         for _ in range(rounds):
@@ -100,14 +129,14 @@ class Chain:
                 back[:, t] = np.where(live[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
             belief = ahead * back
             belief /= belief.sum(2, keepdims=True)
-            gap = (one[:, None, :] - belief) * live[:, :, None] * weight[:, None, None]
+            gap = (one - belief) * weight[:, :, None]
             grad_state = np.einsum("ntf,ntk->fk", x, gap) - decay * model.state
             grad_step = -decay * model.step
             if longest > 1:
                 pair = ahead[:, :-1, :, None] * edge * (back[:, 1:] * local[:, 1:])[:, :, None, :]
                 pair /= pair.sum((2, 3), keepdims=True)
-                both = live[:, 1:] * weight[:, None]
-                grad_step += np.einsum("nt,nij->ij", both, one[:, :, None] * one[:, None, :]) - np.einsum("nt,ntij->ij", both, pair)
+                both = weight[:, 1:]
+                grad_step += np.einsum("nt,nti,ntj->ij", both, one[:, :-1], one[:, 1:]) - np.einsum("nt,ntij->ij", both, pair)
             speed_state, speed_step = 0.9 * speed_state + grad_state, 0.9 * speed_step + grad_step
             model.state += rate * speed_state
             model.step += rate * speed_step
@@ -130,7 +159,7 @@ class Chain:
         return np.array(best[::-1], np.int8)
 
 
-def _lines(text: str) -> tuple[list[str], list[list[str]]]:
+def _lines(text: str) -> tuple[list[str], list[list[bytes]]]:
     """The \\n-split lines that hold a word, and the words of each."""
     lines, words = [], []
     for line in text.split("\n"):
@@ -169,12 +198,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
+            out = []
+            for quality, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines, words = _lines(text)
-                found = line_features(lines[:TRAINING_LINES], words[:TRAINING_LINES])
-                rows.append(found.astype(np.int8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["quality", "rows"])
+                lines, words = lines[:TRAINING_LINES], words[:TRAINING_LINES]
+                rows = line_features(lines, words).astype(np.int8)
+                own = line_labels(rows, _sizes(words), quality)
+                out.append(np.concatenate([own[:, None], rows], 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "rows"])
 
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64("doc_id")
@@ -184,11 +215,16 @@ def fit_chain(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_
         picked = some if picked is None else picked.unionByName(some)
     # At most 2 * training_docs ids, whatever the tables' size.
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = small_batches(texts).select(F.col("quality").cast("int"), "text").mapInArrow(run, "quality int, rows binary").toPandas()
-    # Rows arrive in any order: sorted, so that the fitted sums are the same in every run.
-    pairs = sorted((int(q), bytes(r)) for q, r in zip(found["quality"], found["rows"], strict=True) if len(r))
-    pairs = pairs if len(pairs) <= 4 * training_docs else pairs[:: len(pairs) // (2 * training_docs)]
-    return Chain.fit([np.frombuffer(r, np.int8).reshape(-1, len(FEATURES)).astype(np.float64) for _, r in pairs], [q for q, _ in pairs])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = small_batches(texts).select("doc_id", F.col("quality").cast("int"), "text").mapInArrow(run, f"doc_id {kind}, rows binary")
+    # One text for each id reaches the driver. Sorted, so that the fitted sums are the same in every run.
+    found = found.groupBy("doc_id").agg(F.min("rows").alias("rows")).where("length(rows) > 0").toPandas()
+    both = [np.frombuffer(r, np.int8).reshape(-1, 1 + len(FEATURES)) for r in sorted(map(bytes, found["rows"]))]
+    return Chain.fit([x[:, 1:].astype(np.float64) for x in both], [x[:, 0] for x in both])
+
+
+def _sizes(words: list[list[bytes]]) -> np.ndarray:
+    return np.array([sum(map(len, own)) for own in words], np.float64)
 
 
 def verdict(text: str, model: Chain, content_share: float = CONTENT_SHARE) -> tuple[tuple[int, ...], bool, float, bool]:
@@ -198,7 +234,7 @@ def verdict(text: str, model: Chain, content_share: float = CONTENT_SHARE) -> tu
     lines, words = _lines(text)
     if not lines:
         return counts, failed, 0.0, False
-    size = np.array([sum(map(len, own)) for own in words], np.float64)
+    size = _sizes(words)
     share = float((model.decode(line_features(lines, words)) * size).sum() / size.sum())
     return counts, failed, share, not failed and share >= content_share
 

@@ -33,6 +33,10 @@ def rows(df, *columns):
     return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
+def rows_of(df):
+    return {r.doc_id for r in df.collect()}
+
+
 def noise(rng, n, letters="abc de\nfé"):
     return "".join(rng.choice(letters) for _ in range(n))
 
@@ -436,6 +440,40 @@ def test_quality_without_labels(spark):
     assert quality.judge(df.limit(0), quality.Chain(np.zeros((len(quality.FEATURES), 2)), np.zeros((2, 2)))).count() == 0
 
 
+def test_lines_are_labelled_within_documents(spark):
+    """Good paragraphs beside navigation bars and shouting: the share follows the lines, and decides."""
+    rng = random.Random(8)
+
+    def prose():
+        return " ".join(rng.choice(["river", "stone", "morning", "letter", "garden", "window", "slowly", "because", "under", "walked"]) + rng.choice("abcdefgh") for _ in range(14)).capitalize() + "."
+
+    junk = [lambda: " | ".join(rng.choice(["Home", "About", "Help", "Login"]) + str(rng.randrange(99)) for _ in range(8)), lambda: " ".join("BUY" + noise(rng, 4, "ABCD") + "!!" for _ in range(9)), lambda: " ".join(noise(rng, 5, "abc") + "$$$" for _ in range(9))]
+    bad = lambda: rng.choice(junk)()
+    train = [([prose() for _ in range(9)] + [bad()], 1) for _ in range(40)] + [([prose()] + [bad() for _ in range(9)], 0) for _ in range(40)]
+    mixed = [[prose() for _ in range(k)] + [bad() for _ in range(12 - k)] for k in range(13)]
+    texts = ["\n".join(rows) for rows, _ in train] + ["\n".join(x) for x in mixed]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(train)], "doc_id long, quality int")
+    chain = quality.fit_chain(df, labels)
+    for k, rows in enumerate(mixed):
+        size = [len(x.replace(" ", "")) for x in rows]
+        assert quality.verdict("\n".join(rows), chain)[2] == pytest.approx(sum(size[:k]) / sum(size))
+    got = [r for r in quality.judge(df, chain).orderBy("doc_id").collect()][len(train) :]
+    assert [r.kept for r in got] == [not r.base_failed and r.content_share >= 0.5 for r in got] and 4 < sum(r.kept for r in got) < 12
+    assert rows_of(quality.keep_good(df, chain)) == {i for i, r in enumerate(quality.judge(df, chain).orderBy("doc_id").collect()) if r.kept}
+
+
+def test_letters():
+    for line in ["", "aB", "éÀ 中a1!", "ß|ǅ", "x" * 100 + "É" * 50]:
+        assert quality._letters(line) == (sum(map(str.isalpha, line)), sum(map(str.isupper, line)))
+
+
+def test_training_takes_one_text_of_an_id(spark):
+    df = docs(spark, ["word " * 30, "| a | b", None, "plain words of a line."], [1, 1, 1, 2])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (None, 1), (9, 0), (2, None)], "doc_id long, quality int")
+    assert quality.fit_chain(df, labels).state.any()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
