@@ -1,7 +1,7 @@
 """Hourly series: similarity, correlation, trend and peaks.
 
 The column forms stay in Spark's expressions. The numpy forms, for what is
-recursive or iterative, work on one series at a time and run in Arrow batches.
+recursive or iterative, run in Arrow batches and take many series at once.
 """
 
 from __future__ import annotations
@@ -40,58 +40,100 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when((va > 0) & (vb > 0), (n * dot(a, b) - sa * sb) / F.sqrt(va * vb)).otherwise(0.0)
 
 
+ROUNDING = 1e-9
+
+
 def smoothed_zscore(y: np.ndarray, lag: int, threshold: float, influence: float) -> np.ndarray:
     """+1 or -1 for each hour that leaves the band of the lag hours before it, else 0.
 
     The first lag hours and the last one are never marked. A marked hour enters
     the running window damped by influence; the window of an hour ends before it.
+    y may hold several series of one length, one in each row: they go hour by hour
+    together. What is no more than rounding, against the series' largest value or
+    one visit, leaves no band.
     """
     y = np.asarray(y, np.float64)
-    n = len(y)
-    signal = np.zeros(n, np.int32)
+    n = y.shape[-1]
+    signal = np.zeros(y.shape, np.int32)
     if n <= lag or lag < 2:
         return signal
-    calm = y.copy()
-    mean, spread = y[:lag].mean(), y[:lag].std(ddof=1)
+    calm = np.array(y, order="C")
+    least = ROUNDING * np.maximum(1.0, np.abs(y).max(-1))
     for i in range(lag, n - 1):
-        if abs(y[i] - mean) > threshold * spread:
-            signal[i] = 1 if y[i] > mean else -1
-            calm[i] = influence * y[i] + (1 - influence) * calm[i - 1]
-        window = calm[i - lag : i]
-        mean, spread = window.mean(), window.std(ddof=1)
+        # What hour i is judged by was taken when hour i - 1 was, from the hours before that one.
+        window = calm[..., max(i - 1 - lag, 0) : max(i - 1, lag)]
+        mean, spread = window.mean(-1), window.std(-1, ddof=1)
+        now = y[..., i]
+        out = np.abs(now - mean) > np.maximum(threshold * spread, least)
+        signal[..., i] = np.where(out, np.where(now > mean, 1, -1), 0)
+        calm[..., i] = np.where(out, influence * now + (1 - influence) * calm[..., i - 1], now)
     return signal
 
 
-@lru_cache(maxsize=64)
-def _kernel(width: int, n: int, before: int, after: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place from -before to n + after: the nearest of n places, how far off they are, and their tricube weights."""
-    at = np.arange(-before, n + after, dtype=np.float64)
-    q = min(width, n)
-    first = np.clip(np.round(at).astype(int) - (q - 1) // 2, 0, n - q)
-    index = first[:, None] + np.arange(q)
-    off = index - at[:, None]
-    reach = np.maximum(np.abs(off).max(1) + max(width - n, 0) // 2 + 1e-12, 1.0)
-    return index, off, np.clip(1 - (np.abs(off) / reach[:, None]) ** 3, 0, None) ** 3
+class Smoother:
+    """Local regression of n evenly spaced values, at their places and as many before and after as asked for.
 
+    A fit is a ratio of weighted sums over the places near by, and these sums are
+    products with matrices that depend on the places alone. Inside, all places
+    have the same neighbours and share one small matrix; near the ends, and where
+    a window holds all values, each place has a column of its own.
+    """
 
-def loess(y: np.ndarray, width: int, degree: int, weights: np.ndarray | None = None, before: int = 0, after: int = 0) -> np.ndarray:
-    """Local regression of evenly spaced values, at their places and as many before and after as asked for.
+    def __init__(self, n: int, width: int, degree: int, before: int = 0, after: int = 0):
+        self.n, self.degree = n, degree
+        q = self.q = min(width, n)
+        at = np.arange(-before, n + after, dtype=np.float64)
+        first = np.clip(np.round(at).astype(int) - (q - 1) // 2, 0, n - q)
+        off = first[:, None] + np.arange(q) - at[:, None]
+        reach = np.maximum(np.abs(off).max(1) + max(width - n, 0) // 2 + 1e-12, 1.0)
+        near = np.clip(1 - (np.abs(off) / reach[:, None]) ** 3, 0, None) ** 3
+        moments = np.stack([near, near * off, near * off * off])  # (3, places, q)
+        self.head, self.tail = np.flatnonzero(first == 0), np.flatnonzero(first == n - q)
+        if q == n:
+            self.tail = self.tail[:0]
+        inner = np.flatnonzero((first > 0) & (first < n - q))
+        self.inner, self.first = inner, first
+        self.ends = [(k, moments[:, k].transpose(2, 0, 1).reshape(q, -1)) for k in (self.head, self.tail)]
+        self.middle = moments[:, inner[0]].T if len(inner) else None  # (q, 3)
+        self.places = len(at)
+
+    def sums(self, x: np.ndarray, powers: int) -> np.ndarray:
+        """(powers, series, places): sums of x near each place, by powers of the distance."""
+        out = np.empty((powers, len(x), self.places))
+        for (k, matrix), part in zip(self.ends, (x[:, : self.q], x[:, self.n - self.q :]), strict=True):
+            if len(k):
+                out[:, :, k] = (part @ matrix[:, : powers * len(k)]).reshape(len(x), powers, len(k)).transpose(1, 0, 2)
+        if self.middle is not None:
+            windows = np.lib.stride_tricks.sliding_window_view(x, self.q, axis=1)[:, self.first[self.inner[0]] : self.first[self.inner[-1]] + 1]
+            out[:, :, self.inner] = (windows @ self.middle[:, :powers]).transpose(2, 0, 1)
+        return out
+
+    def __call__(self, y: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """The fit of each series (row of y), weighted by its rows of weights."""
+        w = np.ones((1, self.n)) if weights is None else weights
+        powers = 3 if self.degree else 1
+        total, *more = self.sums(w, powers)
+        fits = self.sums(y if weights is None else y * w, 2 if self.degree else 1)
+        flat = total <= 1e-300
+        safe = np.where(flat, 1.0, total)
+        fit = fits[0] / safe
+        if self.degree:
+            middle = more[0] / safe
+            spread = more[1] / safe - middle**2
+            fit = fit - (fits[1] / safe - middle * fit) / np.where(spread > 1e-9, spread, np.inf) * middle
+        if flat.any():
+            fit = np.where(flat, self.means(y), fit)
+        return fit
+
+    def means(self, y: np.ndarray) -> np.ndarray:
+        """The plain mean of the values near each place, for places whose neighbours all have no weight."""
+        sums = np.concatenate([np.zeros((len(y), 1)), np.cumsum(y, 1)], 1)
+        return (sums[:, self.first + self.q] - sums[:, self.first]) / self.q
 
-    y may hold several series of one length, one in each row.
-    """
-    index, off, w = _kernel(width, y.shape[-1], before, after)
-    near = y[..., index]
-    w = w * weights[..., index] if weights is not None else np.broadcast_to(w, near.shape)
-    total = w.sum(-1)
-    flat = total <= 1e-300
-    total = np.where(flat, 1.0, total)
-    fit = (w * near).sum(-1) / total
-    if degree:
-        middle = (w * off).sum(-1) / total
-        spread = (w * off * off).sum(-1) / total - middle**2
-        slope = ((w * off * near).sum(-1) / total - middle * fit) / np.where(spread > 1e-9, spread, np.inf)
-        fit = fit - slope * middle
-    return np.where(flat, near.mean(-1), fit)
+
+@lru_cache(maxsize=64)
+def smoother(n: int, width: int, degree: int, before: int = 0, after: int = 0) -> Smoother:
+    return Smoother(n, width, degree, before, after)
 
 
 def _odd(x: float) -> int:
@@ -99,61 +141,96 @@ def _odd(x: float) -> int:
     return n + 1 - n % 2
 
 
+def _running_mean(x: np.ndarray, window: int) -> np.ndarray:
+    sums = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, 1)], 1)
+    return (sums[:, window:] - sums[:, :-window]) / window
+
+
 def stl_trend(y: np.ndarray, period: int = 24, seasonal_width: int = 240, inner: int = 1, outer: int = 15, trend_width: int | None = None) -> np.ndarray:
     """The trend of a seasonal-trend decomposition by loess, robust to single hours.
 
-    A series of less than two periods is returned as it is.
+    y may hold several series of one length, one in each row. A series of less
+    than two periods, a constant one and one with a value that is not finite are
+    returned as they are.
     """
     y = np.asarray(y, np.float64)
-    n = len(y)
-    if n < 2 * period or not np.isfinite(y).all() or np.ptp(y) == 0:
-        return y.copy()
+    if y.ndim == 1:
+        return stl_trend(y[None], period, seasonal_width, inner, outer, trend_width)[0]
+    out, n = y.copy(), y.shape[1]
+    if n < 2 * period:
+        return out
+    todo = np.flatnonzero(np.isfinite(y).all(1) & (np.ptp(y, axis=1) != 0))
     seasonal_width = _odd(seasonal_width)
     trend_width = trend_width or _odd(1.5 * period / (1 - 1.5 / seasonal_width))
-    low = _odd(period)
-    trend, weights = np.zeros(n), np.ones(n)
+    low, long = smoother(n, _odd(period), 1), smoother(n, trend_width, 1)
+    y = y[todo]
+    trend, weights = np.zeros(y.shape), np.ones(y.shape)
     for turn in range(max(outer, 0) + 1):
+        if not len(todo):
+            break
         for _ in range(inner):
             rest = y - trend
-            cycle = np.empty(n + 2 * period)
+            cycle = np.empty((len(y), n + 2 * period))
             # Hours of the day with the same number of values are smoothed together.
             for first, last in ((0, n % period), (n % period, period)):
                 if first < last:
-                    values = np.stack([rest[k::period] for k in range(first, last)])
-                    own = np.stack([weights[k::period] for k in range(first, last)])
-                    for k, smoothed in zip(range(first, last), loess(values, seasonal_width, 1, own, 1, 1), strict=True):
-                        cycle[k::period] = smoothed
+                    size = len(range(first, n, period))
+                    hours = lambda x: np.stack([x[:, k::period] for k in range(first, last)], 1).reshape(-1, size)  # noqa: B023, E731
+                    smoothed = smoother(size, seasonal_width, 1, 1, 1)(hours(rest), hours(weights)).reshape(len(y), last - first, size + 2)
+                    for k in range(first, last):
+                        cycle[:, k::period] = smoothed[:, k - first]
             smooth = cycle
             for window in (period, period, 3):
-                smooth = np.convolve(smooth, np.ones(window) / window, "valid")
-            season = cycle[period : period + n] - loess(smooth, low, 1)[:n]
-            trend = loess(y - season, trend_width, 1, weights)
+                smooth = _running_mean(smooth, window)
+            season = cycle[:, period : period + n] - low(smooth)
+            trend = long(y - season, weights)
+        out[todo] = trend
         if turn < outer:
             off = np.abs(y - trend - season)
-            h = 6 * np.median(off)
-            if h <= 1e-12:
-                break
+            h = 6 * np.median(off, axis=1, keepdims=True)
+            live = h[:, 0] > 1e-12
+            todo, y, trend, off, h = todo[live], y[live], trend[live], off[live], h[live]
             weights = np.where(off <= 0.001 * h, 1.0, np.where(off >= 0.999 * h, 0.0, (1 - np.minimum(off / h, 1) ** 2) ** 2))
-    return trend
+    return out
+
+
+#: Series that are decomposed together: their windows are in memory at once.
+STACK = 32
+
+
+def _stacked(values: pd.Series, work) -> pd.Series:
+    """work on stacks of series of one length; it returns a row or a value for each. Null stays null."""
+    out: list = [None] * len(values)
+    by_length: dict[int, list[int]] = {}
+    for k, v in enumerate(values):
+        if v is not None:
+            by_length.setdefault(len(v), []).append(k)
+    for own in by_length.values():
+        for at in range(0, len(own), STACK):
+            some = own[at : at + STACK]
+            for k, found in zip(some, work(np.array([values.iloc[k] for k in some], np.float64)), strict=True):
+                out[k] = found
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def trend_of(values: pd.Series) -> pd.Series:
     """The trend of each hourly series: what is left without daily variation."""
-    return values.map(lambda v: None if v is None else stl_trend(np.asarray(v, np.float64)))
+    return _stacked(values, stl_trend)
 
 
 def standardised(y: np.ndarray) -> np.ndarray:
-    """A series less its mean, by its length in that space; zeros for a constant one."""
-    middle = y - y.mean()
-    length = np.linalg.norm(middle)
-    return middle / length if length > 1e-12 * max(1.0, np.abs(y).max()) else np.zeros_like(middle)
+    """Each series (row) less its mean, by its length in that space; zeros for a constant one."""
+    middle = y - y.mean(-1, keepdims=True)
+    length = np.linalg.norm(middle, axis=-1, keepdims=True)
+    varies = length > 1e-12 * np.maximum(1.0, np.abs(y).max(-1, keepdims=True))
+    return np.where(varies, middle / np.where(varies, length, 1.0), 0.0)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def standard_trend_of(values: pd.Series) -> pd.Series:
-    """The standardised trend of each series: the dot product of two is their correlation."""
-    return values.map(lambda v: None if v is None or not len(v) else standardised(stl_trend(np.asarray(v, np.float64))))
+    """The standardised trend of each series: the dot product of two is their correlation. An empty series is null."""
+    return _stacked(values, lambda y: standardised(stl_trend(y)) if y.shape[1] else [None] * len(y))
 
 
 def active_hours_of(lag: int, threshold: float, influence: float, skip: int):
@@ -161,6 +238,6 @@ def active_hours_of(lag: int, threshold: float, influence: float, skip: int):
 
     @F.pandas_udf(T.IntegerType())
     def count(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else int((smoothed_zscore(np.asarray(v, np.float64), lag, threshold, influence)[skip:] > 0).sum()))
+        return _stacked(values, lambda y: (smoothed_zscore(y, lag, threshold, influence)[:, skip:] > 0).sum(1).tolist())
 
     return count

@@ -17,21 +17,16 @@ def merge_views(views: DataFrame, min_daily: int, *more_keys: str) -> DataFrame:
     strings are gathered.
     """
     keys = [*_KEY, *more_keys]
-    # The code is read once; what follows looks at its entries.
-    entries = views.select(*keys, "dailyVisits", hour_visits(F.col("hourlyVisits")).alias("entries"))
-    hours = entries.select(*keys, "dailyVisits", *[_hour("entries", h).alias(f"h{h}") for h in range(24)])
-    sums = hours.groupBy(*keys).agg(F.sum(F.col("dailyVisits").cast("long")).alias("dailyVisits"), *[F.sum(f"h{h}").alias(f"h{h}") for h in range(24)])
+    # The code is read once, into a row for each hour; the day's total goes with the first.
+    hours = views.select(*keys, "dailyVisits", F.posexplode_outer(hour_visits(F.col("hourlyVisits"))).alias("at", "entry"))
+    daily = F.sum(F.when(F.coalesce("at", F.lit(0)) == 0, F.col("dailyVisits").cast("long")))
+    sums = hours.select(*keys, "dailyVisits", "at", "entry.hour", "entry.visits").groupBy(*keys)
+    sums = sums.agg(daily.alias("dailyVisits"), *[F.sum(F.when(F.col("hour") == h, F.col("visits"))).cast("long").alias(f"h{h}") for h in range(24)])
     seen = F.filter(F.array(*[F.struct(F.lit(h).alias("hour"), F.col(f"h{h}").alias("visits")) for h in range(24)]), lambda x: x["visits"].isNotNull())
     rows = sums.where(F.col("dailyVisits") > min_daily)
     return rows.select(*keys, F.lit("web").alias("source"), F.col("dailyVisits").try_cast("int").alias("dailyVisits"), hour_code(seen).alias("hourlyVisits"))
 
 
-def _hour(entries: str, hour: int) -> Column:
-    """Visits of one hour, null if no entry is of it; a code may name an hour more than once."""
-    found = F.filter(entries, lambda x: x["hour"] == hour)
-    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["visits"]))
-
-
 def page_visits(views: DataFrame, min_daily: int, hourly_from: int, date: Column, merged: bool = True) -> DataFrame:
     """(languageCode, title, namespace, visits): the visits of each page-day above min_daily.
 

@@ -47,8 +47,13 @@ def hourly(visits: DataFrame, start: date, end: date) -> DataFrame:
 def dense(visits: DataFrame, start: date, end: date) -> DataFrame:
     """(page_id, values): one value for each hour of the period, 0 where there is none."""
     n = period_hours(start, end)
-    by_hour = hourly(visits, start, end).groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("hour", F.col("count").cast("double")))).alias("m"))
-    return by_hour.select("page_id", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0.0))).alias("values"))
+    entries = F.array_sort(F.collect_list(F.struct("hour", F.col("count").cast("double").alias("count"))))
+    by_hour = hourly(visits, start, end).groupBy("page_id").agg(entries.alias("e"))
+    none = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    # Each hour that has visits is put after the empty ones before it: one pass, whatever the hours.
+    before = lambda i: F.coalesce(F.get("e", i - 1)["hour"], F.lit(-1))
+    filled = F.transform("e", lambda x, i: F.concat(none(x["hour"] - before(i) - 1), F.array(x["count"])))
+    return by_hour.select("page_id", F.flatten(F.concat(filled, F.array(none(F.lit(n - 1) - F.element_at("e", -1)["hour"])))).alias("values"))
 
 
 def stats(visits: DataFrame, start: date, end: date) -> DataFrame:

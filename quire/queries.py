@@ -226,14 +226,14 @@ def redirect_substitute(spark, sf):
 
 
 @query("category_ancestry", f"""WITH {_PAGES}, {_CATLINKS}, steps AS (SELECT c."from", p.id AS "to" FROM catlinks c JOIN pages p ON p.title = c."to" WHERE p.namespace = 14),
-    wanted AS (SELECT id FROM pages WHERE namespace = 14 AND id < 60),
+    wanted AS (SELECT id FROM pages WHERE namespace = 14),
     one AS (SELECT "from" FROM steps WHERE "to" IN (SELECT id FROM wanted)),
     two AS (SELECT "from" FROM steps WHERE "to" IN (SELECT "from" FROM one))
     SELECT DISTINCT id, title FROM pages WHERE id IN (SELECT "from" FROM one UNION SELECT "from" FROM two)""")
 def category_ancestry(spark, sf):
     p = pages(spark, sf)
     found = L.resolve_category_links(p, p.where(F.col("namespace") == S.CATEGORY_NS), category_links(spark, sf))
-    return L.category_ancestry(found.select("from", "id"), p, F.when(F.col("id") < 60, F.col("title")))
+    return L.category_ancestry(found.select("from", "id"), p, F.when(F.col("namespace") == S.CATEGORY_NS, F.col("title")))
 
 
 # ---- page views ------------------------------------------------------------------------------------------------
@@ -372,12 +372,12 @@ def burst_pages(spark, sf):
     return P.burst_pages(visits(spark, sf), START, MIDDLE, END, 5.0, 1)
 
 
-@query("active_series", f"""WITH {_VISITS}, days AS (SELECT page_id, CAST(visit_time AS DATE) AS d, sum("count") AS n FROM visits GROUP BY 1, 2),
+@query("active_series", f"""WITH {_VISITS}, {_GRID}, {_STATS}, {_BURST}, days AS (SELECT page_id, CAST(visit_time AS DATE) AS d, sum("count") AS n FROM visits GROUP BY 1, 2),
     busy AS (SELECT page_id FROM days GROUP BY 1 HAVING max(n) >= 6)
-    SELECT page_id, CAST(sum("count") AS DOUBLE) AS total FROM visits WHERE page_id IN (SELECT page_id FROM busy) AND page_id % 3 <> 0 GROUP BY 1""")
+    SELECT page_id, CAST(sum("count") AS DOUBLE) AS total FROM visits WHERE page_id IN (SELECT page_id FROM busy) AND page_id IN (SELECT page_id FROM burst) GROUP BY 1""")
 def active_series(spark, sf):
     v = visits(spark, sf)
-    found = P.active_series(v, v.where("page_id % 3 <> 0").select("page_id").distinct(), START, END, 6)
+    found = P.active_series(v, P.burst_pages(v, START, MIDDLE, END, 5.0, 1), START, END, 6)
     return found.select("page_id", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
@@ -444,11 +444,12 @@ def drop_singletons(spark, sf):
     return G.without_singletons(vertices, tree).select("id", "title")
 
 
-@query("active_subgraph", f"""WITH {_PAGES}, {_LINKS}, {_REDIRECTS}, {_RESOLVED}, {_HOPS}, {_SUBSTITUTE}, act AS (SELECT id FROM pages WHERE id % 3 <> 0 AND namespace <> 14)
+@query("active_subgraph", f"""WITH {_PAGES}, {_LINKS}, {_REDIRECTS}, {_RESOLVED}, {_HOPS}, {_SUBSTITUTE}, {_VISITS}, {_GRID}, {_STATS}, {_BURST},
+    act AS (SELECT id FROM pages WHERE id IN (SELECT page_id FROM burst) AND namespace <> 14)
     SELECT "from" AS src, dest AS dst, CAST(1 AS DOUBLE) AS weight FROM direct WHERE "from" IN (SELECT id FROM act) AND dest IN (SELECT id FROM act)""")
 def active_subgraph(spark, sf):
     p = pages(spark, sf)
-    return G.active_subgraph(p, _direct(spark, sf), p.where("id % 3 <> 0").select(F.col("id").alias("page_id")))[1]
+    return G.active_subgraph(p, _direct(spark, sf), P.burst_pages(visits(spark, sf), START, MIDDLE, END, 5.0, 1))[1]
 
 
 @query("triplets", f"""WITH {_EDGES} SELECT src, dst, weight, a.p_name AS src_title, b.p_name AS dst_title FROM edges JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst""")
@@ -513,6 +514,18 @@ def zscore_peaks(spark, sf):
     return P.zscore_pages(visits(spark, sf), START, MIDDLE, END, 72, 3.0, 0.01, 1)
 
 
+@query("zscore_hours", f"""WITH RECURSIVE {_VISITS}, {_GRID}, series AS (SELECT page_id, list(CAST(c AS DOUBLE) ORDER BY hour) AS y, greatest(max(c), 1) * 1e-9 AS least FROM grid GROUP BY 1),
+    walk(page_id, i, w, mark) AS (SELECT page_id, 71, y[1:72], 0 FROM series UNION ALL
+        SELECT page_id, i + 1, (CASE WHEN len(w) > 72 THEN w[2:] ELSE w END) || [CASE WHEN mark <> 0 THEN 0.01 * v + 0.99 * w[-1] ELSE v END], mark FROM (
+            SELECT page_id, i, w, v, CASE WHEN abs(v - list_avg(w[1:72])) <= greatest(3 * list_aggregate(w[1:72], 'stddev_samp'), least) THEN 0 WHEN v > list_avg(w[1:72]) THEN 1 ELSE -1 END AS mark
+            FROM (SELECT walk.page_id, i, w, y[i + 2] AS v, least FROM walk JOIN series USING (page_id) WHERE i < {HOURS - 2})))
+    SELECT page_id, CAST(count(*) AS INTEGER) AS active_hours FROM walk WHERE mark > 0 AND i >= 240 GROUP BY page_id""")
+def zscore_hours(spark, sf):
+    """Peaks of the hourly series themselves, from the tenth day on."""
+    hours = X.active_hours_of(72, 3.0, 0.01, period_hours(START, date(2024, 1, 10)))
+    return V.dense(visits(spark, sf), START, END).select("page_id", hours("values").alias("active_hours")).where("active_hours > 0")
+
+
 @query("peak_pipeline")
 def peak_pipeline(spark, sf):
     """The graph of pages active together, from visits and resolved links."""

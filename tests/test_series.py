@@ -109,6 +109,72 @@ def test_zscore():
     assert X.smoothed_zscore(np.ones(10), 24, 3, 0.1).sum() == 0 and X.smoothed_zscore(np.array([]), 24, 3, 0.1).size == 0
 
 
+def test_series_go_together_as_alone():
+    rng = np.random.default_rng(4)
+    for n in (30, 48, 100, 719, 720):
+        y = rng.poisson(3, (7, n)).astype(float)
+        y[0], y[1], y[2] = 4, 0, np.linspace(0, 9, n)
+        y[1, 5] = 50
+        trends = X.stl_trend(y)
+        assert np.allclose(trends, np.stack([X.stl_trend(v) for v in y]), rtol=0, atol=1e-9)
+        marks = X.smoothed_zscore(y, 24, 3.0, 0.1)
+        assert marks[3:].tolist() == [slow_zscore(v, 24, 3.0, 0.1) for v in y[3:]] and not marks[0].any()
+
+
+def slow_loess(y, w, width, degree, at):
+    """Local regression at one place, by its normal equations."""
+    n = len(y)
+    q = min(width, n)
+    first = int(np.clip(int(np.round(at)) - (q - 1) // 2, 0, n - q))
+    x = np.arange(first, first + q)
+    reach = max(np.abs(x - at).max() + max(width - n, 0) // 2, 1.0)
+    k = np.clip(1 - (np.abs(x - at) / reach) ** 3, 0, None) ** 3 * w[x]
+    a = np.stack([(x - at) ** p for p in range(degree + 1)], 1)
+    return np.linalg.lstsq(a * np.sqrt(k)[:, None], y[x] * np.sqrt(k), rcond=None)[0][0]
+
+
+@pytest.mark.parametrize(("n", "width", "degree"), [(50, 11, 1), (50, 11, 0), (9, 25, 1), (50, 50, 1)])
+def test_local_regression(n, width, degree):
+    rng = np.random.default_rng(5)
+    y, w = rng.normal(size=(3, n)), rng.uniform(0.2, 1, (3, n))
+    got = X.Smoother(n, width, degree, 1, 1)(y, w)
+    want = [[slow_loess(y[r], w[r], width, degree, at) for at in range(-1, n + 1)] for r in range(3)]
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def slow_stl(y, period, seasonal, inner, outer):
+    """The decomposition step by step, every fit by its own normal equations."""
+    n = len(y)
+    odd = lambda x: int(np.ceil(x)) + 1 - int(np.ceil(x)) % 2
+    seasonal = odd(seasonal)
+    wide = odd(1.5 * period / (1 - 1.5 / seasonal))
+    trend, w = np.zeros(n), np.ones(n)
+    for turn in range(outer + 1):
+        for _ in range(inner):
+            cycle = np.empty(n + 2 * period)
+            for k in range(period):
+                own, weight = (y - trend)[k::period], w[k::period]
+                cycle[k::period] = [slow_loess(own, weight, seasonal, 1, at) for at in range(-1, len(own) + 1)]
+            smooth = cycle
+            for window in (period, period, 3):
+                smooth = np.convolve(smooth, np.ones(window) / window, "valid")
+            season = cycle[period : period + n] - [slow_loess(smooth, np.ones(n), odd(period), 1, at) for at in range(n)]
+            trend = np.array([slow_loess(y - season, w, wide, 1, at) for at in range(n)])
+        if turn < outer:
+            off = np.abs(y - trend - season)
+            h = 6 * np.median(off)
+            w = np.where(off <= 0.001 * h, 1, np.where(off >= 0.999 * h, 0, (1 - np.minimum(off / h, 1) ** 2) ** 2))
+    return trend
+
+
+@pytest.mark.parametrize(("n", "period", "seasonal"), [(60, 6, 7), (50, 8, 240), (64, 24, 240)])
+def test_decomposition(n, period, seasonal):
+    rng = np.random.default_rng(6)
+    y = 5 + 0.1 * np.arange(n) + 3 * np.sin(2 * np.pi * np.arange(n) / period) + rng.normal(0, 0.3, n)
+    assert np.allclose(X.stl_trend(y, period, seasonal, 2, 0), slow_stl(y, period, seasonal, 2, 0), atol=1e-6)
+    assert np.allclose(X.stl_trend(y, period, seasonal, 1, 1), slow_stl(y, period, seasonal, 1, 1), atol=1e-4)
+
+
 def test_trend():
     hours = np.arange(24 * 20, dtype=float)
     assert np.allclose(X.stl_trend(np.full(480, 7.0)), 7.0)
