@@ -1,30 +1,40 @@
 """Personal data: fixed patterns, and identifiers found by the words around them.
 
 Base spans are the leftmost non-overlapping matches of one pattern for each
-kind, less those that fail the kind's rule. They all are the seeds of a
-bootstrap: base spans, identifier-shaped tokens and matches with spaces that fail
-their rule form, with the words beside them, a bipartite graph of
-instances and lexical patterns ("l2 l1 _" and "l1 _ r1"). A pattern's confidence
-is the mean score of its distinct instances, an instance's score is 1 for seeds
-and else one minus the product of its patterns' doubts; both are computed again
-in ROUNDS rounds. Patterns of high confidence and enough distinct seeds mark the
-unseen identifiers that stand in them. Base spans always stay.
-
-Any other word in the slot of such a pattern, without a digit and of any length,
-is an unseen identifier too, if the pattern is trusted with all the distinct
-words that stand in its slot counted as doubts. An unseen identifier of several
-words is found only in the shape of a phone, card or ip.
+kind, less those that fail the kind's rule. They are the seeds of a bootstrap.
+Base spans, identifier-shaped tokens and matches with spaces that fail their rule
+form, with what stands around them, a bipartite graph of instances and lexical
+patterns. Patterns are of five sorts, from narrow to wide: the word on either
+side ("l1 _ r1"), two words before ("l2 l1 _"), one word before ("l1 _"), a name
+glued to its value ("name=_"), and the first letters of a long token ("ABCD...").
+Marks beside the slot belong to the pattern; letters are compared in lower case.
+
+Tokens of a key's shape (KEY_SHAPE) are weak seeds of a fifth kind, secret: their
+own worth is PRIOR, a toss of a coin, and only the graph can raise it. A pattern's
+confidence is the mean worth of its distinct instances; an instance's worth is 1
+for base spans and else one minus the product of its own doubt and those of its
+patterns. Both are computed again in ROUNDS rounds, so that a pattern that only
+keys stand in rises to certainty and one that holds anything else stays behind.
+Patterns of high confidence and enough distinct seeds are then held against the
+whole corpus: every other word that stands in the slot is a doubt. Those that
+stay trusted mark what stands in them, whatever its shape and length, as unseen
+identifiers. An unseen identifier of several words is found only in the shape of
+a phone, card or ip. Base spans always stay, and no found span meets one.
 
 Everything here is DataFrame expressions: no Python runs on the executors.
 
 Rows: one output row per input row. A null text is an empty text and has no
-spans. Repeated rows get equal results; extra columns are ignored; an empty
-table gives an empty result. Texts are read whole; the patterns are possessive
+spans. Repeated rows get equal results; extra columns, whatever their names, are
+ignored by find_pii and kept by mask_documents; an empty table gives an empty
+result. Of overlapping found spans those of identifier shape go first, then the
+leftmost, then the longest. Texts are read whole; the patterns are possessive
 and anchored to the start of runs, so that their time is linear in the text.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,16 +48,25 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-shaped tokens: phone numbers, and runs of 6 to 64 characters with a digit.
-CANDIDATE = PATTERNS["phone"] + r"|(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]{6,64}+(?![A-Za-z0-9@._%+-])"
+#: Identifier-shaped tokens: phone numbers, and runs of at least 6 characters with a digit.
+CANDIDATE = PATTERNS["phone"] + r"|(?<![A-Za-z0-9@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[A-Za-z0-9@._%+-]{6,}+(?![A-Za-z0-9@._%+-])"
 SPANS = "array<struct<start: bigint, kind: int, stop: bigint>>"
+#: Kinds of all spans; those beyond KINDS are found by context alone.
+FOUND_KINDS = (*KINDS, "secret")
+SECRET = FOUND_KINDS.index("secret")
+#: Keys look like this: long, with letters and digits, and no word of a language in it.
+KEY_SHAPE = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){3})(?!.*[A-Za-z]{12})[A-Za-z0-9_+/=-]{16,}$"
+#: Worth of a token of that shape before anything is known of where it stands.
+PRIOR = 0.5
 MATCHES = "array<struct<start: bigint, stop: bigint, value: string, before: string, after: string, kind: int>>"
-ROUNDS = 3
+ROUNDS = 5
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.9
 #: Documents that patterns are tried on before they are looked up in all; any number gives the same result.
 FIRST_DOCS = 2_000
+#: Patterns up to which texts are searched for each of them before their words are; any number gives the same result.
+NEEDLES = 32
 #: Characters beside a token that are searched for its context words.
 CONTEXT_CHARS = 80
 
@@ -107,7 +126,7 @@ def _placed(df: DataFrame, text: str, pattern: str, out: str, context: bool = Fa
 
 
 def _told(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in FOUND_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["stop"])), ",")
 
 
@@ -147,17 +166,46 @@ def occurrences(found: DataFrame) -> DataFrame:
     own = F.coalesce(*[F.when((v != "") & valid(k, v), F.lit(True)) for v, k in whole], F.lit(False))
     x = found.where("candidates IS NOT NULL").select("doc_id", "mark", F.explode("candidates").alias("c")).where(~own).withColumn("kind", F.lit(None).cast("int"))
     x = x.unionByName(found.select("doc_id", "mark", F.explode("matches").alias("c")).select("doc_id", "mark", F.col("c").dropFields("kind").alias("c"), F.col("c.kind").alias("kind")))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
-    x = x.withColumn("l", words(F.col("c.before"))).withColumn("r", words(F.col("c.after")))
+    # What is glued to the value on either side, and the words beyond.
+    before, after = F.lower("c.before"), F.lower("c.after")
+    glue, tail = F.regexp_extract(before, r"(\S*)$", 1), F.regexp_extract(after, r"^(\S*)", 1)
+    words = lambda c: F.regexp_extract_all(c, F.lit(f"({WORD})"), F.lit(1))
+    x = x.withColumn("l", words(F.left(before, F.length(before) - F.length(glue)))).withColumn("r", words(F.substr(after, F.length(tail) + 1)))
+    x = x.withColumn("glue", glue).withColumn("tail", tail)
     l1, l2, r1 = (F.coalesce(F.try_element_at(F.col(side), F.lit(n)), F.lit("")) for side, n in (("l", -1), ("l", -2), ("r", 1)))
-    l1, l2, r1 = (F.when(w.rlike(r"\p{L}"), w).otherwise("") for w in (l1, l2, r1))  # marks alone are no lexical context
-    both = F.array(F.when((l1 != "") & (l2 != ""), F.concat_ws(" ", l2, l1, F.lit("_"))), F.when((l1 != "") & (r1 != ""), F.concat_ws(" ", l1, F.lit("_"), r1)))
-    return x.select("doc_id", "mark", "c.start", "c.stop", value.alias("value"), "kind", F.array_compact(both).alias("patterns"))
+    sorts = _sorts(F.lower(value), F.col("glue"), F.col("tail"), l1, l2, r1)
+    named = F.when(F.col("glue").rlike(GLUED), F.concat(F.lit("glued:"), "glue", F.lit("_")))
+    plain = ~F.col("glue").rlike(ALNUM)
+    found = [named if k == "glued" else p if k == "affix" else F.when(plain & (~F.col("tail").rlike(ALNUM) if k == "around" else F.lit(True)), p) for k, p in sorts.items()]
+    worth = F.when(F.col("kind").isNotNull(), 1.0).when(value.rlike(KEY_SHAPE), PRIOR).otherwise(0.0)
+    x = x.select("doc_id", "mark", "c.start", "c.stop", value.alias("value"), "kind", worth.alias("worth"), F.array_compact(F.array(*found)).alias("patterns"))
+    return x.where("size(patterns) > 0")
+
+
+ALNUM = r"[\p{L}\p{N}]"
+#: A name with the sign, and perhaps the quote, that its value follows.
+GLUED = r"^[^=:]*\p{L}[^=:]*[=:]['\"]?$"
+AFFIX_LETTERS, AFFIX_LENGTH = 4, 16
+
+
+def _sorts(value: Column, lead: Column, tail: Column, l1: Column, l2: Column, r1: Column) -> dict[str, Column]:
+    """The patterns of a slot by their sort, each named with its sort; null where a sort has none."""
+    has = lambda w: w.rlike(r"\p{L}")
+    slot = F.concat(lead, F.lit("_"))
+    return {
+        "around": F.when(has(l1) & has(r1), F.concat(F.lit("around:"), l1, F.lit(" "), slot, tail, F.lit(" "), r1)),
+        "two": F.when((l2 != "") & (l1 != "") & (has(l1) | has(l2)), F.concat(F.lit("two:"), l2, F.lit(" "), l1, F.lit(" "), slot)),
+        "one": F.when(has(l1), F.concat(F.lit("one:"), l1, F.lit(" "), slot)),
+        "glued": F.lit(None).cast("string"),
+        "affix": F.when((F.length(value) >= AFFIX_LENGTH) & value.rlike(rf"^\p{{L}}{{{AFFIX_LETTERS}}}"), F.concat(F.lit("affix:"), F.left(value, F.lit(AFFIX_LETTERS)))),
+    }
 
 
 def graph(seen: DataFrame) -> DataFrame:
-    """(pattern, value, kind): the distinct instances of every pattern."""
-    return written(seen.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "graph")
+    """(pattern, value, kind, worth): the distinct instances of every pattern; kind: of a base span, or secret, or null."""
+    kind = F.coalesce("kind", F.when(F.col("worth") > 0, F.lit(SECRET)))
+    rows = seen.select("value", kind.alias("kind"), "worth", F.explode("patterns").alias("pattern"))
+    return written(rows.groupBy("pattern", "value").agg(F.max_by("kind", "worth").alias("kind"), F.max("worth").alias("worth")), "graph")
 
 
 def good_patterns(edges: DataFrame) -> DataFrame:
@@ -165,11 +213,11 @@ def good_patterns(edges: DataFrame) -> DataFrame:
     scores = None
     for _ in range(ROUNDS):
         scored = edges if scores is None else edges.join(scores, "value", "left")
-        worth = F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
+        worth = F.col("worth") if scores is None else 1 - (1 - F.col("worth")) * (1 - F.coalesce("score", F.lit(0.0)))
         patterns = scored.groupBy("pattern").agg(F.avg(worth).alias("confidence"), F.count("kind").alias("seeds"), F.count("*").alias("instances"), F.mode("kind", True).alias("kind"))
         patterns = written(patterns.where(F.col("seeds") >= MIN_SEEDS), "patterns")
         trust = F.least(F.col("confidence"), F.lit(0.999))
-        scores = edges.where("kind IS NULL").join(patterns.select("pattern", trust.alias("trust")), "pattern")
+        scores = edges.where("worth < 1").join(patterns.select("pattern", trust.alias("trust")), "pattern")
         scores = scores.groupBy("value").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
         scores = written(scores, "scores")
     return patterns.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind", "confidence", "instances")
@@ -180,36 +228,71 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-#: Words that stand in a slot with nothing between them and the words of the pattern, by the kind of slot.
-SLOT_WORD = {True: r"^[\p{L}\p{N}](?:.*[\p{L}\p{N}])?$", False: r"^[\p{L}\p{N}]"}
-
-
-def _slots(low: str) -> Column:
-    """Array of (pattern, word, at, around) of a column of lower-case words: both patterns of every word that has them."""
-    n = F.greatest(F.size(low) - 2, F.lit(0))
-    first, second, third = (F.slice(low, F.lit(k), n) for k in (1, 2, 3))
-
-    def of(a: Column, b: Column, word: Column, around: bool) -> Column:
-        # No lambda may name the array itself: it would be made again for every element.
-        names = F.zip_with(a, b, lambda x, y: F.concat_ws(" _ ", x, y) if around else F.concat_ws(" ", x, y, F.lit("_")))
-        pairs = F.zip_with(names, word, lambda p, w: F.struct(p.alias("pattern"), w.alias("word")))
-        return F.transform(pairs, lambda x, i: F.struct(x["pattern"].alias("pattern"), x["word"].alias("word"), (i + (1 if around else 2)).alias("at"), F.lit(around).alias("around")))
-
-    return F.concat(of(first, second, third, False), of(first, third, second, True))
-
-
-def _stands() -> Column:
-    return F.when(F.col("around"), F.col("word").rlike(SLOT_WORD[True])).otherwise(F.col("word").rlike(SLOT_WORD[False]))
+#: What comes before the slot in a word that holds it: marks, or a name with its sign.
+_LEAD = r"^([^\p{L}\p{N}]*)"
+_NAME = r"^([^=:]*\p{L}[^=:]*[=:]['\"]?)(?=[\p{L}\p{N}])"
+
+
+def _slots(low: str, sorts: set[str]) -> Column:
+    """Array of (pattern, word, at) of a column of lower-case words: the patterns of the given sorts that each word stands in."""
+    n = F.size(low)
+    blank = F.array(F.lit(""))
+    # No lambda may name the array itself: it would be made again for every element.
+    before = lambda k: F.concat(*[blank] * k, F.slice(low, F.lit(1), F.greatest(n - k, F.lit(0))))
+    zipped = F.arrays_zip(F.col(low).alias("w"), before(1).alias("l1"), before(2).alias("l2"), F.concat(F.slice(low, F.lit(2), n), blank).alias("r1"))
+
+    def of(x: Column, i: Column) -> Column:
+        w = x["w"]
+        lead = F.regexp_extract(w, _LEAD, 1)
+        tail = F.regexp_extract(w, r"([^\p{L}\p{N}]*)$", 1)
+        rest = F.substr(w, F.length(lead) + 1)
+        made = _sorts(_bare(w), lead, tail, x["l1"], x["l2"], x["r1"])
+        name = F.regexp_extract(w, _NAME, 1)
+        out = []
+        for k in sorted(sorts):
+            if k == "glued":
+                slot = F.when(w.rlike("[=:]") & (name != ""), F.struct(F.concat(F.lit("glued:"), name, F.lit("_")).alias("pattern"), F.substr(w, F.length(name) + 1).alias("word"), i.alias("at")))
+            else:
+                slot = F.when(made[k].isNotNull() & (rest != ""), F.struct(made[k].alias("pattern"), rest.alias("word"), i.alias("at")))
+            out.append(slot)
+        return F.array_compact(F.array(*out))
+
+    return F.flatten(F.transform(zipped, of)).cast("array<struct<pattern:string,word:string,at:int>>")
+
+
+def _sorts_of(patterns: DataFrame) -> set[str]:
+    """The sorts that occur: a handful at most."""
+    return {r[0] for r in patterns.select(F.substring_index("pattern", ":", 1)).distinct().collect()}
+
+
+def _needle(pattern: str) -> str:
+    """A string that every lower-case text with the pattern holds."""
+    sort, _, body = pattern.partition(":")
+    words = body.split(" ")
+    if sort == "affix":
+        return body
+    return body[:-1] if sort == "glued" else max(words[:2] if sort == "two" else [words[0], words[-1]] if sort == "around" else words[:1], key=len)
+
+
+def _may_hold(low: Column, patterns: DataFrame) -> Column:
+    """False for texts that hold none of the patterns for certain; with more patterns than are worth looking for one by one, true."""
+    some = [r[0] for r in patterns.select("pattern").limit(NEEDLES + 1).collect()]
+    if len(some) > NEEDLES:
+        return F.lit(True)
+    return functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(n)) for n in sorted({_needle(p) for p in some})], F.lit(False))
 
 
-def loose_occurrences(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(doc_id, mark, start, stop, kind, trust) of the words in slots of patterns that are trusted with every other word of their slots as a doubt."""
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    words = F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), F.lit(1))
+def slot_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sure, fills): patterns that are trusted with every other word of their slots as a doubt, and (doc_id, mark, pattern, at) of the words in the slots of trusted ones."""
+    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("mark", F.xxhash64("text"))
     known = edges.select("pattern", _bare(F.lower(F.get(F.split("value", " "), F.lit(0)))).alias("word")).distinct()
 
-    def doubted(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-        fills = texts.select(words.alias("low")).select(F.inline(_slots("low"))).join(patterns.select("pattern"), "pattern").where(_stands())
+    def filled(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+        low = texts.withColumn("lower", F.lower("text")).where(_may_hold(F.col("lower"), patterns))
+        low = low.select("doc_id", "mark", F.regexp_extract_all("lower", F.lit(f"({WORD})"), F.lit(1)).alias("low"))
+        return low.select("doc_id", "mark", F.inline(_slots("low", _sorts_of(patterns)))).join(patterns.select("pattern"), "pattern")
+
+    def doubted(fills: DataFrame, patterns: DataFrame) -> DataFrame:
         fills = fills.select("pattern", _bare(F.col("word")).alias("word")).distinct()
         doubts = fills.join(known, ["pattern", "word"], "left_anti").groupBy("pattern").agg(F.count("*").alias("doubts"))
         trust = F.col("confidence") * F.col("instances") / (F.col("instances") + F.coalesce("doubts", F.lit(0)))
@@ -217,23 +300,29 @@ def loose_occurrences(docs: DataFrame, edges: DataFrame, trusted: DataFrame) ->
 
     # More texts can only add doubts: a pattern that some texts refute is not looked up in all.
     some = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCS)
-    left = written(doubted(rows.join(F.broadcast(some), "doc_id"), trusted).select(*trusted.columns), "left")
-    sure = left.withColumn("trust", F.lit(0.0)) if left.isEmpty() else doubted(rows, left).where("doubts > 0")
-    sure = written(sure.select("pattern", "kind", "trust"), "sure")
-    if sure.isEmpty():
-        return sure.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit(0).cast("long").alias("mark"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"), "kind", "trust").limit(0)
-    rows = rows.withColumn("mark", F.xxhash64("text"))
+    left = written(doubted(filled(rows.join(F.broadcast(some), "doc_id"), trusted), trusted).select(*trusted.columns), "left")
+    if left.isEmpty():
+        none = rows.select("doc_id", "mark", F.lit("").alias("pattern"), F.lit(0).alias("at")).limit(0)
+        return left.select("pattern", "kind", F.lit(0.0).alias("trust")), none
+    fills = written(filled(rows, left), "fills")
+    sure = written(doubted(fills, left).select("pattern", "kind", "trust"), "sure")
+    return sure, fills.select("doc_id", "mark", "pattern", "at")
+
+
+def loose_occurrences(docs: DataFrame, sure: DataFrame, fills: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, stop, kind, trust) of the words in slots of the patterns that are sure."""
+    rows = docs.select("doc_id", whole_text().alias("text")).withColumn("mark", F.xxhash64("text"))
+    fills = fills.join(sure, "pattern").withColumn("glued", F.col("pattern").startswith("glued:"))
     # Only texts that hold such a pattern have their words placed.
-    held = rows.select("doc_id", "mark", words.alias("low")).select("doc_id", "mark", F.inline(_slots("low"))).join(sure.select("pattern"), "pattern").where(_stands())
-    held = held.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    held = fills.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
     rows = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["mark"] == held["_mark"]), "left_semi")
     rows = written(_placed(rows.dropDuplicates(["doc_id", "mark"]), "text", WORD, "w").select("doc_id", "mark", "w"), "words")
-    low = rows.withColumn("low", F.transform("w", lambda x: F.lower(x["value"])))
-    placed = low.select("doc_id", "mark", F.inline(_slots("low"))).join(sure, "pattern").where(_stands())
     at = rows.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.posexplode("w").alias("_at", "w"))
-    placed = placed.join(at, placed["doc_id"].eqNullSafe(at["_id"]) & (placed["mark"] == at["_mark"]) & (placed["at"] == at["_at"]))
-    start = F.col("w.start")
-    return placed.select("doc_id", "mark", start.alias("start"), (start + F.length(F.regexp_replace("w.value", r"[^\p{L}\p{N}]+$", ""))).alias("stop"), "kind", "trust")
+    placed = fills.join(at, fills["doc_id"].eqNullSafe(at["_id"]) & (fills["mark"] == at["_mark"]) & (fills["at"] == at["_at"]))
+    lead = F.when(F.col("glued"), F.regexp_extract("w.value", _NAME, 1)).otherwise(F.regexp_extract("w.value", _LEAD, 1))
+    start = F.col("w.start") + F.length(lead)
+    stop = F.col("w.start") + F.length(F.regexp_replace("w.value", r"[^\p{L}\p{N}]+$", ""))
+    return placed.select("doc_id", "mark", start.alias("start"), stop.alias("stop"), "kind", "trust").where("start < stop")
 
 
 def _clear(found: Column, base: Column) -> Column:
@@ -250,11 +339,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     rows = written(base_spans(docs), "base")
     seen = written(occurrences(rows), "occurrences")
     edges = graph(seen)
-    trusted = good_patterns(edges)
+    sure, fills = slot_words(docs, edges, good_patterns(edges))
     key = ["doc_id", "mark", "start", "stop"]
     unseen = seen.where("kind IS NULL").select(*key, F.explode("patterns").alias("pattern"))
-    unseen = unseen.join(trusted, "pattern").select(*key, "kind", F.col("confidence").alias("trust"), F.lit(False).alias("loose"))
-    unseen = unseen.unionByName(loose_occurrences(docs, edges, trusted).withColumn("loose", F.lit(True))).groupBy(*key, "loose")
+    unseen = unseen.join(sure, "pattern").select(*key, "kind", "trust", F.lit(False).alias("loose"))
+    unseen = unseen.unionByName(loose_occurrences(docs, sure, fills).withColumn("loose", F.lit(True))).groupBy(*key, "loose")
     unseen = unseen.agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"), F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
     unseen = unseen.where(F.col("score") >= MIN_SCORE)
     # A document's own spans, no more than its text has room for: shaped ones first, then from the left, the longest first.
@@ -266,10 +355,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found)."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans): counts of kinds are of base spans, n_spans of all."""
     counts = [_count("base", n).alias(f"n_{k}") for n, k in enumerate(KINDS)]
     every = F.array_sort(F.concat("base", "found"))
-    return found.select("doc_id", *counts, F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(every).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    sizes = [F.size("found").cast("long").alias("n_found"), (F.size("base") + F.size("found")).cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(every).alias("spans"), *sizes)
 
 
 def _masked(text: Column, kind: str) -> Column:
@@ -286,18 +376,19 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     is left, so that of overlapping spans the one of the earlier kind is whole.
     Rows without a span are unchanged.
     """
+    require(docs, "doc_id", "text")
     spans = find_pii(docs)
-    hit = spans.where("size(base) + size(found) > 0").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("found").alias("_found"))
-    hit = hit.dropDuplicates(["_id", "_mark"])
-    rows = docs.withColumn("_key", F.xxhash64(whole_text()))
-    rows = rows.join(hit, rows["doc_id"].eqNullSafe(hit["_id"]) & (rows["_key"] == hit["_mark"]), "left")
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    none = F.coalesce(F.size("_found"), F.lit(0)) < 1
+    # Everything of docs in one column, so that no name of its can clash.
+    hit = spans.where("size(base) + size(found) > 0").groupBy("doc_id", "mark").agg(F.first("found").alias("found"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"), docs["doc_id"].alias("own"), F.xxhash64(whole_text()).alias("own_mark"))
+    rows = rows.join(hit, rows["own"].eqNullSafe(hit["doc_id"]) & (rows["own_mark"] == hit["mark"]), "left")
+    names = F.array(*[F.lit(f"[{k.upper()}]") for k in FOUND_KINDS])
+    none = F.coalesce(F.size("found"), F.lit(0)) < 1
     # Pieces between found spans, each followed by the tag of the span after it.
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_found", lambda x: x["stop"]))
-    pieces = F.zip_with(ends, "_found", lambda e, x: F.concat(F.when(x.isNull(), F.col("text").substr(e + 1, F.length("text").cast("long"))).otherwise(F.col("text").substr(e + 1, x["start"] - e)), F.coalesce(F.get(names, x["kind"]), F.lit(""))))
-    rows = rows.withColumn("_new", F.when(none, F.col("text")).otherwise(F.array_join(pieces, "")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("found", lambda x: x["stop"]))
+    pieces = F.zip_with(ends, "found", lambda e, x: F.concat(F.when(x.isNull(), F.col("text").substr(e + 1, F.length("text").cast("long"))).otherwise(F.col("text").substr(e + 1, x["start"] - e)), F.coalesce(F.get(names, x["kind"]), F.lit(""))))
+    rows = rows.withColumn("new", F.when(none, F.col("text")).otherwise(F.array_join(pieces, "")))
     for kind in ("email", "phone", "card", "ip"):
-        rows = rows.withColumn("_new", F.when(F.col("_id").isNotNull() | F.col("_mark").isNotNull(), _masked(F.col("_new"), kind)).otherwise(F.col("_new")))
-    out = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return rows.select(*[(out[c] if out.get(c) is not None else docs[c]).alias(c) for c in docs.columns])
+        rows = rows.withColumn("new", F.when(F.col("mark").isNotNull(), _masked(F.col("new"), kind)).otherwise(F.col("new")))
+    length = lambda c: F.length("new").cast(docs.schema[c].dataType)
+    return rows.select(*[(F.col("new") if c == "text" else length(c) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])

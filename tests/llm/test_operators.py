@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 import zlib
 
 import brute
@@ -81,10 +82,41 @@ def test_every_base_span_is_a_seed(spark):
     assert masked[28] == "hello there charged card [CARD] today" and masked[37] == texts[37]
 
 
+def test_keys_are_found_by_where_they_stand(spark):
+    """Weak seeds alone: keys after a name, keys with a common head; none of it by shape alone."""
+    rng = random.Random(4)
+    key = lambda n, letters="0123456789abcdef": "".join(rng.choice(letters) for _ in range(n))
+    texts = [f"{noise(rng, 20, 'abcd ')} token = \"{key(40)}\" {noise(rng, 20, 'abcd ')}" for _ in range(12)]
+    texts += [f"{noise(rng, 20, 'abcd ')} password={key(18)}, {noise(rng, 20, 'abcd ')}" for _ in range(12)] + ["then password=tiger9, that"]
+    texts += [f"{noise(rng, 9, 'abcd')} {noise(rng, 9, 'abcd')} QRST{key(16, 'ABCD0123456789')} {noise(rng, 9, 'abcd')}" for _ in range(12)]
+    texts += [f"{noise(rng, 9, 'efgh')} {noise(rng, 9, 'efgh')} {key(30)} {noise(rng, 9, 'efgh')}" for _ in range(3)]
+    texts += [f"see the {x} here" for x in (key(20), key(20), key(20), key(20), key(20), "old", "red", "big", "dull", "new")]
+    got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs(spark, texts))).collect()}
+    found = [got[i].n_found for i in range(len(texts))]
+    assert found == [1] * 37 + [0] * 13
+    assert all(got[i].n_spans == got[i].n_found + sum(got[i][f"n_{k}"] for k in pii.KINDS) for i in range(len(texts)))
+    masked = {r.doc_id: r.text for r in pii.mask_documents(docs(spark, texts)).collect()}
+    assert masked[0].split("token")[1].startswith(" = \"[SECRET]\"") and "password=[SECRET], " in masked[12] and masked[24] == "then password=[SECRET], that"
+    assert masked[37] == texts[37]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_planted_keys_are_found(spark):
+    """Precision and recall on the test tables, whose keys follow a name or share a head."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    planted = {(i, m.start(1), m.end(1)) for i, t in texts.items() for m in re.finditer(r"(?:token = \"|password=)(\w+)", t or "")}
+    got = set()
+    for r in pii.find_pii(df).collect():
+        got |= {(r.doc_id, x.start, x.stop) for x in r.found}
+        assert not r.base or brute.span_text(brute.spans(texts[r.doc_id])) == ",".join(f"{pii.KINDS[x.kind]}:{x.start}:{x.stop}" for x in r.base)
+    assert len(planted) >= 5 and planted <= got and all(re.match(r"AKIA", texts[i][a:b]) for i, a, b in got - planted)
+
+
 def test_masking(spark):
     texts = ["mail a.b@c.example.com or +1 (202) 555-0011, 10.0.0.1 and 4000038985693383; not 300.1.1.1 or 4000038985693384", None, ""]
-    out = pii.mask_documents(docs(spark, texts, clash=False))
-    assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
+    out = pii.mask_documents(docs(spark, texts))
+    assert out.columns == [*[c.split()[0] for c in DOCS.split(", ")], *CLASHES] and {r.mark for r in out.collect()} == {"x"}
     got = {r.doc_id: r for r in out.collect()}
     assert got[0].text == "mail [EMAIL] or [PHONE], [IP] and [CARD]; not 300.1.1.1 or 4000038985693384"
     assert got[0].n_chars == len(got[0].text) and got[1].text is None and got[2].text == ""
