@@ -1,28 +1,36 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
+A source's target in words becomes a quota of blocks of block_words words. The
+quotas, laid end to end in the order of the sources, are the cumulative weights.
 Slot k of the mix lies at the fractional part of (k + 1) times the golden ratio;
-the source whose interval of cumulative weights holds that point owns the slot.
-The r-th slot of a source takes the r-th block of block_words words from the
-source's documents, laid end to end in the order of a hash: once, and once more
-in another order where the target exceeds the source. A source takes
-ceil(target / block_words) blocks, the last cut at its target; slots past that
-are not used, and blocks that the schedule still owes a source follow at its end.
+the source in whose stretch that point falls owns the slot. The r-th slot of a
+source takes the r-th block of the source's documents, laid end to end in the
+order of a hash: once, and once more in another order where the target exceeds
+the source. Slots of a source whose quota is filled stay unused. Any 1.9 / w
+points in a row hit a stretch of weight w, so twice as many slots as blocks fill
+every quota; points are 62-bit integers, so this holds at any number of slots.
+The last block of a source is cut at its target.
 
 All ranks and running sums are built in two levels (inside chunks of bounded
-size, then over chunks), so a source with a third of all rows is no hot key.
+size, then over chunks), so a source with a third of all rows is no hot key, and
+the table of sources is never gathered in one place.
 
 Rows: every input row is one document; documents without words take nothing.
 A null source is a source of its own, the last. Repeated rows count as rows of
-their own. Sources without words have target 0. An empty table gives an empty
-result. Extra columns are ignored.
+their own, and rows that are equal in everything share their words in any order.
+Ties of the hash are broken by a hash of the whole row. Sources without words
+have target 0. Null ids are ids like others. An empty table gives an empty
+result. Extra columns are ignored by mix and kept by mixed_documents, whatever
+their names. Texts are read whole; long ones lie in many blocks.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import WORD, require, written
@@ -33,11 +41,13 @@ MOST = 2
 WEIGHTS = (5, 2, 1)
 #: Rows of one source that one running sum covers, on average.
 CHUNK_ROWS = 4_096
-#: Slots that one rank covers.
-CHUNK_SLOTS = 65_536
-#: More sources than this are refused: their table goes to the driver.
-MOST_SOURCES = 100_000
-GOLDEN = 0.6180339887498949
+#: Slots that one rank covers, and numbers that one task counts up.
+CHUNK_SLOTS = 8_192
+#: Sources that are broadcast; more than that are joined.
+BROADCAST_SOURCES = 100_000
+#: The golden ratio's fractional part times 2**62, and the half of its bits.
+GOLDEN = int(0x9E3779B97F4A7C15 >> 2)
+_HALF = 31
 
 
 def words_of(text: Column) -> Column:
@@ -45,135 +55,172 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def allot(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
-    """Targets: share times all sizes by weight, none above most times its size.
+def _counted(df: DataFrame, lo: str, hi: str, out: str, *keys: str) -> DataFrame:
+    """A row for each whole number from lo to hi - 1, as column out; long ranges are dealt to many tasks."""
+    some = df.where(F.col(lo) < F.col(hi)).withColumn("_from", F.explode(F.sequence(F.col(lo), F.col(hi) - 1, F.lit(CHUNK_SLOTS).cast("long"))))
+    some = some.repartition(*keys, "_from")
+    return some.withColumn(out, F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK_SLOTS, F.col(hi)) - 1))).drop("_from")
 
-    What a stopped source leaves is shared among the others by weight, until
-    none is above; targets can fall short of the whole only if all are stopped.
+
+def _running(df: DataFrame, group: list[str], chunk: str, order: list[str], value: Column, out: str) -> DataFrame:
+    """df with the sum of value over the rows before, in the order of chunk and then order, within each group."""
+    df = df.withColumn("_value", value)
+    totals = df.groupBy(*group, chunk).agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*group or [F.lit(0)]).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*group, chunk, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_off", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return df.join(bases, [*group, chunk]).withColumn(out, F.col("_base") + F.col("_off")).drop("_value", "_off", "_base")
+
+
+def keyed(docs: DataFrame, id_col: str, same: list[str]) -> DataFrame:
+    """(id, source, size, k1, k2, nth): k1 and k2 are hashes of the columns same, nth numbers the rows that are equal in them."""
+    rows = docs.select(docs[id_col].alias("id"), docs["source"].alias("source"), words_of(docs["text"]).alias("size"), *hashes(docs, same))
+    counts = rows.groupBy("id", "source", "size", "k1", "k2").agg(F.count("*").alias("_n")).withColumn("_lo", F.lit(0).cast("long"))
+    single = counts.where("_n = 1").select("id", "source", "size", "k1", "k2", F.col("_lo").alias("nth"))
+    return single.unionByName(_counted(counts.where("_n > 1"), "_lo", "_n", "nth", "k1", "k2").select(*single.columns))
+
+
+def hashes(docs: DataFrame, same: list[str]) -> list[Column]:
+    def plain(c: str) -> Column:
+        return F.to_json(F.struct(docs[c])) if isinstance(docs.schema[c].dataType, T.MapType) else docs[c]
+
+    parts = [x for c in same for x in (docs[c].isNull(), plain(c))]
+    return [F.xxhash64(F.lit(n), *parts).alias(f"k{n}") for n in (1, 2)]
+
+
+@dataclass
+class Sources:
+    table: DataFrame  # source, n, size, source_no, target, goal (whole words), quota, lo, hi (cumulative blocks)
+    blocks: int
+    few: bool
+
+    def hinted(self) -> DataFrame:
+        return F.broadcast(self.table) if self.few else self.table
+
+
+def source_targets(sized: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> Sources:
+    """The sources in code point order, null last, with their targets and their stretches of blocks.
+
+    Targets are share times all sizes by weight, none above most times its size:
+    what a stopped source leaves is shared among the others by weight, until none
+    is above. They fall short of the whole only if all are stopped. A source is
+    stopped where its part of what is left, by the weights of those that are not
+    stopped, is too much; both figures settle in rounds of one sum over the
+    sources. Places in the order come from a range sort: part, then row in it.
     """
-    targets = [0.0] * len(sizes)
-    free = [i for i, n in enumerate(sizes) if n > 0]
-    left = share * sum(sizes)
-    while free:
-        whole = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / whole > most * sizes[i]]
-        if not over:
-            for i in free:
-                targets[i] = left * weights[i] / whole
+    found = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    last = F.col("source").isNull()
+    found = found.repartitionByRange(last, F.col("source")).sortWithinPartitions(last, F.col("source"))
+    row = F.monotonically_increasing_id()
+    found = written(found.select("*", F.shiftright(row, 33).alias("part"), row.bitwiseAND((1 << 33) - 1).alias("at")), "sources")
+    found = _running(found, [], "part", ["at"], F.lit(1).cast("long"), "source_no")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("source_no"), F.lit(len(weights))).cast("int"))
+    found = written(found.withColumn("weight", weight), "ranked")
+    whole, words, count = found.where("size > 0").agg(F.sum("weight"), F.sum("size"), F.count("*")).first()
+    left, open_weight, stopped = share * (words or 0), whole or 0.0, -1
+    while True:
+        part = F.lit(float(left)) * F.col("weight") / F.lit(float(open_weight or 1.0))
+        over = part > most * F.col("size")
+        n, their_words, their_weight = found.where("size > 0").where(over).agg(F.count("*"), F.sum("size"), F.sum("weight")).first()
+        if n == stopped or n == 0 or n == count:
             break
-        for i in over:
-            targets[i] = float(most * sizes[i])
-        left -= sum(targets[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return targets
-
-
-def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> list[tuple[str | None, int, int, float]]:
-    """(source, rows, size, target) in code point order, null last. One row per source reaches the driver."""
-    found = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(found) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    targets = allot([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))])
-    return [(r["source"], r["n"], r["size"], t) for r, t in zip(found, targets, strict=True)]
-
-
-def schedule(df: DataFrame, targets: list[float], block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(slot, source_no, rank, words): which block each slot takes, in mixing order."""
-    spark = df.sparkSession
-    quotas = [-(-round(t) // block_words) for t in targets]
-    whole, slots = sum(targets) or 1.0, sum(quotas)
-    edges, total = [0.0], 0.0
-    for t in targets:
-        total += t
-        edges.append(total / whole)
-    owners = spark.createDataFrame([(i, lo, hi, q, round(t)) for i, ((lo, hi), q, t) in enumerate(zip(pairwise(edges), quotas, targets, strict=True)) if q], "source_no int, lo double, hi double, quota long, target long")
-    # An ordered list of cumulative weights: the owner of a point is the number of edges not above it.
-    inner = F.array(*[F.lit(e) for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<double>")
-    runs = spark.range(slots + len(targets)).select(F.col("id").alias("slot"))
-    point = F.pmod((F.col("slot") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    owned = runs.withColumn("point", point).withColumn("source_no", F.size(F.filter(inner, lambda e: e <= F.col("point"))))
-    owned = owned.withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
-    counts = owned.groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("source_no", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = owned.withColumn("place", F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("slot")) - 1)
-    ranked = inside.join(bases, ["source_no", "chunk"]).join(F.broadcast(owners), "source_no")
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("place")).where("rank < quota")
-    held = counts.groupBy("source_no").agg(F.sum("n").alias("held"))
-    owed = F.broadcast(owners).join(held, "source_no", "left").withColumn("held", F.least(F.coalesce("held", F.lit(0)), "quota"))
-    late = owed.where("held < quota").select("source_no", "quota", "target", F.explode(F.sequence("held", F.col("quota") - 1)).alias("rank"))
-    late = late.withColumn("slot", F.lit(slots + len(targets)) + F.col("rank"))
-    words = F.least(F.lit(block_words), F.col("target") - F.col("rank") * block_words).alias("words")
-    keep = ["slot", "source_no", "rank", words]
-    return ranked.select(*keep).unionByName(late.select(*keep))
-
-
-def laid_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
-    """(key, source_no, pass, at, size): where each document's words lie in its source's shuffled stream.
+        stopped, left, open_weight = n, share * words - most * their_words, whole - their_weight
+    target = F.when(F.col("size") == 0, 0.0).when(over, most * F.col("size").cast("double")).otherwise(part)
+    found = found.withColumn("target", target).withColumn("goal", F.floor(F.col("target") + 0.5).cast("long"))
+    found = found.withColumn("quota", F.ceil(F.col("goal") / block_words).cast("long"))
+    found = _running(found, [], "part", ["at"], F.col("quota"), "lo").withColumn("hi", F.col("lo") + F.col("quota"))
+    found = written(found.select("source", "n", "size", "source_no", "target", "goal", "quota", "lo", "hi"), "targets")
+    rows, blocks = found.agg(F.count("*"), F.sum("quota")).first()
+    return Sources(found, blocks or 0, rows <= BROADCAST_SOURCES)
+
+
+def place_of(slot: Column, blocks: int) -> Column:
+    """The block, among all stretches, that the slot's golden-ratio point falls on."""
+    mask = F.lit((1 << _HALF) - 1).cast("long")
+    k = slot.cast("long") + 1
+    k1, k0 = F.shiftright(k, _HALF), k.bitwiseAND(mask)
+    g1, g0 = F.lit(GOLDEN >> _HALF).cast("long"), F.lit(GOLDEN & ((1 << _HALF) - 1)).cast("long")
+    # k * GOLDEN modulo 2**62, no product of which leaves 63 bits.
+    high = (k1 * g0).bitwiseAND((1 << 62) - 1) + k0 * g1
+    low = k0 * g0
+    point = F.shiftleft((high + F.shiftright(low, _HALF)).bitwiseAND(mask), _HALF) + low.bitwiseAND(mask)
+    wide = point.cast("decimal(19,0)") * F.lit(blocks).cast("decimal(18,0)")
+    return F.call_function("div", wide, F.lit(1 << 62).cast("decimal(19,0)")).cast("long")
+
+
+def schedule(df: DataFrame, sources: Sources, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(slot, source_no, rank, words): which block each slot takes."""
+    blocks = sources.blocks
+    slots = df.sparkSession.range(2 * blocks + 64 if blocks else 0).select(F.col("id").alias("slot"), place_of(F.col("id"), blocks).alias("place"))
+    owners = _counted(sources.table.select("source_no", "goal", "quota", "lo", "hi"), "lo", "hi", "place", "source_no").select("place", "source_no", "goal", "quota")
+    owned = slots.join(owners, "place").withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
+    ranked = _running(owned, ["source_no"], "chunk", ["slot"], F.lit(1).cast("long"), "rank").where("rank < quota")
+    words = F.least(F.lit(block_words).cast("long"), F.col("goal") - F.col("rank") * block_words).alias("words")
+    return ranked.select("slot", "source_no", "rank", words)
+
+
+def laid_out(sized: DataFrame, sources: Sources) -> DataFrame:
+    """(k1, k2, nth, source_no, pass, at, size): where each document's words lie in its source's shuffled stream.
 
     The stream holds all documents of a source, and all once more in another
     order where the target is above the source's size.
     """
-    rows = sized.where("size > 0").join(F.broadcast(sources.where("target > 0")), F.col("source").eqNullSafe(F.col("own")))
-    passes = F.when(F.col("target") > F.col("source_size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    rows = rows.select("key", "source_no", "size", "chunks", F.explode(passes).alias("pass"))
-    rows = rows.withColumn("order", F.xxhash64("key", "pass"))
-    rows = rows.withColumn("chunk", F.floor((F.col("order").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) * F.col("chunks")))
-    totals = rows.groupBy("source_no", "pass", "chunk").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("source_no").orderBy("pass", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("source_no", "pass", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_no", "pass", "chunk").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("off", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(bases, ["source_no", "pass", "chunk"])
-    return rows.select("key", "source_no", "pass", (F.col("base") + F.col("off")).alias("at"), "size")
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    own = sources.hinted().where("goal > 0").select(F.col("source").alias("own"), "source_no", F.col("size").alias("source_size"), "goal", F.ceil(F.col("n") / CHUNK_ROWS).alias("chunks"))
+    rows = sized.where("size > 0").join(own, F.col("source").eqNullSafe(F.col("own")))
+    passes = F.when(F.col("goal") > F.col("source_size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("id", "k1", "k2", "nth", "source_no", "size", "chunks", F.explode(passes).alias("pass"))
+    rows = rows.withColumn("order", F.conv(F.substring(F.md5(F.concat_ws(":", "pass", "id", "size", "nth").cast("binary")), 1, 15), 16, 10).cast("long"))
+    rows = rows.withColumn("chunk", F.col("pass") * F.col("chunks") + F.floor(F.col("order").cast("double") / F.lit(2.0**60) * F.col("chunks")))
+    rows = _running(rows, ["source_no"], "chunk", ["order", "k1", "k2", "nth"], F.col("size"), "at")
+    return rows.select("k1", "k2", "nth", "source_no", "pass", "at", "size")
+
+
+KEY = ["k1", "k2", "nth"]
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", block_words: int = BLOCK_WORDS, same: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(per document, pieces).
 
-    Per document: id, size, source, source_size, target, taken. Pieces: key,
-    pass, first and words taken by each slot of the schedule, with the slot. A
-    key is an id with a number that tells rows with equal ids apart.
+    Per document: id, size, source, source_size, target, taken, first_slot (null
+    if nothing is taken). Pieces: k1, k2, nth (the row, see keyed), pass, slot,
+    first and taken: the words from first on that the slot takes.
     """
     require(docs, id_col, "text", "source")
-    spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).alias("id"), "source", words_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
-    same = Window.partitionBy("id").orderBy("size", "source", "row")
-    sized = sized.withColumn("nth", F.row_number().over(same)).select("id", "source", "size", F.struct("id", "nth").alias("key"))
-    sized = written(sized, "sizes")
-    targets = source_targets(sized)
-    rows = [(i, s, size, t, max(1, -(-n // CHUNK_ROWS))) for i, (s, n, size, t) in enumerate(targets)]
-    sources = spark.createDataFrame(rows, "source_no int, own string, source_size long, target double, chunks long")
-    slots = schedule(sized, [t for *_, t in targets], block_words)
+    sized = written(keyed(docs, id_col, same or list(dict.fromkeys([id_col, "source", "text"]))), "sizes")
+    sources = source_targets(sized, block_words)
+    slots = schedule(sized, sources, block_words)
     stream = laid_out(sized, sources)
     blocks = stream.withColumn("rank", F.explode(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words))))
     joined = blocks.join(slots, ["source_no", "rank"])
     start = F.greatest(F.col("at"), F.col("rank") * block_words)
     stop = F.least(F.col("at") + F.col("size"), F.col("rank") * block_words + F.col("words"))
-    pieces = joined.select("key", "pass", "slot", (start - F.col("at")).alias("first"), (stop - start).alias("taken")).where("taken > 0")
-    taken = pieces.groupBy("key").agg(F.sum("taken").alias("taken"))
-    per = sized.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("own"))).join(taken, "key", "left")
-    return per.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")), pieces
+    pieces = joined.select(*KEY, "pass", "slot", (start - F.col("at")).alias("first"), (stop - start).alias("taken")).where("taken > 0")
+    taken = pieces.groupBy(*KEY).agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"))
+    own = sources.hinted().select(F.col("source").alias("own"), F.col("size").alias("source_size"), "target")
+    per = sized.join(own, F.col("source").eqNullSafe(F.col("own"))).join(taken, KEY, "left")
+    return per.select(F.col("id").alias(id_col), "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot"), pieces
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each pass that takes words of a document.
+    """The mix as documents, in the order of the schedule: a row for each pass that takes words of a document.
 
     Rows have the columns of docs. A document that is taken in part keeps its
-    text up to the last word taken; whole ones keep their whole text. n_chars,
-    if there, follows the text.
+    text from the first word taken up to the last; whole ones keep their whole
+    text. n_chars, if there, follows the text. Rows come in the order of the first
+    slot that takes of them.
     """
-    per, _ = mix(docs)
-    kept = per.where("taken > 0").select("doc_id", "size", "source", "taken").dropDuplicates(["doc_id", "size", "source"])
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("taken").alias("_taken"))
-    same = docs["doc_id"].eqNullSafe(kept["_id"]) & docs["source"].eqNullSafe(kept["_source"])
-    rows = docs.join(kept, same & (words_of(docs["text"]) == kept["_size"]))
-    shares = F.when(F.col("_taken") > F.col("_size"), F.array(F.col("_size"), F.col("_taken") - F.col("_size"))).otherwise(F.array("_taken"))
-    rows = rows.withColumn("_words", F.explode(shares))
-    # Up to the end of word number _words: what lies before the first of the words after it.
+    _, pieces = mix(docs, same=docs.columns)
+    parts = written(pieces.groupBy(*KEY, "pass").agg(F.min("slot").alias("slot"), F.min("first").alias("first"), F.sum("taken").alias("taken")), "parts")
+    # Everything of docs in one column, so that no name of its can clash.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"), *hashes(docs, docs.columns))
+    if not parts.where("nth > 0").isEmpty():
+        rows = rows.groupBy("k1", "k2").agg(F.first("row").alias("row"), F.first("text").alias("text"))  # equal in everything
+    rows = rows.join(parts, ["k1", "k2"])
+    # Up to the end of the last word taken: what lies before each word goes with it.
     begins = F.regexp_extract_all("text", F.lit(f"(\\s*{WORD})"), F.lit(1))
-    part = F.array_join(F.slice(begins, F.lit(1), F.col("_words").cast("int")), "")
-    text = F.when(F.col("_words") < F.col("_size"), part).otherwise(F.col("text"))
-    out = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return rows.select(*[(out[c] if out.get(c) is not None else docs[c]).alias(c) for c in docs.columns])
+    part = F.array_join(F.slice(begins, F.col("first").cast("int") + 1, F.col("taken").cast("int")), "")
+    rows = rows.withColumn("new", F.when((F.col("first") > 0) | (F.col("taken") < words_of(F.col("text"))), part).otherwise(F.col("text")))
+    rows = rows.orderBy("slot", "pass", *KEY)
+    length = lambda c: F.length("new").cast(docs.schema[c].dataType)
+    return rows.select(*[(F.col("new") if c == "text" else length(c) if c == "n_chars" else F.col("row")[c]).alias(c) for c in docs.columns])

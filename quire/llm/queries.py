@@ -38,7 +38,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     per, _ = mix(table(spark, sf_dir, "documents"))
-    return per.select("doc_id", "size", "source_size", "target", "taken")
+    return per.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 #: Fixed value: the rules that the query judges by.
@@ -127,6 +127,29 @@ ORACLE_SQL = {
         reach(r, other) AS (SELECT r, r FROM sets UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.other),
         parts AS (SELECT reach.r, min(sets.doc_id) AS component_id FROM reach JOIN sets ON sets.r = reach.other GROUP BY reach.r)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM sets JOIN parts USING (r)""",
+    "op5_source_mix": r"""
+        WITH RECURSIVE sized AS (SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size,
+            row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS nth FROM documents),
+        sources AS (SELECT source, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no, count(*) AS n, CAST(sum(size) AS BIGINT) AS size FROM sized GROUP BY source),
+        alloc(round, no, size, w, target, rest) AS (
+            SELECT 0, no, size, [5.0::DOUBLE, 2.0, 1.0][no % 3 + 1], CASE WHEN size = 0 THEN 0.0::DOUBLE END, 1.5::DOUBLE * sum(size) OVER () FROM sources
+            UNION ALL SELECT round + 1, no, size, w, CASE WHEN target IS NOT NULL THEN target WHEN part > 2 * size THEN 2.0::DOUBLE * size WHEN stopped = 0 THEN part END, rest - stopped
+            FROM (SELECT *, coalesce(sum(CASE WHEN target IS NULL AND part > 2 * size THEN 2.0::DOUBLE * size END) OVER (), 0) AS stopped
+                FROM (SELECT *, rest * w / sum(CASE WHEN target IS NULL THEN w END) OVER () AS part, count(*) FILTER (target IS NULL) OVER () AS free FROM alloc) WHERE free > 0)),
+        goals AS (SELECT no, source, sources.size AS source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM alloc JOIN sources USING (no) WHERE round = (SELECT max(round) FROM alloc)),
+        quotas AS (SELECT *, (goal + 255) // 256 AS quota, CAST(sum((goal + 255) // 256) OVER (ORDER BY no) AS BIGINT) AS hi, CAST(sum((goal + 255) // 256) OVER () AS BIGINT) AS blocks FROM goals),
+        slots AS (SELECT k, CAST((((k + 1)::HUGEINT * 2850178704830799621) % 4611686018427387904) * blocks // 4611686018427387904 AS BIGINT) AS place
+            FROM (SELECT DISTINCT blocks, unnest(range(2 * blocks + 64)) AS k FROM quotas)),
+        ranked AS (SELECT no, k, quota, row_number() OVER (PARTITION BY no ORDER BY k) - 1 AS rank FROM slots JOIN quotas ON place >= hi - quota AND place < hi),
+        passes AS (SELECT sized.*, no, goal, unnest(CASE WHEN goal > source_size THEN [0, 1] ELSE [0] END) AS pass FROM sized JOIN quotas ON sized.source IS NOT DISTINCT FROM quotas.source WHERE size > 0),
+        stream AS (SELECT doc_id, nth, size, source, no, goal, pass, sum(size) OVER (PARTITION BY no ORDER BY pass, CAST('0x' || substr(md5(concat_ws(':', pass, doc_id, size, nth)), 1, 15) AS BIGINT)) - size AS spot FROM passes),
+        parts AS (SELECT *, least(spot + size, goal) - spot AS words FROM stream WHERE spot < goal),
+        taken AS (SELECT doc_id, source, nth, size, CAST(sum(words) AS BIGINT) AS taken FROM parts GROUP BY ALL),
+        firsts AS (SELECT doc_id, parts.source, nth, size, min(k) AS first_slot FROM parts JOIN ranked ON ranked.no = parts.no AND rank BETWEEN spot // 256 AND (spot + words - 1) // 256 AND rank < quota GROUP BY ALL)
+        SELECT sized.doc_id, CAST(sized.size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken, first_slot FROM sized
+        JOIN goals ON sized.source IS NOT DISTINCT FROM goals.source
+        LEFT JOIN taken ON taken.doc_id = sized.doc_id AND taken.source IS NOT DISTINCT FROM sized.source AND taken.nth = sized.nth AND taken.size = sized.size
+        LEFT JOIN firsts ON firsts.doc_id = sized.doc_id AND firsts.source IS NOT DISTINCT FROM sized.source AND firsts.nth = sized.nth AND firsts.size = sized.size""",
     "op6_url_filter": r"""
         WITH parts AS (
             SELECT page_id, coalesce(lower(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1)), '') AS host,

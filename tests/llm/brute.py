@@ -98,3 +98,53 @@ def quality(text):
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
     again = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again)
+
+
+def allot(sizes, weights, share=1.5, most=2):
+    """Targets: share times all sizes by weight, none above most times its size."""
+    targets, free, left = [0.0] * len(sizes), [i for i, n in enumerate(sizes) if n > 0], share * sum(sizes)
+    while free:
+        whole = sum(weights[i] for i in free)
+        over = [i for i in free if left * weights[i] / whole > most * sizes[i]]
+        for i in over or free:
+            targets[i] = float(most * sizes[i]) if over else left * weights[i] / whole
+        left -= sum(targets[i] for i in over)
+        free = [i for i in free if i not in over] if over else []
+    return targets
+
+
+def mixed(rows, golden, block=256, weights=(5, 2, 1)):
+    """rows: (id, source, text). For each row (size, source_size, target, taken, first_slot), and the words taken of it in each pass."""
+    size = [len((t or "").encode().split()) for _, _, t in rows]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for n, r in zip(size, rows, strict=True) if r[1] == s) for s in names]
+    targets = allot(sizes, [weights[i % len(weights)] for i in range(len(names))])
+    goals = [int(t + 0.5) for t in targets]
+    quotas = [-(-g // block) for g in goals]
+    blocks, owner = sum(quotas), [i for i, q in enumerate(quotas) for _ in range(q)]
+    slots = [[] for _ in names]
+    for k in range(2 * blocks + 64 if blocks else 0):
+        i = owner[((k + 1) * golden % (1 << 62)) * blocks >> 62]
+        if len(slots[i]) < quotas[i]:
+            slots[i].append(k)
+    assert [len(x) for x in slots] == quotas
+    seen, order = Counter(), []
+    for n, (i, s, t) in enumerate(rows):
+        order.append(seen[(i, s, t)])
+        seen[(i, s, t)] += 1
+    taken, first, parts = [0] * len(rows), [None] * len(rows), [[] for _ in rows]
+    for no, s in enumerate(names):
+        own = [n for n, r in enumerate(rows) if r[1] == s and size[n]]
+        at = 0
+        for turn in (0, 1) if goals[no] > sizes[no] else (0,):
+            place = lambda n: hashlib.md5(":".join(str(x) for x in (turn, rows[n][0], size[n], order[n]) if x is not None).encode()).hexdigest()[:15]  # noqa: B023, E731
+            for n in sorted(own, key=place):
+                words = max(0, min(at + size[n], goals[no]) - at)
+                if words:
+                    taken[n] += words
+                    parts[n].append(words)
+                    met = slots[no][at // block : (at + words - 1) // block + 1]
+                    first[n] = min([*met, *([] if first[n] is None else [first[n]])])
+                at += size[n]
+    by = dict(zip(names, zip(sizes, targets, strict=True), strict=True))
+    return [(size[n], *by[r[1]], taken[n], first[n]) for n, r in enumerate(rows)], parts

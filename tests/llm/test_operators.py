@@ -227,49 +227,65 @@ def test_pieces_match_the_library(spark):
 # ---- 5 ----
 
 
-def test_targets():
-    assert mixing.allot([10, 10, 10], [1, 1, 1]) == [15.0, 15.0, 15.0]
-    capped = mixing.allot([10, 100, 100], [5, 2, 1])
-    assert capped == pytest.approx([20, 295 * 2 / 3, 295 / 3])
-    assert mixing.allot([10, 60, 1000], [5, 2, 1]) == pytest.approx([20, 120, 1465])
-    assert mixing.allot([], []) == [] and mixing.allot([0, 0], [1, 1]) == [0, 0]
-    assert mixing.allot([10, 0], [1, 5]) == [15.0, 0.0]
+def test_targets(spark):
+    def targets(sizes, weights):
+        rows = [(f"s{i:03d}", n) for i, n in enumerate(sizes)]
+        found = mixing.source_targets(spark.createDataFrame(rows, "source string, size long"), weights=tuple(weights)).table
+        return [r.target for r in found.orderBy("source_no").collect()]
+
+    assert targets([10, 10, 10], [1, 1, 1]) == [15.0, 15.0, 15.0]
+    assert targets([10, 100, 100], [5, 2, 1]) == pytest.approx([20, 295 * 2 / 3, 295 / 3])
+    assert targets([10, 60, 1000], [5, 2, 1]) == pytest.approx([20, 120, 1465])
+    assert targets([], [1]) == [] and targets([0, 0], [1, 1]) == [0, 0] and targets([10, 0], [1, 5]) == [15.0, 0.0]
+    rng = random.Random(2)
+    sizes = [rng.randrange(3) * rng.randrange(10 ** rng.randrange(1, 6)) for _ in range(200)]
+    assert targets(sizes, mixing.WEIGHTS) == brute.allot(sizes, [mixing.WEIGHTS[i % 3] for i in range(200)])
 
 
 def test_mix(spark):
     rng = random.Random(3)
-    texts = [" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(400))) for _ in range(300)] + [None, "", " \n "]
-    sources = [rng.choice(["a", "a", "a", "a", "b", "c", "é", None]) for _ in texts]
-    df = docs(spark, texts, [*range(len(texts) - 1), 0], sources)
+    texts = [" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(400))) for _ in range(300)] + [None, "", " \n ", *["one two  three\n"] * 40, "x " * 9000, "y z"]
+    sources = [rng.choice(["a", "a", "a", "a", "b", "c", "é", None]) for _ in range(303)] + ["b"] * 40 + ["a", "tiny"]
+    ids = [*range(303), *[5] * 20, *[None] * 20, 7, 7]
+    df = docs(spark, texts, ids, sources)
+    want, parts = brute.mixed(list(zip(ids, sources, texts, strict=True)), mixing.GOLDEN)
     per, pieces = mixing.mix(df)
-    got = per.collect()
-    assert len(got) == len(texts)
-    sizes = {}
-    for t, s in zip(texts, sources, strict=True):
-        sizes[s] = sizes.get(s, 0) + len((t or "").split())
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    targets = dict(zip(order, mixing.allot([sizes[s] for s in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))]), strict=True))
-    taken = {}
-    for r in got:
-        assert r.source_size == sizes[r.source] and r.target == pytest.approx(targets[r.source]) and 0 <= r.taken <= 2 * r.size
-        taken[r.source] = taken.get(r.source, 0) + r.taken
-    assert taken == {s: round(t) for s, t in targets.items()}
-    assert rows(per, *per.columns) == rows(mixing.mix(df)[0], *per.columns)  # reruns agree
+    columns = ["doc_id", "source", "size", "source_size", "target", "taken", "first_slot"]
+    assert rows(per, *columns) == sorted(((i, s, *w) for i, s, w in zip(ids, sources, want, strict=True)), key=str)
+    assert rows(per, *columns) == rows(mixing.mix(df.repartition(7))[0], *columns)  # reruns agree
     slots = pieces.groupBy("slot").agg(F.sum("taken").alias("n")).collect()
     assert max(r.n for r in slots) <= mixing.BLOCK_WORDS
-    out = mixing.mixed_documents(docs(spark, texts, sources=sources, clash=False))
-    assert out.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert sum(len(r.text.split()) for r in out.collect()) == sum(round(t) for t in targets.values())
-    assert mixing.mix(df.limit(0))[0].count() == 0
+    # The documents of the mix: the words taken, repeated rows on their own, in the order of the schedule.
+    out = mixing.mixed_documents(df)
+    assert out.columns == [*[c.split()[0] for c in DOCS.split(", ")], *CLASHES]
+    got = out.collect()
+    cut = lambda t, n: t if n == len(t.split()) else re.match(rf"(\s*\S+){{{n}}}", t)[0]
+    made = [(i, cut(t, n)) for i, t, p in zip(ids, texts, parts, strict=True) for n in p]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(made, key=str)
+    assert all(r.n_chars == len(r.text) and r.key == "x" for r in got)
+    first = {(i, s): w[4] for i, s, w in zip(ids, sources, want, strict=True)}
+    lead = [first[r.doc_id, r.source] for r in got if ids.count(r.doc_id) == 1 and len(parts[ids.index(r.doc_id)]) == 1]
+    assert lead == sorted(lead) and len(lead) > 30
+    assert mixing.mix(df.limit(0))[0].count() == 0 and mixing.mixed_documents(df.limit(0)).count() == 0
 
 
 def test_schedule_spreads_sources(spark):
-    slots = mixing.schedule(spark.range(1), [256 * 300.0, 256 * 100.0]).orderBy("slot").collect()
-    assert len(slots) == 400
+    sized = spark.createDataFrame([("a", 256 * 300), ("b", 256 * 100), ("c", 1)], "source string, size long")
+    sources = mixing.source_targets(sized, weights=(3, 1, 1), share=1)
+    slots = mixing.schedule(sized, sources).orderBy("slot").collect()
+    assert sources.blocks == len(slots) and sorted(r.source_no for r in slots)[-1] == 2
     for k in range(0, 400, 40):
         assert 28 <= sum(r.source_no == 0 for r in slots[k : k + 40]) <= 32
 
 
+def test_points_are_exact(spark):
+    ks = [0, 1, 2, 12345, 2**31 - 2, 2**31, 2**40 + 7, 10**15, 2**61 - 5]
+    got = spark.createDataFrame([(k,) for k in ks], "k long").select("k", *[mixing.place_of(F.col("k"), n).alias(f"n{n}") for n in (1, 7, 10**17)]).collect()
+    for r in got:
+        for n in (1, 7, 10**17):
+            assert r[f"n{n}"] == ((r.k + 1) * mixing.GOLDEN % (1 << 62)) * n >> 62
+
+
 # ---- 6 ----
 
 
