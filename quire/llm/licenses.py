@@ -6,22 +6,27 @@ notice that is wrapped over lines nor one beside other text is lost; a window
 has room for WINDOW words before and after a line end. Of those that overlap,
 the one most like a template counts, and the shortest of equal ones.
 
-A line or window becomes its set of word one- and two-grams. A sparse multinomial logistic regression over the n-grams of the templates gives
-each licence family, and a class for everything else, a probability; it is
-fitted here, on the templates with words dropped and foreign words put around
-them, and on a bounded sample of the corpus's own paragraphs that share nothing
-characteristic with a template. N-grams of that sample carry no weight. A line
-or window whose best family has less than a calibrated probability, the lowest
-that keeps PRECISION on held-out lines, is of unknown licence. A family is
-confirmed if the line or window holds enough of the n-grams of one of its
-templates.
+A line or window becomes its set of word one- and two-grams. A sparse multinomial
+logistic regression over the n-grams of the templates gives each licence family,
+one class for notices of other licences (unknown) and one for everything else
+(other) a probability. It is fitted here, on fixed texts alone: the templates and
+UNKNOWN_NOTICES with words dropped and foreign words put around them, and
+ORDINARY text with loose words of templates in it. N-grams of ORDINARY text carry
+no weight. No row of the corpus is used, so the scanner is the same for all of
+them. HELD_OUT notices, wordings that are in no template, calibrate it: the
+threshold is the lowest probability from which families are right in PRECISION
+of them, with notices of other licences among them; 1.0, which names no family,
+if none is. A line or window whose best class is unknown, or whose best family
+stays under the threshold, is of unknown licence. A family is confirmed if the
+line or window holds enough of the n-grams of one of its templates.
 
 Scoring is DataFrame expressions alone: no Python runs on the executors. The
 fitted weights are literals, their number bounded by the templates.
 
 Rows: one output row per input row. A null or empty text has no paragraphs.
-Repeated rows get equal results; extra columns are ignored; an empty table
-gives an empty result. Texts are read whole.
+Repeated rows get equal results; extra columns, whatever their names, are
+ignored; an empty table gives an empty result. Of overlapping windows that tie,
+the first counts. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -68,12 +73,56 @@ TEMPLATES = {
     "public-domain": ("This work is dedicated to the public domain under CC0 1.0 Universal.",),
     "proprietary": ("All rights reserved.", "Copyright, all rights reserved. Unauthorized copying of this file is strictly prohibited."),
 }
+#: Other wordings of the families' notices, which no fit sees.
+HELD_OUT = {
+    "apache": ("This file is made available under the Apache License, Version 2.0; see the file LICENSE.", "Distributed under the terms of the Apache License 2.0."),
+    "gpl": ("This library is released under the GNU General Public License, version 2 or any later version.", "You may redistribute and modify this under the terms of the GNU General Public License as published by the Free Software Foundation."),
+    "mit": ("The code is distributed under the MIT License.", "This project is licensed under the terms of the MIT License."),
+    "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source or binary forms are permitted provided that the following conditions are met."),
+    "mpl": ("This file is subject to the Mozilla Public License, version 2.0.",),
+    "cc-by-nc": ("The text is available under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under CC BY-NC 4.0."),
+    "cc-by": ("The text is available under CC BY 4.0.", "This article is distributed under the Creative Commons Attribution 4.0 International License."),
+    "public-domain": ("The author has dedicated this work to the public domain under CC0 1.0.",),
+    "proprietary": ("Copyright by the author, all rights reserved.",),
+}
+#: Notices of licences that have no family; the fit sees every other one.
+UNKNOWN_NOTICES = (
+    "Licensed under the European Union Public Licence, version 1.2.", "Licensed under the EUPL, version 1.2 only.",
+    "This software is provided as is, without any express or implied warranty.", "The software comes as is, without express or implied warranty of any kind.",
+    "Distributed under the Boost Software License, Version 1.0.", "This library is under the Boost Software License.",
+    "Licensed under the Eclipse Public License, version 2.0.", "Made available under the terms of the Eclipse Public License.",
+    "Licensed under the Artistic License 2.0.", "You may use this under the terms of the Artistic License.",
+    "Released under the zlib License.", "This code is licensed under the zlib License.",
+    "Data are licensed under the Open Database License.", "Available under the Open Database License, version 1.0.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.",
+    "Licensed under CC BY-ND 4.0.", "The text is under a Creative Commons Attribution-NoDerivatives 4.0 License.",
+    "SPDX-License-Identifier: EPL-2.0", "SPDX-License-Identifier: ISC",
+    "Everyone is permitted to copy and distribute verbatim copies of this license document.", "Permission to use, copy and distribute verbatim copies of this document is granted.",
+)
+#: Notices of licences of which the fit sees none.
+UNSEEN_NOTICES = (
+    "Licensed under the ISC License.", "Released under the SIL Open Font License, Version 1.1.", "Licensed under the Microsoft Public License.", "This file is licensed under the Elastic License 2.0.",
+    "Licensed under the Universal Permissive License v 1.0.", "Distributed under the terms of the Server Side Public License, version 1.", "Released under the Unlicense.", "This package is under the Academic Free License, version 3.0.",
+    "You may use this file under the terms of the Common Development and Distribution License.", "SPDX-License-Identifier: AFL-3.0",
+)
+#: Sentences that are no notices, some of them about licences.
+ORDINARY = (
+    "The author of this work lives in the city and has written for many years.", "You can use the tool in the kitchen, but it may not be safe for any person who is new to it.",
+    "A licence to drive is granted to those who pass the test.", "The following is a list of the files in the source of the program.", "We may copy or use what is in the public library.",
+    "This is the version that was published in the first year of the war.", "Under the terms of the treaty the land was returned to its owners.", "The software runs on any machine with enough memory.",
+    "She asked for permission to leave, and it was granted by the court.", "The rights of the people are in the law of the country.", "The form of the river is subject to change, and so are the conditions on it.",
+    "It is strictly a matter of taste, as he said.", "By the end of the day the work had been done with the means that were at hand.", "With or without him, they would go on.",
+    "No one knows if the document is the original or a copy of it.", "Free of charge means that you do not pay for it.", "The general of the army was dedicated to his men.", "International trade in common goods has grown.",
+    "Er ging mit dem Hund in die Stadt und kam mit der Bahn zur Arbeit, wie es in der Union Brauch ist.", "Sie sprach mit ihm und mit allen anderen, die da waren.", "Les data de la base sont dans le service, avec les formes du mot et de la version.",
+    "La version de los datos es de la base y se usa en el servicio con todas las formas.", "Everyone met at the open door of the union and went to the database of the European museum.", "The express train provided seats, and copies of the data were released to the press.",
+    "To obtain the data, go to the documentation and open the forms to the left.", "They distribute food to the poor and modify the menu to the season.", "It is implied that the warranty is met by the artistic director.", "He was permitted to copy it, and to the end he kept copying.",
+    "An eclipse of the sun was seen on the 3 of May, and it gave a boost to tourism.", "The binary star moves to the north without restriction, and with all its modification.", "The attribution of the painting is open, and so is the compliance of the seller.",
+    "All of them were in the domain of the king.", "The code of the law must be read as it is published.", "To deal with the matter we have to look at all that is associated with it.", "The source of the river is in the mountains, and its form is that of a lake.",
+    "Creative people have all sorts of ideas, and universal ones at that.", "He obtained a file and a saw, and modified the lock.", "The foundation of the house is made of stone.", "Any work of this kind is prohibited on that day except in the morning.",
+)
 OTHER = "other"
+UNKNOWN = "unknown"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Paragraphs of the corpus that the fit may use, in the order of a hash.
-BACKGROUND = 2_000
-#: Documents, in the order of a hash of their id, that these are taken from.
-BACKGROUND_DOCS = 400
 COPIES = 60
 PRECISION = 0.99
 #: Share of a template's n-grams that confirms its family.
@@ -99,7 +148,7 @@ def grams_of(words: Column) -> Column:
 class Scanner:
     families: list[str]
     vocabulary: list[str]
-    weights: np.ndarray  # (n-grams, families); OTHER is the last and 0 for n-grams
+    weights: np.ndarray  # (n-grams, classes): the families, UNKNOWN, OTHER
     bias: np.ndarray
     threshold: float
 
@@ -124,57 +173,47 @@ def _fitted(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 400, rate:
     return w, b
 
 
-def fit(docs: DataFrame, background: int = BACKGROUND, background_docs: int = BACKGROUND_DOCS) -> Scanner:
-    """Fit on the templates and at most background paragraphs of at most background_docs documents."""
-    some = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
-    order = F.xxhash64("doc_id")
-    picked = docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(order, "doc_id").limit(background_docs)
-    lines = some.join(F.broadcast(picked), "doc_id").select(F.explode(F.split("text", "\n")).alias("line"))
-    # The head of a paragraph is enough of an example.
-    lines = lines.where(F.length(F.trim("line")) > 0).select(F.substring("line", 1, 400).alias("line")).distinct()
-    others = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(background).collect()]
-    families = [*TEMPLATES, OTHER]
-    templates = [(n, t) for n, f in enumerate(families[:-1]) for t in TEMPLATES[f]]
-    telling = {g for _, t in templates for g in grams(t) if re.search("licen|copyright|apache|gnu|spdx|mozilla|redistrib|permission|rights|domain|creative|cc", g)}
-    others = [x for x in others if not grams(x) & telling]
-    common = {g for x in others[::2] for g in grams(x)}
-    vocabulary = sorted({g for _, t in templates for g in grams(t)} - common)
+def fit() -> Scanner:
+    """Fit on the fixed texts above; the same in every run."""
+    classes = [*TEMPLATES, UNKNOWN, OTHER]
+    notices = [(n, t) for n, f in enumerate(TEMPLATES) for t in TEMPLATES[f]] + [(len(TEMPLATES), t) for t in UNKNOWN_NOTICES[::2]]
+    common = {g for x in ORDINARY for g in grams(x)}
+    vocabulary = sorted({g for _, t in notices for g in grams(t)} - common)
     column = {g: i for i, g in enumerate(vocabulary)}
     rng = np.random.default_rng(17)
-    words = [w for x in others[::2] for w in x.split()[:40]] or ["text"]
+    words = [w for x in ORDINARY for w in x.split()]
     texts, labels = [], []
-    for n, t in templates:
+    for n, t in notices:
         for k in range(COPIES):
             own = [w for w in t.split() if k == 0 or rng.random() > 0.12]
             around = rng.choice(words, 12).tolist() if k % 2 else []
             texts.append(" ".join([*around[:6], *own, *around[6:]]))
             labels.append(n)
-    # Other paragraphs: the corpus's, and loose words of templates.
-    loose = [w for _, t in templates for w in t.split()]
-    for k in range(max(COPIES, len(others))):
+    # Everything else: ordinary sentences, and loose words of notices among them.
+    loose = [w for _, t in notices for w in t.split()]
+    for k in range(8 * COPIES):
         extra = rng.choice(loose, int(rng.integers(0, 3))).tolist()
-        texts.append(" ".join([others[k] if k < len(others) else "", *extra]))
-        labels.append(len(families) - 1)
-    x = np.zeros((len(texts), len(vocabulary)))
-    for r, t in enumerate(texts):
-        x[r, [column[g] for g in grams(t) if g in column]] = 1
-    y = np.array(labels)
-    held = np.arange(len(texts)) % 4 == 3
-    w, b = _fitted(x[~held], y[~held], len(families))
-    z = x[held] @ w + b
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    best, guess = p[:, :-1].max(1), p[:, :-1].argmax(1)
-    threshold = 0.5
-    for t in np.arange(0.5, 1.0, 0.01):
-        over = best >= t
-        if not over.any() or (guess[over] == y[held][over]).mean() >= PRECISION:
-            threshold = float(t)
-            break
+        texts.append(" ".join([ORDINARY[k % len(ORDINARY)], *extra]))
+        labels.append(len(classes) - 1)
+    w, b = _fitted(_matrix(texts, column), np.array(labels), len(classes))
     if (p_none := np.exp(b) / np.exp(b).sum())[-1] <= 0.5:
         raise RuntimeError(f"the fit takes {p_none[-1]:.2f} of paragraphs without evidence for other")
+    held = [(n, t) for n, f in enumerate(TEMPLATES) for t in HELD_OUT[f]] + [(len(TEMPLATES), t) for t in (*UNKNOWN_NOTICES[1::2], *UNSEEN_NOTICES)]
+    z = _matrix([t for _, t in held], column) @ w + b
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    guess, truth = p[:, :-1].argmax(1), np.array([n for n, _ in held])
+    best = np.where(guess < len(TEMPLATES), p.max(1), 0.0)
+    threshold = next((float(t) for t in np.arange(0.5, 1.0, 0.01) if (over := best >= t).any() and (guess[over] == truth[over]).mean() >= PRECISION), 1.0)
     used = np.flatnonzero(np.abs(w).sum(1) > 0)
-    return Scanner(families, [vocabulary[i] for i in used], w[used], b, threshold)
+    return Scanner(classes, [vocabulary[i] for i in used], w[used], b, threshold)
+
+
+def _matrix(texts: list[str], column: dict[str, int]) -> np.ndarray:
+    x = np.zeros((len(texts), len(column)))
+    for r, t in enumerate(texts):
+        x[r, [column[g] for g in grams(t) if g in column]] = 1
+    return x
 
 
 def _words(text: Column) -> Column:
@@ -224,7 +263,7 @@ def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     hit = hit.select("row", "doc_id", "mark", "paragraph", F.inline(_windows(F.col("lines"), vocabulary, known)))
     hit = written(hit.withColumn("n", F.size("grams")), "windows")
     key = ["row", "doc_id", "mark", "paragraph", "first", "last", "n"]
-    named = scanner.families[:-1]
+    named = scanner.families[: len(TEMPLATES)]
     templates = [(f, grams(t)) for f in named for t in TEMPLATES[f]]
     weights = dict(zip(scanner.vocabulary, scanner.weights.tolist(), strict=True))
     classes = len(scanner.families)
@@ -250,7 +289,7 @@ def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     likeness = F.transform(shares, lambda x, n: 2 * x * F.get(sizes, n) / (F.col("n") + F.get(sizes, n)))
     met = met.withColumn("similarity", F.array_max(shares)).withColumn("likeness", F.array_max(likeness))
     names = F.array(*[F.lit(f) for f in named])
-    met = met.withColumn("family", F.when(F.col("probability") >= scanner.threshold, F.get(names, F.col("likeliest"))).otherwise("unknown"))
+    met = met.withColumn("family", F.when((F.col("likeliest") < len(named)) & (F.col("probability") >= scanner.threshold), F.get(names, F.col("likeliest"))).otherwise("unknown"))
     met = met.withColumn("confirmed", (F.col("family") != "unknown") & (F.col("similarity") >= CONFIRMED))
     # Confirmed ones first, by their likeness; the others by their lines.
     order = F.struct((~F.col("confirmed")).alias("a"), F.when(F.col("confirmed"), -F.round("likeness", 9)).alias("b"), (F.col("last") - F.col("first")).alias("c"), F.col("first").alias("d"))

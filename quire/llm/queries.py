@@ -16,8 +16,7 @@ def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import fit, scan
 
-    docs = table(spark, sf_dir, "documents")
-    return scan(docs, fit(docs))
+    return scan(table(spark, sf_dir, "documents"), fit())
 
 
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,11 +131,28 @@ def test_licences(spark):
     notes = {"apache": "Licensed under the Apache License, Version 2.0.", "gpl": "This work is licensed under the GNU General Public License, version 3.", "mit": "Released under the MIT License.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
     texts = plain + [f"{p}\n{t}" for p, t in zip(plain, notes.values(), strict=False)] + [None, "", "the licence of poets", *[notes["mit"]] * 2]
     df = docs(spark, texts)
-    got = [r for r in licenses.scan(df, licenses.fit(df)).orderBy("doc_id").collect()]
+    got = [r for r in licenses.scan(df, licenses.fit()).orderBy("doc_id").collect()]
     assert [r.families for r in got] == [""] * 40 + list(notes) + ["", "", "", "mit", "mit"]
     assert all(r.n_confirmed == (r.families != "") for r in got)
     empty = docs(spark, ["a"]).limit(0)
-    assert licenses.scan(empty, licenses.fit(empty)).count() == 0
+    assert licenses.scan(empty, licenses.fit()).count() == 0
+
+
+def test_other_wordings_and_other_licences(spark):
+    """Held-out wordings have their family or none, licences without a family are unknown, ordinary text is nothing."""
+    scanner = licenses.fit()
+    assert 0.5 <= scanner.threshold < 1 and scanner.vocabulary == licenses.fit().vocabulary
+    held = [(t, f) for f, own in licenses.HELD_OUT.items() for t in own]
+    other = [(t, "unknown") for t in (*licenses.UNKNOWN_NOTICES[1::2], *licenses.UNSEEN_NOTICES)]
+    plain = [(t, "") for t in licenses.ORDINARY] + [("the licence of poets", ""), ("the plate of the car says AB 12", "")]
+    texts = [f"Words before it.\n\n{t}\n\nWords after it." for t, _ in held + other + plain]
+    found = licenses.paragraphs(docs(spark, texts), scanner).collect()
+    by = {r.doc_id: r.family for r in found}
+    got = [by.get(i, "") for i in range(len(texts))]
+    named = [(g, f) for g, (_, f) in zip(got, held + other + plain, strict=True) if g not in ("", "unknown")]
+    assert all(g == f for g, f in named) and len(named) >= 0.8 * len(held)
+    assert sum(g == "unknown" for g in got[len(held) : -len(plain)]) >= 0.7 * len(other)
+    assert not any(got[-len(plain) :])
 
 
 NOTICES = {
@@ -159,7 +176,7 @@ def test_wrapped_licences(spark, width):
         want += [f] * 5
     texts += [wrapped["mit"] + "\n" + wrapped["gpl"], wrapped["bsd"] + "\n \n" + wrapped["bsd"], "Released under the MIT License.\nReleased under the MIT License.\n" + wrapped["gpl"], wrapped["mit"].replace("\n", "\n\n").partition(" any")[0]]
     df = docs(spark, texts)
-    got = [(r.families, r.n_licences, r.n_confirmed) for r in licenses.scan(df, licenses.fit(df)).orderBy("doc_id").collect()]
+    got = [(r.families, r.n_licences, r.n_confirmed) for r in licenses.scan(df, licenses.fit()).orderBy("doc_id").collect()]
     assert got[:60] == [(w, *[int(w != "")] * 2) for w in want]
     assert got[60:63] == [("gpl,mit", 2, 2), ("bsd", 2, 2), ("gpl,mit", 3, 3)]
     assert got[63][2] == 0
