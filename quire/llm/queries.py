@@ -50,15 +50,17 @@ URL_RULES = [
 ]
 
 
-#: Fixed value: hosts with one of these names are blocked where no rule holds.
-URL_TERMS = ("ads", "adult", "bets", "betting", "casino", "pills", "poker", "porn", "spam", "xxx")
+#: The outside list has every domain that two of these words name, whatever the corpus holds.
+LIST_FIRST = ("ads", "adult", "best", "buy", "casino", "cheap", "free", "hot", "loan", "poker", "spam", "win")
+LIST_SECOND = ("bets", "bonus", "cash", "deal", "farm", "loans", "pills", "porn", "track", "win", "x", "xxx")
+LIST_DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .urlfilter import hosts_with_terms, judge_urls
+    from .urlfilter import judge_urls
 
-    pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, URL_RULES, hosts_with_terms(pages, URL_TERMS))
+    listed = spark.createDataFrame([(f"{a}-{b}.{d}/",) for a in LIST_FIRST for b in LIST_SECOND for d in LIST_DOMAINS], "key string")
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +160,14 @@ ORACLE_SQL = {
             ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         met AS (
             SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(rules.verdict, length(h || p)) AS verdict
-            FROM parts JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id)
-        SELECT parts.page_id, host, path, rule, coalesce(verdict, CASE WHEN path <> '' AND
-            regexp_matches(host, '(^|[.-])(ads|adult|bets|betting|casino|pills|poker|porn|spam|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-        FROM parts LEFT JOIN met ON parts.page_id = met.page_id""",
+            FROM parts JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY page_id),
+        listed AS (SELECT a || '-' || b || '.' || d AS name FROM
+            (SELECT unnest(['ads', 'adult', 'best', 'buy', 'casino', 'cheap', 'free', 'hot', 'loan', 'poker', 'spam', 'win']) AS a),
+            (SELECT unnest(['bets', 'bonus', 'cash', 'deal', 'farm', 'loans', 'pills', 'porn', 'track', 'win', 'x', 'xxx']) AS b),
+            (SELECT unnest(['example.com', 'example.net', 'example.org']) AS d)),
+        blocked AS (SELECT DISTINCT page_id FROM parts JOIN listed ON host = name OR host LIKE '%.' || name WHERE path <> '')
+        SELECT parts.page_id, host, path, rule, coalesce(verdict, CASE WHEN blocked.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM parts LEFT JOIN met ON parts.page_id = met.page_id LEFT JOIN blocked ON parts.page_id = blocked.page_id""",
     "op7_embedding_dedup": r"""
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0

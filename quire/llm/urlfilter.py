@@ -13,7 +13,10 @@ of its host with each leading part of its path; the longest rule listed wins.
 
 Rows: one output row per input row. A url that is null or lacks "://" has an
 empty host and path and meets no rule. Repeated rows are judged alike, extra
-columns are dropped, an empty table gives an empty result.
+columns, whatever their names, are dropped, an empty table gives an empty result.
+Two rules never tie: of those that hold for a url the longer wins, and two of one
+host and path must have one verdict. Urls are read whole, however long: one asks
+for as many keys as its host has labels, times the slashes of the deepest rule.
 """
 
 from __future__ import annotations
@@ -31,9 +34,8 @@ from pyspark.sql import functions as F
 from .common import require, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: All bitmaps of one cascade together; a larger list is joined instead.
+#: All bitmaps of one cascade together, as they are in every worker; a larger list is joined instead.
 MOST_BYTES = 64 << 20
-MOST_LEVELS = 64
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,7 +59,7 @@ class Level:
     seed: int
     bits: int
     hashes: int
-    words: np.ndarray = field(repr=False, default=None)
+    data: bytes = field(repr=False, default=b"")
 
     def positions(self, key: str) -> list[int]:
         h = xxhash.xxh3_128_intdigest(key, seed=self.seed)
@@ -65,8 +67,8 @@ class Level:
         return [(a + i * b) % self.bits for i in range(self.hashes)]
 
     def __contains__(self, key: str) -> bool:
-        words = self.words
-        return all(words[p >> 6] >> (p & 63) & 1 for p in self.positions(key))
+        data = self.data
+        return all(data[p >> 3] >> (p & 7) & 1 for p in self.positions(key))
 
 
 def _sized(seed: int, keys: int, rate: float) -> Level:
@@ -96,25 +98,26 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
 
 
 def _filled(keys: DataFrame, level: Level) -> Level:
-    """The level's bitmap, gathered as 64-bit words: its size is known before."""
+    """The level with its bitmap, packed; it is gathered as 64-bit words, and its size was checked before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = sorted({p for k in batch.column(0).to_pylist() for p in level.positions(k)})
-            yield pa.RecordBatch.from_arrays([pa.array([p >> 6 for p in at], pa.int64()), pa.array([p & 63 for p in at], pa.int32())], ["word", "bit"])
+            at = np.array(sorted({p for k in batch.column(0).to_pylist() for p in level.positions(k)}), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array((at & 63).astype(np.int32))], ["word", "bit"])
 
     words = keys.select("key").mapInArrow(run, "word bigint, bit int").groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    level.words = np.zeros(level.bits // 64, np.uint64)
-    rows = words.toPandas()
-    level.words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    level.words = level.words.tolist()
+    bitmap = np.zeros(level.bits // 64, "<u8")
+    for batch in words.toArrow().to_batches():
+        bitmap[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    level.data = bitmap.tobytes()
     return level
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None:
     """The cascade of the listed keys (column key) of a universe of distinct keys.
 
-    None if its bitmaps would exceed most_bytes; then use a join.
+    None if its bitmaps would exceed most_bytes; then use a join. Every level
+    halves what is left, so the levels end by themselves.
     """
     yes = written(universe.join(listed.select("key").distinct(), "key", "left_semi"), "listed")
     n_yes, n_all = yes.count(), universe.count()
@@ -126,7 +129,7 @@ def build_cascade(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST
     while n:
         level = _sized(len(levels), n, rate if not levels else 0.5)
         room -= level.bits
-        if room < 0 or len(levels) == MOST_LEVELS:
+        if room < 0:
             return None
         levels.append(_filled(ins, level))
         wrong = written(_passing(outs, level), "passing")
@@ -134,13 +137,6 @@ def build_cascade(universe: DataFrame, listed: DataFrame, most_bytes: int = MOST
     return Cascade(levels)
 
 
-def hosts_with_terms(pages: DataFrame, terms: tuple[str, ...]) -> DataFrame:
-    """Keys of the corpus's hosts that have one of the terms as a label or a hyphenated part of one."""
-    host, _ = host_and_path(F.col("url"))
-    pattern = rf"(^|[.-])({'|'.join(terms)})([.-]|$)"
-    return pages.select(host.alias("host")).distinct().where(F.col("host").rlike(pattern)).select(F.concat("host", F.lit("/")).alias("key"))
-
-
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame | None = None, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every url.
 
@@ -151,6 +147,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Data
     if any(not p.startswith("/") or not p.endswith("/") for _, _, p in rules):
         raise ValueError("the path of a rule starts and ends with a slash")
     spark = pages.sparkSession
+    if len({(h.translate(str.maketrans(UPPER, LOWER)), p) for _, h, p in rules}) < len({(v, h.translate(str.maketrans(UPPER, LOWER)), p) for v, h, p in rules}):
+        raise ValueError("two rules of one host and path have different verdicts")
     verdicts = {h.translate(str.maketrans(UPPER, LOWER)) + p: v for v, h, p in rules}
     depth = max([p.count("/") for _, _, p in rules], default=1)
     if listed is not None:

@@ -310,7 +310,7 @@ def test_urls(spark):
     urls = ["http://WWW.Example.com/en/1", "http://example.com/en/1?q", "http://a.b.net/fr/x#y", "http://a.b.net/en/x", "http://x.com", "http://spam.org/a", "http://a.spam-x.org/", "x", None, "", "a://b://c.net/es/", "http://net/es/", "http://example.com/en", "http://example.com/en/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, key string")
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-    listed = lambda: urlfilter.hosts_with_terms(df, ("spam",))
+    listed = lambda: spark.createDataFrame([("spam.org/",), ("spam-x.org/",), ("spam.org/",), ("not.asked.for/deep/path/",)], "key string")
     got = urlfilter.judge_urls(df, rules, listed())
     by = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()}
     assert by[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
@@ -322,6 +322,8 @@ def test_urls(spark):
     assert urlfilter.judge_urls(df.limit(0), rules).count() == 0
     with pytest.raises(ValueError):
         urlfilter.judge_urls(df, [("block", "a", "/x")])
+    with pytest.raises(ValueError, match="different verdicts"):
+        urlfilter.judge_urls(df, [("block", "A.com", "/"), ("allow", "a.com", "/")])
 
 
 def test_cascade_is_exact_over_its_universe(spark):
