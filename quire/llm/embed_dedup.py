@@ -1,8 +1,10 @@
 """Embedding near-duplicates: int8 tiles with rigorous bounds, exact where it matters.
 
 Equal vectors of a label are one class. The classes of a label are dealt by a
-hash into blocks of about BLOCK_ROWS, and every pair of blocks is a tile. In a
-tile each unit vector u is held as s * q with q of int8 and the exact error
+hash into blocks of at most about BLOCK_ROWS rows and BLOCK_BYTES bytes, and every
+pair of blocks is a tile. A vector goes to one tile for each block of its label,
+in the precision it came in: bytes moved grow with the number of blocks, work with
+its square, as comparing all pairs asks. In a tile each unit vector u is held as s * q with q of int8 and the exact error
 e = |u - s * q|; then |u.v - s s' q.q'| <= e (1 + e') + e', so only pairs whose
 product plus bound reaches the threshold are computed again in double precision.
 A tile returns link counts and a spanning forest of its links, never the pairs.
@@ -10,8 +12,10 @@ A tile returns link counts and a spanning forest of its links, never the pairs.
 Rows: one output row per input row. Vectors that are null, empty, zero or hold
 null or non-finite components, and rows with a null label, link with nothing.
 Vectors of different lengths do not link. Repeated rows are vectors of their
-own, linked to each other. Extra columns are ignored; an empty table gives an
-empty result.
+own, linked to each other. A null id is kept and is never the least of its
+component. Pairs at the threshold exactly are linked; among links that connect the
+same, which ones a forest has does not matter. Extra columns, whatever their
+names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ from .common import require, written
 from .components import components
 
 THRESHOLD = 0.98
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 16_384
+#: Of a block's vectors as a tile holds them: doubles and codes.
+BLOCK_BYTES = 16 << 20
 STRIP_ROWS = 256
 #: Room for rounding in the bound's own double arithmetic.
 SLACK = 1e-9
@@ -70,32 +76,38 @@ def _forest(n: int, pairs, weight: np.ndarray) -> tuple[np.ndarray, list[tuple[i
     for i, j in pairs:
         np.add.at(counts, i, weight[j])
         np.add.at(counts, j, weight[i])
-        while len(i):
-            apart = root[i] != root[j]
-            i, j = i[apart], j[apart]
-            if not len(i):
-                break
-            # One link for each pair of sets, then the sets are joined.
-            _, first = np.unique(np.stack([np.minimum(root[i], root[j]), np.maximum(root[i], root[j])]), axis=1, return_index=True)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        if len(i):
+            # One link for each pair of sets; of those, the ones that join sets not joined before.
+            _, first = np.unique(np.minimum(root[i], root[j]) * n + np.maximum(root[i], root[j]), return_index=True)
             for x, y in zip(i[first].tolist(), j[first].tolist(), strict=True):
-                a, b = root[x], root[y]
+                a, b = x, y
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
                 if a != b:
-                    root[root == max(a, b)] = min(a, b)
+                    root[max(a, b)] = min(a, b)
                     kept.append((x, y))
+            while (root[root] != root).any():
+                root = root[root]
     return counts, kept
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     require(vectors, "vec_id", "embedding", "label")
-    value = F.transform("embedding", lambda x: x.cast("double"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    value = F.transform("embedding", lambda x: x.cast("float" if kind == "float" else "double"))
     fine = F.col("label").isNotNull() & (F.size(value) > 0) & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), value.alias("vector"), F.coalesce(fine, F.lit(False)).alias("fine"))
     class_of = [F.xxhash64(F.lit(n), "label", F.size("vector"), "vector").alias(f"k{n}") for n in (1, 2)]
     good = rows.where("fine").select("vec_id", "label", "vector", *class_of)
     classes = good.groupBy("k1", "k2", F.col("label").cast("string").alias("label"), F.size("vector").alias("dims")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = written(classes, "classes")
-    blocks = classes.groupBy("label", "dims").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("blocks"))
+    room = F.least(F.lit(block_rows), F.greatest(F.lit(1), F.expr(f"{BLOCK_BYTES} div (12 * dims)")))
+    blocks = classes.groupBy("label", "dims").agg(F.count("*").alias("rows")).select("label", "dims", F.ceil(F.col("rows") / room).alias("blocks"))
     dealt = classes.join(blocks, ["label", "dims"]).withColumn("own", F.pmod("k1", "blocks"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tiles = tiles.select("label", "dims", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "k1", "k2", "n", "vector")
@@ -105,7 +117,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block_rows
         keys = list(zip(group["k1"].to_pylist(), group["k2"].to_pylist(), strict=True))
         order = sorted(range(len(keys)), key=lambda r: (own[r], keys[r]))  # the same forest in every run
         vector = group["vector"].combine_chunks()
-        x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)[order]
+        x = vector.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), -1)[order]
         own, n, keys = own[order], n[order], [keys[r] for r in order]
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         if lo == hi:

@@ -363,6 +363,19 @@ def test_embeddings(spark, block):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 30, 200):
+        pairs = [(x, y) for x in range(n) for y in range(x) if rng.random() < 1.5 / n]
+        some = [pairs[k::3] for k in range(3)]
+        arrays = ((np.array([p[0] for p in own], int), np.array([p[1] for p in own], int)) for own in some)
+        counts, kept = embed_dedup._forest(n, arrays, np.ones(n, int))
+        assert counts.tolist() == [sum(v in p for p in pairs) for v in range(n)] and set(kept) <= set(pairs)
+        whole, tree = ({frozenset(p) for p in own} for own in (pairs, kept))
+        parts = lambda links: brute.joined(list(range(n)), lambda i, j: frozenset((i, j)) in links)
+        assert parts(whole) == parts(tree) and len(kept) == n - len(set(parts(whole)))
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(200, 64)), rng.normal(size=(200, 64))
