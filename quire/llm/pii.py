@@ -313,7 +313,8 @@ def loose_occurrences(docs: DataFrame, sure: DataFrame, fills: DataFrame) -> Dat
     """(doc_id, mark, start, stop, kind, trust) of the words in slots of the patterns that are sure."""
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("mark", F.xxhash64("text"))
     fills = fills.join(sure, "pattern").withColumn("glued", F.col("pattern").startswith("glued:"))
-    # Only texts that hold such a pattern have their words placed.
+    # Only texts that hold such a pattern have their words placed; those that cannot are not even dealt out.
+    rows = rows.where(_may_hold(F.lower("text"), sure))
     held = fills.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
     rows = rows.join(held, rows["doc_id"].eqNullSafe(held["_id"]) & (rows["mark"] == held["_mark"]), "left_semi")
     rows = written(_placed(rows.dropDuplicates(["doc_id", "mark"]), "text", WORD, "w").select("doc_id", "mark", "w"), "words")
