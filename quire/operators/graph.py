@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 100
+from quire.scratch import written
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -64,52 +62,29 @@ def triplets(vertices: DataFrame, edges: DataFrame, *attributes: str) -> DataFra
     return rows
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table at path, and read back: what follows does not compute it again."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def connected_components(vertices: DataFrame, edges: DataFrame, scratch: str | None = None) -> DataFrame:
     """(id, component): component is the smallest id reachable. Runs a few jobs.
 
-    Stars are contracted in turns, so a path of n vertices needs about log n
-    rounds. Every round is a table in the shared checkpoint folder (or scratch),
+    Stars are contracted in turns until nothing changes; a path of n vertices needs
+    about log n rounds. Every round is a table in the shared checkpoint folder (or scratch),
     which cuts the lineage. Vertices without edges are their own component.
     """
-    base = f"{scratch or checkpoint_dir(edges)}/components-{uuid.uuid4().hex}"
     pairs = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
-    now = written(pairs.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v")).distinct(), f"{base}/0")
-    before = None
-    for n in range(1, MOST_ROUNDS + 1):
+    now = written(pairs.select(F.greatest("src", "dst").cast("long").alias("u"), F.least("src", "dst").cast("long").alias("v")).distinct(), "stars", scratch)
+    before = after = None
+    while before is None or (after != before and after[0]):
+        before = after or ()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{base}/{n}")
+        now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars", scratch)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before or not after[0]:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     labels = now.groupBy("u").agg(F.min("v").alias("m"))
     return vertices.select("id").distinct().join(labels, F.col("id") == F.col("u"), "left").select("id", F.coalesce("m", F.col("id").cast("long")).alias("component"))
 
 
-def checkpoint_dir(df: DataFrame) -> str:
-    """spark.checkpoint.dir; a session without it (a test) gets a folder of this machine."""
-    import tempfile
-
-    conf = df.sparkSession.conf
-    where = conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quire-")
-        conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def largest_component(components: DataFrame) -> DataFrame:
     """(component, size) of the largest; ties go to the lowest id, and nothing gives nothing."""
     return components.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame
@@ -12,6 +11,7 @@ from quire.functions import series as X
 from quire.functions.dates import period_hours
 from quire.operators import graph as G
 from quire.operators import visits as V
+from quire.scratch import written
 
 
 def burst_pages(visits: DataFrame, history: date, start: date, end: date, burst_rate: float, burst_count: int) -> DataFrame:
@@ -64,5 +64,5 @@ def peak_graph(vertices: DataFrame, edges: DataFrame, series: DataFrame, hours:
     pairs = G.undirected(edges, F.max)
     weighted = G.prune_edges(edge_similarity(vertices, pairs, series, hours, correlation), min_weight)
     # Trends are the costly part: the rounds of components read their result, not the series.
-    weighted = G.written(weighted, f"{scratch or G.checkpoint_dir(edges)}/weighted-{uuid.uuid4().hex}")
+    weighted = written(weighted, "weighted", scratch)
     return G.largest_component_graph(G.without_singletons(vertices, weighted), weighted, scratch)

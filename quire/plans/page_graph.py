@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import argparse
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quire import session
-from quire.operators.graph import checkpoint_dir
 from quire.operators.links import pages_by_namespace, resolve_category_links, resolve_links, resolve_redirects, substitute_redirects
 from quire.schemas import CATEGORY_NS, PAGE_NS
-from quire.sinks.tables import write_import_headers, write_tsv
+from quire.scratch import clean, written
+from quire.sinks.tables import import_command, write_import_headers, write_tsv
 from quire.sources.dumps import read_dump
 
 
@@ -28,14 +27,12 @@ def run(spark: SparkSession, page: str, pagelinks: str, redirect: str, categoryl
     paths = {"page": page, "pagelinks": pagelinks, "redirect": redirect, "categorylinks": categorylinks}
     tables = {}
     for name, path in paths.items():
-        rows = read_dump(spark, path, name)
-        where = f"{scratch or checkpoint_dir(rows)}/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(where)
-        tables[name] = spark.read.schema(rows.schema).parquet(where)
+        tables[name] = written(read_dump(spark, path, name), name, scratch)
     graph = build(tables["page"], tables["pagelinks"], tables["redirect"], tables["categorylinks"])
     for name, rows in graph.items():
         write_tsv(rows, f"{out}/{name}")
     write_import_headers(tables["page"], f"{out}/headers")
+    spark.createDataFrame([(import_command(out, f"{out}/headers", "pages.db"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/import")
 
 
 def main(args: list[str] | None = None) -> None:
@@ -46,7 +43,9 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--extension", default=".sql.bz2")
     a = p.parse_args(args)
     files = [f"{a.dumpPath}/{a.namePrefix}-{t}{a.extension}" for t in ("page", "pagelinks", "redirect", "categorylinks")]
-    run(session.build("page-graph"), *files, a.outputPath)
+    spark = session.build("page-graph")
+    run(spark, *files, a.outputPath)
+    clean(spark)
 
 
 if __name__ == "__main__":

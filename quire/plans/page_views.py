@@ -44,7 +44,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--outputPath", help="Parquet store; without it rows go to Cassandra")
     a = p.parse_args(args)
     cfg = config.load(a.config)
-    spark = session.build("page-views")
+    spark = session.build("page-views", **config.connection(cfg))
     store = open_store(spark, a.outputPath, cfg["store.keyspace"], cfg["store.tableVisits"], cfg["store.tableMeta"])
     run(spark, store, a.basePath, a.pageDump, a.startDate, a.endDate, a.languages, a.legacy, cfg)
 

@@ -12,6 +12,7 @@ from quire.functions.dates import history_start, period_hours
 from quire.operators import graph as G
 from quire.operators import peaks as P
 from quire.plans import config
+from quire.scratch import clean
 from quire.sinks.gexf import write_gexf
 from quire.sinks.tables import write_parquet
 from quire.sinks.visits import VisitStore, load_period, open_store
@@ -51,7 +52,9 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--outputPath", required=True)
     a = p.parse_args(args)
     cfg = config.load(a.config)
-    run(session.build("peak-graph"), a, cfg)
+    spark = session.build("peak-graph", **config.connection(cfg))
+    run(spark, a, cfg)
+    clean(spark)
 
 
 def run(spark: SparkSession, a: argparse.Namespace, cfg: dict) -> None:

@@ -494,11 +494,11 @@ def gexf(spark, sf):
 @query("sink_roundtrip", f"""WITH {_VISITS} SELECT 'en' AS languageCode, page_id, visit_time, "count" FROM visits""")
 def sink_roundtrip(spark, sf):
     """Visits through the Parquet store, and back."""
-    from quire.operators.graph import checkpoint_dir
+    from quire.scratch import scratch_dir
     from quire.sinks.visits import ParquetVisitStore, load_period, save
 
     v = visits(spark, sf)
-    store = ParquetVisitStore(spark, f"{checkpoint_dir(v)}/store-{uuid.uuid4().hex}")
+    store = ParquetVisitStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
     save(store, v, START, END)
     return load_period(store, START, END)
 

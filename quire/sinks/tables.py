@@ -42,3 +42,11 @@ def write_import_headers(df: DataFrame, base: str) -> None:
     spark = df.sparkSession
     for name, columns in IMPORT_HEADERS.items():
         spark.createDataFrame([("\t".join(columns),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/{name}_header")
+
+
+def import_command(data: str, headers: str, database: str) -> str:
+    """The shell command of the bulk import, for the tables and headers under these folders."""
+    part = r"part-\d{5}-.*.csv.gz"
+    tables = (("nodes:Page", "page", "page/normal_pages"), ("nodes:Page:Category", "page", "page/category_pages"), ("relationships:LINKS_TO", "pagelinks", "pagelinks"), ("relationships:BELONGS_TO", "categorylinks", "categorylinks"))
+    options = [f"--database={database}", r'--delimiter="\t"', "--id-type=INTEGER", *[f'--{kind} {headers}/{name}_header,"{data}/{folder}/{part}"' for kind, name, folder in tables], "--ignore-missing-nodes"]
+    return " \\\n    ".join(["neo4j-admin import", *options])

@@ -71,14 +71,6 @@ def insert_payload(lines: DataFrame, table: str, column: str = "value") -> DataF
     return rows.withColumn("payload", F.trim(F.split_part(value, F.lit(" VALUES "), F.lit(2)))).drop(column)
 
 
-def split_insert_line(line: str) -> str:
-    """The payload of one line; a line without VALUES is an error."""
-    parts = line.split(" VALUES ")
-    if len(parts) < 2:
-        raise ValueError("not an INSERT statement with VALUES")
-    return parts[1].strip()
-
-
 def parse_payload(payloads: DataFrame, table: str, strict: bool = False, element_filter: Callable[[], Column] | None = None, with_rejects: bool = False) -> DataFrame:
     """A row for each tuple in column payload, by the table's schema; other columns follow.
 

@@ -1,11 +1,13 @@
 """Page-view files as they arrive: the batch parsers over a file stream.
 
 Every file is one day, so page-days are complete within a file and need no
-state: each micro-batch is merged, joined with the page table and appended.
+state: each micro-batch is parsed once, merged, joined with the page table and appended.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,13 +25,22 @@ def stream_views(spark: SparkSession, folder: str, legacy: bool = False, **optio
 
 
 def append_visits(views: DataFrame, pages: DataFrame, store: VisitStore, checkpoint: str, min_daily: int = 100, hourly_from: int = 0, legacy: bool = False, once: bool = True) -> StreamingQuery:
-    """Append the visit rows of each micro-batch to a store, and the days they cover."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        visits = page_visits(batch.withColumnRenamed("date", "day"), min_daily, hourly_from, F.col("day"), merged=not legacy)
-        store.append(visit_rows(pages, visits))
-        for day in sorted(r["date"] for r in batch.select("date").distinct().collect()):
-            store.append_meta(day, day)
+    """Append the visit rows of each micro-batch to a store, and the days they cover.
+
+    A micro-batch that runs again after a failure takes the place of what it wrote
+    before: writes are named by the checkpoint and the batch.
+    """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        try:
+            visits = page_visits(batch.withColumnRenamed("date", "day"), min_daily, hourly_from, F.col("day"), merged=not legacy)
+            store.append(visit_rows(pages, visits), f"{name}-{n}")
+            for day in sorted(r["date"] for r in batch.select("date").distinct().collect()):
+                store.append_meta(day, day, f"{name}-{n}-{day}")
+        finally:
+            batch.unpersist()
 
     start = views.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (start.trigger(availableNow=True) if once else start).start()

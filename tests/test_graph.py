@@ -94,8 +94,12 @@ def test_gexf(spark, tmp_path):
     (edge,) = doc.getElementsByTagName("edge")
     assert edge.getAttribute("weight") == edge.getAttribute("label") == "2.5"
     assert "weight" not in gexf_text(v, e, weighted=False)
-    write_gexf(v, e, str(tmp_path / "g"))
-    assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "g")).coalesce(1).collect()) == text
+    write_gexf(v, e, str(tmp_path / "g.gexf"))
+    assert (tmp_path / "g.gexf").read_text() == text + "\n"  # one file
+    many = spark.range(3000).select(F.col("id"), F.lit("t").alias("title"))
+    write_gexf(many.repartition(7), many.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight")), f"file://{tmp_path}/many.gexf")
+    doc = xml.dom.minidom.parse(str(tmp_path / "many.gexf"))
+    assert [int(n.getAttribute("id")) for n in doc.getElementsByTagName("node")] == list(range(3000)) and len(doc.getElementsByTagName("edge")) == 3000
 
 
 def test_similarity_of_edges(spark):
@@ -133,8 +137,28 @@ def test_config():
     assert config.load(None)["peaks.minEdgeWeight"] == 1.0
     cfg = config.parse('views {\n  minDailyVisits = 5\n  keepRedirects = true\n}\nstore.keyspace = "x"')
     assert (cfg["views.minDailyVisits"], cfg["views.keepRedirects"], cfg["store.keyspace"], cfg["peaks.burstCount"]) == (5, True, "x", 3)
-    with pytest.raises(ValueError):
-        config.parse("a {")
+    for wrong in ("views {", "}", "a = 1", "peaks.burstrate = 2", "views.minDailyVisits =", "views.minDailyVisits = ${peaks.none}", "= 3"):
+        with pytest.raises(ValueError):
+            config.parse(wrong)
+
+
+def test_config_notation(tmp_path):
+    (tmp_path / "more.conf").write_text('store { host = "a#b:c" // an address\n port = 9042 }')
+    (tmp_path / "main.conf").write_text("""
+        include "more.conf"
+        pagecountProcessor { keepRedirects = true, minDailyVisits: 7 }
+        peakfinder {
+            startDate = "2018-08-01" # a comment
+            endDate = ${peaks.startDate}
+            zscore { lag = 24 }
+            zscore.threshold = 2.5
+        }
+        cassandra { db { keyspace = x, tableVisits = [a, "b", 3] } }
+    """)
+    cfg = config.load(str(tmp_path / "main.conf"))
+    assert (cfg["store.host"], cfg["store.port"], cfg["views.keepRedirects"], cfg["views.minDailyVisits"]) == ("a#b:c", 9042, True, 7)
+    assert (cfg["peaks.endDate"], cfg["peaks.zscore.lag"], cfg["peaks.zscore.threshold"], cfg["store.keyspace"], cfg["store.tableVisits"]) == ("2018-08-01", 24, 2.5, "x", ["a", "b", 3])
+    assert config.connection(cfg) == {"spark.cassandra.connection.host": "a#b:c", "spark.cassandra.connection.port": "9042"} and config.connection(config.load(None)) == {}
 
 
 def test_writers(spark, tmp_path):
@@ -169,3 +193,4 @@ def test_page_graph_job(spark, tmp_path):
     assert lines("page/normal_pages") == ["1\tA\tfalse\tfalse", "3\tB\tfalse\tfalse"]
     assert lines("categorylinks") == ["1\tC\t4\tpage"]
     assert len(lines("headers/pagelinks_header")) == 1
+    assert any(str(tmp_path / "out" / "headers") in x for x in lines("import"))

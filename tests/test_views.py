@@ -128,3 +128,57 @@ def test_stream(spark, tmp_path):
     store = K.ParquetVisitStore(spark, str(tmp_path / "store"))
     append_visits(stream_views(spark, str(tmp_path / "in")), pages, store, str(tmp_path / "ck")).awaitTermination(60)
     assert sorted(r["count"] for r in K.load_period(store, date(2020, 1, 1), date(2020, 1, 1)).collect()) == [100, 200]
+
+
+def test_replayed_batches_replace_themselves(spark, tmp_path):
+    import shutil
+
+    from quire.streaming.views import append_visits, stream_views
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "pageviews-20200101-user.txt").write_text("en.wikipedia A null desktop 300 A100B200\n")
+    pages = spark.createDataFrame([(1, "A", 0, False, "en")], "id int, title string, namespace int, isRedirect boolean, languageCode string")
+    store = K.ParquetVisitStore(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        # Without the record of what was done, the first batch runs again.
+        append_visits(stream_views(spark, str(tmp_path / "in")), pages, store, str(tmp_path / "ck")).awaitTermination(60)
+        shutil.rmtree(tmp_path / "ck")
+    assert sorted(r["count"] for r in store.visits().collect()) == [100, 200] and store.meta().count() == 1
+    store.append(store.visits().where("count = 100"))
+    assert store.visits().count() == 3
+
+
+def test_periods_read_their_days_alone(spark, tmp_path):
+    store = K.ParquetVisitStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([("en", 1, datetime(2020, 1, d, 5), d) for d in range(1, 20)], "languageCode string, page_id long, visit_time timestamp, count int")
+    K.save(store, rows, date(2020, 1, 1), date(2020, 1, 19))
+    found = K.load_period(store, date(2020, 1, 3), date(2020, 1, 4), "en")
+    assert found.columns == rows.columns and sorted(r["count"] for r in found.collect()) == [3, 4]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(visit_date" in plan or "visit_date" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_scratch(spark, tmp_path):
+    from quire import scratch
+
+    table = scratch.written(spark.range(3), "t")
+    assert table.count() == 3 and scratch.scratch_dir(spark).startswith(scratch.shared_dir(spark))
+    scratch.clean(spark)
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        scratch.written(spark.range(3), "t").unionByName(table).count()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quire import scratch
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs:///x/"
+    assert scratch.shared_dir(Session) == "hdfs:///x"
