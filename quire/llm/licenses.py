@@ -11,7 +11,7 @@ logistic regression over the n-grams of the templates gives each licence family,
 one class for notices of other licences (unknown) and one for everything else
 (other) a probability. It is fitted here, on fixed texts alone: the templates and
 UNKNOWN_NOTICES with words dropped and foreign words put around them, and
-ORDINARY text with loose words of templates in it. N-grams of ORDINARY text carry
+ORDINARY text with loose words of templates in it. N-grams of words of ORDINARY text alone carry
 no weight. No row of the corpus is used, so the scanner is the same for all of
 them. HELD_OUT notices, wordings that are in no template, calibrate it: the
 threshold is the lowest probability from which families are right in PRECISION
@@ -158,6 +158,11 @@ class Scanner:
         e = np.exp(z - z.max())
         return e / e.sum()
 
+    def words(self) -> list[str]:
+        """Words of which every n-gram with a weight has one."""
+        common = {w for x in ORDINARY for w in re.findall(TOKEN, x.lower())}
+        return sorted({w for g in self.vocabulary for w in g.split() if w not in common})
+
 
 def _fitted(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 400, rate: float = 2.0, sparse: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
     """Multinomial logistic regression by proximal gradient steps with an L1 penalty."""
@@ -177,8 +182,9 @@ def fit() -> Scanner:
     """Fit on the fixed texts above; the same in every run."""
     classes = [*TEMPLATES, UNKNOWN, OTHER]
     notices = [(n, t) for n, f in enumerate(TEMPLATES) for t in TEMPLATES[f]] + [(len(TEMPLATES), t) for t in UNKNOWN_NOTICES[::2]]
-    common = {g for x in ORDINARY for g in grams(x)}
-    vocabulary = sorted({g for _, t in notices for g in grams(t)} - common)
+    # An n-gram tells something only if one of its words does.
+    common = {w for x in ORDINARY for w in re.findall(TOKEN, x.lower())}
+    vocabulary = sorted(g for g in {g for _, t in notices for g in grams(t)} if not common.issuperset(g.split()))
     column = {g: i for i, g in enumerate(vocabulary)}
     rng = np.random.default_rng(17)
     words = [w for x in ORDINARY for w in x.split()]
@@ -220,10 +226,12 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def _windows(lines: Column, telling: Column, known: Column) -> Column:
-    """Array of (first, last, grams) of the lines and windows with a telling n-gram; grams are the known ones."""
-    sizes = F.transform(lines, F.size)
-    heads = F.transform(lines, lambda x: F.slice(x, 1, WINDOW))
+def _windows(lines: str, sizes: str, flags: str, telling: Column, known: Column) -> Column:
+    """Array of (first, last, grams) of the lines and windows with a telling n-gram; grams are the known ones.
+
+    lines, sizes and flags (whether a line has a telling word) are columns of a
+    table: what a lambda names is computed again for every element.
+    """
     start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
 
     def of(own: Column, i: Column) -> Column:
@@ -231,9 +239,10 @@ def _windows(lines: Column, telling: Column, known: Column) -> Column:
         after = F.slice(sizes, i + 2, F.lit(WINDOW))
         reach = F.aggregate(after, start, lambda a, x: F.when(a["words"] < WINDOW, F.struct((a["words"] + x).alias("words"), (a["lines"] + 1).alias("lines"))).otherwise(a), lambda a: a["lines"])
         tail = F.slice(own, F.greatest(F.size(own) - WINDOW, F.lit(0)) + 1, F.lit(WINDOW))
-        texts = F.transform(F.sequence(F.lit(0), reach), lambda k: F.struct(k.alias("k"), F.when(k == 0, own).otherwise(F.concat(tail, F.flatten(F.slice(heads, i + 2, k)))).alias("words")))
-        found = F.transform(texts, lambda x: F.struct(x["k"].alias("k"), grams_of(x["words"]).alias("grams")))
-        found = F.filter(found, lambda x: F.arrays_overlap(x["grams"], telling))
+        ends = F.filter(F.sequence(F.lit(0), reach), lambda k: F.exists(F.slice(flags, i + 1, k + 1), lambda x: x))
+        later = lambda k: F.flatten(F.transform(F.slice(lines, i + 2, k), lambda x: F.slice(x, 1, WINDOW)))
+        texts = F.transform(ends, lambda k: F.struct(k.alias("k"), grams_of(F.when(k == 0, own).otherwise(F.concat(tail, later(k)))).alias("grams")))
+        found = F.filter(texts, lambda x: F.arrays_overlap(x["grams"], telling))
         return F.transform(found, lambda x: F.struct(i.alias("first"), (i + x["k"]).alias("last"), F.array_intersect(x["grams"], known).alias("grams")))
 
     return F.flatten(F.transform(lines, of))
@@ -255,12 +264,14 @@ def paragraphs(docs: DataFrame, scanner: Scanner) -> DataFrame:
     runs = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "mark", F.posexplode("runs").alias("paragraph", "run"))
     vocabulary = F.array(*[F.lit(g) for g in scanner.vocabulary])
     known = F.array(*[F.lit(g) for g in sorted({*scanner.vocabulary, *(g for own in TEMPLATES.values() for t in own for g in grams(t))})])
-    # A paragraph without any n-gram that has a weight is of no licence: the bias says so.
-    runs = runs.where(F.arrays_overlap(grams_of(_words(F.col("run"))), vocabulary))
-    runs = written(runs, "paragraphs")
+    # A paragraph without any n-gram that has a weight is of no licence: the bias says so. Such an n-gram has a telling word.
+    words = scanner.words()
+    runs = runs.where(F.lower("run").rlike(rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, words))})(?![a-z0-9])"))
     lines = F.filter(F.transform(F.split("run", "\n"), _words), lambda x: F.size(x) > 0)
-    hit = runs.select("row", "doc_id", "mark", "paragraph", lines.alias("lines"))
-    hit = hit.select("row", "doc_id", "mark", "paragraph", F.inline(_windows(F.col("lines"), vocabulary, known)))
+    runs = runs.select("row", "doc_id", "mark", "paragraph", lines.alias("lines"))
+    flags = F.transform("lines", lambda x: F.arrays_overlap(x, F.array(*[F.lit(w) for w in words])))
+    runs = written(runs.select("*", F.transform("lines", F.size).alias("sizes"), flags.alias("flags")), "paragraphs")
+    hit = runs.select("row", "doc_id", "mark", "paragraph", F.inline(_windows("lines", "sizes", "flags", vocabulary, known)))
     hit = written(hit.withColumn("n", F.size("grams")), "windows")
     key = ["row", "doc_id", "mark", "paragraph", "first", "last", "n"]
     named = scanner.families[: len(TEMPLATES)]
