@@ -154,7 +154,8 @@ def schedule(df: DataFrame, sources: Sources, block_words: int = BLOCK_WORDS) ->
     blocks = sources.blocks
     slots = df.sparkSession.range(2 * blocks + 64 if blocks else 0).select(F.col("id").alias("slot"), place_of(F.col("id"), blocks).alias("place"))
     owners = _counted(sources.table.select("source_no", "goal", "quota", "lo", "hi"), "lo", "hi", "place", "source_no").select("place", "source_no", "goal", "quota")
-    owned = slots.join(owners, "place").withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
+    # Spark takes what a few sources are counted out to for as small as they are: never broadcast it.
+    owned = slots.join(owners.hint("merge"), "place").withColumn("chunk", F.floor(F.col("slot") / CHUNK_SLOTS))
     ranked = _running(owned, ["source_no"], "chunk", ["slot"], F.lit(1).cast("long"), "rank").where("rank < quota")
     words = F.least(F.lit(block_words).cast("long"), F.col("goal") - F.col("rank") * block_words).alias("words")
     return ranked.select("slot", "source_no", "rank", words)
