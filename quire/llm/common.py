@@ -2,33 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire import scratch
+
 #: A word, as every operator here counts it: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a test) gets a folder of this machine.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 #: Rows that Python gets at once; with whole texts, Spark's default is too much for an executor's memory.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -43,23 +29,8 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no more than the tasks since
-    this table. The shuffle files of the write are removed at its end, as nothing
-    reads them again. The folder is scratch space; clean it as the cluster cleans
-    checkpoints.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    small_batches(df)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a scratch table in the shared folder, and read back: this cuts its lineage."""
+    return scratch.written(small_batches(df), label)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

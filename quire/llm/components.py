@@ -1,17 +1,11 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by the graph operators' alternating stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-
-MOST_ROUNDS = 60
-
-
-def _lowest(df: DataFrame) -> DataFrame:
-    return df.groupBy("u").agg(F.min("v").alias("m"))
+from quire.operators.graph import connected_components
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,21 +17,5 @@ def components(links: DataFrame) -> DataFrame:
     ends are dropped; an empty table gives an empty result.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
-    links = links.where("a IS NOT NULL AND b IS NOT NULL")
-    ids = links.select(F.explode(F.array(a, b)).alias("id")).distinct()
-    edges = written(links.where("a <> b").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    state = None
-    for _ in range(MOST_ROUNDS):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _lowest(both).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = _lowest(large)
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-    else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
-    return ids.join(_lowest(edges), F.col("id") == F.col("u"), "left").select("id", F.coalesce("m", "id").alias("component"))
+    links = links.where("a IS NOT NULL AND b IS NOT NULL").select(a.alias("src"), b.alias("dst"))
+    return connected_components(links.select(F.explode(F.array("src", "dst")).alias("id")), links)

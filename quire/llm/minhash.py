@@ -1,32 +1,42 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-A document is the set of its distinct word shingles, held as 64-bit hashes;
-documents with equal sets are one class. A class has a signature of COORDINATES
-minima and is posted under (coordinate, value) pairs. Two sets with a
-similarity of 0.8 agree in 80% of the coordinates on average; pairs that agree
-in at least MATCHES are candidates, and a pair at 0.8 falls short of that with
-a chance of less than 1e-6. Postings carry two bits of every coordinate, so that
-most chance meetings are dropped in the list, before any signature is fetched. Prefix: a class is posted only under its
-COORDINATES - MATCHES + 1 rarest pairs, since pairs with MATCHES in common must
-meet there. Skip: candidates in the same component already need no count.
+A document is the set of its distinct word shingles, held as 64-bit hashes that
+come from a BLAKE2b digest of every word; documents with equal sets are one class.
+A class has a signature of COORDINATES minima and is posted under (coordinate,
+value) pairs. Two sets with a similarity of 0.8 agree in 80% of the coordinates on
+average; pairs that agree in at least MATCHES are retained. Postings carry two
+bits of every coordinate, so that most chance meetings are dropped in the list,
+before any signature is fetched. A pair at 0.8 exactly falls short of one of the
+two tests with a chance below 1e-6, a more similar one with less (missed() works
+it out). Prefix: a class is posted only under its COORDINATES - MATCHES + 1 rarest
+pairs, since pairs with MATCHES in common must meet there. Skip: candidates in the
+same component already need no count. Every retained pair is confirmed on full sets.
 
 No list emits all its pairs. First every list links its members to its leaders;
 what the full sets confirm is joined into components. Then only members of a
 list that lie in different components are compared: all of them in lists of up
 to SHORT_LIST members, a bounded number for each posting. The members of longer
-lists are posted once more, under the rarest of their shingles themselves: two
-sets of that similarity share one of the n - ceil(0.8 n) + 1 rarest, for certain,
-and at the first they share enough of both sets still has to follow.
-So no link that changes a component is lost.
+lists meet once more in lists that are hardly ever long, under the rarest of their
+shingles themselves: two sets of that similarity share one of the
+n - ceil(0.8 n) + 1 rarest, for certain, and at the first they share enough of both
+sets still has to follow. So beside the chance above no link that changes a
+component is lost, whatever the length of a list. Skewed lists are split by
+adaptive execution.
 
 Rows: one output row per input row. A null or empty text, or one without words,
 has an empty set and links with nothing; with fewer words than a shingle has,
 the whole sequence is the one shingle. Repeated rows and ids link by their sets
-like any others, extra columns are ignored, an empty table gives an empty result.
+like any others: rows of one id with different texts are different documents that
+happen to have one number. Of ties for leader the lower hash leads. Extra columns,
+whatever their names, are ignored by link_components and kept by one_of_each; an
+empty table gives an empty result. Texts are read whole.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import require, whole_text, written
 from .components import components
-from .hashing import Polynomial, mixed
+from .hashing import mixed
 
 COORDINATES = 64
 MATCHES = 32
@@ -52,10 +62,24 @@ BROADCAST_IDS = 1_000_000
 #: Texts hashed at once.
 BATCH_BYTES = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_GAP = np.zeros(256, bool)
-_GAP[[32, *range(9, 14)]] = True
+#: Words whose hashes one worker remembers: the first ones it meets, among them all frequent ones.
+REMEMBERED = 250_000
+
+
+def missed(similarity: float = PERCENT / 100) -> float:
+    """The chance that a pair of this similarity fails a test of its signatures."""
+    below = lambda k, p: sum(math.comb(COORDINATES, i) * p**i * (1 - p) ** (COORDINATES - i) for i in range(k))
+    return below(MATCHES, similarity) + below(SKETCH_MATCHES, similarity + (1 - similarity) / 4)
+
+
+class Words(dict):
+    """Hashes of words; one that is missing is digested."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
+        if len(self) < REMEMBERED:
+            self[word] = found
+        return found
 
 
 class Shingler:
@@ -63,23 +87,16 @@ class Shingler:
 
     def __init__(self, words: int, coordinates: int = COORDINATES):
         self.words = words
-        self.hash = Polynomial(11)
+        self.hash = Words().__getitem__
         rng = np.random.default_rng(7)
         self.mask = rng.integers(0, 1 << 64, coordinates, np.uint64, endpoint=False)
         self.factor = rng.integers(0, 1 << 64, coordinates, np.uint64, endpoint=False) | np.uint64(1)
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """The sorted distinct shingle hashes of each text."""
-        joined = b"\n".join(texts) + b"\n"
-        data = _LOWER[np.frombuffer(joined, np.uint8)]
-        gap = _GAP[data]
-        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-        if not gap[0]:
-            edge = np.concatenate([[0], edge])
-        start, stop = edge[0::2], edge[1::2]
-        word = mixed(self.hash.of(self.hash.sums(data), start, stop) ^ mixed((stop - start).astype(np.uint64)))
-        last = np.cumsum([len(x) + 1 for x in texts])
-        cut = np.searchsorted(start, last)
+        split = [x.lower().split() for x in texts]  # of bytes: ASCII letters and ASCII white space
+        cut = np.cumsum([len(x) for x in split])
+        word = np.fromiter(map(self.hash, itertools.chain.from_iterable(split)), np.uint64, int(cut[-1]) if len(cut) else 0)
         n = self.words
         long = len(word) - n + 1
         if long > 0:
@@ -118,26 +135,30 @@ def _batches(texts: pa.Array) -> Iterator[list[bytes]]:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, signature): k1 and k2 identify the whole set."""
+    """(doc_id, mark, n_shingles, k1, k2, signature): k1 and k2 identify the whole set, mark the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             size, k1, k2, sig = [], [], [], []
-            for texts in _batches(batch.column(1)):
+            for texts in _batches(batch.column(2)):
                 for s in shingler.sets(texts):
                     size.append(len(s))
                     k1.append(int(mixed(s).sum().view(np.int64)) if len(s) else 0)
                     k2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(s) else 0)
                     sig.append(shingler.signature(s).tolist() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "k1", "k2", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["doc_id", "mark", "n_shingles", "k1", "k2", "signature"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, signature array<int>")
+    return marked(docs).mapInArrow(run, "doc_id bigint, mark bigint, n_shingles bigint, k1 bigint, k2 bigint, signature array<int>")
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text): whole texts, and a hash of each that tells the rows of one id apart."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("mark"), whole_text().alias("text"))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, hashes): the whole set of each document as 64-bit integers."""
+    """(id, hashes): the whole set of each text as 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -145,10 +166,10 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             at = 0
             for texts in _batches(batch.column(1)):
                 sets = [x.tobytes() for x in shingler.sets(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.binary())], ["id", "hashes"])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, hashes binary")
+    return docs.select("id", "text").mapInArrow(run, "id bigint, hashes binary")
 
 
 def postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
@@ -200,22 +221,22 @@ def matching(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> Da
     return pairs.where(same >= matches).select("a", "b")
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """The shingle sets of the documents in pairs, as a written table.
+def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(id, hashes): the shingle sets of the classes in pairs, as a written table.
 
-    The ids are broadcast if a count shows that they are few, else joined.
+    The rows that stand for them are broadcast if a count shows that they are few, else joined.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    rows = classes.join(ids, "id", "left_semi").select("id", "one.doc_id", "one.mark")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return written(shingle_sets(texts, words), "sets")
+    found = texts.join(F.broadcast(rows) if few else rows, ["doc_id", "mark"])
+    return written(shingle_sets(found, words), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("ha")), "a")
-    both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("hb")), "b")
-    # An id that stands in several rows has several sets: any of them may link.
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,39 +256,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int) -> DataFrame:
     """The documents of docs that are the smallest of their component, with all their columns.
 
-    Rows with a null id stay: nothing can be held against them. Of repeated ids
-    one row stays.
+    Rows with a null id stay: nothing can be held against them. Of rows of one id
+    in one component one stays, as of rows of one id that are empty.
     """
-    kept = link_components(docs, words).where("kept").select("doc_id").distinct()
-    first = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return first.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    require(docs, "doc_id", "text")
+    kept = linked(docs, words).where("kept").groupBy("doc_id", "mark").agg(F.first("group").alias("group"))
+    # Everything of docs in one column, so that no name of its can clash.
+    rows = docs.where(docs["doc_id"].isNotNull())
+    rows = rows.select(F.struct(*[rows[c] for c in docs.columns]).alias("row"), rows["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("mark"))
+    first = rows.join(kept, ["doc_id", "mark"]).dropDuplicates(["doc_id", "group"])
+    return first.select([F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(docs["doc_id"].isNull()))
 
 
 def link_components(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
     require(docs, "doc_id", "text")
+    return linked(docs, words).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def linked(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, group, component_id, kept) of every row; group is the component's key, null for empty sets."""
     signed = written(signatures(docs, words), "signatures")
     groups = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles")
-    classes = written(groups.agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "classes")
+    # A class is known by the hash of its set; one row stands for it.
+    classes = groups.agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("signature").alias("signature"))
+    classes = written(classes.withColumn("id", F.col("k1")), "classes")
     lists = written(postings(classes), "postings")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    texts = marked(docs)
     led_pairs = None
     for n in range(LEADERS):
         more = led(lists, n)
         led_pairs = more if led_pairs is None else led_pairs.unionByName(more)
     close = written(matching(led_pairs, classes), "close")
-    links = written(confirmed(close, sets_of(texts, close, words)).distinct(), "found")
+    links = written(confirmed(close, sets_of(texts, classes, close, words)).distinct(), "found")
     left = written(apart(lists, components(links)), "apart")
     long = left.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT_LIST).select("value")
     short = left.join(long, "value", "left_anti")
-    rare = written(rarest_shingles(left.join(long, "value", "left_semi"), texts, words), "rarest")
+    rare = written(rarest_shingles(left.join(long, "value", "left_semi"), texts, classes, words), "rarest")
     pairs = across(short).unionByName(across(rare))
     close = written(matching(pairs, classes).join(close, ["a", "b"], "left_anti"), "close")
-    links = links.unionByName(confirmed(close, sets_of(texts, close, words))).distinct()
-    found = components(links)
-    per = classes.join(found, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = signed.where("n_shingles > 0").join(per, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    links = links.unionByName(confirmed(close, sets_of(texts, classes, close, words))).distinct()
+    per = classes.join(components(links), "id", "left").select("k1", "k2", "n_shingles", "one.doc_id", F.coalesce("component", "id").alias("group"))
+    least = per.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    per = per.join(least, "group").select("k1", "k2", "n_shingles", "group", "component_id")
+    out = signed.where("n_shingles > 0").join(per, ["k1", "k2", "n_shingles"], "left").select("doc_id", "mark", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.unionByName(signed.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("group"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -287,7 +320,7 @@ def apart(lists: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(several, "value", "left_semi")
 
 
-def rarest_shingles(members: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def rarest_shingles(members: DataFrame, texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """The members posted under the rarest of their shingles, with rest: how many shingles are not rarer.
 
     Of n shingles, ceil(0.8 n) at least are shared by any set similar enough, so
@@ -295,7 +328,7 @@ def rarest_shingles(members: DataFrame, texts: DataFrame, words: int) -> DataFra
     the members are taken.
     """
     ids = members.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-    sets = sets_of(texts, ids, words)
+    sets = sets_of(texts, classes, ids, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import require, shared_dir, small_batches, whole_text
+from quire.scratch import scratch_dir
+
+from .common import require, small_batches, whole_text
 
 #: Texts of these characters are cut exactly as the library cuts them.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-‧€]*"
@@ -262,6 +264,6 @@ def with_crc32(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def store_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Write a store into the shared folder, encoded by the library as loaded, and return what its files hold, with checksums."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer_path, end_id, literal=False)
     return with_crc32(read_tokens(spark, path))

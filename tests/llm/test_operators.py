@@ -404,7 +404,8 @@ def test_near_duplicates(spark, words):
     sizes, parts = brute.near(texts, ids, words)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.link_components(docs(spark, texts, ids), words).collect()}
     assert got == {i: (n, c, c == i) for i, n, c in zip(ids, sizes, parts, strict=True)}
-    kept = minhash.one_of_each(docs(spark, texts, ids, clash=False), words)
+    kept = minhash.one_of_each(docs(spark, texts, ids), words)
+    assert kept.columns == [*[c.split()[0] for c in DOCS.split(", ")], *CLASHES] and {r.mark for r in kept.collect()} == {"x"}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(parts))
     assert minhash.link_components(docs(spark, ["a"]).limit(0), words).count() == 0
 
@@ -433,6 +434,16 @@ def test_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in minhash.one_of_each(df, 2).collect()) == ["4", "9", "None"]
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    df = docs(spark, ["a b c d e f", "a b c d e f", "x y z w v u", "x y z w v u", "", ""], [3, 5, 5, 5, 5, 5])
+    assert rows(minhash.link_components(df, 2), "doc_id", "n_shingles", "component_id") == sorted([(3, 5, 3), (5, 5, 3), (5, 5, 5), (5, 5, 5), (5, 0, 5), (5, 0, 5)], key=str)
+    assert rows(minhash.one_of_each(df, 2), "doc_id", "text") == sorted([(3, "a b c d e f"), (5, "x y z w v u"), (5, "")], key=str)
+
+
+def test_signature_tests_miss_hardly_any():
+    assert minhash.missed() < 1e-6 and minhash.missed(0.9) < 1e-12
+
+
 def test_components(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (3, 2), (7, 7), (None, 5), (10, 11)], "a long, b long")
     assert rows(components.components(links), "id", "component") == sorted([(1, 1), (2, 1), (3, 1), (7, 7), (10, 10), (11, 10)], key=str)
