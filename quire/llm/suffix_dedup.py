@@ -6,24 +6,28 @@ it. Equal bytes are cut alike wherever they stand, and every start of a string o
 LENGTH bytes has a first cut inside that string. The parse is the list of cuts.
 A suffix of the corpus is then a suffix of a phrase followed by a suffix of the
 parse, and two starts are neighbours in corpus order, with LENGTH bytes in
-common, only if what stands before and after their cuts agrees. So suffixes are
-ordered in two steps, both to a depth of LENGTH bytes:
-
-1. Parse suffixes. Each cut is ranked by a fingerprint of the ANCHOR bytes after
-   it, then by one of its context: all bytes of the strings whose cut it is.
-   Cuts with an equal context are one entry of the dictionary, and all their
-   strings are repeated.
-2. Phrase suffixes. Where contexts with equal anchors differ, the starts that
-   have the cut are ranked once for each distinct context: first in blocks of
-   BLOCK starts by the bytes that all strings of a block share, then by all bytes
-   of the block, and only where blocks differ start by start, by the fingerprint
-   of the string. Equal neighbours are repeats.
-
-A rank is a BLAKE2b digest of the bytes themselves: 64 bits for the key that
-positions meet under, 128 bits for what must be equal. Only neighbours with equal
-strings matter here, and they are the same in this order as in byte order; no
-structure of the text can make unequal strings meet, as it can with a rolling
-hash. The rolling hash only places the cuts: any value of it is right.
+common, only if what stands before and after their cuts agrees. Both parts are
+ordered, to a depth of LENGTH bytes, and the orders combined:
+
+1. Cuts whose next ANCHOR bytes stand once in the corpus repeat nothing. Cuts
+   that agree in their whole context, all bytes of the strings whose cut they are,
+   are one entry of the dictionary, and all their strings are repeated. This takes
+   digests alone; most of a corpus ends here.
+2. What is left are entries that share an anchor and differ further out. For each
+   anchor the texts after its cuts are sorted: the suffix array of the parse. The
+   phrases before its cuts are sorted from their ends: the suffix array of the
+   dictionary. With the common lengths of neighbours in both arrays a start at
+   distance d before its cut is repeated if another entry is in the same interval
+   of the dictionary's array to a depth of d and of the parse's to LENGTH - d.
+3. Anchors with more than GROUP entries are not brought together. Their starts are
+   ranked by digests that are counted before they are shuffled: in blocks of BLOCK
+   starts by the bytes that all strings of a block share, then by all bytes of the
+   block, and only where blocks differ start by start.
+
+Digests are of the bytes themselves (BLAKE2b): 64 bits for the key that positions
+meet under, 128 bits for what must be equal, so no structure of a text can make
+unequal strings meet, as it can with a rolling hash. The rolling hash only places
+the cuts: any value of it is right.
 
 Rows: one output row per input row. A null text is an empty text. Repeated rows
 repeat each other. Extra columns are dropped; an empty table gives an empty
@@ -35,6 +39,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +56,10 @@ REACH = 300
 ANCHOR = LENGTH - REACH
 #: Starts ranked together, by their distance to the cut.
 BLOCK = 16
+#: Entries of one anchor that are sorted in one place, about 700 bytes each.
+GROUP = 16_384
+#: Entries up to which all pairs are compared as they are.
+PAIRS = 40
 #: Bytes parsed at once.
 BATCH_BYTES = 1 << 20
 #: Bits of the rolling hash that are compared; the rest of a word holds a place.
@@ -191,6 +200,106 @@ def _refined(docs: DataFrame, entries: DataFrame, step: str) -> DataFrame:
     return docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "own").mapInArrow(run, ENTRY_SCHEMA)
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes two strings have in common at their start."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of some strings: their order, and how much each has in common with the one before it."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    common = np.array([0, *[_common(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]])
+    return np.array(order), common
+
+
+def repeated_starts(phrases: list[bytes], suffixes: list[bytes], near: np.ndarray, far: np.ndarray) -> list[list[tuple[int, int]]]:
+    """For each entry of one anchor the ranges of distances to the cut whose strings another entry has too.
+
+    phrases: what stands before the cuts, from the cut backwards, far bytes of it.
+    suffixes: what follows the cuts, LENGTH - near bytes of it. An entry has the
+    starts near..far before its cut.
+    """
+    n = len(phrases)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    if n <= PAIRS:
+        for i in range(n):
+            for j in range(i):
+                lo = max(LENGTH - _common(suffixes[i], suffixes[j]), near[i], near[j])
+                hi = min(far[i], far[j])
+                if lo <= hi and (hi := min(hi, _common(phrases[i], phrases[j]))) >= lo:
+                    out[i].append((int(lo), int(hi)))
+                    out[j].append((int(lo), int(hi)))
+        return out
+    (by_phrase, before), (by_suffix, after) = _array(phrases), _array(suffixes)
+    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(int(near.min()), int(far.max()) + 1):
+        # Intervals of both arrays: a new one starts where neighbours have too little in common.
+        left[by_phrase] = np.cumsum(before < d)
+        right[by_suffix] = np.cumsum(after < LENGTH - d)
+        own = np.flatnonzero((near <= d) & (far >= d))
+        _, at, count = np.unique(left[own] * (n + 1) + right[own], return_inverse=True, return_counts=True)
+        for i in own[count[at] > 1].tolist():
+            if out[i] and out[i][-1][1] == d - 1:
+                out[i][-1] = (out[i][-1][0], d)
+            else:
+                out[i].append((d, d))
+    return out
+
+
+def ordered(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc, mark, low, high): the repeated starts of entries (key, times, doc, mark, place), a bounded number for each key."""
+    wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "place", "times")).alias("own"))
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                own = batch.column(3)[n].values
+                place = own.field("place").to_numpy()
+                text = batch.column(2)[n].as_py().encode()
+                low, cut, high = (x.tolist() for x in places(place))
+                phrases = [text[a:c][::-1] for a, c in zip(low, cut, strict=True)]
+                suffixes = [text[c : b + LENGTH] for c, b in zip(cut, high, strict=True)]
+                alike = [pa.array(np.full(len(place), batch.column(k)[n].as_py(), np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([own.field("key"), own.field("times"), *alike, own.field("place"), pa.array(phrases, pa.binary()), pa.array(suffixes, pa.binary())], names)
+
+    names = ["key", "times", "doc", "mark", "place", "phrase", "suffix"]
+    kinds = "key bigint, times bigint, doc bigint, mark bigint, place bigint, phrase binary, suffix binary"
+    rows = docs.join(wanted, ["doc", "mark"]).select("doc", "mark", "text", "own").mapInArrow(strings, kinds)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            table = pa.Table.from_batches([b for b in (held, batch) if b is not None]).combine_chunks() if held is not None or batch is not None else None
+            if table is None:
+                return
+            key = table["key"].to_numpy()
+            ends = np.flatnonzero(np.append(key[1:] != key[:-1], batch is None)) + 1
+            # The last key may go on in the next batch.
+            done = int(ends[-1]) if len(ends) else 0
+            held = table.slice(done).combine_chunks().to_batches()[0] if done < len(key) else None
+            found = [[], [], [], []]
+            times, doc, mark = (table[c].to_numpy() for c in ("times", "doc", "mark"))
+            low, cut, high = places(table["place"].to_numpy())
+            phrase, suffix = table["phrase"][:done].to_pylist(), table["suffix"][:done].to_pylist()
+            for a, b in pairwise([0, *ends.tolist()]):
+                runs = repeated_starts(phrase[a:b], suffix[a:b], cut[a:b] - high[a:b], cut[a:b] - low[a:b])
+                for i, own in zip(range(a, b), runs, strict=True):
+                    if times[i] == 1:  # of the others all starts are known to be repeated
+                        for lo, hi in own:
+                            for x, v in zip(found, (doc[i], mark[i], cut[i] - hi, cut[i] - lo), strict=True):
+                                x.append(int(v))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc", "mark", "low", "high"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "doc", "mark", "place").mapInArrow(compare, "doc bigint, mark bigint, low bigint, high bigint")
+
+
 def _decided(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """(spans, open): the starts that are repeated for certain, and the entries to be refined.
 
@@ -215,15 +324,20 @@ def _decided(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return whole.unionByName(met.where("NOT same").join(several, ["key", "context", "check"], "left_semi").select(*starts)), still_open
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc, mark, low, high): starts low..high of strings that also start elsewhere. docs: (doc, mark, text)."""
     by_cut, rest = _decided(parse(docs), "cuts")
-    by_block, rest = _decided(written(_refined(docs, rest, "blocks"), "block-entries"), "blocks")
+    rest = written(rest, "rest")
+    large = written(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key"), "large")
+    found = by_cut.unionByName(ordered(docs, rest.join(large, "key", "left_anti")))
+    if large.isEmpty():
+        return found
+    by_block, rest = _decided(written(_refined(docs, rest.join(large, "key", "left_semi"), "blocks"), "block-entries"), "blocks")
     by_start, _ = _decided(written(_refined(docs, rest, "strings"), "string-entries"), "strings")
-    return by_cut.unionByName(by_block).unionByName(by_start)
+    return found.unionByName(by_block).unionByName(by_start)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document.
 
     spans: the maximal removed byte runs, each with start and stop.
@@ -233,7 +347,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text"))
     # A row is known by its id and a hash of its text: rows equal in both have equal results.
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(null, "text").alias("mark"), "text", null.alias("no_id"))
-    spans = written(repeated_spans(rows.select("doc", "mark", "text")), "spans").distinct()
+    spans = written(repeated_spans(rows.select("doc", "mark", "text"), group), "spans").distinct()
     spans = spans.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

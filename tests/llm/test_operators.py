@@ -185,7 +185,9 @@ def test_wrapped_licences(spark, width):
 # ---- 3 ----
 
 
-def test_repeated_bytes(spark):
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2, 0])
+def test_repeated_bytes(spark, group):
+    """Entries of an anchor are sorted together, or, past the size of a group, ranked by digests."""
     rng = random.Random(5)
     parts = [noise(rng, n) for n in (390, 399, 400, 401, 700, 1500) for _ in range(3)]
     texts = []
@@ -197,13 +199,32 @@ def test_repeated_bytes(spark):
         texts.append(x)
     texts += [*ODD, texts[3], texts[3]]
     ids = [*range(len(texts) - 1), None]
-    got = suffix_dedup.remove_repeats(docs(spark, texts, ids)).collect()
+    got = suffix_dedup.remove_repeats(docs(spark, texts, ids), group).collect()
     by = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got}
     want = brute.repeats(texts)
     assert [by[i] for i in ids] == want and sum(w[1] for w in want) > 10000
     assert suffix_dedup.remove_repeats(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_arrays_combine_as_pairs_do(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(20):
+        n, length = rng.randrange(2, 30), 12
+        monkeypatch.setattr(suffix_dedup, "LENGTH", length)
+        far = np.array([rng.randrange(1, 9) for _ in range(n)])
+        near = np.array([rng.randrange(0, f + 1) for f in far])
+        phrases = [bytes(rng.choice(b"ab") for _ in range(f)) for f in far]
+        suffixes = [(b"abab" + bytes(rng.choice(b"ab") for _ in range(length)))[: length - k] for k in near]
+        spread = lambda found: [{d for lo, hi in own for d in range(lo, hi + 1)} for own in found]
+        monkeypatch.setattr(suffix_dedup, "PAIRS", 100)
+        pairs = spread(suffix_dedup.repeated_starts(phrases, suffixes, near, far))
+        monkeypatch.setattr(suffix_dedup, "PAIRS", 1)
+        assert spread(suffix_dedup.repeated_starts(phrases, suffixes, near, far)) == pairs
+        string = lambda i, d: phrases[i][:d][::-1] + suffixes[i][: length - d]
+        want = [{d for d in range(near[i], far[i] + 1) if any(j != i and near[j] <= d <= far[j] and string(i, d) == string(j, d) for j in range(n))} for i in range(n)]
+        assert pairs == want
+
+
 def test_structured_texts_are_told_apart(spark):
     """Words over two letters, on which rolling hashes modulo a power of two collide whatever their base."""
     texts = []
