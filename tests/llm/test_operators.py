@@ -100,6 +100,32 @@ def test_keys_are_found_by_where_they_stand(spark):
     assert masked[37] == texts[37]
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bootstrap_step_by_step(spark, seed):
+    rng = random.Random(seed)
+    names = ["mail", "call", "from", "the", "key", "id", "to", "é", "|", "-"]
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    made = [
+        lambda: f"{noise(rng, 4, 'abc')}{rng.randrange(99)}@x{rng.randrange(50)}.org", lambda: f"10.0.{rng.randrange(300)}.{rng.randrange(256)}", lambda: f"+1 (202) 555-{rng.randrange(10**4):04d}",
+        lambda: f"+1 (202) {rng.randrange(99)}", lambda: key(20), lambda: f"pin={key(17)}", lambda: f'pin="{key(18)}"', lambda: f"pin={noise(rng, 3, 'abc')}", lambda: f"WXYZ{key(18)}", lambda: noise(rng, 5, "abc"), lambda: f"u{rng.randrange(10**6)}x",
+    ]
+    texts = []
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 9)):
+            k = rng.randrange(8)
+            words += [rng.choice(names), rng.choice(names[: 1 + k])]
+            # Some names mostly hold one sort of thing.
+            words.append(made[k % len(made)]() if rng.random() < 0.8 else rng.choice(made)())
+            if rng.random() < 0.2:
+                words[-1] = rng.choice(['"', "(", "*"]) + words[-1] + rng.choice([",", ")", ""])
+        texts.append(" ".join(words))
+    texts += [*ODD, texts[0]]
+    got = {r.doc_id: [tuple(x) for x in r.found] for r in pii.find_pii(docs(spark, texts)).collect()}
+    want = brute.bootstrap(texts, pii)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 20
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_planted_keys_are_found(spark):
     """Precision and recall on the test tables, whose keys follow a name or share a head."""
@@ -182,6 +208,28 @@ def test_wrapped_licences(spark, width):
     assert got[63][2] == 0
 
 
+def test_notices_window_by_window(spark):
+    import textwrap
+
+    rng = random.Random(12)
+    scanner = licenses.fit()
+    pool = [*[t for own in (licenses.TEMPLATES, licenses.HELD_OUT) for x in own.values() for t in x], *licenses.UNKNOWN_NOTICES, *licenses.UNSEEN_NOTICES, *licenses.ORDINARY]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            t = " ".join(w for w in rng.choice(pool).split() if rng.random() > 0.1)
+            parts.append(textwrap.fill(t, rng.choice([20, 40, 200])) if t else "")
+            parts.append(rng.choice(["\n", "\n\n", " ", "\n \n", "\n// "]))
+        texts.append("".join(parts))
+    texts += [*ODD, texts[0]]
+    got = {}
+    for r in licenses.paragraphs(docs(spark, texts), scanner).collect():
+        got.setdefault(r.doc_id, []).append((r.paragraph, r["first"], r["last"], r.family, r.confirmed))
+    want = [brute.notices(t, scanner, licenses) for t in texts]
+    assert [sorted(got.get(i, [])) for i in range(len(texts))] == want and sum(map(len, want)) > 100
+
+
 # ---- 3 ----
 
 
