@@ -8,7 +8,10 @@ documents or only the counts without touching the ids.
 
 Rows: one row per input row, in ascending (id, text) order; rows with a null id
 come first. A null text is an empty text and holds the end id alone. Repeated
-rows stay. Extra columns are dropped. An empty table gives an empty store.
+rows stay, and rows that tie in id and text are equal in all that is stored. Extra
+columns, whatever their names, are dropped. An empty table gives an empty store.
+Texts of any length are encoded whole, one list each; a long one has pages of its
+own. All rows of one id go to one task, which encodes them in batches.
 """
 
 from __future__ import annotations

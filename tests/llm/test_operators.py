@@ -550,6 +550,30 @@ def test_token_store(spark, tmp_path):
     assert sorted(r.start for r in again.collect()) == [0, 2, 4]
 
 
+def test_token_store_files(spark, tmp_path):
+    """Packed ids and counts, sorted row groups, pages that an index finds."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(8)
+    texts = [" ".join(noise(rng, rng.randrange(2, 9), "abcdefghij") for _ in range(rng.randrange(80))) for _ in range(6000)]
+    token_store.write_tokens(docs(spark, texts, clash=False), str(tmp_path / "s"), BYTES, 2, partitions=2)
+    files = sorted((tmp_path / "s").glob("part-*.parquet"))
+    assert len(files) == 2
+    last = -1
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        columns = {meta.row_group(0).column(i).path_in_schema: i for i in range(meta.num_columns)}
+        tokens = next(i for c, i in columns.items() if c.startswith("tokens"))
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            ids = group.column(columns["doc_id"])
+            assert ids.statistics.min > last
+            last = ids.statistics.max
+            assert {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(group.column(tokens).encodings) and {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(ids.encodings)
+            assert all(group.column(i).has_offset_index and group.column(i).has_column_index for i in (columns["doc_id"], tokens))
+    assert last == 5999
+
+
 def test_token_store_takes_special_tokens_as_the_library_does(spark):
     from tokenizers import Tokenizer
 
