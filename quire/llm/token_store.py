@@ -6,12 +6,12 @@ column. Writer version 2 gives delta or dictionary encoding; block and page
 sizes and rows per page are set, and the page indexes let a reader take single
 documents or only the counts without touching the ids.
 
-Rows: one row per input row, in ascending (id, text) order; rows with a null id
-come first. A null text is an empty text and holds the end id alone. Repeated
+Rows: one row per input row, in ascending id order, those of one id by a hash of
+their text; rows with a null id come first. A null text is an empty text and holds the end id alone. Repeated
 rows stay, and rows that tie in id and text are equal in all that is stored. Extra
 columns, whatever their names, are dropped. An empty table gives an empty store.
 Texts of any length are encoded whole, one list each; a long one has pages of its
-own. All rows of one id go to one task, which encodes them in batches.
+own. An id with more than SAME_ID_ROWS rows is dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ REMEMBERED = 250_000
 JOINED = 200
 #: Bytes of text encoded at once.
 TEXT_BYTES = 7 << 20
+#: Rows of one id that stay in one range.
+SAME_ID_ROWS = 10_000
 BLOCK_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -219,9 +221,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, whole_text(text_col).alias("text"))
-    # Ranges are found from a sample of the ids alone; rows with one id stay together.
-    rows = rows.repartitionByRange(partitions, id_col) if partitions else rows.repartitionByRange(id_col)
-    encoded = small_batches(rows).sortWithinPartitions(id_col, "text").mapInArrow(run, f"part int, `{id_col}` {kind}, n_tokens bigint, local_start bigint, tokens array<int>")
+    # Ranges are found from a sample of the ids alone, unless one id has so many rows that its range has to be split.
+    usual = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > SAME_ID_ROWS).isEmpty()
+    by = [F.col(id_col)] if usual else [F.col(id_col), F.xxhash64("text")]
+    rows = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    encoded = small_batches(rows).sortWithinPartitions(id_col, F.xxhash64("text"), "text").mapInArrow(run, f"part int, `{id_col}` {kind}, n_tokens bigint, local_start bigint, tokens array<int>")
     (
         encoded.write.option("parquet.writer.version", "PARQUET_2_0")
         .option("parquet.enable.dictionary", "true")

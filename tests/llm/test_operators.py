@@ -574,6 +574,24 @@ def test_token_store_files(spark, tmp_path):
     assert last == 5999
 
 
+def test_token_store_splits_an_id_of_many_rows(spark, tmp_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "SAME_ID_ROWS", 100)
+    lib = Tokenizer.from_file(BYTES)
+    rng = random.Random(9)
+    texts = [noise(rng, rng.randrange(30)) for _ in range(900)]
+    ids = [None if n % 3 else n for n in range(900)]
+    token_store.write_tokens(docs(spark, texts, ids), str(tmp_path / "s"), BYTES, 2, partitions=6, literal=False)
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    assert stored.where("doc_id IS NULL").select("part").distinct().count() > 2
+    got = sorted((r.start, -1 if r.doc_id is None else r.doc_id, r.tokens) for r in token_store.read_tokens(spark, str(tmp_path / "s")).collect())
+    assert [g[1] for g in got] == sorted(g[1] for g in got)
+    assert [g[0] for g in got] == [sum(len(x[2]) for x in got[:n]) for n in range(len(got))]
+    want = [(-1 if i is None else i, [*lib.encode(t, add_special_tokens=False).ids, 2]) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(g[1:] for g in got) == sorted(want)
+
+
 def test_token_store_takes_special_tokens_as_the_library_does(spark):
     from tokenizers import Tokenizer
 
