@@ -55,7 +55,7 @@ SPANS = "array<struct<start: bigint, kind: int, stop: bigint>>"
 FOUND_KINDS = (*KINDS, "secret")
 SECRET = FOUND_KINDS.index("secret")
 #: Keys look like this: long, with letters and digits, and no word of a language in it.
-KEY_SHAPE = r"^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){3})(?!.*[A-Za-z]{12})[A-Za-z0-9_+/=-]{16,}$"
+KEY_SHAPE = r"^(?=(?:[^0-9]*+[0-9]){2})(?=(?:[^A-Za-z]*+[A-Za-z]){3})(?!.*[a-z]{12})[A-Za-z0-9_+/=-]{16,}$"
 #: Worth of a token of that shape before anything is known of where it stands.
 PRIOR = 0.5
 MATCHES = "array<struct<start: bigint, stop: bigint, value: string, before: string, after: string, kind: int>>"
