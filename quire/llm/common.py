@@ -37,6 +37,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, out of the way of any other name."""
+    return F.struct(*[own_column(df, c).alias(c) for c in df.columns])
+
+
 def whole_text(col: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col), F.lit(""))

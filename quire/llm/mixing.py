@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, require, written
+from .common import WORD, own_column, require, whole_row, written
 
 BLOCK_WORDS = 256
 SHARE = 1.5
@@ -83,9 +83,10 @@ def keyed(docs: DataFrame, id_col: str, same: list[str]) -> DataFrame:
 
 def hashes(docs: DataFrame, same: list[str]) -> list[Column]:
     def plain(c: str) -> Column:
-        return F.to_json(F.struct(docs[c])) if isinstance(docs.schema[c].dataType, T.MapType) else docs[c]
+        own = own_column(docs, c)
+        return F.to_json(F.struct(own)) if isinstance(docs.schema[c].dataType, T.MapType) else own
 
-    parts = [x for c in same for x in (docs[c].isNull(), plain(c))]
+    parts = [x for c in same for x in (own_column(docs, c).isNull(), plain(c))]
     return [F.xxhash64(F.lit(n), *parts).alias(f"k{n}") for n in (1, 2)]
 
 
@@ -214,7 +215,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     _, pieces = mix(docs, same=docs.columns)
     parts = written(pieces.groupBy(*KEY, "pass").agg(F.min("slot").alias("slot"), F.min("first").alias("first"), F.sum("taken").alias("taken")), "parts")
     # Everything of docs in one column, so that no name of its can clash.
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"), *hashes(docs, docs.columns))
+    rows = docs.select(whole_row(docs).alias("row"), docs["text"].alias("text"), *hashes(docs, docs.columns))
     if not parts.where("nth > 0").isEmpty():
         rows = rows.groupBy("k1", "k2").agg(F.first("row").alias("row"), F.first("text").alias("text"))  # equal in everything
     rows = rows.join(parts, ["k1", "k2"])

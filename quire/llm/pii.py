@@ -38,7 +38,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, require, whole_text, written
+from .common import WORD, require, whole_row, whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns, made possessive: they match the same strings.
@@ -381,7 +381,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     spans = find_pii(docs)
     # Everything of docs in one column, so that no name of its can clash.
     hit = spans.where("size(base) + size(found) > 0").groupBy("doc_id", "mark").agg(F.first("found").alias("found"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"), docs["doc_id"].alias("own"), F.xxhash64(whole_text()).alias("own_mark"))
+    rows = docs.select(whole_row(docs).alias("row"), docs["text"].alias("text"), docs["doc_id"].alias("own"), F.xxhash64(whole_text()).alias("own_mark"))
     rows = rows.join(hit, rows["own"].eqNullSafe(hit["doc_id"]) & (rows["own_mark"] == hit["mark"]), "left")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in FOUND_KINDS])
     none = F.coalesce(F.size("found"), F.lit(0)) < 1

@@ -264,9 +264,13 @@ def keep_good(docs: DataFrame, chain: Chain, content_share: float = CONTENT_SHAR
     state, step = chain.state, chain.step
     at = docs.columns.index("text")
 
+    names = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Chain(state, step)
         for batch in batches:
-            yield batch.filter(pa.array([verdict(x.as_py() or "", model, content_share)[3] for x in batch.column(at)], pa.bool_()))
+            good = batch.filter(pa.array([verdict(x.as_py() or "", model, content_share)[3] for x in batch.column(at)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(good.columns, names)
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    # Columns are known by their places: names may be such as have to be quoted.
+    return small_batches(docs).toDF(*[f"c{n}" for n in range(len(names))]).mapInArrow(run, docs.schema)
