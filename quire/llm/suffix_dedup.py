@@ -37,6 +37,7 @@ one is preferred: all of them go. A row is known by its id and a 64-bit hash of
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
@@ -329,12 +330,13 @@ def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     by_cut, rest = _decided(parse(docs), "cuts")
     rest = written(rest, "rest")
     large = written(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key"), "large")
-    found = by_cut.unionByName(ordered(docs, rest.join(large, "key", "left_anti")))
-    if large.isEmpty():
-        return found
-    by_block, rest = _decided(written(_refined(docs, rest.join(large, "key", "left_semi"), "blocks"), "block-entries"), "blocks")
-    by_start, _ = _decided(written(_refined(docs, rest, "strings"), "string-entries"), "strings")
-    return found.unionByName(by_block).unionByName(by_start)
+    # Each part is a table of its own: what one of them deals by key does not keep adaptive execution from splitting the others.
+    found = [written(by_cut, "cut-spans"), written(ordered(docs, rest.join(large, "key", "left_anti")), "array-spans")]
+    if not large.isEmpty():
+        by_block, rest = _decided(written(_refined(docs, rest.join(large, "key", "left_semi"), "blocks"), "block-entries"), "blocks")
+        by_start, _ = _decided(written(_refined(docs, rest, "strings"), "string-entries"), "strings")
+        found += [written(by_block, "block-spans"), written(by_start, "start-spans")]
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -347,7 +349,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     rows = docs.select("doc_id", whole_text().alias("text"))
     # A row is known by its id and a hash of its text: rows equal in both have equal results.
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(null, "text").alias("mark"), "text", null.alias("no_id"))
-    spans = written(repeated_spans(rows.select("doc", "mark", "text"), group), "spans").distinct()
+    spans = repeated_spans(rows.select("doc", "mark", "text"), group).distinct()
     spans = spans.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
