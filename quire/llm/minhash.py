@@ -1,7 +1,7 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-A document is the set of its distinct word shingles, held as 64-bit hashes that
-come from a BLAKE2b digest of every word; documents with equal sets are one class.
+A document is the set of its distinct word shingles, held as 64-bit hashes made
+of an XXH3 hash of every word; documents with equal sets are one class.
 A class has a signature of COORDINATES minima and is posted under (coordinate,
 value) pairs. Two sets with a similarity of 0.8 agree in 80% of the coordinates on
 average; pairs that agree in at least MATCHES are retained. Postings carry two
@@ -34,17 +34,17 @@ empty table gives an empty result. Texts are read whole.
 
 from __future__ import annotations
 
-import hashlib
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, whole_text, written
+from .common import require, whole_row, whole_text, written
 from .components import components
 from .hashing import mixed
 
@@ -62,32 +62,17 @@ BROADCAST_IDS = 1_000_000
 #: Texts hashed at once.
 BATCH_BYTES = 1 << 20
 
-#: Words whose hashes one worker remembers: the first ones it meets, among them all frequent ones.
-REMEMBERED = 250_000
-
-
 def missed(similarity: float = PERCENT / 100) -> float:
     """The chance that a pair of this similarity fails a test of its signatures."""
     below = lambda k, p: sum(math.comb(COORDINATES, i) * p**i * (1 - p) ** (COORDINATES - i) for i in range(k))
     return below(MATCHES, similarity) + below(SKETCH_MATCHES, similarity + (1 - similarity) / 4)
 
 
-class Words(dict):
-    """Hashes of words; one that is missing is digested."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
-        if len(self) < REMEMBERED:
-            self[word] = found
-        return found
-
-
 class Shingler:
     """Distinct shingle hashes of texts, and their signatures."""
 
     def __init__(self, words: int, coordinates: int = COORDINATES):
         self.words = words
-        self.hash = Words().__getitem__
         rng = np.random.default_rng(7)
         self.mask = rng.integers(0, 1 << 64, coordinates, np.uint64, endpoint=False)
         self.factor = rng.integers(0, 1 << 64, coordinates, np.uint64, endpoint=False) | np.uint64(1)
@@ -96,7 +81,7 @@ class Shingler:
         """The sorted distinct shingle hashes of each text."""
         split = [x.lower().split() for x in texts]  # of bytes: ASCII letters and ASCII white space
         cut = np.cumsum([len(x) for x in split])
-        word = np.fromiter(map(self.hash, itertools.chain.from_iterable(split)), np.uint64, int(cut[-1]) if len(cut) else 0)
+        word = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(split)), np.uint64, int(cut[-1]) if len(cut) else 0)
         n = self.words
         long = len(word) - n + 1
         if long > 0:
@@ -221,14 +206,18 @@ def matching(pairs: DataFrame, classes: DataFrame, matches: int = MATCHES) -> Da
     return pairs.where(same >= matches).select("a", "b")
 
 
-def sets_of(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(id, hashes): the shingle sets of the classes in pairs, as a written table.
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of pairs, as a written table: they are counted and then used."""
+    return written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+
+
+def sets_of(texts: DataFrame, classes: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, hashes): the shingle sets of the classes of a written table of ids, as a written table.
 
     The rows that stand for them are broadcast if a count shows that they are few, else joined.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     rows = classes.join(ids, "id", "left_semi").select("id", "one.doc_id", "one.mark")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_IDS
     found = texts.join(F.broadcast(rows) if few else rows, ["doc_id", "mark"])
     return written(shingle_sets(found, words), "sets")
 
@@ -263,7 +252,7 @@ def one_of_each(docs: DataFrame, words: int) -> DataFrame:
     kept = linked(docs, words).where("kept").groupBy("doc_id", "mark").agg(F.first("group").alias("group"))
     # Everything of docs in one column, so that no name of its can clash.
     rows = docs.where(docs["doc_id"].isNotNull())
-    rows = rows.select(F.struct(*[rows[c] for c in docs.columns]).alias("row"), rows["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("mark"))
+    rows = rows.select(whole_row(rows).alias("row"), rows["doc_id"].cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("mark"))
     first = rows.join(kept, ["doc_id", "mark"]).dropDuplicates(["doc_id", "group"])
     return first.select([F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(docs["doc_id"].isNull()))
 
@@ -288,14 +277,14 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
         more = led(lists, n)
         led_pairs = more if led_pairs is None else led_pairs.unionByName(more)
     close = written(matching(led_pairs, classes), "close")
-    links = written(confirmed(close, sets_of(texts, classes, close, words)).distinct(), "found")
+    links = written(confirmed(close, sets_of(texts, classes, ends(close), words)).distinct(), "found")
     left = written(apart(lists, components(links)), "apart")
     long = left.groupBy("value").agg(F.count("*").alias("members")).where(F.col("members") > SHORT_LIST).select("value")
     short = left.join(long, "value", "left_anti")
     rare = written(rarest_shingles(left.join(long, "value", "left_semi"), texts, classes, words), "rarest")
     pairs = across(short).unionByName(across(rare))
     close = written(matching(pairs, classes).join(close, ["a", "b"], "left_anti"), "close")
-    links = links.unionByName(confirmed(close, sets_of(texts, classes, close, words))).distinct()
+    links = links.unionByName(confirmed(close, sets_of(texts, classes, ends(close), words))).distinct()
     per = classes.join(components(links), "id", "left").select("k1", "k2", "n_shingles", "one.doc_id", F.coalesce("component", "id").alias("group"))
     least = per.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     per = per.join(least, "group").select("k1", "k2", "n_shingles", "group", "component_id")
@@ -327,8 +316,7 @@ def rarest_shingles(members: DataFrame, texts: DataFrame, classes: DataFrame, wo
     one of the other n - ceil(0.8 n) + 1 is, whichever they are; the rarest among
     the members are taken.
     """
-    ids = members.select(F.col("id").alias("a"), F.col("id").alias("b")).distinct()
-    sets = sets_of(texts, classes, ids, words)
+    sets = sets_of(texts, classes, written(members.select("id").distinct(), "ends"), words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 #: Names that operators use inside.
-CLASHES = ("key", "mark", "value", "row", "own", "size", "id", "doc", "context", "place", "label", "part", "start")
+CLASHES = ("key", "mark", "value", "row", "own", "size", "id", "doc", "context", "place", "label", "part", "start", "a.dotted `name`")
 
 
 def docs(spark, texts, ids=None, sources=None, clash=True):
@@ -26,7 +26,7 @@ def docs(spark, texts, ids=None, sources=None, clash=True):
     rows = [(i, t, "en", (sources or ["s"] * len(texts))[n], None if t is None else len(t)) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
     df = spark.createDataFrame(rows, DOCS)
     for c in CLASHES if clash else ():
-        df = df.withColumn(c, F.lit("x"))
+        df = df.withColumn(c, F.lit("x"))  # names of the operators' own columns, and one that has to be quoted
     return df
 
 
