@@ -90,6 +90,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .backtrack_bpe import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_license_scan": op2_license_scan,
@@ -101,6 +109,7 @@ QUERIES = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
+    "op11_backtrack_bpe": op11_backtrack_bpe,
 }
 
 ORACLE_SQL = {

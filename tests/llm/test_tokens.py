@@ -1,0 +1,111 @@
+"""The operators on tokens and cuts: backtracking encoder, fill-in-middle, alignment of two tokenizers."""
+
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from test_operators import ODD, docs
+
+from quire.llm import backtrack_bpe
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def scrambled(rng, n, letters, bits=()):
+    return ["".join(rng.choice(bits) if bits and rng.random() < 0.4 else rng.choice(letters) for _ in range(rng.randrange(50))) for _ in range(n)]
+
+
+# ---- 11 ----
+
+
+@pytest.fixture(scope="module")
+def words():
+    from tokenizers import Tokenizer
+
+    with open(WORDS, encoding="utf-8") as f:
+        return backtrack_bpe.encoder(f.read()), Tokenizer.from_file(WORDS)
+
+
+def test_backtracking_equals_the_library(spark, words):
+    enc, lib = words
+    rng = random.Random(4)
+    bits = ["the", "ing", "'s", "'LL", " ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "</w>", "xx", "aaaaaa", "don't", "Á", "ΣΑΣ", "é", "́"]
+    texts = scrambled(rng, 3000, "abcdefghijklmnopqrstuvwxyzABCéèÉ0123'.,!<|>/ww \n\t中文😀Σσς İıŐ́\u0085\x1c ﬁ\x00½²\xa0", bits) + ODD + ["ab" * 40000, "<|endoftext|>" * 300]
+    texts = [t if t is None else t.encode("utf-8", "ignore").decode() for t in texts]
+    ids = [*range(len(texts) - 1), None]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    df = docs(spark, texts + texts[:20], ids + ids[:20])
+    found = backtrack_bpe.encode_documents(df, WORDS).collect()
+    got = {r.doc_id: (r.ids, r.decoded) for r in found}
+    digests = {r.doc_id: tuple(r)[1:] for r in backtrack_bpe.digest_documents(df, WORDS).collect()}
+    assert len(found) == len(texts) + 20
+    for i, w in zip(ids, want, strict=True):
+        decoded = lib.decode(w, skip_special_tokens=False)
+        assert got[i] == (w, decoded)
+        assert digests[i] == (len(w), sha(" ".join(map(str, w))), sha(decoded))
+    assert backtrack_bpe.digest_documents(df.limit(0), WORDS).count() == 0
+    with pytest.raises(ValueError, match="missing"):
+        backtrack_bpe.digest_documents(df.drop("text"), WORDS)
+
+
+def test_pair_table_says_what_merging_does(words):
+    enc, lib = words
+    rng = random.Random(5)
+    names = {i: k for k, i in enc.tokens.items()}
+    inner = [i for i, k in names.items() if not k.endswith("\n")]
+    common = [i for i in inner if len(names[i]) < 4]
+    seen = [0, 0]
+    for _ in range(4000):
+        a, b = rng.choice(common if rng.random() < 0.5 else inner), rng.choice(common if rng.random() < 0.5 else list(names))
+        # The model alone, without normaliser and pre-tokenizer; a word always ends, so an inner b gets one more letter where it can.
+        word = names[a] + names[b]
+        if not word.endswith("\n"):
+            continue
+        merged = [t.id for t in lib.model.tokenize(word[:-1])]
+        assert enc.fit(a, b) == (merged == [a, b])
+        seen[enc.fit(a, b)] += 1
+    assert min(seen) > 20 and all(enc.whole)
+
+
+def test_steps_back_where_the_longest_match_is_wrong():
+    """A small vocabulary in which greedy longest matches fail: a+b+c has rank order bc before ab."""
+    import json
+
+    with open(WORDS, encoding="utf-8") as f:
+        file = json.load(f)
+    alphabet = [c for c in file["model"]["vocab"] if len(c) == 1 or (len(c) == 5 and c.endswith("</w>"))][:512]
+    merges = [("b", "c"), ("a", "b"), ("ab", "a"), ("c", "d</w>"), ("a", "a"), ("aa", "a</w>"), ("bc", "bc")]
+    file["model"]["merges"] = [" ".join(m) for m in merges]
+    file["model"]["vocab"] = {t: i for i, t in enumerate([*alphabet, *["".join(m) for m in merges]])}
+    content = json.dumps(file)
+    from tokenizers import Tokenizer
+
+    lib, enc = Tokenizer.from_str(content), backtrack_bpe.BacktrackEncoder(content)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 14))) for _ in range(3000)] + ["a" * n for n in range(1, 40)]
+    ids, counts = enc.encode(pa.array(texts))
+    at = np.cumsum(counts) - counts
+    assert [ids[a : a + n].tolist() for a, n in zip(at, counts, strict=True)] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+
+    def greedy(word):
+        out = []
+        while word:
+            n = next(n for n in range(len(word), 0, -1) if word[:n] in enc.tokens or n == 1)
+            out.append(enc.tokens.get(word[:n]))
+            word = word[n:]
+        return out
+
+    assert sum(greedy(t + "\n") != lib.encode(t, add_special_tokens=False).ids for t in texts) > 100
+
+
+def test_refuses_files_of_another_kind():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        with pytest.raises(ValueError):
+            backtrack_bpe.BacktrackEncoder(f.read())
