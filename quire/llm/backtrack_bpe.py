@@ -44,9 +44,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 REMEMBERED = 250_000
 
 
-def _byte_letters(alphabet: list[str]) -> str:
+def byte_letters() -> str:
     """The letter of each byte: printable Latin-1 as it is, the other bytes by the letters from U+0100 on, in order."""
-    own, more = set(alphabet), iter(range(0x100, 0x200))
+    from tokenizers import pre_tokenizers
+
+    own, more = set(pre_tokenizers.ByteLevel.alphabet()), iter(range(0x100, 0x200))
     return "".join(chr(b) if chr(b) in own else chr(next(more)) for b in range(256))
 
 
@@ -56,7 +58,7 @@ class BacktrackEncoder:
     def __init__(self, content: str):
         import ahocorasick
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(content)
         self.library.no_truncation()
@@ -76,9 +78,8 @@ class BacktrackEncoder:
         if [s["type"] for s in (file["normalizer"] or {}).get("normalizers", [])] != ["NFC", "Replace", "Lowercase"] or steps[0].get("pattern", {}).get("Regex") != PATTERN:
             raise ValueError("normaliser or pre-tokenizer is not of the known kind")
         self.find_words = regex.compile(PATTERN).findall
-        alphabet = pre_tokenizers.ByteLevel.alphabet()
-        self.letters = _byte_letters(alphabet)
-        self._grow(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], suffix, alphabet)
+        self.letters = byte_letters()
+        self._grow(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], suffix)
         self.automaton = ahocorasick.Automaton()
         for key, token in self.tokens.items():
             if self.whole[token]:
@@ -99,7 +100,7 @@ class BacktrackEncoder:
         self.chunks = pa.array([], pa.string())
         self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _grow(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str, alphabet: list[str]) -> None:
+    def _grow(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> None:
         """Keys, edges of the merge trees, and which tokens are the result of their own symbols."""
         n = max(vocab.values()) + 1
         self.tokens: dict[str, int] = {}
@@ -116,7 +117,7 @@ class BacktrackEncoder:
                 raise ValueError(f"token {token} has two forms")
             keys[token], self.tokens[key], self.size[token] = key, token, len(key)
 
-        for c in alphabet:
+        for c in self.letters:
             for name, key in {c: c, c + suffix: c + END}.items():
                 if name in vocab:
                     enter(t := vocab[name], key)

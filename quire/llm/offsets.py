@@ -33,15 +33,15 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = TEXT_BYTES) -> Itera
 
 
 class OffsetTable:
-    """Entries end with one byte of separator, which goes at the end of a text."""
+    """Entries of bytes; those that end with a separator lose it at the end of a text."""
 
     def __init__(self, entries: list[bytes]):
         self.data = np.frombuffer(b"".join(entries), np.uint8)
         self.size = np.fromiter(map(len, entries), np.int64, len(entries))
         self.start = np.cumsum(self.size) - self.size
 
-    def joined(self, numbers: np.ndarray, counts: np.ndarray) -> list[memoryview]:
-        """The entries of so many numbers for each text, without the last separator."""
+    def joined(self, numbers: np.ndarray, counts: np.ndarray, separator: int = 1) -> list[memoryview]:
+        """The entries of so many numbers for each text, without the last bytes of separator."""
         size = self.size[numbers]
         ends = np.concatenate([[0], np.cumsum(size)])
         out = np.empty(int(ends[-1]), np.uint8)
@@ -50,4 +50,4 @@ class OffsetTable:
             out[ends[at] : ends[min(at + BLOCK, len(numbers))]] = self.data[places(self.start[some], size[at : at + BLOCK])]
         cut = ends[np.concatenate([[0], np.cumsum(counts)])]
         view = memoryview(out)
-        return [view[a : max(a, b - 1)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return [view[a : max(a, b - separator)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]

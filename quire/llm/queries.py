@@ -98,6 +98,20 @@ def op11_backtrack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_in_middle import digest, fill_in_middle
+
+    return digest(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import digest_documents
+
+    return digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_license_scan": op2_license_scan,
@@ -110,6 +124,8 @@ QUERIES = {
     "op9_token_store": op9_token_store,
     "op10_quality_rules": op10_quality_rules,
     "op11_backtrack_bpe": op11_backtrack_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {
@@ -189,4 +205,14 @@ ORACLE_SQL = {
         degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
         SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
         FROM embeddings LEFT JOIN parts ON id = vec_id LEFT JOIN degrees ON a = vec_id""",
+    "op12_fill_in_middle": r"""
+        WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        numbers AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS c2,
+            CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                 WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+        parts AS (SELECT *, least(c1, c2) AS lo, greatest(c1, c2) AS hi, substr(text, 1, least(c1, c2)) AS prefix,
+            substr(text, least(c1, c2) + 1, greatest(c1, c2) - least(c1, c2)) AS middle, substr(text, greatest(c1, c2) + 1) AS suffix FROM numbers)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM parts""",
 }

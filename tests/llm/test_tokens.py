@@ -7,11 +7,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from test_operators import ODD, docs
 
-from quire.llm import backtrack_bpe
+from quire.llm import alignment, backtrack_bpe, fill_in_middle
 
-WORDS = public_tokenizers.path("word_bpe_49k.json")
+WORDS, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 
 
 def sha(x):
@@ -109,3 +110,146 @@ def test_refuses_files_of_another_kind():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         with pytest.raises(ValueError):
             backtrack_bpe.BacktrackEncoder(f.read())
+
+
+# ---- 12 ----
+
+
+def plain_units(text, unit):
+    """Places where units end, by reading the text once."""
+    space = " \t\n\v\f\r"
+    begins = {"character": lambda a, b: True, "word": lambda a, b: a in space and b not in space, "line": lambda a, b: a == "\n"}[unit]
+    inner = [i for i in range(1, len(text)) if begins(text[i - 1], text[i])]
+    return [0, *inner, len(text)] if text else [0]
+
+
+def plain_fim(doc_id, text, unit="character"):
+    text = text or ""
+    h = [int(sha("1:" + ("" if doc_id is None else str(doc_id)))[8 * k : 8 * k + 8], 16) for k in range(4)]
+    ends = plain_units(text, unit)
+    n = len(ends) - 1
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, text
+    p, m, s = text[: ends[a]], text[ends[a] : ends[b]], text[ends[b] :]
+    if h[3] % 100 < 20:
+        return n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}"
+
+
+@pytest.mark.parametrize(("unit", "chunk"), [("character", 4096), ("character", 5), ("word", 7), ("line", 3), ("word", 4096)])
+def test_cuts(spark, unit, chunk):
+    rng = random.Random(7)
+    texts = scrambled(rng, 600, "ab \n\tcé中😀<PSM>", ["<S", "<P>", "<<", "  ", "\n\n"]) + ODD + ["é" * 20000, "a b\n" * 9000, "<P", "<M>", "<S", "<<S>"]
+    ids = [*range(len(texts) - 2), None, None]
+    df = docs(spark, texts + texts[:9], ids + ids[:9])
+    out = fill_in_middle.fill_in_middle(df, unit=unit, chunk=chunk)
+    found = out.withColumn("back", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()
+    want = {(i, t or ""): plain_fim(i, t, unit) for i, t in zip(ids, texts, strict=True)}
+    assert len(found) == len(texts) + 9
+    assert sorted(((r.doc_id, r.n, r.form, r.prefix_units, r.middle_units, r.output) for r in found), key=str) == sorted(((i, *want[i, t or ""]) for i, t in zip(ids + ids[:9], texts + texts[:9], strict=True)), key=str)
+    assert sorted(((r.doc_id, r.back) for r in found), key=str) == sorted(((i, t or "") for i, t in zip(ids + ids[:9], texts + texts[:9], strict=True)), key=str)
+    assert {r.form for r in found} == {"plain", "psm", "spm"}
+    assert fill_in_middle.fill_in_middle(df.limit(0)).count() == 0
+
+
+def test_only_owning_chunks_are_scanned_again():
+    looked = []
+    predicate = lambda before, now: looked.append(len(now)) or fill_in_middle.UNITS["character"](before, now)
+    text = ("aé中😀" * 5000).encode()
+    chunks = fill_in_middle.Chunks(np.frombuffer(text, np.uint8), np.array([0, len(text)]), predicate, 1000)
+    assert sum(looked) == len(text) and chunks.units.tolist() == [20000]
+    looked.clear()
+    assert chunks.cut(np.array([10001])).tolist() == [25001] and looked == [1000]
+    assert chunks.cut(np.array([0])).tolist() == [0] and chunks.cut(np.array([20000])).tolist() == [len(text)]
+
+
+def test_marks_that_run_into_each_other_are_refused(spark):
+    for marks in (("<P>", "<P>", "<M>"), ("aba", "x", "y"), ("ab", "bc", "x"), ("abc", "b", "x"), ("", "a", "b")):
+        with pytest.raises(ValueError, match="marks"):
+            fill_in_middle.fill_in_middle(docs(spark, ["a"]), marks=marks)
+    made = fill_in_middle.fill_in_middle(docs(spark, ["one two three"] * 60), marks=("[pre]", "[suf]", "[mid]"), fim_percent=100)
+    assert {r.x for r in made.select(fill_in_middle.restored(F.col("output"), F.col("form"), ("[pre]", "[suf]", "[mid]")).alias("x")).collect()} == {"one two three"}
+
+
+# ---- 13 ----
+
+
+def plain_alignment(texts):
+    """Each text's row of the contract, with sets of ends and a counter."""
+    from collections import Counter
+
+    import sentencepiece
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    a_lib, b_lib = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a_lib.encode_special_tokens = True
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    own = {ord(c): c for c in letters if ord(c) < 256}
+    rest = iter(c for c in letters if ord(c) >= 256)
+    byte = {(own[b] if b in own else next(rest)): b for b in range(256)}
+    names = {i: bytes(byte[c] for c in k) for k, i in a_lib.get_vocab(with_added_tokens=False).items()}
+
+    def piece(i):
+        p = b_lib.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if b_lib.is_byte(i) else p.replace("▁", " ").encode()
+
+    out, counts = [], Counter()
+    for t in texts:
+        want = b" " + (t or "").encode()
+        a, b = a_lib.encode(" " + (t or ""), add_special_tokens=False).ids, b_lib.encode(t or "")
+        if not t or b"".join(names[i] for i in a) != want or b"".join(map(piece, b)) != want:
+            out.append(([], "", 0, 0))
+            continue
+        at, ends_a, ends_b = 0, {}, {}
+        for ids, ends, size in ((a, ends_a, lambda i: len(names[i])), (b, ends_b, lambda i: len(piece(i)))):
+            at = 0
+            for k, i in enumerate(ids):
+                at += size(i)
+                ends[at] = k
+        links, groups, x, y = [], [], 0, 0
+        for e in sorted(set(ends_a) & set(ends_b)):
+            links.append((a[ends_a[e]], b[ends_b[e]]))
+            groups.append(",".join(map(str, a[x : ends_a[e] + 1])) + "|" + ",".join(map(str, b[y : ends_b[e] + 1])))
+            x, y = ends_a[e] + 1, ends_b[e] + 1
+        counts.update(links)
+        out.append((links, ";".join(groups), len(a), len(b)))
+    top = {}
+    for (_, b), n in counts.items():
+        top[b] = max(top.get(b, 0), n)
+    return [(na, nb, len(ls), sha(g) if na else "", len(ls), sum(counts[x] == top[x[1]] for x in ls), sum(counts[x] for x in ls)) for ls, g, na, nb in out]
+
+
+def test_alignment(spark):
+    rng = random.Random(8)
+    texts = scrambled(rng, 800, "abcdefghijklmnopqrstuvwxyz .,'0123é中😀\n\t", ["the ", "ing ", "tion", "  ", "<|endoftext|>", "<s>", "</s>", "<0x41>", "▁", "don't", "été "]) + ODD + ["the cat sat " * 2000]
+    ids = [*range(len(texts) - 1), None]
+    df = docs(spark, texts + texts[:30], ids + ids[:30]).repartition(3)
+    columns = ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_links", "n_best", "count_sum"]
+    got = sorted((tuple(r[c] for c in columns) for r in alignment.digest_documents(df, BYTES, PIECES).collect()), key=str)
+    assert got == sorted(((i, *w) for i, w in zip(ids + ids[:30], plain_alignment(texts + texts[:30]), strict=True)), key=str)
+    assert sum(r[1] == 0 for r in got) > 10
+    assert alignment.digest_documents(df.limit(0), BYTES, PIECES).count() == 0
+
+
+def test_general_alignment_and_pairs(spark):
+    df = docs(spark, ["unhappiness today", None])
+    r = alignment.align_documents(df, BYTES, PIECES).orderBy("doc_id").collect()
+    assert r[1].groups == "" and r[1].links == [] and r[1].n_a == 0
+    groups = [[x.split(",") for x in g.split("|")] for g in r[0].groups.split(";")]
+    assert sum(len(g[0]) for g in groups) == r[0].n_a and sum(len(g[1]) for g in groups) == r[0].n_b and len(groups) == r[0].n_groups
+    pairs = {p.link: (p.a, p.b) for p in alignment.link_pairs(df, BYTES, PIECES).collect()}
+    assert [pairs[x] for x in r[0].links] == [(int(g[0][-1]), int(g[1][-1])) for g in groups]
+    assert len(pairs) < alignment.MOST_PAIRS
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 1000])
+def test_overlaps_by_owners(window):
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        n = int(rng.integers(1, 60))
+        a, b = (np.append(np.flatnonzero(rng.random(n - 1) < 0.4) + 1, n) for _ in range(2))
+        own = [np.searchsorted(x, np.arange(n), "right") for x in (a, b)]
+        want = [(own[0][i], own[1][i], i + 1 in a and i + 1 in b) for i in range(n) if i + 1 == n or (own[0][i], own[1][i]) != (own[0][i + 1], own[1][i + 1])]
+        assert list(zip(*(x.tolist() for x in alignment.overlaps(a, b, window)), strict=True)) == want
+    assert [len(x) for x in alignment.overlaps(a[:0], b[:0])] == [0, 0, 0]
