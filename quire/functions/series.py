@@ -40,6 +40,18 @@ def pearson(a: Column, b: Column) -> Column:
     return F.when((va > 0) & (vb > 0), (n * dot(a, b) - sa * sb) / F.sqrt(va * vb)).otherwise(0.0)
 
 
+def standard(a: Column) -> Column:
+    """A series less its mean, by its length in that space; zeros for a constant one. The dot product of two is their correlation.
+
+    The sums are exact for whole numbers, so that a constant series of counts is found constant.
+    """
+    n, s = F.size(a).cast("double"), total(a)
+    spread = n * dot(a, a) - s * s
+    # The sums stand in an array of one, so that they are not taken again for every value.
+    sums = F.array(F.struct(F.try_divide(s, n).alias("mean"), F.when(spread > 0, F.sqrt(spread / n)).alias("length")))
+    return F.get(F.transform(sums, lambda m: F.transform(a, lambda v: F.coalesce((v - m["mean"]) / m["length"], F.lit(0.0)))), 0)
+
+
 ROUNDING = 1e-9
 
 

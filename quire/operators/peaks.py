@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import series as X
+from quire.functions import sketch as K
 from quire.functions.dates import period_hours
 from quire.operators import graph as G
 from quire.operators import visits as V
@@ -39,30 +40,73 @@ def active_series(visits: DataFrame, active: DataFrame, start: date, end: date,
     return V.dense(own.join(busy, "page_id", "left_semi"), start, end)
 
 
-def edge_similarity(vertices: DataFrame, edges: DataFrame, series: DataFrame, hours: int, correlation: bool = True, filtered: bool = False, least: float = 0.5) -> DataFrame:
-    """Edges weighted by the likeness of their ends' series, 0 where one has none.
+def shapes_of(series: DataFrame, hours: int, correlation: bool = True, filtered: bool = False) -> DataFrame:
+    """(page_id, shape): what the likeness of two pages is taken from, once per page, not per edge.
 
-    Trends are taken once per vertex, not per edge. Correlation is that of the
-    trends, clipped at 0, times hours; else it is the sum of the hourly ratios of
-    the trends (clipped at 0; divided by hours if filtered) above least.
+    For correlation that is the standardised trend, else the trend clipped at 0 (divided by hours if filtered).
     """
-    scale = float(hours) if filtered else 1.0
     if correlation:
-        ready = series.select("page_id", X.standard_trend_of("values").alias("shape"))
-    else:
-        ready = series.select("page_id", X.trend_of("values").alias("trend"))
-        ready = ready.select("page_id", F.transform("trend", lambda v: F.greatest(v / scale, F.lit(0.0))).alias("shape"))
-    rows = G.triplets(G.with_attributes(vertices.select("id"), ready, "page_id"), edges, "shape")
-    a, b = F.col("src_shape"), F.col("dst_shape")
+        return series.select("page_id", X.standard_trend_of("values").alias("shape"))
+    scale = float(hours) if filtered else 1.0
+    ready = series.select("page_id", X.trend_of("values").alias("trend"))
+    return ready.select("page_id", F.transform("trend", lambda v: F.greatest(v / scale, F.lit(0.0))).alias("shape"))
+
+
+def _likeness(a: Column, b: Column, hours: int, correlation: bool, least: float) -> Column:
     weight = F.greatest(X.dot(a, b), F.lit(0.0)) * hours if correlation else X.ratio_similarity(a, b, least)
-    weight = F.when(a.isNull() | b.isNull(), 0.0).otherwise(weight)
-    return rows.select("src", "dst", F.nanvl(weight, F.lit(0.0)).alias("weight"))
+    return F.nanvl(F.when(a.isNull() | b.isNull(), 0.0).otherwise(weight), F.lit(0.0))
+
+
+def edge_similarity(vertices: DataFrame, edges: DataFrame, series: DataFrame, hours: int, correlation: bool = True, filtered: bool = False, least: float = 0.5) -> DataFrame:
+    """Edges weighted by the likeness of their ends' series, 0 where one has none.
+
+    Correlation is that of the trends, clipped at 0, times hours; else it is the
+    sum of the hourly ratios of the trends (see shapes_of) above least.
+    """
+    return weighted(vertices, edges, shapes_of(series, hours, correlation, filtered), hours, correlation, least)
+
+
+def weighted(vertices: DataFrame, edges: DataFrame, shapes: DataFrame, hours: int, correlation: bool = True, least: float = 0.5) -> DataFrame:
+    """The same from shapes; both shapes go with every edge."""
+    rows = G.triplets(G.with_attributes(vertices.select("id"), shapes, "page_id"), edges, "shape")
+    return rows.select("src", "dst", _likeness(F.col("src_shape"), F.col("dst_shape"), hours, correlation, least).alias("weight"))
+
+
+def with_sketches(shapes: DataFrame, correlation: bool = True, width: int = K.SEGMENT_HOURS) -> DataFrame:
+    """(page_id, shape, sketch), to be written once: the first pass over edges reads the sketches alone."""
+    sketch = K.shape_sketch if correlation else K.ratio_sketch
+    return shapes.select("page_id", "shape", sketch(F.col("shape"), width).alias("sketch"))
+
+
+def possible_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, hours: int, min_weight: float, correlation: bool = True, least: float = 0.5) -> DataFrame:
+    """(src, dst) of the edges whose sketches allow a weight above min_weight (at least 0)."""
+    known = vertices.select("id").join(sketched.select(F.col("page_id").alias("id"), "sketch"), "id")
+    rows = G.triplets(known, edges.select("src", "dst"), "sketch")
+    a, b = F.col("src_sketch"), F.col("dst_sketch")
+    bound = K.dot_bound(a, b) * hours if correlation else K.ratio_bound(a, b, least)
+    return rows.where(bound > min_weight).select("src", "dst")
+
+
+def similar_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, hours: int, min_weight: float, correlation: bool = True, least: float = 0.5) -> DataFrame:
+    """The edges of weighted() above min_weight, the same in every value.
+
+    Only edges whose sketches allow such a weight fetch the two series; the others
+    move a sketch of a value or three for each segment. Below 0 every edge counts,
+    and there is nothing to prune.
+    """
+    shapes = sketched.select("page_id", "shape")
+    if min_weight < 0:
+        return G.prune_edges(weighted(vertices, edges, shapes, hours, correlation, least), min_weight)
+    some = possible_edges(vertices, edges, sketched, hours, min_weight, correlation, least)
+    rows = G.triplets(shapes.withColumnRenamed("page_id", "id"), some, "shape")
+    weight = _likeness(F.col("src_shape"), F.col("dst_shape"), hours, correlation, least)
+    return G.prune_edges(rows.select("src", "dst", weight.alias("weight")), min_weight)
 
 
 def peak_graph(vertices: DataFrame, edges: DataFrame, series: DataFrame, hours: int, min_weight: float = 1.0, correlation: bool = True, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The largest component of the active subgraph, edges weighted by likeness and pruned."""
     pairs = G.undirected(edges, F.max)
-    weighted = G.prune_edges(edge_similarity(vertices, pairs, series, hours, correlation), min_weight)
-    # Trends are the costly part: the rounds of components read their result, not the series.
-    weighted = written(weighted, "weighted", scratch)
-    return G.largest_component_graph(G.without_singletons(vertices, weighted), weighted, scratch)
+    # Trends are the costly part, and two passes read them: sketches of all, series of few.
+    sketched = written(with_sketches(shapes_of(series, hours, correlation), correlation), "sketched", scratch)
+    found = written(similar_edges(vertices, pairs, sketched, hours, min_weight, correlation), "weighted", scratch)
+    return G.largest_component_graph(G.without_singletons(vertices, found), found, scratch)

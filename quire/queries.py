@@ -23,6 +23,7 @@ from quire.operators import links as L
 from quire.operators import peaks as P
 from quire.operators import views as W
 from quire.operators import visits as V
+from quire.scratch import written
 from quire.sources import dumps as D
 from quire.sources.views import parse_views
 
@@ -403,6 +404,39 @@ def pearson_pairs(spark, sf):
     return _pairs(spark, sf).select("a", "b", (F.round(X.pearson(F.col("va"), F.col("vb")), 6) + 0).alias("r"))
 
 
+_NEAR = f"""near AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst FROM lineitem WHERE l_partkey <> l_suppkey),
+    linked AS (SELECT src, dst FROM near WHERE src IN (SELECT page_id FROM visits) AND dst IN (SELECT page_id FROM visits)),
+    met AS (SELECT src, dst, CAST(x."count" AS DOUBLE) AS a, CAST(y."count" AS DOUBLE) AS b FROM linked JOIN visits x ON x.page_id = src JOIN visits y ON y.page_id = dst AND y.visit_time = x.visit_time)"""
+
+
+def _near(spark, sf):
+    """(vertices, edges, series): linked pages that both have visits."""
+    series = V.dense(visits(spark, sf), START, END)
+    pairs = G.undirected(edges(spark, sf).where("src <> dst"), F.max)
+    return series.select(F.col("page_id").alias("id")), pairs, series
+
+
+@query("similar_edges", f"""WITH {_VISITS}, {_NEAR}, sums AS (SELECT page_id, sum(CAST("count" AS DOUBLE)) AS s, sum(CAST("count" AS DOUBLE) * "count") AS q FROM visits GROUP BY 1),
+    products AS (SELECT src, dst, sum(a * b) AS p FROM met GROUP BY 1, 2),
+    weights AS (SELECT src, dst, {HOURS} * ({HOURS} * p - x.s * y.s) / sqrt(({HOURS} * x.q - x.s * x.s) * ({HOURS} * y.q - y.s * y.s)) AS weight
+        FROM products JOIN sums x ON x.page_id = src JOIN sums y ON y.page_id = dst)
+    SELECT src, dst, round(weight, 6) AS weight FROM weights WHERE weight > {HOURS // 20}""")
+def similar_edges(spark, sf):
+    """Linked pages whose hourly visits correlate; edges that sketches rule out never see the series."""
+    vertices, pairs, series = _near(spark, sf)
+    sketched = written(P.with_sketches(series.select("page_id", X.standard(F.col("values")).alias("shape"))), "sketched")
+    return P.similar_edges(vertices, pairs, sketched, HOURS, HOURS / 20).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("similar_ratio_edges", f"""WITH {_VISITS}, {_NEAR}, ratios AS (SELECT src, dst, least(a, b) / greatest(a, b) AS r FROM met)
+    SELECT src, dst, round(sum(r), 6) AS weight FROM ratios WHERE r > 0.5 GROUP BY 1, 2 HAVING sum(r) > 6""")
+def similar_ratio_edges(spark, sf):
+    """Linked pages with like visits in more than six hours."""
+    vertices, pairs, series = _near(spark, sf)
+    sketched = written(P.with_sketches(series.select("page_id", F.col("values").alias("shape")), correlation=False), "sketched")
+    return P.similar_edges(vertices, pairs, sketched, HOURS, 6.0, correlation=False).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 @query("top_page", f"""WITH {_VISITS} SELECT page_id, CAST(sum("count") AS BIGINT) AS total FROM visits GROUP BY 1 ORDER BY total DESC, page_id LIMIT 1""")
 def top_page(spark, sf):
     return V.top_pages(visits(spark, sf))
