@@ -12,6 +12,7 @@ from quire import session
 from quire.functions.dates import date_range
 from quire.operators.views import page_visits, visit_rows
 from quire.plans import config
+from quire.sinks.day_stats import DayStatsStore
 from quire.sinks.visits import VisitStore, open_store, save
 from quire.sources.dumps import read_pages
 from quire.sources.views import read_views
@@ -24,12 +25,14 @@ def rows_of(spark: SparkSession, base: str, start: date, end: date, pages: DataF
     return visit_rows(pages, visits, keep_redirects)
 
 
-def run(spark: SparkSession, store: VisitStore, base: str, pages_path: str, start: date, end: date, languages: list[str], legacy: bool, cfg: dict) -> None:
+def run(spark: SparkSession, store: VisitStore, base: str, pages_path: str, start: date, end: date, languages: list[str], legacy: bool, cfg: dict, days: DayStatsStore | None = None) -> None:
     rows = rows_of(
         spark, base, start, end, read_pages(spark, pages_path), languages, legacy,
         cfg["views.minDailyVisits"], cfg["views.minDailyVisitsHourlySplit"], cfg["views.keepRedirects"],
     )
     save(store, rows, start, end)
+    if days:
+        days.append(store.visits(start, end), start, end)
 
 
 def main(args: list[str] | None = None) -> None:
@@ -42,11 +45,12 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--languages", nargs="+", required=True)
     p.add_argument("--legacy", action="store_true")
     p.add_argument("--outputPath", help="Parquet store; without it rows go to Cassandra")
+    p.add_argument("--dayStats", help="folder of day statistics, which the days are added to")
     a = p.parse_args(args)
     cfg = config.load(a.config)
     spark = session.build("page-views", **config.connection(cfg))
     store = open_store(spark, a.outputPath, cfg["store.keyspace"], cfg["store.tableVisits"], cfg["store.tableMeta"])
-    run(spark, store, a.basePath, a.pageDump, a.startDate, a.endDate, a.languages, a.legacy, cfg)
+    run(spark, store, a.basePath, a.pageDump, a.startDate, a.endDate, a.languages, a.legacy, cfg, DayStatsStore(spark, a.dayStats) if a.dayStats else None)
 
 
 if __name__ == "__main__":

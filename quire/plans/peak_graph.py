@@ -9,31 +9,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire import session
 from quire.functions.dates import history_start, period_hours
+from quire.operators import days as Y
 from quire.operators import graph as G
 from quire.operators import peaks as P
 from quire.plans import config
-from quire.scratch import clean
+from quire.scratch import clean, written
+from quire.sinks.day_stats import DayStatsStore
 from quire.sinks.gexf import write_gexf
 from quire.sinks.tables import write_parquet
 from quire.sinks.visits import VisitStore, load_period, open_store
 
 
-def find(store: VisitStore, pages: DataFrame, links: DataFrame, start: date, end: date, language: str, cfg: dict, category_links: DataFrame | None = None, active_path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(vertices (id, title), edges (src, dst, weight)) of the final graph."""
+def find(store: VisitStore, pages: DataFrame, links: DataFrame, start: date, end: date, language: str, cfg: dict, category_links: DataFrame | None = None, active_path: str | None = None, days: DayStatsStore | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices (id, title), edges (src, dst, weight)) of the final graph.
+
+    With a table of day statistics, thresholds and busy days come from it, and the
+    history's visits are read only where z-scores need them.
+    """
     if start > end:
         raise ValueError("start date is after end date")
     history = history_start(start, end)
     visits = load_period(store, history, end, language)
+    stats = days.read(history, end, language) if days else None
     if cfg["peaks.activityZScore"]:
         z = [cfg[f"peaks.zscore.{k}"] for k in ("lag", "threshold", "influence", "activityThreshold")]
         active = P.zscore_pages(visits, history, start, end, *z)
-        if active_path:
-            write_parquet(active, active_path)
-            active = active.sparkSession.read.parquet(active_path)
     else:
-        active = P.burst_pages(visits, history, start, end, cfg["peaks.burstRate"], cfg["peaks.burstCount"])
-    series = P.active_series(visits, active, start, end, cfg["peaks.dailyMinThreshold"])
+        rule = history, start, end, cfg["peaks.burstRate"], cfg["peaks.burstCount"]
+        active = Y.burst_pages(visits, stats, *rule) if days else P.burst_pages(visits, *rule)
+    # Series, vertices and edges all start from the active pages, which are found once.
+    if active_path and cfg["peaks.activityZScore"]:
+        write_parquet(active, active_path)
+        active = active.sparkSession.read.parquet(active_path)
+    else:
+        active = written(active, "active")
+    series = P.active_series(visits, active, start, end, cfg["peaks.dailyMinThreshold"], stats)
     nodes, edges = G.active_subgraph(pages, links, active, category_links, cfg["peaks.includeCategories"])
+    # The vertices are read by the weights, by the components and by the graph that is written.
+    nodes = written(nodes, "nodes")
     return P.peak_graph(nodes, edges, series, period_hours(start, end), cfg["peaks.minEdgeWeight"], cfg["peaks.pearsonCorrelation"])
 
 
@@ -61,8 +74,11 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: dict) -> None:
     start, end = (date.fromisoformat(cfg[f"peaks.{k}"]) for k in ("startDate", "endDate"))
     store = open_store(spark, a.visits, cfg["store.keyspace"], cfg["store.tableVisits"], cfg["store.tableMeta"])
     more = spark.read.parquet(a.categoryLinks) if a.categoryLinks else None
+    if cfg.get("peaks.useTableStats") and not cfg.get("store.tableStats"):
+        raise ValueError("peaks.useTableStats needs store.tableStats, the folder of the day statistics")
+    days = DayStatsStore(spark, cfg["store.tableStats"]) if cfg.get("peaks.useTableStats") else None
     active_path = f"{a.outputPath}/activePages.pqt" if cfg["peaks.zscore.saveOutput"] else None
-    vertices, edges = find(store, spark.read.parquet(a.pages), spark.read.parquet(a.links), start, end, a.language, cfg, more, active_path)
+    vertices, edges = find(store, spark.read.parquet(a.pages), spark.read.parquet(a.links), start, end, a.language, cfg, more, active_path, days)
     write_gexf(vertices, edges, f"{a.outputPath}/{graph_name(start, end)}")
 
 

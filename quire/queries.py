@@ -18,6 +18,7 @@ from quire import schemas as S
 from quire.functions import series as X
 from quire.functions.dates import covered, earliest, elapsed_hours, latest, period_hours
 from quire.functions.hours import hour_visits, visits_of_day
+from quire.operators import days as Y
 from quire.operators import graph as G
 from quire.operators import links as L
 from quire.operators import peaks as P
@@ -382,6 +383,41 @@ def active_series(spark, sf):
     return found.select("page_id", F.aggregate("values", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+def _day_table(spark, sf) -> DataFrame:
+    """The day table, counted in two goes, the second of which begins with a day that was there."""
+    from quire.scratch import scratch_dir
+    from quire.sinks.day_stats import DayStatsStore
+
+    store, v = DayStatsStore(spark, f"{scratch_dir(spark)}/days-{uuid.uuid4().hex}"), visits(spark, sf)
+    store.append(v, START, MIDDLE)
+    store.append(v, MIDDLE, END)
+    return store.read(START, END)
+
+
+@query("day_stats", f"""WITH {_VISITS} SELECT 'en' AS languageCode, page_id, CAST(visit_time AS DATE) AS day, count(*) AS entries, count(*) AS hours, CAST(sum("count") AS BIGINT) AS total,
+    CAST(sum("count" * "count") AS DOUBLE) AS squares, max("count") AS most FROM visits GROUP BY page_id, day""")
+def day_stats(spark, sf):
+    return _day_table(spark, sf)
+
+
+@query("day_series_stats", f"WITH {_VISITS}, {_GRID}, {_STATS} SELECT page_id, round(mean, 6) AS mean, round(variance, 6) AS variance FROM stats")
+def day_series_stats(spark, sf):
+    """series_stats from the day table, without a look at visits."""
+    return Y.stats(_day_table(spark, sf), START, END).select("page_id", F.round("mean", 6).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+@query("day_maximum", f"""WITH {_VISITS}, d AS (SELECT page_id, CAST(visit_time AS DATE) AS d, sum("count") AS n FROM visits WHERE visit_time >= DATE '2024-01-11' GROUP BY 1, 2)
+    SELECT page_id, CAST(max(n) AS BIGINT) AS daily_max FROM d GROUP BY 1""")
+def day_maximum(spark, sf):
+    return Y.daily_maximum(_day_table(spark, sf), MIDDLE, END)
+
+
+@query("day_burst_pages", f"WITH {_VISITS}, {_GRID}, {_STATS}, {_BURST} SELECT page_id FROM burst")
+def day_burst_pages(spark, sf):
+    """burst_pages with thresholds from the day table and visits of the days that pass them."""
+    return Y.burst_pages(visits(spark, sf), _day_table(spark, sf), START, MIDDLE, END, 5.0, 1)
+
+
 _PAIRS = """pairs AS (SELECT a.page_id AS a, a.page_id + 1 AS b FROM (SELECT DISTINCT page_id FROM visits) a WHERE a.page_id + 1 IN (SELECT page_id FROM visits))"""
 
 

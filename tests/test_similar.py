@@ -69,11 +69,12 @@ def test_standard_is_the_correlation(spark):
 
 
 def shuffled_bytes(spark, df):
-    store = spark.sparkContext._jsc.sc().statusStore()
-    total = lambda: sum(s.shuffleWriteBytes() for s in iterate(store.stageList(None)))
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
 
-    def iterate(seq):
-        return [seq.apply(i) for i in range(seq.size())]
+    def total():
+        stages = store.stageList(sc._jvm.java.util.ArrayList(), False, False, none, sc._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
     before = total()
     df.write.format("noop").mode("overwrite").save()
@@ -81,15 +82,19 @@ def shuffled_bytes(spark, df):
 
 
 def test_fewer_bytes_are_shuffled(spark):
-    found, n = shapes(spark, np.random.default_rng(4), 120, True)
-    pairs, vertices = all_edges(spark, n)
-    sketched = P.with_sketches(found).cache()
+    rng = np.random.default_rng(4)
+    series = [(i, rng.poisson(3, 720).astype(float).tolist()) for i in range(200)]
+    series += [(200 + i, [v + 0.1 for v in series[i][1]]) for i in range(20)]
+    found = spark.createDataFrame(series, "page_id long, `values` array<double>").select("page_id", X.standard(F.col("values")).alias("shape"))
+    pairs = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in rng.integers(0, 220, (4000, 2))] + [(i, 200 + i, 1.0) for i in range(20)], "src long, dst long, weight double")
+    vertices, sketched = spark.range(220), P.with_sketches(found).cache()
     sketched.count()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        whole = shuffled_bytes(spark, P.weighted(vertices, pairs, sketched.select("page_id", "shape"), HOURS))
-        pruned = shuffled_bytes(spark, P.similar_edges(vertices, pairs, sketched, HOURS, 80.0))
+        whole = shuffled_bytes(spark, P.weighted(vertices, pairs, sketched.select("page_id", "shape"), 720))
+        pruned = shuffled_bytes(spark, P.similar_edges(vertices, pairs, sketched, 720, 714.0))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    print(whole, pruned)
     assert pruned < whole / 3
