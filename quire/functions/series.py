@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.functions.zscore import smoothed_zscore
+
 
 def ratio_similarity(a: Column, b: Column, least: float = 0.5) -> Column:
     """Sum of min/max over the hours where that is above least; 0/0 counts as nothing."""
@@ -52,36 +54,6 @@ def standard(a: Column) -> Column:
     return F.get(F.transform(sums, lambda m: F.transform(a, lambda v: F.coalesce((v - m["mean"]) / m["length"], F.lit(0.0)))), 0)
 
 
-ROUNDING = 1e-9
-
-
-def smoothed_zscore(y: np.ndarray, lag: int, threshold: float, influence: float) -> np.ndarray:
-    """+1 or -1 for each hour that leaves the band of the lag hours before it, else 0.
-
-    The first lag hours and the last one are never marked. A marked hour enters
-    the running window damped by influence; the window of an hour ends before it.
-    y may hold several series of one length, one in each row: they go hour by hour
-    together. What is no more than rounding, against the series' largest value or
-    one visit, leaves no band.
-    """
-    y = np.asarray(y, np.float64)
-    n = y.shape[-1]
-    signal = np.zeros(y.shape, np.int32)
-    if n <= lag or lag < 2:
-        return signal
-    calm = np.array(y, order="C")
-    least = ROUNDING * np.maximum(1.0, np.abs(y).max(-1))
-    for i in range(lag, n - 1):
-        # What hour i is judged by was taken when hour i - 1 was, from the hours before that one.
-        window = calm[..., max(i - 1 - lag, 0) : max(i - 1, lag)]
-        mean, spread = window.mean(-1), window.std(-1, ddof=1)
-        now = y[..., i]
-        out = np.abs(now - mean) > np.maximum(threshold * spread, least)
-        signal[..., i] = np.where(out, np.where(now > mean, 1, -1), 0)
-        calm[..., i] = np.where(out, influence * now + (1 - influence) * calm[..., i - 1], now)
-    return signal
-
-
 class Smoother:
     """Local regression of n evenly spaced values, at their places and as many before and after as asked for.
 

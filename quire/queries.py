@@ -579,23 +579,45 @@ def stl_trend(spark, sf):
     return d.select("page_id", F.posexplode("trend").alias("hour", "trend"))
 
 
+def _shelves(spark, sf) -> DataFrame:
+    """All visits, added up over the pages of each of twenty-five shelves: a single page has too few visits for a trend."""
+    v = visits(spark, sf).withColumn("page_id", F.col("page_id") % 25)
+    return v.groupBy("languageCode", "page_id", "visit_time").agg(F.sum("count").cast("int").alias("count"))
+
+
 @query("zscore_peaks")
 def zscore_peaks(spark, sf):
-    return P.zscore_pages(visits(spark, sf), START, MIDDLE, END, 72, 3.0, 0.01, 1)
+    return P.zscore_pages(_shelves(spark, sf), START, MIDDLE, END, 72, 3.0, 0.01, 1)
 
 
-@query("zscore_hours", f"""WITH RECURSIVE {_VISITS}, {_GRID}, series AS (SELECT page_id, list(CAST(c AS DOUBLE) ORDER BY hour) AS y, greatest(max(c), 1) * 1e-9 AS least FROM grid GROUP BY 1),
+_ZSCORE_HOURS = f"""WITH RECURSIVE {_VISITS}, {_GRID}, series AS (SELECT page_id, list(CAST(c AS DOUBLE) ORDER BY hour) AS y, greatest(max(c), 1) * 1e-9 AS least FROM grid GROUP BY 1),
     walk(page_id, i, w, mark) AS (SELECT page_id, 71, y[1:72], 0 FROM series UNION ALL
         SELECT page_id, i + 1, (CASE WHEN len(w) > 72 THEN w[2:] ELSE w END) || [CASE WHEN mark <> 0 THEN 0.01 * v + 0.99 * w[-1] ELSE v END], mark FROM (
             SELECT page_id, i, w, v, CASE WHEN abs(v - list_avg(w[1:72])) <= greatest(3 * list_aggregate(w[1:72], 'stddev_samp'), least) THEN 0 WHEN v > list_avg(w[1:72]) THEN 1 ELSE -1 END AS mark
             FROM (SELECT walk.page_id, i, w, y[i + 2] AS v, least FROM walk JOIN series USING (page_id) WHERE i < {HOURS - 2})))
-    SELECT page_id, CAST(count(*) AS INTEGER) AS active_hours FROM walk WHERE mark > 0 AND i >= 240 GROUP BY page_id""")
+    SELECT page_id, CAST(count(*) AS INTEGER) AS active_hours FROM walk WHERE mark > 0 AND i >= 240 GROUP BY page_id"""
+
+
+@query("zscore_hours", _ZSCORE_HOURS)
 def zscore_hours(spark, sf):
     """Peaks of the hourly series themselves, from the tenth day on."""
     hours = X.active_hours_of(72, 3.0, 0.01, period_hours(START, date(2024, 1, 10)))
     return V.dense(visits(spark, sf), START, END).select("page_id", hours("values").alias("active_hours")).where("active_hours > 0")
 
 
+@query("zscore_resumed", _ZSCORE_HOURS)
+def zscore_resumed(spark, sf):
+    """The same peaks from a state that is gone on with: the first nine days, a day, two days, and the rest."""
+    from quire.scratch import scratch_dir
+    from quire.sinks.zscores import ZScoreStore
+
+    store, v = ZScoreStore(spark, f"{scratch_dir(spark)}/zscores-{uuid.uuid4().hex}", START), written(visits(spark, sf), "visits")
+    ends = [date(2024, 1, 9), date(2024, 1, 10), date(2024, 1, 12), END]
+    for start, end in zip([START, *(date(2024, 1, d) for d in (10, 11, 13))], ends, strict=True):
+        store.extend(v, start, end)
+    return store.active_hours(period_hours(START, date(2024, 1, 10)), *ends)
+
+
 @query("peak_pipeline")
 def peak_pipeline(spark, sf):
     """The graph of pages active together, from visits and resolved links."""
