@@ -72,7 +72,7 @@ def test_store_goes_on_by_days(spark, tmp_path):
     grid[rng.random(grid.shape) < 0.03] += 30
     grid[3, : 24 * 5] = 0  # pages that come late
     grid[4, 24 * 2 :] = 0  # and that stay away
-    rows = [("en", p, datetime(2020, 1, 1) + timedelta(hours=int(h)), int(grid[p, h])) for p, h in np.argwhere(grid)]
+    rows = [("en", int(p), datetime(2020, 1, 1) + timedelta(hours=int(h)), int(grid[p, h])) for p, h in np.argwhere(grid)]
     visits = spark.createDataFrame(rows, "languageCode string, page_id long, visit_time timestamp, count int").cache()
     want = {(p, int(h)): int(m) for p, marks in enumerate(smoothed_zscore(grid, 24, 3.0, 0.1)) for h, m in enumerate(marks) if m}
     store = ZScoreStore(spark, str(tmp_path / "z"), FIRST, 24, 3.0, 0.1)
