@@ -35,8 +35,9 @@ from .common import require, small_batches, whole_text, written
 from .offsets import OffsetTable, gathered
 from .token_store import encoder as byte_encoder
 
-#: Bytes whose owners are laid out at once.
-WINDOW = 4 << 20
+#: Bytes whose owners are laid out at once, and bytes of text that are encoded at once.
+WINDOW = 1 << 20
+TEXT_BYTES = 2 << 20
 #: Most pairs of a table that goes to all tasks: the vocabularies' own bound, checked before any text is read.
 MOST_PAIRS = 10_000_000
 NO_TOKENS = ""
@@ -56,7 +57,7 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray, window: int = WINDOW) -> tu
         for ends in (ends_a, ends_b):
             first, last = np.searchsorted(ends, [lo, hi - 1], "right")
             cut = np.minimum(ends[first : last + 1], hi)
-            owners.append(np.repeat(np.arange(first, last + 1), np.diff(cut, prepend=lo)))
+            owners.append(np.repeat(np.arange(first, last + 1, dtype=np.int32), np.diff(cut, prepend=lo)))
         a, b = owners
         ends_here = [np.append(x[1:] != x[:-1], True) for x in owners]
         if hi < size or hi == lo + window + 1:
@@ -182,10 +183,11 @@ def _aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(*files.value)
-        for key, texts in gathered(batches):
+        for key, texts in gathered(batches, TEXT_BYTES):
             n_a, n_b, n_groups, links, groups = pair.align(texts.to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_groups)]).astype(np.int32)), pa.array(links))
             named = pa.array([name(g) if n else NO_TOKENS for g, n in zip(groups, n_a.tolist(), strict=True)], pa.string())
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([key, pa.array(n_a), pa.array(n_b), pa.array(n_groups), lists, named], [id_col, "n_a", "n_b", "n_groups", "links", "named"])
 
     kind = docs.schema[id_col].dataType.simpleString()

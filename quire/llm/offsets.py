@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; a longer text is on its own.
 TEXT_BYTES = 4 << 20
 #: Numbers that are turned into bytes at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
