@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import schemas as S
+from quire.operators.closure import ancestry
 
 
 def pages_by_namespace(pages: DataFrame, namespace: int, keep_redirects: bool = True) -> DataFrame:
@@ -65,6 +66,19 @@ def substitute_redirects(links: DataFrame, redirects: DataFrame, pages: DataFram
     rows = links.select("from", "id", *language)
     for _ in range(max_hops):
         rows = rows.join(hops, ["id", *language], "left").select("from", F.coalesce("to_r", "id").alias("id"), *language)
+    return _between_pages(rows, pages, language, drop_dangling)
+
+
+def substitute_closure(links: DataFrame, closure: DataFrame, pages: DataFrame, drop_dangling: bool = False) -> DataFrame:
+    """The same with redirects followed to their end, by redirect_closure; a redirect that runs into a cycle stays the target."""
+    language = _language(links, closure, pages)
+    ends = closure.select(F.col("from").alias("id"), F.col("id").alias("end"), *language)
+    rows = links.select("from", "id", *language).join(ends, ["id", *language], "left").select("from", F.coalesce("end", "id").alias("id"), *language)
+    return _between_pages(rows, pages, language, drop_dangling)
+
+
+def _between_pages(rows: DataFrame, pages: DataFrame, language: list[str], drop_dangling: bool) -> DataFrame:
+    """Distinct (from, dest) without self links, from pages that are there and no redirects."""
     rows = rows.where(F.col("from") != F.col("id")).distinct()
     direct = pages.where(~F.col("isRedirect"))
     rows = rows.join(direct.select(F.col("id").alias("from"), *language), ["from", *language], "left_semi")
@@ -73,10 +87,13 @@ def substitute_redirects(links: DataFrame, redirects: DataFrame, pages: DataFram
     return rows.select("from", F.col("id").alias("dest"), *language)
 
 
-def category_ancestry(links: DataFrame, pages: DataFrame, title: str | Column, hops: int = 2) -> DataFrame:
-    """Distinct (id, title) of the pages that belong to a category within so many hops."""
-    step = links.select("from", F.col("id").alias("to"))
-    wanted = pages.where((F.col("namespace") == S.CATEGORY_NS) & (F.col("title") == title)).select(F.col("id").alias("to"))
+def category_ancestry(links: DataFrame, pages: DataFrame, title: str | Column, hops: int | None = 2) -> DataFrame:
+    """Distinct (id, title) of the pages that belong to a category within so many hops; None: within any number."""
+    wanted = pages.where((F.col("namespace") == S.CATEGORY_NS) & (F.col("title") == title))
+    if hops is None or hops > 2:
+        found = ancestry(links.select("from", "id"), wanted.select("id"), hops).select(F.col("id").alias("from")).distinct()
+        return pages.select("id", "title").join(found, F.col("id") == F.col("from"), "left_semi").distinct()
+    step, wanted = links.select("from", F.col("id").alias("to")), wanted.select(F.col("id").alias("to"))
     near = step.join(wanted, "to", "left_semi").select("from")
     found = near
     for _ in range(hops - 1):

@@ -18,6 +18,7 @@ from quire import schemas as S
 from quire.functions import series as X
 from quire.functions.dates import covered, earliest, elapsed_hours, latest, period_hours
 from quire.functions.hours import hour_visits, visits_of_day
+from quire.operators import closure as C
 from quire.operators import days as Y
 from quire.operators import graph as G
 from quire.operators import links as L
@@ -238,6 +239,51 @@ def category_ancestry(spark, sf):
     return L.category_ancestry(found.select("from", "id"), p, F.when(F.col("namespace") == S.CATEGORY_NS, F.col("title")))
 
 
+_CHAINS = """chains AS (SELECT p.p_partkey AS "from", t.p_partkey AS id FROM part p
+    JOIN part t ON t.p_partkey = CASE WHEN p.p_partkey % 32 = 0 THEN p.p_partkey - 23 ELSE p.p_partkey + 1 END WHERE p.p_size % 20 <> 0)"""
+
+
+def _chains(spark, sf) -> DataFrame:
+    """Redirects in runs of up to 32 pages; the last of a run leads back to its ninth, so that whole runs are cycles with a tail."""
+    p = _read(spark, sf, "part")
+    to = F.when(F.col("p_partkey") % 32 == 0, F.col("p_partkey") - 23).otherwise(F.col("p_partkey") + 1)
+    rows = p.where("p_size % 20 <> 0").select(F.col("p_partkey").alias("from"), to.alias("id"))
+    return rows.join(p.select(F.col("p_partkey").alias("id")), "id", "left_semi")
+
+
+@query("redirect_closure", f"""WITH RECURSIVE {_CHAINS},
+    walk(origin, spot, hops) AS (SELECT "from", id, CAST(1 AS BIGINT) FROM chains UNION ALL SELECT origin, id, hops + 1 FROM walk JOIN chains ON "from" = spot WHERE hops < 64),
+    ends AS (SELECT origin, spot, hops FROM walk WHERE spot NOT IN (SELECT "from" FROM chains)),
+    rings AS (SELECT origin, min(spot) FILTER (hops > 32) AS cycle, bool_or(spot = origin) AS in_cycle FROM walk GROUP BY origin)
+    SELECT origin AS "from", spot AS id, hops, CASE WHEN spot IS NULL THEN cycle END AS cycle, spot IS NULL AND in_cycle AS in_cycle FROM rings LEFT JOIN ends USING (origin)""")
+def redirect_closure(spark, sf):
+    return C.redirect_closure(_chains(spark, sf))
+
+
+@query("redirect_substitute_closure", f"""WITH RECURSIVE {_CHAINS},
+    walk(origin, spot, hops) AS (SELECT "from", id, 1 FROM chains UNION ALL SELECT origin, id, hops + 1 FROM walk JOIN chains ON "from" = spot WHERE hops < 64),
+    ends AS (SELECT origin, spot FROM walk WHERE spot NOT IN (SELECT "from" FROM chains)),
+    plain AS (SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT "from" FROM chains))
+    SELECT DISTINCT l_partkey AS "from", coalesce(spot, l_suppkey) AS dest FROM lineitem LEFT JOIN ends ON origin = l_suppkey
+    WHERE l_partkey <> coalesce(spot, l_suppkey) AND l_partkey IN (SELECT id FROM plain) AND coalesce(spot, l_suppkey) IN (SELECT id FROM plain)""")
+def redirect_substitute_closure(spark, sf):
+    """Links with chains of redirects followed to the end; links to cycles go."""
+    chains = _chains(spark, sf)
+    redirecting = chains.select(F.col("from").alias("id"), F.lit(True).alias("isRedirect"))
+    p = _read(spark, sf, "part").select(F.col("p_partkey").alias("id")).join(redirecting, "id", "left").select("id", F.coalesce("isRedirect", F.lit(False)).alias("isRedirect"))
+    rows = _read(spark, sf, "lineitem").select(F.col("l_partkey").alias("from"), F.col("l_suppkey").alias("id"))
+    return L.substitute_closure(rows, C.redirect_closure(chains), p, drop_dangling=True)
+
+
+@query("category_closure", """WITH RECURSIVE steps AS (SELECT p_partkey AS id, CASE WHEN p_partkey < 10 THEN p_partkey * 7 % 10 ELSE p_partkey // 10 END AS up FROM part),
+    walk(id, ancestor, depth) AS (SELECT id, up, 1 FROM steps UNION ALL SELECT walk.id, up, depth + 1 FROM walk JOIN steps ON steps.id = ancestor WHERE depth < 16)
+    SELECT id, ancestor, min(depth) AS depth FROM walk GROUP BY ALL""")
+def category_closure(spark, sf):
+    """Every category above each page; the topmost ones lie on cycles, one of them its own."""
+    p = F.col("p_partkey")
+    return C.ancestry(_read(spark, sf, "part").select(p.alias("from"), F.when(p < 10, p * 7 % 10).otherwise(F.floor(p / 10)).alias("id")))
+
+
 # ---- page views ------------------------------------------------------------------------------------------------
 
 
