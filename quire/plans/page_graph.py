@@ -12,6 +12,7 @@ from quire.operators.closure import redirect_closure
 from quire.operators.links import pages_by_namespace, resolve_category_links, resolve_links, resolve_redirects, substitute_closure, substitute_redirects
 from quire.schemas import CATEGORY_NS, PAGE_NS
 from quire.scratch import clean, written
+from quire.sinks.files import write_text_file
 from quire.sinks.tables import import_command, write_import_headers, write_tsv
 from quire.sources.dumps import read_dump
 
@@ -36,7 +37,7 @@ def build(pages: DataFrame, links: DataFrame, redirects: DataFrame, category_lin
 
 
 def run(spark: SparkSession, page: str, pagelinks: str, redirect: str, categorylinks: str, out: str, scratch: str | None = None, to_the_end: bool = False) -> None:
-    """Each dump is parsed once, into scratch Parquet that all outputs read; bz2 is read in parallel, gz is not."""
+    """Each dump is parsed once, into scratch Parquet that all outputs read."""
     paths = {"page": page, "pagelinks": pagelinks, "redirect": redirect, "categorylinks": categorylinks}
     tables = {}
     for name, path in paths.items():
@@ -45,7 +46,7 @@ def run(spark: SparkSession, page: str, pagelinks: str, redirect: str, categoryl
     for name, rows in graph.items():
         write_tsv(rows, f"{out}/{name}")
     write_import_headers(tables["page"], f"{out}/headers")
-    spark.createDataFrame([(import_command(out, f"{out}/headers", "pages.db"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/import")
+    write_text_file(spark, f"{out}/import.sh", import_command(out, f"{out}/headers", "pages.db") + "\n")
 
 
 def main(args: list[str] | None = None) -> None:

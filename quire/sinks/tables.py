@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from quire.sinks.files import write_text_file
+
 
 def write_tsv(df: DataFrame, path: str, header: bool = False, coalesce: bool = False, mode: str = "overwrite") -> None:
     """Tab-separated text, gzipped, no quoting: values must not hold tabs. coalesce: one file."""
@@ -38,14 +40,16 @@ IMPORT_HEADERS = {
 
 
 def write_import_headers(df: DataFrame, base: str) -> None:
-    """One header file for each table of the bulk import, as text under base."""
-    spark = df.sparkSession
+    """One header file for each table of the bulk import, under base."""
     for name, columns in IMPORT_HEADERS.items():
-        spark.createDataFrame([("\t".join(columns),)], "value string").coalesce(1).write.mode("overwrite").text(f"{base}/{name}_header")
+        write_text_file(df.sparkSession, f"{base}/{name}_header", "\t".join(columns) + "\n")
 
 
 def import_command(data: str, headers: str, database: str) -> str:
-    """The shell command of the bulk import, for the tables and headers under these folders."""
+    """The shell command of the bulk import, for the tables and headers under these folders.
+
+    Fixed values: the tool's options, its table kinds, and Spark's names of part files.
+    """
     part = r"part-\d{5}-.*.csv.gz"
     tables = (("nodes:Page", "page", "page/normal_pages"), ("nodes:Page:Category", "page", "page/category_pages"), ("relationships:LINKS_TO", "pagelinks", "pagelinks"), ("relationships:BELONGS_TO", "categorylinks", "categorylinks"))
     options = [f"--database={database}", r'--delimiter="\t"', "--id-type=INTEGER", *[f'--{kind} {headers}/{name}_header,"{data}/{folder}/{part}"' for kind, name, folder in tables], "--ignore-missing-nodes"]

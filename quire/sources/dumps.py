@@ -128,12 +128,39 @@ def dump_info_columns(file_name: Column) -> list[Column]:
     return [F.regexp_extract(file_name, _FILE, n).alias(c) for n, c in enumerate(("langCode", "dateCode", "dumpType"), 1)]
 
 
-def read_dump(spark: SparkSession, paths: str | list[str], table: str, with_language: bool = False, **options) -> DataFrame:
+#: Endings of files that have to be unpacked from their start, in one task.
+UNSPLITTABLE = (".gz", ".zst", ".lz4", ".snappy", ".deflate")
+#: Packed bytes of such a file that one task parses; unpacked they are some five times as many.
+DEAL_BYTES = 24 << 20
+
+
+def read_payloads(spark: SparkSession, paths: str | list[str], table: str, deal_bytes: int = DEAL_BYTES) -> DataFrame:
+    """(payload, file_name) of the table's INSERT lines in dump files, plain or compressed.
+
+    A file that cannot be split is unpacked by one task; if it is larger than
+    deal_bytes, its lines are then dealt out by a hash of their text, so that
+    parsing, the costly part, has a task for each deal_bytes of all such files.
+    Other lines stay where they were read. Only names and sizes of files are listed first.
+    """
+    files = [(r.path, r.length) for r in spark.read.format("binaryFile").load(paths).select("path", "length").collect()]
+    whole = [(p, n) for p, n in files if p.endswith(UNSPLITTABLE)]
+
+    def payloads(some) -> DataFrame:
+        lines = spark.read.text(some).select("value", F.col("_metadata.file_name").alias("file_name"))
+        return insert_payload(lines, table).select("payload", "file_name")
+
+    if not any(n > deal_bytes for _, n in whole):
+        return payloads(paths)
+    dealt = payloads([p for p, _ in whole]).repartition(-(-sum(n for _, n in whole) // deal_bytes), F.xxhash64("payload"))
+    rest = [p for p, _ in files if not p.endswith(UNSPLITTABLE)]
+    return dealt.unionByName(payloads(rest)) if rest else dealt
+
+
+def read_dump(spark: SparkSession, paths: str | list[str], table: str, with_language: bool = False, deal_bytes: int = DEAL_BYTES, **options) -> DataFrame:
     """Rows of a table from dump files, plain or compressed; languageCode comes from the file name."""
-    lines = spark.read.text(paths)
-    if with_language:
-        lines = lines.select("value", F.regexp_extract("_metadata.file_name", _FILE, 1).alias("languageCode"))
-    return parse_lines(lines, table, **options)
+    rows = read_payloads(spark, paths, table, deal_bytes)
+    more = [F.regexp_extract("file_name", _FILE, 1).alias("languageCode")] if with_language else []
+    return parse_payload(rows.select("payload", *more), table, **options)
 
 
 def language_filter(languages: list[str]) -> Callable[[], Column] | None:

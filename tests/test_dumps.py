@@ -91,3 +91,31 @@ def test_read_compressed_files_with_language(spark, tmp_path):
 def test_empty_input(spark):
     for table in D.TABLES:
         assert D.parse_lines(lines(spark, "", "x"), table).count() == 0
+
+
+def test_a_gzipped_dump_is_parsed_by_several_tasks(spark, tmp_path):
+    inserts = [f"INSERT INTO `category` VALUES ({i},'Title_{i}',1,2,3),({i + 100000},'x',99999999999,0,0);" for i in range(800)]
+    text = "-- head\n" + "\n".join(inserts) + "\nINSERT INTO `page` VALUES (1);\n"
+    plain, packed = tmp_path / "xxwiki-20200101-category.sql", tmp_path / "frwiki-20200101-category.sql.gz"
+    plain.write_text(text)
+    with gzip.open(packed, "wt") as f:
+        f.write(text)
+    size = packed.stat().st_size
+
+    def read(path, **options):
+        return D.read_dump(spark, str(path), "category", with_language=True, **options)
+
+    def tasks(df):
+        return df.select(F.spark_partition_id().alias("n")).distinct().count()
+
+    rows = lambda df: sorted(tuple(r)[:5] for r in df.collect())
+    dealt = read(packed, deal_bytes=size // 6)
+    assert tasks(read(packed)) == 1 and tasks(dealt) >= 6
+    assert rows(dealt) == rows(read(packed)) == rows(read(plain)) and dealt.count() == 800
+    assert {r.languageCode for r in dealt.collect()} == {"fr"}
+    rejects = lambda df: sorted(r.tuple for r in df.collect())
+    assert rejects(read(packed, deal_bytes=size // 6, with_rejects=True)) == rejects(read(plain, with_rejects=True)) and read(plain, with_rejects=True).count() == 800
+    # Both kinds together: the plain file's lines stay where they are read.
+    both = D.read_dump(spark, str(tmp_path), "category", with_language=True, deal_bytes=size // 6)
+    assert both.count() == 1600 and {(r.languageCode, r.n) for r in both.groupBy("languageCode").agg(F.count("*").alias("n")).collect()} == {("fr", 800), ("xx", 800)}
+    assert "RoundRobin" not in both._jdf.queryExecution().toString()

@@ -1,4 +1,7 @@
+import glob
+import gzip
 import random
+import re
 import xml.dom.minidom
 from datetime import date, datetime, timedelta
 
@@ -9,6 +12,7 @@ from quire.operators import graph as G
 from quire.operators import peaks as P
 from quire.plans import config, page_graph, peak_graph
 from quire.sinks import tables as K
+from quire.sinks.files import write_text_file
 from quire.sinks.gexf import gexf_text, write_gexf
 from quire.sinks.visits import ParquetVisitStore, save
 
@@ -192,5 +196,14 @@ def test_page_graph_job(spark, tmp_path):
     assert lines("pagelinks") == ["1\t3", "3\t1"]
     assert lines("page/normal_pages") == ["1\tA\tfalse\tfalse", "3\tB\tfalse\tfalse"]
     assert lines("categorylinks") == ["1\tC\t4\tpage"]
-    assert len(lines("headers/pagelinks_header")) == 1
-    assert any(str(tmp_path / "out" / "headers") in x for x in lines("import"))
+    # The import names files, and they are files.
+    command = (tmp_path / "out" / "import.sh").read_text()
+    for kind, name, folder in re.findall(r'--(\S+) (\S+_header),"(\S+)/part-', command):
+        with open(name, encoding="utf-8") as f:
+            header = f.read().rstrip("\n").split("\t")
+        (part,) = {len(x.split("\t")) for p in glob.glob(f"{folder}/part-*.csv.gz") for x in gzip.open(p, "rt")} or {len(header)}
+        assert part == len(header) and any(":" in x for x in header) and kind.startswith(("nodes", "relationships"))
+    assert command.count("_header") == 4 and command.startswith("neo4j-admin import")
+    page_graph.run(spark, files[0], files[1], files[2], files[3], str(tmp_path / "out"))  # once more over what is there
+    with pytest.raises(ValueError, match="folder"):
+        write_text_file(spark, str(tmp_path / "out"), "x")
