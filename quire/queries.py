@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -609,13 +609,16 @@ def gexf(spark, sf):
 
 @query("sink_roundtrip", f"""WITH {_VISITS} SELECT 'en' AS languageCode, page_id, visit_time, "count" FROM visits""")
 def sink_roundtrip(spark, sf):
-    """Visits through the Parquet store, and back."""
+    """Visits through the store and back: two halves, the second written twice, days put together, half of them from an older snapshot."""
     from quire.scratch import scratch_dir
-    from quire.sinks.visits import ParquetVisitStore, load_period, save
-
-    v = visits(spark, sf)
-    store = ParquetVisitStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
-    save(store, v, START, END)
+    from quire.sinks.visits import SnapshotVisitStore, load_period
+
+    v = written(visits(spark, sf), "visits")
+    store = SnapshotVisitStore(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.commit(V.in_period(v, START, MIDDLE), [(START, MIDDLE)], "first")
+    for _ in range(2):
+        store.commit(V.in_period(v, MIDDLE + timedelta(days=1), END), [(MIDDLE + timedelta(days=1), END)], "second")
+    store.compact(pieces=1)
     return load_period(store, START, END)
 
 

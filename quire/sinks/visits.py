@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from quire import schemas as S
 from quire.functions.dates import check_available
 from quire.operators.visits import in_period, series
+from quire.sinks.files import list_names
+from quire.sinks.snapshots import SnapshotVisitStore
 
 #: Folders under the store's base.
 VISITS, META = "pg_count", "visits_meta"
@@ -92,12 +94,17 @@ def _meta_row(spark: SparkSession, start: date, end: date) -> DataFrame:
 
 
 def open_store(spark: SparkSession, base: str | None, keyspace: str = "pages", visits: str = "page_visits", meta: str = "pagecount_metadata") -> VisitStore:
-    """Parquet if there is a base path, else Cassandra."""
-    return ParquetVisitStore(spark, base) if base else CassandraVisitStore(spark, keyspace, visits, meta)
+    """Snapshots in Parquet if there is a base path (the older layout where a base has it), else Cassandra."""
+    if not base:
+        return CassandraVisitStore(spark, keyspace, visits, meta)
+    return ParquetVisitStore(spark, base) if VISITS in list_names(spark, base) else SnapshotVisitStore(spark, base)
 
 
 def save(store: VisitStore, rows: DataFrame, start: date, end: date) -> None:
-    """Rows first: a write that fails must not leave a claim to cover the period."""
+    """Rows and the claim to cover the period at once, where the store can; else rows first, so that a write that fails leaves no claim."""
+    if isinstance(store, SnapshotVisitStore):
+        store.commit(rows, [(start, end)])
+        return
     store.append(rows)
     store.append_meta(start, end)
 
@@ -112,4 +119,4 @@ def load_series(store: VisitStore, start: date, end: date, language: str) -> Dat
     return series(load_period(store, start, end, language))
 
 
-__all__ = ["CassandraVisitStore", "ParquetVisitStore", "load_period", "load_series", "open_store", "save"]
+__all__ = ["CassandraVisitStore", "ParquetVisitStore", "SnapshotVisitStore", "load_period", "load_series", "open_store", "save"]

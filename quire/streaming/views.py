@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.views import page_visits, visit_rows
+from quire.sinks.snapshots import SnapshotVisitStore
 from quire.sinks.visits import VisitStore
 from quire.sources.views import parse_views, view_date
 
@@ -36,8 +37,12 @@ def append_visits(views: DataFrame, pages: DataFrame, store: VisitStore, checkpo
         batch = batch.persist()
         try:
             visits = page_visits(batch.withColumnRenamed("date", "day"), min_daily, hourly_from, F.col("day"), merged=not legacy)
+            days = sorted(r["date"] for r in batch.select("date").distinct().collect())
+            if isinstance(store, SnapshotVisitStore):
+                store.commit(visit_rows(pages, visits), [(d, d) for d in days], f"{name}-{n}")
+                return
             store.append(visit_rows(pages, visits), f"{name}-{n}")
-            for day in sorted(r["date"] for r in batch.select("date").distinct().collect()):
+            for day in days:
                 store.append_meta(day, day, f"{name}-{n}-{day}")
         finally:
             batch.unpersist()
