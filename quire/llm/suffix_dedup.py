@@ -1,15 +1,15 @@
 """Repeated byte strings by prefix-free parsing.
 
 A rolling hash over TRIGGER bytes cuts the texts into phrases: a cut stands where
-the hash is the least among the REACH + 1 places that some start can see before
+the hash is the least among the reach + 1 places that some start can see before
 it. Equal bytes are cut alike wherever they stand, and every start of a string of
-LENGTH bytes has a first cut inside that string. The parse is the list of cuts.
+length bytes has a first cut inside that string. The parse is the list of cuts.
 A suffix of the corpus is then a suffix of a phrase followed by a suffix of the
-parse, and two starts are neighbours in corpus order, with LENGTH bytes in
+parse, and two starts are neighbours in corpus order, with length bytes in
 common, only if what stands before and after their cuts agrees. Both parts are
-ordered, to a depth of LENGTH bytes, and the orders combined:
+ordered, to a depth of length bytes, and the orders combined:
 
-1. Cuts whose next ANCHOR bytes stand once in the corpus repeat nothing. Cuts
+1. Cuts whose next anchor bytes stand once in the corpus repeat nothing. Cuts
    that agree in their whole context, all bytes of the strings whose cut they are,
    are one entry of the dictionary, and all their strings are repeated. This takes
    digests alone; most of a corpus ends here.
@@ -18,7 +18,7 @@ ordered, to a depth of LENGTH bytes, and the orders combined:
    phrases before its cuts are sorted from their ends: the suffix array of the
    dictionary. With the common lengths of neighbours in both arrays a start at
    distance d before its cut is repeated if another entry is in the same interval
-   of the dictionary's array to a depth of d and of the parse's to LENGTH - d.
+   of the dictionary's array to a depth of d and of the parse's to length - d.
 3. Anchors with more than GROUP entries are not brought together. Their starts are
    ranked by digests that are counted before they are shuffled: in blocks of BLOCK
    starts by the bytes that all strings of a block share, then by all bytes of the
@@ -31,7 +31,8 @@ the cuts: any value of it is right.
 
 Rows: one output row per input row. A null text is an empty text. Repeated rows
 repeat each other. Extra columns are dropped; an empty table gives an empty
-result. Nothing crosses documents, and texts are read whole. Of equal strings no
+result. The length is 400 bytes unless the caller says otherwise, and any from
+LEAST on. Nothing crosses documents, and texts are read whole. Of equal strings no
 one is preferred: all of them go. A row is known by its id and a 64-bit hash of its text.
 """
 
@@ -52,9 +53,10 @@ from .hashing import Polynomial, mixed
 
 LENGTH = 400
 TRIGGER = 16
-#: A start sees its cut at most so many bytes ahead; cuts lie REACH / 2 apart on average.
+#: A start sees its cut at most so many bytes ahead, or three quarters of a short length; cuts lie half of that apart on average.
 REACH = 300
-ANCHOR = LENGTH - REACH
+#: The least length that leaves enough bytes behind a cut.
+LEAST = 64
 #: Starts ranked together, by their distance to the cut.
 BLOCK = 16
 #: Entries of one anchor that are sorted in one place, about 700 bytes each.
@@ -81,22 +83,26 @@ def digests(parts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Parser:
     """Cuts of texts and digests of their contexts."""
 
-    def __init__(self):
+    def __init__(self, length: int = LENGTH):
+        if length < LEAST:
+            raise ValueError(f"strings of {length} bytes are too short; the least is {LEAST}")
+        self.length, self.reach = length, min(REACH, 3 * length // 4)
+        self.anchor = length - self.reach
         self.roll = Polynomial(303)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """For each start the place of the least rolling hash in reach, the first among equals."""
         places = len(data) - TRIGGER + 1
-        starts = places - REACH
+        starts = places - self.reach
         if starts <= 0:
             return np.zeros(0, np.int64)
         sums = self.roll.sums(data)
         rolled = mixed((sums[TRIGGER:] - sums[:-TRIGGER]) * self.roll.inverses[:places]) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)
-        width, out = REACH + 1, np.empty(starts, np.int64)
+        width, out = self.reach + 1, np.empty(starts, np.int64)
         for at in range(0, starts, _CHUNK):
-            some = rolled[at : min(at + _CHUNK + REACH, places)]
+            some = rolled[at : min(at + _CHUNK + self.reach, places)]
             key = some | np.arange(len(some), dtype=np.uint64)
-            n = len(key) - REACH
+            n = len(key) - self.reach
             # The least of each window is that of a block's end and the next block's start.
             blocks = -(-len(key) // width)
             grid = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
@@ -104,7 +110,7 @@ class Parser:
             grid = grid.reshape(blocks, width)
             ahead = np.minimum.accumulate(grid, axis=1).ravel()
             behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-            least = np.minimum(behind[:n], ahead[REACH : REACH + n])
+            least = np.minimum(behind[:n], ahead[self.reach : self.reach + n])
             out[at : at + n] = (least & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64) + at
         return out
 
@@ -113,7 +119,7 @@ class Parser:
         joined = b"".join(texts)
         size = np.array([len(x) for x in texts], np.int64)
         end = np.cumsum(size)
-        n = np.maximum(size - LENGTH + 1, 0)
+        n = np.maximum(size - self.length + 1, 0)
         of = np.repeat(np.arange(len(texts)), n)
         if not len(of):
             none = of.astype(np.uint64)
@@ -123,10 +129,10 @@ class Parser:
         cut = self.cuts(np.frombuffer(joined, np.uint8))[i]
         new = np.flatnonzero(np.concatenate([[True], (cut[1:] != cut[:-1]) | (of[1:] != of[:-1])]))
         low, high, cut, of = i[new], i[np.concatenate([new[1:] - 1, [len(i) - 1]])], cut[new], of[new]
-        anchor, _ = digests(joined[c : c + ANCHOR] for c in cut.tolist())
+        anchor, _ = digests(joined[c : c + self.anchor] for c in cut.tolist())
         shape = ((cut - low) << 9 | (high - low)).astype(np.int64)
         heads = shape.tobytes()
-        context, check = digests(heads[8 * k : 8 * k + 8] + joined[a : b + LENGTH] for k, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)))
+        context, check = digests(heads[8 * k : 8 * k + 8] + joined[a : b + self.length] for k, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)))
         return of, anchor, context, check, (low - first[of]) << 18 | shape
 
     def blocks(self, text: bytes, key: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -141,9 +147,9 @@ class Parser:
         # What all strings of a block share, whichever of its starts a document has; then all that these have.
         at = cut - k * BLOCK
         heads = np.stack([key.astype(np.uint64), k.astype(np.uint64)], 1).tobytes()
-        core, _ = digests(heads[16 * r : 16 * r + 16] + text[a : a - (BLOCK - 1) + LENGTH] for r, a in enumerate(at.tolist()))
+        core, _ = digests(heads[16 * r : 16 * r + 16] + text[a : a - (BLOCK - 1) + self.length] for r, a in enumerate(at.tolist()))
         shapes = (near << 9 | far).astype(np.int64).tobytes()
-        context, check = digests(shapes[8 * r : 8 * r + 8] + text[a : b + LENGTH] for r, (a, b) in enumerate(zip((cut - far).tolist(), (cut - near).tolist(), strict=True)))
+        context, check = digests(shapes[8 * r : 8 * r + 8] + text[a : b + self.length] for r, (a, b) in enumerate(zip((cut - far).tolist(), (cut - near).tolist(), strict=True)))
         return core, context, check, (cut - far) << 18 | (far << 9) | (far - near), times
 
     def strings(self, text: bytes, key: np.ndarray, place: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,7 +158,7 @@ class Parser:
         n = high - low + 1
         of = np.repeat(np.arange(len(n)), n)
         at = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        string, check = digests(text[a : a + LENGTH] for a in at.tolist())
+        string, check = digests(text[a : a + self.length] for a in at.tolist())
         return string, string, check, at << 18, times[of]
 
 
@@ -162,11 +168,11 @@ def places(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, low + (place >> 9 & 511), low + (place & 511)
 
 
-def parse(docs: DataFrame) -> DataFrame:
+def parse(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, context, check, doc, mark, place, times) of every entry of the parse; the key is its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser()
+        parser = Parser(length)
         for batch in batches:
             some, size, first = [], 0, 0
             texts = batch.column(2)
@@ -184,12 +190,12 @@ def parse(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ENTRY_SCHEMA)
 
 
-def _refined(docs: DataFrame, entries: DataFrame, step: str) -> DataFrame:
+def _refined(docs: DataFrame, entries: DataFrame, step: str, length: int) -> DataFrame:
     """Finer entries of the same starts: step is the Parser's method that makes them from a text."""
     wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "place", "times")).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser()
+        parser = Parser(length)
         for batch in batches:
             for n in range(batch.num_rows):
                 own = batch.column(3)[n].values
@@ -220,11 +226,11 @@ def _array(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(order), common
 
 
-def repeated_starts(phrases: list[bytes], suffixes: list[bytes], near: np.ndarray, far: np.ndarray) -> list[list[tuple[int, int]]]:
+def repeated_starts(phrases: list[bytes], suffixes: list[bytes], near: np.ndarray, far: np.ndarray, length: int = LENGTH) -> list[list[tuple[int, int]]]:
     """For each entry of one anchor the ranges of distances to the cut whose strings another entry has too.
 
     phrases: what stands before the cuts, from the cut backwards, far bytes of it.
-    suffixes: what follows the cuts, LENGTH - near bytes of it. An entry has the
+    suffixes: what follows the cuts, length - near bytes of it. An entry has the
     starts near..far before its cut.
     """
     n = len(phrases)
@@ -232,7 +238,7 @@ def repeated_starts(phrases: list[bytes], suffixes: list[bytes], near: np.ndarra
     if n <= PAIRS:
         for i in range(n):
             for j in range(i):
-                lo = max(LENGTH - _common(suffixes[i], suffixes[j]), near[i], near[j])
+                lo = max(length - _common(suffixes[i], suffixes[j]), near[i], near[j])
                 hi = min(far[i], far[j])
                 if lo <= hi and (hi := min(hi, _common(phrases[i], phrases[j]))) >= lo:
                     out[i].append((int(lo), int(hi)))
@@ -243,7 +249,7 @@ def repeated_starts(phrases: list[bytes], suffixes: list[bytes], near: np.ndarra
     for d in range(int(near.min()), int(far.max()) + 1):
         # Intervals of both arrays: a new one starts where neighbours have too little in common.
         left[by_phrase] = np.cumsum(before < d)
-        right[by_suffix] = np.cumsum(after < LENGTH - d)
+        right[by_suffix] = np.cumsum(after < length - d)
         own = np.flatnonzero((near <= d) & (far >= d))
         _, at, count = np.unique(left[own] * (n + 1) + right[own], return_inverse=True, return_counts=True)
         for i in own[count[at] > 1].tolist():
@@ -254,7 +260,7 @@ def repeated_starts(phrases: list[bytes], suffixes: list[bytes], near: np.ndarra
     return out
 
 
-def ordered(docs: DataFrame, entries: DataFrame) -> DataFrame:
+def ordered(docs: DataFrame, entries: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, mark, low, high): the repeated starts of entries (key, times, doc, mark, place), a bounded number for each key."""
     wanted = entries.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "place", "times")).alias("own"))
 
@@ -266,7 +272,7 @@ def ordered(docs: DataFrame, entries: DataFrame) -> DataFrame:
                 text = batch.column(2)[n].as_py().encode()
                 low, cut, high = (x.tolist() for x in places(place))
                 phrases = [text[a:c][::-1] for a, c in zip(low, cut, strict=True)]
-                suffixes = [text[c : b + LENGTH] for c, b in zip(cut, high, strict=True)]
+                suffixes = [text[c : b + length] for c, b in zip(cut, high, strict=True)]
                 alike = [pa.array(np.full(len(place), batch.column(k)[n].as_py(), np.int64)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([own.field("key"), own.field("times"), *alike, own.field("place"), pa.array(phrases, pa.binary()), pa.array(suffixes, pa.binary())], names)
 
@@ -290,7 +296,7 @@ def ordered(docs: DataFrame, entries: DataFrame) -> DataFrame:
             low, cut, high = places(table["place"].to_numpy())
             phrase, suffix = table["phrase"][:done].to_pylist(), table["suffix"][:done].to_pylist()
             for a, b in pairwise([0, *ends.tolist()]):
-                runs = repeated_starts(phrase[a:b], suffix[a:b], cut[a:b] - high[a:b], cut[a:b] - low[a:b])
+                runs = repeated_starts(phrase[a:b], suffix[a:b], cut[a:b] - high[a:b], cut[a:b] - low[a:b], length)
                 for i, own in zip(range(a, b), runs, strict=True):
                     if times[i] == 1:  # of the others all starts are known to be repeated
                         for lo, hi in own:
@@ -325,31 +331,32 @@ def _decided(entries: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return whole.unionByName(met.where("NOT same").join(several, ["key", "context", "check"], "left_semi").select(*starts)), still_open
 
 
-def repeated_spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, group: int = GROUP, length: int = LENGTH) -> DataFrame:
     """(doc, mark, low, high): starts low..high of strings that also start elsewhere. docs: (doc, mark, text)."""
-    by_cut, rest = _decided(parse(docs), "cuts")
+    by_cut, rest = _decided(parse(docs, length), "cuts")
     rest = written(rest, "rest")
     large = written(rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group).select("key"), "large")
     # Each part is a table of its own: what one of them deals by key does not keep adaptive execution from splitting the others.
-    found = [written(by_cut, "cut-spans"), written(ordered(docs, rest.join(large, "key", "left_anti")), "array-spans")]
+    found = [written(by_cut, "cut-spans"), written(ordered(docs, rest.join(large, "key", "left_anti"), length), "array-spans")]
     if not large.isEmpty():
-        by_block, rest = _decided(written(_refined(docs, rest.join(large, "key", "left_semi"), "blocks"), "block-entries"), "blocks")
-        by_start, _ = _decided(written(_refined(docs, rest, "strings"), "string-entries"), "strings")
+        by_block, rest = _decided(written(_refined(docs, rest.join(large, "key", "left_semi"), "blocks", length), "block-entries"), "blocks")
+        by_start, _ = _decided(written(_refined(docs, rest, "strings", length), "string-entries"), "strings")
         found += [written(by_block, "block-spans"), written(by_start, "start-spans")]
     return functools.reduce(DataFrame.unionByName, found)
 
 
-def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document.
 
     spans: the maximal removed byte runs, each with start and stop.
     """
     require(docs, "doc_id", "text")
+    Parser(length)  # a length that is too short is refused here
     null = F.col("doc_id").isNull()
     rows = docs.select("doc_id", whole_text().alias("text"))
     # A row is known by its id and a hash of its text: rows equal in both have equal results.
     rows = rows.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("doc"), F.xxhash64(null, "text").alias("mark"), "text", null.alias("no_id"))
-    spans = repeated_spans(rows.select("doc", "mark", "text"), group).distinct()
+    spans = repeated_spans(rows.select("doc", "mark", "text"), group, length).distinct()
     spans = spans.groupBy("doc", "mark").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,9 +369,9 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
                 if (found := batch.column(4)[n]).is_valid:
                     for lo, hi in zip(found.values.field("low").to_pylist(), found.values.field("high").to_pylist(), strict=True):
                         if merged and lo <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], hi + LENGTH)
+                            merged[-1][1] = max(merged[-1][1], hi + length)
                         else:
-                            merged.append([lo, hi + LENGTH])
+                            merged.append([lo, hi + length])
                 digest, at = hashlib.sha256(), 0
                 for lo, hi in merged:
                     digest.update(text[at:lo])

@@ -258,21 +258,58 @@ def test_arrays_combine_as_pairs_do(monkeypatch):
     rng = random.Random(6)
     for _ in range(20):
         n, length = rng.randrange(2, 30), 12
-        monkeypatch.setattr(suffix_dedup, "LENGTH", length)
         far = np.array([rng.randrange(1, 9) for _ in range(n)])
         near = np.array([rng.randrange(0, f + 1) for f in far])
         phrases = [bytes(rng.choice(b"ab") for _ in range(f)) for f in far]
         suffixes = [(b"abab" + bytes(rng.choice(b"ab") for _ in range(length)))[: length - k] for k in near]
         spread = lambda found: [{d for lo, hi in own for d in range(lo, hi + 1)} for own in found]
         monkeypatch.setattr(suffix_dedup, "PAIRS", 100)
-        pairs = spread(suffix_dedup.repeated_starts(phrases, suffixes, near, far))
+        pairs = spread(suffix_dedup.repeated_starts(phrases, suffixes, near, far, length))
         monkeypatch.setattr(suffix_dedup, "PAIRS", 1)
-        assert spread(suffix_dedup.repeated_starts(phrases, suffixes, near, far)) == pairs
+        assert spread(suffix_dedup.repeated_starts(phrases, suffixes, near, far, length)) == pairs
         string = lambda i, d: phrases[i][:d][::-1] + suffixes[i][: length - d]
         want = [{d for d in range(near[i], far[i] + 1) if any(j != i and near[j] <= d <= far[j] and string(i, d) == string(j, d) for j in range(n))} for i in range(n)]
         assert pairs == want
 
 
+@pytest.mark.parametrize(("length", "group"), [(64, suffix_dedup.GROUP), (64, 2), (250, suffix_dedup.GROUP), (250, 0), (1000, suffix_dedup.GROUP)])
+def test_other_lengths(spark, length, group):
+    rng = random.Random(length)
+    parts = [noise(rng, length + n) for n in (-1, 0, 1, 30, length) for _ in range(3)]
+    texts = []
+    for _ in range(60):
+        x = ""
+        for _ in range(rng.randrange(5)):
+            p, k = rng.choice(parts), rng.randrange(4)
+            x += [p, p[rng.randrange(len(p)) :], "a" * (length + rng.choice([-1, 0, 20])), noise(rng, length, "xyz é")][k]
+        texts.append(x)
+    texts += [*ODD, texts[3]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs(spark, texts), group, length).collect()}
+    want = brute.repeats(texts, length)
+    assert [got[i] for i in range(len(texts))] == want and sum(w[1] for w in want) > 2000
+
+
+def test_short_lengths_are_refused(spark):
+    with pytest.raises(ValueError, match="too short"):
+        suffix_dedup.remove_repeats(docs(spark, ["a"]), length=63)
+
+
+def test_passages_shorter_than_the_contract_are_found_at_their_length(spark):
+    """Passages of over 50 words of `benchmark`, of 271 to 394 bytes, stand in several documents: 400 bytes cannot see them, 250 do."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    passages = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text and len(r.text.split()) > 50]
+    holders = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL").select("text").collect() if any(p in r.text for p in passages)]
+    texts = passages + holders
+    whole = [(i, p) for i, t in enumerate(texts) for p in passages if p in t and len(p.encode()) >= 250]
+    assert len(holders) > 20
+    spans = {r.doc_id: [(s.start, s.stop) for s in r.spans] for r in suffix_dedup.remove_repeats(docs(spark, texts), length=250).collect()}
+    caught = [any(a <= (at := len(texts[i][: texts[i].index(p)].encode())) and at + len(p.encode()) <= b for a, b in spans[i]) for i, p in whole]
+    repeated = [sum(p in t for t in texts) > 1 for _, p in whole]
+    assert all(c for c, r in zip(caught, repeated, strict=True) if r) and sum(repeated) > 40
+
+
 def test_structured_texts_are_told_apart(spark):
     """Words over two letters, on which rolling hashes modulo a power of two collide whatever their base."""
     texts = []
