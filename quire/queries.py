@@ -239,6 +239,37 @@ def category_ancestry(spark, sf):
     return L.category_ancestry(found.select("from", "id"), p, F.when(F.col("namespace") == S.CATEGORY_NS, F.col("title")))
 
 
+def _page_table(spark, sf) -> DataFrame:
+    from quire.scratch import scratch_dir
+    from quire.sinks.pages import write_page_table
+
+    name = f"pages_{uuid.uuid4().hex}"
+    return write_page_table(pages(spark, sf), f"{scratch_dir(spark)}/{name}", name, 8)
+
+
+@query("link_resolve_by_title", f"WITH {_PAGES}, {_LINKS}, {_RESOLVED} SELECT * FROM resolved")
+def link_resolve_by_title(spark, sf):
+    """link_resolve over a page table in buckets of titles; hot titles are joined apart."""
+    from quire.sinks.pages import resolve_links_by_title
+
+    return resolve_links_by_title(_page_table(spark, sf), written(links(spark, sf), "links"))
+
+
+@query("redirect_resolve_by_title", f"WITH {_PAGES}, {_REDIRECTS}, {_HOPS} SELECT * FROM hops")
+def redirect_resolve_by_title(spark, sf):
+    from quire.sinks.pages import resolve_redirects_by_title
+
+    return resolve_redirects_by_title(_page_table(spark, sf), written(redirects(spark, sf), "redirects"))
+
+
+@query("catlink_resolve_by_title", f"""WITH {_PAGES}, {_CATLINKS} SELECT c."from", c."to" AS title, p.id, c.ctype FROM catlinks c JOIN pages p ON p.title = c."to"
+    WHERE p.namespace = 14 AND NOT p.isRedirect AND EXISTS (SELECT 1 FROM pages s WHERE s.id = c."from")""")
+def catlink_resolve_by_title(spark, sf):
+    from quire.sinks.pages import resolve_category_links_by_title
+
+    return resolve_category_links_by_title(_page_table(spark, sf), written(category_links(spark, sf), "categorylinks"))
+
+
 _CHAINS = """chains AS (SELECT p.p_partkey AS "from", t.p_partkey AS id FROM part p
     JOIN part t ON t.p_partkey = CASE WHEN p.p_partkey % 32 = 0 THEN p.p_partkey - 23 ELSE p.p_partkey + 1 END WHERE p.p_size % 20 <> 0)"""
 
