@@ -21,6 +21,7 @@ from quire.functions.hours import hour_visits, visits_of_day
 from quire.operators import closure as C
 from quire.operators import days as Y
 from quire.operators import graph as G
+from quire.operators import growing as N
 from quire.operators import links as L
 from quire.operators import peaks as P
 from quire.operators import views as W
@@ -621,6 +622,28 @@ def components(spark, sf):
     return G.connected_components(*forest(spark, sf))
 
 
+def _grown(spark, sf):
+    """Components of the forest, whose edges come in three batches by the size of their part, with the first half of the vertices."""
+    vertices, tree = forest(spark, sf)
+    sized = tree.join(_read(spark, sf, "part").select(F.col("p_partkey").alias("src"), "p_size"), "src")
+    batch = [sized.where(c).select("src", "dst") for c in ("p_size <= 12", "p_size > 12 AND p_size <= 24", "p_size > 24")]
+    known = N.begin(vertices.where("id % 2 = 0"), batch[0])
+    for more in batch[1:]:
+        known = N.extend(known, more)
+    return N.extend(known, batch[0], vertices)
+
+
+@query("components_grown", f"{_COMPONENTS} SELECT id, top AS component FROM climb")
+def components_grown(spark, sf):
+    """components, kept up to date while edges come."""
+    return _grown(spark, sf).labels
+
+
+@query("largest_component_grown", f"{_COMPONENTS} SELECT top AS component, count(*) AS size FROM climb GROUP BY top ORDER BY size DESC, component LIMIT 1")
+def largest_component_grown(spark, sf):
+    return _grown(spark, sf).largest()
+
+
 @query("largest_component", f"""{_COMPONENTS}, best AS (SELECT top FROM climb GROUP BY top ORDER BY count(*) DESC, top LIMIT 1)
     SELECT p.id AS src, p.up AS dst, CAST(1 AS DOUBLE) AS weight FROM parent p JOIN climb c ON c.id = p.id JOIN best USING (top) WHERE p.up IS NOT NULL""")
 def largest_component(spark, sf):

@@ -38,8 +38,9 @@ def test_query(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLE_SQL)))
-def test_others_run(spark, name):
-    assert Q.QUERIES[name](spark, SF).count() >= 0
+def test_others_have_rows(spark, name):
+    """On tables that are large enough for trends and bursts."""
+    assert Q.QUERIES[name](spark, SF.replace("0.001", "0.01")).count() > 0
 
 
 def test_entry(spark):
