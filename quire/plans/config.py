@@ -19,7 +19,7 @@ DEFAULTS = {
     "peaks.zscore.activityThreshold": 5, "peaks.zscore.saveOutput": False, "peaks.minEdgeWeight": 1.0, "peaks.dailyMinThreshold": 200,
     "store.keyspace": "pages", "store.tableVisits": "page_visits", "store.tableMeta": "pagecount_metadata",
 }
-#: Keys without a default; those of graph are accepted and not used.
+#: Keys without a default.
 OPTIONAL = {
     "peaks.startDate", "peaks.endDate", "peaks.useTableStats", "store.tableStats", "store.host", "store.port", "store.username", "store.password",
     "graph.url", "graph.user", "graph.password", "graph.database",

@@ -18,13 +18,15 @@ from quire.sinks.day_stats import DayStatsStore
 from quire.sinks.gexf import write_gexf
 from quire.sinks.tables import write_parquet
 from quire.sinks.visits import VisitStore, load_period, open_store
+from quire.sources.graphdb import GraphDatabase
 
 
-def find(store: VisitStore, pages: DataFrame, links: DataFrame, start: date, end: date, language: str, cfg: dict, category_links: DataFrame | None = None, active_path: str | None = None, days: DayStatsStore | None = None) -> tuple[DataFrame, DataFrame]:
+def find(store: VisitStore, pages: DataFrame | None, links: DataFrame | None, start: date, end: date, language: str, cfg: dict, category_links: DataFrame | None = None, active_path: str | None = None, days: DayStatsStore | None = None, database: GraphDatabase | None = None) -> tuple[DataFrame, DataFrame]:
     """(vertices (id, title), edges (src, dst, weight)) of the final graph.
 
     With a table of day statistics, thresholds and busy days come from it, and the
-    history's visits are read only where z-scores need them.
+    history's visits are read only where z-scores need them. Without pages and
+    links, those of the active pages are asked of a graph database.
     """
     if start > end:
         raise ValueError("start date is after end date")
@@ -44,6 +46,9 @@ def find(store: VisitStore, pages: DataFrame, links: DataFrame, start: date, end
     else:
         active = written(active, "active")
     series = P.active_series(visits, active, start, end, cfg["peaks.dailyMinThreshold"], stats)
+    if database:
+        # Asked once; later passes read what was said.
+        pages, links = (written(x, "asked") for x in database.subgraph(active))
     nodes, edges = G.active_subgraph(pages, links, active, category_links, cfg["peaks.includeCategories"])
     # The vertices are read by the weights, by the components and by the graph that is written.
     nodes = written(nodes, "nodes")
@@ -58,8 +63,8 @@ def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("--config", required=True)
     p.add_argument("--language", required=True)
-    p.add_argument("--pages", required=True, help="Parquet: id, namespace, title")
-    p.add_argument("--links", required=True, help="Parquet: from, dest")
+    p.add_argument("--pages", help="Parquet: id, namespace, title; without it and links the graph database of the settings is asked")
+    p.add_argument("--links", help="Parquet: from, dest")
     p.add_argument("--categoryLinks", help="Parquet: from, id")
     p.add_argument("--visits", help="Parquet store; without it visits come from Cassandra")
     p.add_argument("--outputPath", required=True)
@@ -78,7 +83,11 @@ def run(spark: SparkSession, a: argparse.Namespace, cfg: dict) -> None:
         raise ValueError("peaks.useTableStats needs store.tableStats, the folder of the day statistics")
     days = DayStatsStore(spark, cfg["store.tableStats"]) if cfg.get("peaks.useTableStats") else None
     active_path = f"{a.outputPath}/activePages.pqt" if cfg["peaks.zscore.saveOutput"] else None
-    vertices, edges = find(store, spark.read.parquet(a.pages), spark.read.parquet(a.links), start, end, a.language, cfg, more, active_path, days)
+    database = None if a.pages and a.links else GraphDatabase.of_settings(cfg)
+    if database is None and not (a.pages and a.links):
+        raise ValueError("pages and links are needed, or the setting graph.url")
+    pages, links = (None, None) if database else (spark.read.parquet(a.pages), spark.read.parquet(a.links))
+    vertices, edges = find(store, pages, links, start, end, a.language, cfg, more, active_path, days, database)
     write_gexf(vertices, edges, f"{a.outputPath}/{graph_name(start, end)}")
 
 

@@ -1,0 +1,107 @@
+"""The graph database's HTTP interface against a server of this process."""
+
+import base64
+import json
+import threading
+from argparse import Namespace
+from datetime import date, datetime, timedelta
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from quire.plans import config, peak_graph
+from quire.sinks.visits import SnapshotVisitStore, save
+from quire.sources import graphdb as D
+
+PAGES = {i: (f"P<{i}>", 14 if i % 10 == 0 else 0) for i in range(200)}
+LINKS = [(i, j) for i in range(200) for j in ((i * 7 + 1) % 200, (i * 3) % 200, i + 1) if j < 200]
+
+
+@pytest.fixture
+def server():
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            (statement,) = body["statements"]
+            ids = statement["parameters"]["ids"]
+            asked.append((self.path, self.headers.get("Authorization"), statement["statement"], ids))
+            errors, rows = [], []
+            if 199 in ids:
+                errors = [{"message": "no such luck"}]
+            elif "p.title" in statement["statement"]:
+                rows = [[i, *PAGES[i]] for i in ids if i in PAGES]
+            else:
+                rows = [[a, b] for a, b in LINKS if a in set(ids)]
+            answer = json.dumps({"results": [{"columns": [], "data": [{"row": r} for r in rows]}], "errors": errors}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *args):
+            pass
+
+    s = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}", asked
+    s.shutdown()
+
+
+def ids(spark, some):
+    return spark.createDataFrame([(i,) for i in some], "page_id long")
+
+
+def got(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_only_the_list_is_asked_for(spark, server):
+    url, asked = server
+    active = [*range(0, 190, 2), 500, 500, None]
+    db = D.GraphDatabase(url, "me", "secret", "wiki", per_query=7, connections=3)
+    pages, links = db.subgraph(ids(spark, active))
+    inside = set(range(0, 190, 2))
+    assert got(pages) == sorted((i, *PAGES[i]) for i in inside)
+    assert got(links) == sorted((a, b) for a, b in LINKS if a in inside and b in inside) != []
+    assert max(len(x[3]) for x in asked) == 7 and len(asked) > 20
+    assert {x[0] for x in asked} == {"/db/wiki/tx/commit"} and {x[1] for x in asked} == {"Basic " + base64.b64encode(b"me:secret").decode()}
+    every = [i for x in asked for i in x[3] if "p.title" in x[2]]
+    assert sorted(every) == sorted(inside | {500})  # each once, and no other
+    assert got(D.GraphDatabase(url).subgraph(ids(spark, active).limit(0))[0]) == []
+    with pytest.raises(Exception, match="no such luck"):
+        db.subgraph(ids(spark, [199]))[0].collect()
+
+
+def test_settings():
+    assert D.GraphDatabase.of_settings(config.load(None)) is None
+    db = D.GraphDatabase.of_settings(config.parse('neo4j { url = "http://x:7474", user = a, password = "b c", database = d }'))
+    assert (db.url, db.user, db.password, db.database) == ("http://x:7474", "a", "b c", "d")
+
+
+def test_the_job_asks_by_settings(spark, server, tmp_path):
+    url, asked = server
+    rows = []
+    for page in range(1, 40):
+        for h in range(24 * 7):
+            rows.append(("en", page, datetime(2020, 1, 2) + timedelta(hours=h), 300 if page % 2 and 100 <= h < 106 else 2 + h % 3))
+    visits = spark.createDataFrame(rows, "languageCode string, page_id long, visit_time timestamp, count int")
+    save(SnapshotVisitStore(spark, str(tmp_path / "store")), visits, date(2020, 1, 2), date(2020, 1, 8))
+    text = f'peaks {{ startDate = "2020-01-05", endDate = "2020-01-08", burstRate = 2, burstCount = 3, pearsonCorrelation = true, dailyMinThreshold = 100 }}\ngraph.url = "{url}"'
+    args = Namespace(visits=str(tmp_path / "store"), categoryLinks=None, pages=None, links=None, outputPath=str(tmp_path), language="en")
+    peak_graph.run(spark, args, config.parse(text))
+    written = (tmp_path / "peaks_graph_20200105_20200108.gexf").read_text()
+    active = {p for p in range(1, 40) if p % 2}
+    assert {i for x in asked for i in x[3]} == active
+    pairs = {tuple(sorted(x)) for x in LINKS if set(x) <= active and x[0] != x[1]}
+    assert {(1, 3), (3, 9), (9, 27)} <= pairs and written.count("<edge ") == 3 and "P&lt;1&gt;" in written
+    # From tables the graph is the same.
+    spark.createDataFrame([(i, n, t) for i, (t, n) in PAGES.items()], "id long, namespace int, title string").write.parquet(str(tmp_path / "pages"))
+    spark.createDataFrame(LINKS, "`from` long, dest long").write.parquet(str(tmp_path / "links"))
+    args.pages, args.links = str(tmp_path / "pages"), str(tmp_path / "links")
+    peak_graph.run(spark, args, config.parse(text))
+    assert sorted((tmp_path / "peaks_graph_20200105_20200108.gexf").read_text().splitlines()) == sorted(written.splitlines())
+    args.pages = None
+    with pytest.raises(ValueError, match=r"graph\.url"):
+        peak_graph.run(spark, args, config.parse(text.split("\n")[0]))
