@@ -112,9 +112,14 @@ def similar_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, ho
 
 
 def peak_graph(vertices: DataFrame, edges: DataFrame, series: DataFrame, hours: int, min_weight: float = 1.0, correlation: bool = True, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The largest component of the active subgraph, edges weighted by likeness and pruned."""
+    """The largest component of the active subgraph, edges weighted by the likeness of trends and pruned."""
+    return peak_graph_of(vertices, edges, shapes_of(series, hours, correlation), hours, min_weight, correlation, scratch)
+
+
+def peak_graph_of(vertices: DataFrame, edges: DataFrame, shapes: DataFrame, hours: int, min_weight: float = 1.0, correlation: bool = True, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same from shapes (page_id, shape), such as those of the series themselves."""
     pairs = G.undirected(edges, F.max)
-    # Trends are the costly part, and two passes read them: sketches of all, series of few.
-    sketched = written(with_sketches(shapes_of(series, hours, correlation), correlation), "sketched", scratch)
+    # Shapes are the costly part, and two passes read them: sketches of all, series of few.
+    sketched = written(with_sketches(shapes, correlation), "sketched", scratch)
     found = written(similar_edges(vertices, pairs, sketched, hours, min_weight, correlation), "weighted", scratch)
     return G.largest_component_graph(G.without_singletons(vertices, found), found, scratch)

@@ -721,11 +721,42 @@ def zscore_resumed(spark, sf):
     return store.active_hours(period_hours(START, date(2024, 1, 10)), *ends)
 
 
+_LATE = period_hours(MIDDLE, END)
+
+
+@query("peak_pipeline_raw", f"""WITH RECURSIVE {_PAGES}, {_LINKS}, {_REDIRECTS}, {_RESOLVED}, {_HOPS}, {_SUBSTITUTE}, {_VISITS}, {_GRID}, {_STATS},
+    limits AS (SELECT page_id, mean + 3 * sqrt(variance) AS threshold FROM stats),
+    burst AS (SELECT page_id FROM visits JOIN limits USING (page_id) WHERE visit_time >= DATE '2024-01-11' AND "count" > threshold GROUP BY 1 HAVING count(*) > 1),
+    late AS (SELECT page_id, visit_time, CAST("count" AS DOUBLE) AS c FROM visits WHERE visit_time >= DATE '2024-01-11' AND page_id IN (SELECT page_id FROM burst)),
+    days AS (SELECT page_id, CAST(visit_time AS DATE) AS d, sum(c) AS n FROM late GROUP BY 1, 2),
+    busy AS (SELECT page_id FROM days GROUP BY 1 HAVING max(n) >= 4),
+    nodes AS (SELECT id FROM pages WHERE id IN (SELECT page_id FROM burst) AND namespace <> 14),
+    near AS (SELECT DISTINCT least("from", dest) AS src, greatest("from", dest) AS dst FROM direct WHERE "from" IN (SELECT id FROM nodes) AND dest IN (SELECT id FROM nodes)),
+    sums AS (SELECT page_id, sum(c) AS s, sum(c * c) AS q FROM late WHERE page_id IN (SELECT page_id FROM busy) GROUP BY 1),
+    products AS (SELECT src, dst, sum(x.c * y.c) AS p FROM near JOIN late x ON x.page_id = src JOIN late y ON y.page_id = dst AND y.visit_time = x.visit_time GROUP BY 1, 2),
+    weights AS (SELECT src, dst, {_LATE} * ({_LATE} * p - x.s * y.s) / sqrt(({_LATE} * x.q - x.s * x.s) * ({_LATE} * y.q - y.s * y.s)) AS weight
+        FROM products JOIN sums x ON x.page_id = src JOIN sums y ON y.page_id = dst),
+    kept AS (SELECT * FROM weights WHERE weight > 1),
+    both_ways AS (SELECT src AS a, dst AS b FROM kept UNION SELECT dst, src FROM kept),
+    reach(id, other) AS (SELECT a, a FROM both_ways UNION SELECT id, b FROM reach JOIN both_ways ON a = other),
+    parts AS (SELECT id, min(other) AS component FROM reach GROUP BY 1),
+    best AS (SELECT component FROM parts GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)
+    SELECT src, dst, round(weight, 6) AS weight FROM kept JOIN parts ON id = src JOIN best USING (component)""")
+def peak_pipeline_raw(spark, sf):
+    """peak_pipeline on the hourly visits themselves, in place of their trends."""
+    v = written(visits(spark, sf), "visits")
+    active = written(P.burst_pages(v, START, MIDDLE, END, 3.0, 1), "active")
+    shapes = P.active_series(v, active, MIDDLE, END, 4).select("page_id", X.standard(F.col("values")).alias("shape"))
+    nodes, found = G.active_subgraph(pages(spark, sf), _direct(spark, sf), active)
+    graph = P.peak_graph_of(written(nodes, "nodes"), found, shapes, _LATE, 1.0)[1]
+    return graph.select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 @query("peak_pipeline")
 def peak_pipeline(spark, sf):
     """The graph of pages active together, from visits and resolved links."""
     v = visits(spark, sf)
-    active = P.burst_pages(v, START, MIDDLE, END, 3.0, 1)
+    active = written(P.burst_pages(v, START, MIDDLE, END, 3.0, 1), "active")
     series = P.active_series(v, active, MIDDLE, END, 4)
     p = pages(spark, sf)
     nodes, found = G.active_subgraph(p, _direct(spark, sf), active)
