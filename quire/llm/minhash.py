@@ -267,9 +267,9 @@ def linked(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, mark, n_shingles, group, component_id, kept) of every row; group is the component's key, null for empty sets."""
     signed = written(signatures(docs, words), "signatures")
     groups = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n_shingles")
-    # A class is known by the hash of its set; one row stands for it.
+    # A class is known by both hashes of its set and its size, and numbered as it is written; one row stands for it.
     classes = groups.agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("signature").alias("signature"))
-    classes = written(classes.withColumn("id", F.col("k1")), "classes")
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     lists = written(postings(classes), "postings")
     texts = marked(docs)
     led_pairs = None

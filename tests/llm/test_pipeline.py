@@ -59,6 +59,32 @@ def test_mix_and_encoding(spark, steps):
     assert all(r.n_tokens == len(r.ids) for r in steps[5].collect())
 
 
+def test_odd_rows_go_through_all_stages(spark):
+    """Null ids and texts, empty and long texts, repeated rows and ids, and further columns with the operators' own names."""
+    import corpus_pipeline as C
+    from pyspark.sql import functions as F
+
+    docs = C.table(spark, SF, "documents")
+    good = next(r for r in docs.orderBy("doc_id").collect() if r.text and 200 < len(r.text.split()) < 400 and not brute.spans(r.text))
+    other = " ".join(f"word{i * i % 977} and" for i in range(300)) + " end."
+    odd = [(None, None), (None, good.text), (900001, None), (900002, ""), (900003, good.text), (900003, good.text), (900004, other + " mail jane.doe@example.com"), (900004, good.text), (900005, (good.text + " ") * 40), (900006, " \n\t ")]
+    more = spark.createDataFrame([(i, t, "en", "odd", None if t is None else len(t)) for i, t in odd], docs.schema)
+    whole = docs.unionByName(more)
+    for c in ("key", "mark", "value", "size", "id", "row", "group", "text_", "a.dotted `name`"):
+        whole = whole.withColumn(c, F.lit("x"))
+    out = [whole]
+    for name, stage in C.STAGES:
+        out.append(C.written(stage(spark, out[-1], SF), name))
+    assert all(s.columns == whole.columns for s in out[:5])
+    assert all(set(r[5:]) == {"x"} for s in out[1:5] for r in s.limit(50).collect())
+    ids = [[r.doc_id for r in s.select("doc_id").collect()] for s in out]
+    assert not {900001, 900002, 900006} & set(ids[1])  # no words, no quality
+    assert ids[2].count(900003) <= 1 and ids[2].count(None) == ids[1].count(None)  # nothing is held against a null id
+    assert not any(brute.spans(r.text) for r in out[3].select("text").collect())
+    assert set(ids[5]) <= set(ids[4]) <= set(ids[3]) == set(ids[2])
+    assert out[5].where("n_tokens <> size(ids) OR n_tokens < 1").count() == 0
+
+
 def test_empty_tables(spark, tmp_path):
     import corpus_pipeline as C
 
@@ -72,7 +98,7 @@ def test_queries(spark):
 
     from quire.llm import queries as Q
 
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 14))
     for name, sql in Q.ORACLE_SQL.items():
         df = Q.QUERIES[name](spark, SF)
         c = duckdb.connect()
