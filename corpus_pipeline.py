@@ -3,6 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of documents.
+
+Rows: null, empty and blank texts have no words and go in the first stage, whose
+base rules ask for fifty. Rows with a null id are judged by quality alone: none is
+taken for a copy, nor another for a copy of it. Of equal rows one stays after
+near-duplicates; rows of one id with unlike texts all stay. Texts of any length go
+through whole. Columns beyond those of documents are kept, whatever their names,
+by all stages but the last, which returns ids alone: (doc_id, n_tokens, ids,
+decoded_sha256). Empty tables give an empty result. A document that the mix takes
+twice is two rows.
 """
 
 from __future__ import annotations
