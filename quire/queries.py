@@ -184,6 +184,38 @@ def file_name_info(spark, sf):
     return n.select(F.col("n_nationkey").alias("k"), *D.dump_info_columns(name))
 
 
+def _in_files(lines: DataFrame, name: str, codec: str, parts: int) -> str:
+    """Write lines (value) as packed text in a folder of its own, each part named as a source would name it; the folder."""
+    from quire.scratch import scratch_dir
+    from quire.sinks.files import list_names, rename
+
+    spark = lines.sparkSession
+    folder = f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
+    lines.repartition(parts, F.xxhash64("value")).write.option("compression", codec).text(folder)
+    for n, part in enumerate(x for x in list_names(spark, folder) if x.startswith("part-")):
+        rename(spark, f"{folder}/{part}", f"{folder}/{name.format(n)}")
+    return folder
+
+
+@query("dump_gz_parse", """SELECT 'fr' AS languageCode, CAST(p_partkey AS INTEGER) AS id, p_name AS title, p_size AS pages, p_size % 3 AS subcats, p_size % 4 AS files FROM part
+    UNION ALL SELECT 'es', CAST(p_partkey AS INTEGER), p_name, p_size, p_size % 3, p_size % 4 FROM part""")
+def dump_gz_parse(spark, sf):
+    """Gzipped dumps of two languages, several files each, unpacked by a task a file and dealt out for parsing."""
+    rows = _read(spark, sf, "part").withColumn("k", F.col("p_partkey"))
+    lines = _dump(rows, "category", "p_partkey", "concat('\\'', p_name, '\\'')", "p_size", "p_size % 3", "p_size % 4")
+    folders = [_in_files(lines, f"{x}wiki-20180801-category{{}}.sql.gz", "gzip", 2) for x in ("fr", "es")]
+    return D.read_dump(spark, folders, "category", with_language=True, deal_bytes=2000)
+
+
+@query("pages_from_dump", f"""WITH {_PAGES} SELECT 'en' AS languageCode, id, namespace, title, isRedirect, isNew FROM pages""")
+def pages_from_dump(spark, sf):
+    """The page table as a job takes it, from dump files."""
+    rows = pages(spark, sf).withColumn("k", F.col("id"))
+    lines = _dump(rows, "page", "id", "namespace", "concat('\\'', title, '\\'')", "'\\'\\''", "cast(isRedirect as int)", "cast(isNew as int)", "'0.25'", "'\\'20180709171712\\''", "'NULL'", "id * 2", "id + 5", "'\\'wikitext\\''", "'NULL'")
+    folder = _in_files(lines, "enwiki-20180801-page{}.sql.gz", "gzip", 3)
+    return D.read_pages(spark, f"{folder}/enwiki-20180801-page*.sql.gz").select("languageCode", "id", "namespace", "title", "isRedirect", "isNew")
+
+
 # ---- pages and links -------------------------------------------------------------------------------------------
 
 
@@ -357,6 +389,43 @@ def legacy_parse(spark, sf):
     return parse_views(_lines(spark, sf, legacy=True), legacy=True)
 
 
+@query("views_files", f"""WITH {_DAILY} SELECT 'en' AS languageCode, {_TITLE} AS title, CASE WHEN user_id % 4 = 0 THEN 14 ELSE 0 END AS namespace,
+    event_type AS source, CAST(daily AS INTEGER) AS dailyVisits, code AS hourlyVisits, day AS date FROM daily WHERE {_LIVE}""")
+def views_files(spark, sf):
+    """Page views from a packed file for each day, as they are published; the date comes from the file's name."""
+    from quire.scratch import scratch_dir
+    from quire.sinks.files import list_names, rename
+    from quire.sources.views import read_views
+
+    base = f"{scratch_dir(spark)}/views-{uuid.uuid4().hex}"
+    _lines(spark, sf).repartition("day").write.partitionBy("day").option("compression", "bzip2").text(base)
+    days = [date.fromisoformat(x.removeprefix("day=")) for x in list_names(spark, base) if x.startswith("day=")]
+    for d in days:
+        (part,) = [x for x in list_names(spark, f"{base}/day={d}") if x.startswith("part-")]
+        rename(spark, f"{base}/day={d}/{part}", f"{base}/pageviews-{d:%Y%m%d}-user.bz2")
+    return read_views(spark, base, days)
+
+
+def _world(spark, sf) -> DataFrame:
+    """The lines in four languages, with escapes in their titles."""
+    rows = _daily(spark, sf)
+    code = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("user_id") % 4 + 1).cast("int"))
+    line = F.concat_ws(" ", F.concat(code, F.lit(".wikipedia")), F.concat(F.lit("Caf%C3%A9_%28"), "user_id", F.lit("%29")), F.lit("null"), "event_type", "daily", "code")
+    return rows.select(line.alias("value"), F.col("day").cast("string").alias("day"))
+
+
+@query("pageview_languages", f"""WITH {_DAILY} SELECT ['en', 'fr', 'de', 'es'][CAST(user_id % 4 + 1 AS INTEGER)] AS languageCode, 'Caf%C3%A9_%28' || user_id || '%29' AS title, 0 AS namespace,
+    event_type AS source, CAST(daily AS INTEGER) AS dailyVisits, code AS hourlyVisits, strftime(day, '%Y-%m-%d') AS day FROM daily WHERE user_id % 4 IN (1, 3)""")
+def pageview_languages(spark, sf):
+    return parse_views(_world(spark, sf), languages=["es", "fr", "xx"])
+
+
+@query("pageview_decode", f"""WITH {_DAILY} SELECT ['en', 'fr', 'de', 'es'][CAST(user_id % 4 + 1 AS INTEGER)] AS languageCode, 'Café_(' || user_id || ')' AS title, 0 AS namespace,
+    event_type AS source, CAST(daily AS INTEGER) AS dailyVisits, code AS hourlyVisits, strftime(day, '%Y-%m-%d') AS day FROM daily""")
+def pageview_decode(spark, sf):
+    return parse_views(_world(spark, sf), decode_titles=True)
+
+
 @query("pageview_merge", f"""WITH {_DAILY}, live AS (SELECT * FROM hourly WHERE {_LIVE}),
     sums AS (SELECT user_id, day, h, sum(n) AS n FROM live GROUP BY ALL)
     SELECT {_TITLE} AS title, 'en' AS languageCode, CASE WHEN user_id % 4 = 0 THEN 14 ELSE 0 END AS namespace, strftime(day, '%Y-%m-%d') AS day, 'web' AS source,
@@ -658,9 +727,67 @@ def gexf(spark, sf):
     return G.gexf_elements(nodes, tree)
 
 
+@query("gexf_file", """SELECT '      <node id="' || p_partkey || '" label="' || replace(p_name, '&', '&amp;') || '" />' AS value FROM part
+    UNION ALL SELECT '        <edge source="' || p_partkey || '" target="' || (p_partkey // 2) || '" label="1.0" />' FROM part WHERE p_size <= 35 AND p_partkey > 1
+    UNION ALL SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">', ' <graph mode="static" defaultedgetype="directed">',
+        ' <nodes>', '      </nodes>', '      <edges>', '        </edges>', ' </graph>', '</gexf>'])""")
+def gexf_file(spark, sf):
+    """The lines of an unweighted document, written as one file and read back."""
+    from quire.scratch import scratch_dir
+    from quire.sinks.gexf import write_gexf
+
+    vertices, tree = forest(spark, sf)
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}.gexf"
+    write_gexf(vertices.select("id", G.xml_escape(F.col("title")).alias("title")), tree, path, weighted=False)
+    return spark.read.text(path)
+
+
 # ---- sinks, and what SQL does not say --------------------------------------------------------------------------
 
 
+def _through(spark, sf, write, read) -> DataFrame:
+    from quire.scratch import scratch_dir
+
+    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    rows = pages(spark, sf)
+    write(rows, path)
+    return read(spark.read.schema(rows.schema), path)
+
+
+@query("tsv_roundtrip", f"WITH {_PAGES} SELECT * FROM pages")
+def tsv_roundtrip(spark, sf):
+    from quire.sinks.tables import write_table
+
+    return _through(spark, sf, lambda rows, path: write_table(rows, path, "csv"), lambda r, path: r.option("delimiter", "\t").option("quote", "").csv(path))
+
+
+@query("parquet_roundtrip", f"WITH {_PAGES} SELECT * FROM pages")
+def parquet_roundtrip(spark, sf):
+    from quire.sinks.tables import write_table
+
+    return _through(spark, sf, lambda rows, path: write_table(rows, path, "parquet"), lambda r, path: r.parquet(path))
+
+
+@query("json_roundtrip", f"WITH {_PAGES} SELECT * FROM pages")
+def json_roundtrip(spark, sf):
+    from quire.sinks.tables import write_json
+
+    return _through(spark, sf, write_json, lambda r, path: r.json(path))
+
+
+@query("store_series", """SELECT user_id AS page_id, count(DISTINCT date_trunc('hour', ts)) AS n, count(*) AS total FROM events WHERE event_type = 'view' AND ts >= DATE '2024-01-11' AND ts < DATE '2024-01-21' GROUP BY 1""")
+def store_series(spark, sf):
+    """Series of one language and period from a store that is opened by its path, once what it covers is found to hold the period."""
+    from quire.scratch import scratch_dir
+    from quire.sinks.visits import load_series, open_store, save
+
+    base = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    save(open_store(spark, base), visits_by_type(spark, sf), START, END)
+    found = load_series(open_store(spark, base), MIDDLE, date(2024, 1, 20), "view")
+    total = F.aggregate("visits", F.lit(0).cast("long"), lambda a, x: a + x["count"])
+    return found.select("page_id", F.size("visits").cast("long").alias("n"), total.alias("total"))
+
+
 @query("sink_roundtrip", f"""WITH {_VISITS} SELECT 'en' AS languageCode, page_id, visit_time, "count" FROM visits""")
 def sink_roundtrip(spark, sf):
     """Visits through the store and back: two halves, the second written twice, days put together, half of them from an older snapshot."""

@@ -66,3 +66,9 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it is not there."""
     _, target, fs = _hadoop(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    _, path, fs = _hadoop(spark, source)
+    if not fs.rename(path, spark._jvm.org.apache.hadoop.fs.Path(target)):
+        raise OSError(f"cannot rename {source} to {target}")
