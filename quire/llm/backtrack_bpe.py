@@ -40,8 +40,9 @@ END = "\n"
 PLAIN = re.compile(r"[\x21-\x7e\xa1-\u024f\u0370-\u0373\u0391-\u03a1\u03a4-\u03c9\u0410-\u044f\u2010-\u2027\u20ac]*").fullmatch
 #: Fixed value: the pre-tokenizer of the file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks, words and pairs that one worker remembers.
+#: Chunks, words and pairs that one worker remembers, and characters of the longest ones.
 REMEMBERED = 250_000
+LONGEST = 64
 
 
 def byte_letters() -> str:
@@ -201,7 +202,7 @@ class BacktrackEncoder:
                 found = self.words.get(word)
                 if found is None:
                     found = self.word_ids(word)
-                    if len(self.words) < REMEMBERED:
+                    if len(self.words) < REMEMBERED and len(word) <= LONGEST:
                         self.words[word] = found
                 ids += found
         return ids
@@ -229,9 +230,11 @@ class BacktrackEncoder:
         total = np.concatenate([[0], np.cumsum(count[at])])
         ids = flat[places(start[at], count[at])]
         if len(new) and len(self.chunks) < REMEMBERED:
-            # Long chunks are rare, and would fill the memory.
-            self.chunks = pa.concat_arrays([self.chunks, fresh])
-            self.start, self.count, self.flat = np.concatenate([self.start, start[new]]), np.concatenate([self.count, new_count]), flat
+            short = np.flatnonzero(pc.utf8_length(fresh).to_numpy(zero_copy_only=False) <= LONGEST)
+            at, own = (np.cumsum(new_count) - new_count)[short], new_count[short]
+            self.chunks = pa.concat_arrays([self.chunks, fresh.take(pa.array(short))])
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(own) - own])
+            self.count, self.flat = np.concatenate([self.count, own]), np.concatenate([self.flat, new_flat[places(at, own)]])
         return ids, np.diff(total[ends - ends[0]])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[memoryview]:

@@ -75,6 +75,17 @@ def test_pair_table_says_what_merging_does(words):
     assert min(seen) > 20 and all(enc.whole)
 
 
+def test_remembers_short_chunks_alone():
+    with open(WORDS, encoding="utf-8") as f:
+        enc = backtrack_bpe.BacktrackEncoder(f.read())
+    texts = pa.array(["one two " + "x" * 500, "two three " + "y" * 90 + " one", "", "one"])
+    first = enc.encode(texts)
+    again = enc.encode(texts)  # now from memory
+    assert all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+    assert sorted(enc.chunks.to_pylist()) == ["", "one", "three", "two"] and max(map(len, enc.words)) <= backtrack_bpe.LONGEST
+    assert enc.flat.tolist() == [i for c in enc.chunks.to_pylist() for i in enc.chunk_ids(c)]
+
+
 def test_steps_back_where_the_longest_match_is_wrong():
     """A small vocabulary in which greedy longest matches fail: a+b+c has rank order bc before ab."""
     import json
