@@ -8,13 +8,27 @@ from pyspark.sql import functions as F
 from quire.scratch import written
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as the side of a join that is dealt out by its key, whatever size Spark takes it for.
+
+    Spark takes a table for as large as its files, and series and ids lie in these at a
+    tenth or a hundredth of what they need in memory: it would send them whole, through the driver.
+    """
+    return df.hint("merge")
+
+
+def looked_up(df: DataFrame) -> DataFrame:
+    """The same for wide rows with a key of their own: each task hashes its share, and what is joined with it is not sorted."""
+    return df.hint("shuffle_hash")
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     """Distinct ids at either end of an edge."""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
 def without_singletons(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    return vertices.join(endpoints(edges), "id", "left_semi")
+    return vertices.join(dealt(endpoints(edges)), "id", "left_semi")
 
 
 def prune_edges(edges: DataFrame, min_weight: float) -> DataFrame:
@@ -29,8 +43,8 @@ def undirected(edges: DataFrame, merge=F.sum) -> DataFrame:
 
 def induced(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The subgraph on the ids (column id): both ends of an edge have to be among them."""
-    inside = edges.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
-    return vertices.join(ids.select("id"), "id", "left_semi"), inside.select(edges.columns)
+    inside = edges.join(dealt(ids.select(F.col("id").alias("src"))), "src", "left_semi").join(dealt(ids.select(F.col("id").alias("dst"))), "dst", "left_semi")
+    return vertices.join(dealt(ids.select("id")), "id", "left_semi"), inside.select(edges.columns)
 
 
 def active_subgraph(pages: DataFrame, links: DataFrame, active: DataFrame, category_links: DataFrame | None = None, include_categories: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +54,7 @@ def active_subgraph(pages: DataFrame, links: DataFrame, active: DataFrame, categ
     categories are included. Titles are escaped for XML.
     """
     kept = pages if include_categories else pages.where(F.col("namespace") != 14)
-    nodes = kept.join(active.select(F.col("page_id").alias("id")), "id", "left_semi").select("id", xml_escape(F.col("title")).alias("title"))
+    nodes = kept.join(dealt(active.select(F.col("page_id").alias("id"))), "id", "left_semi").select("id", xml_escape(F.col("title")).alias("title"))
     every = links.select(F.col("from").alias("src"), F.col("dest").alias("dst"))
     if include_categories and category_links is not None:
         every = every.unionByName(category_links.select(F.col("from").alias("src"), F.col("id").alias("dst")))
@@ -50,7 +64,7 @@ def active_subgraph(pages: DataFrame, links: DataFrame, active: DataFrame, categ
 
 def with_attributes(vertices: DataFrame, attributes: DataFrame, key: str) -> DataFrame:
     """Vertices with what another table has for them, null where it has nothing."""
-    return vertices.join(attributes.withColumnRenamed(key, "id"), "id", "left")
+    return vertices.join(looked_up(attributes.withColumnRenamed(key, "id")), "id", "left")
 
 
 def triplets(vertices: DataFrame, edges: DataFrame, *attributes: str) -> DataFrame:
@@ -58,7 +72,7 @@ def triplets(vertices: DataFrame, edges: DataFrame, *attributes: str) -> DataFra
     rows = edges
     for end in ("src", "dst"):
         side = vertices.select(F.col("id").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in attributes])
-        rows = rows.join(side, end)
+        rows = rows.join(looked_up(side), end)
     return rows
 
 
@@ -76,13 +90,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, scratch: str | N
         before = after or ()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(dealt(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(dealt(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars", scratch)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     labels = now.groupBy("u").agg(F.min("v").alias("m"))
-    return vertices.select("id").distinct().join(labels, F.col("id") == F.col("u"), "left").select("id", F.coalesce("m", F.col("id").cast("long")).alias("component"))
+    return vertices.select("id").distinct().join(dealt(labels), F.col("id") == F.col("u"), "left").select("id", F.coalesce("m", F.col("id").cast("long")).alias("component"))
 
 
 def largest_component(components: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import schemas as S
 from quire.operators.closure import ancestry
+from quire.operators.graph import dealt
 
 
 def pages_by_namespace(pages: DataFrame, namespace: int, keep_redirects: bool = True) -> DataFrame:
@@ -33,7 +34,7 @@ def _language(*tables: DataFrame) -> list[str]:
 def resolve_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Page links with the id of the page they name; links to missing pages go."""
     keys = ["title", "namespace", *_language(pages, links)]
-    return links.join(pages.select("id", *keys), keys).select("from", "id", "title", "fromNamespace", "namespace", *_language(pages, links))
+    return links.join(dealt(pages.select("id", *keys)), keys).select("from", "id", "title", "fromNamespace", "namespace", *_language(pages, links))
 
 
 def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def resolve_redirects(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     language = _language(pages, redirects)
     sources = pages.select(F.col("id").alias("from"), *language)
     targets = pages.select("id", "title", F.col("namespace").alias("targetNamespace"), *language)
-    rows = redirects.join(sources, ["from", *language], "left_semi").join(targets, ["title", "targetNamespace", *language])
+    rows = redirects.join(dealt(sources), ["from", *language], "left_semi").join(dealt(targets), ["title", "targetNamespace", *language])
     return rows.select("from", "id", "title", *language)
 
 
@@ -50,7 +51,7 @@ def resolve_category_links(pages: DataFrame, category_pages: DataFrame, links: D
     language = _language(pages, category_pages, links)
     sources = pages.select(F.col("id").alias("from"), *language)
     targets = category_pages.select("id", "title", *language)
-    rows = links.withColumnRenamed("to", "title").join(sources, ["from", *language], "left_semi").join(targets, ["title", *language])
+    rows = links.withColumnRenamed("to", "title").join(dealt(sources), ["from", *language], "left_semi").join(dealt(targets), ["title", *language])
     return rows.select("from", "title", "id", "ctype", *language)
 
 
@@ -65,7 +66,7 @@ def substitute_redirects(links: DataFrame, redirects: DataFrame, pages: DataFram
     hops = redirects.select(F.col("from").alias("id"), F.col("id").alias("to_r"), *language)
     rows = links.select("from", "id", *language)
     for _ in range(max_hops):
-        rows = rows.join(hops, ["id", *language], "left").select("from", F.coalesce("to_r", "id").alias("id"), *language)
+        rows = rows.join(dealt(hops), ["id", *language], "left").select("from", F.coalesce("to_r", "id").alias("id"), *language)
     return _between_pages(rows, pages, language, drop_dangling)
 
 
@@ -73,7 +74,7 @@ def substitute_closure(links: DataFrame, closure: DataFrame, pages: DataFrame, d
     """The same with redirects followed to their end, by redirect_closure; a redirect that runs into a cycle stays the target."""
     language = _language(links, closure, pages)
     ends = closure.select(F.col("from").alias("id"), F.col("id").alias("end"), *language)
-    rows = links.select("from", "id", *language).join(ends, ["id", *language], "left").select("from", F.coalesce("end", "id").alias("id"), *language)
+    rows = links.select("from", "id", *language).join(dealt(ends), ["id", *language], "left").select("from", F.coalesce("end", "id").alias("id"), *language)
     return _between_pages(rows, pages, language, drop_dangling)
 
 
@@ -81,9 +82,9 @@ def _between_pages(rows: DataFrame, pages: DataFrame, language: list[str], drop_
     """Distinct (from, dest) without self links, from pages that are there and no redirects."""
     rows = rows.where(F.col("from") != F.col("id")).distinct()
     direct = pages.where(~F.col("isRedirect"))
-    rows = rows.join(direct.select(F.col("id").alias("from"), *language), ["from", *language], "left_semi")
+    rows = rows.join(dealt(direct.select(F.col("id").alias("from"), *language)), ["from", *language], "left_semi")
     if drop_dangling:
-        rows = rows.join(direct.select("id", *language), ["id", *language], "left_semi")
+        rows = rows.join(dealt(direct.select("id", *language)), ["id", *language], "left_semi")
     return rows.select("from", F.col("id").alias("dest"), *language)
 
 

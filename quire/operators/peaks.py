@@ -22,7 +22,7 @@ def burst_pages(visits: DataFrame, history: date, start: date, end: date, burst_
     The threshold is of the period with its history; entries count from start on.
     """
     limits = V.thresholds(V.stats(V.in_period(visits, history, end), history, end), burst_rate)
-    rows = V.in_period(visits, start, end).join(limits, "page_id").where(F.col("count") > F.col("threshold"))
+    rows = V.in_period(visits, start, end).join(G.dealt(limits), "page_id").where(F.col("count") > F.col("threshold"))
     return rows.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > burst_count).select("page_id")
 
 
@@ -41,11 +41,11 @@ def active_series(visits: DataFrame, active: DataFrame, start: date, end: date,
     """
     own = V.in_period(visits, start, end)
     if days is not None:
-        maxima = Y.daily_maximum(days.join(active.select("page_id"), "page_id", "left_semi"), start, end)
+        maxima = Y.daily_maximum(days.join(G.dealt(active.select("page_id")), "page_id", "left_semi"), start, end)
     else:
-        own = own.join(active.select("page_id"), "page_id", "left_semi")
+        own = own.join(G.dealt(active.select("page_id")), "page_id", "left_semi")
         maxima = V.daily_maximum(own, start, end)
-    return V.dense(own.join(maxima.where(F.col("daily_max") >= daily_min), "page_id", "left_semi"), start, end)
+    return V.dense(own.join(G.dealt(maxima.where(F.col("daily_max") >= daily_min)), "page_id", "left_semi"), start, end)
 
 
 def shapes_of(series: DataFrame, hours: int, correlation: bool = True, filtered: bool = False) -> DataFrame:
@@ -88,7 +88,7 @@ def with_sketches(shapes: DataFrame, correlation: bool = True, width: int = K.SE
 
 def possible_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, hours: int, min_weight: float, correlation: bool = True, least: float = 0.5) -> DataFrame:
     """(src, dst) of the edges whose sketches allow a weight above min_weight (at least 0)."""
-    known = vertices.select("id").join(sketched.select(F.col("page_id").alias("id"), "sketch"), "id")
+    known = vertices.select("id").join(G.looked_up(sketched.select(F.col("page_id").alias("id"), "sketch")), "id")
     rows = G.triplets(known, edges.select("src", "dst"), "sketch")
     a, b = F.col("src_sketch"), F.col("dst_sketch")
     bound = K.dot_bound(a, b) * hours if correlation else K.ratio_bound(a, b, least)

@@ -69,13 +69,13 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 def links(spark: SparkSession, sf: str) -> DataFrame:
     target = pages(spark, sf).select(F.col("id").alias("l_suppkey"), "title", "namespace")
     rows = _read(spark, sf, "lineitem").select(F.col("l_partkey").cast("int").alias("from"), F.col("l_suppkey").cast("int").alias("l_suppkey"), F.lit(0).alias("fromNamespace"))
-    return rows.join(target, "l_suppkey").select("from", "namespace", "title", "fromNamespace")
+    return rows.join(G.dealt(target), "l_suppkey").select("from", "namespace", "title", "fromNamespace")
 
 
 def redirects(spark: SparkSession, sf: str) -> DataFrame:
     p = pages(spark, sf)
     target = p.select((F.col("id") - 1).alias("from"), F.col("namespace").alias("targetNamespace"), "title")
-    return p.where("isRedirect").select(F.col("id").alias("from")).join(target, "from")
+    return p.where("isRedirect").select(F.col("id").alias("from")).join(G.dealt(target), "from")
 
 
 def category_links(spark: SparkSession, sf: str) -> DataFrame:
