@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.graph import connected_components
+from quire.operators.graph import connected_components, dealt
 from quire.scratch import written
 
 
@@ -44,16 +44,16 @@ def extend(known: Components, edges: DataFrame, vertices: DataFrame | None = Non
     """
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     ids = _ends(edges) if vertices is None else _ends(edges).unionByName(vertices.select(F.col("id").cast("long").alias("id")))
-    fresh = written(ids.where("id IS NOT NULL").distinct().join(known.labels, "id", "left_anti"), "fresh", scratch)
+    fresh = written(ids.where("id IS NOT NULL").distinct().join(dealt(known.labels), "id", "left_anti"), "fresh", scratch)
     labels = known.labels.unionByName(fresh.select("id", F.col("id").alias("component")))
     pairs = edges.where("src <> dst")
     for end in ("src", "dst"):
-        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_label")), end)
+        pairs = pairs.join(dealt(labels.select(F.col("id").alias(end), F.col("component").alias(f"{end}_label"))), end)
     pairs = written(pairs.select(F.col("src_label").alias("src"), F.col("dst_label").alias("dst")).where("src <> dst").distinct(), "contracted", scratch)
     found = connected_components(_ends(pairs).distinct(), pairs, scratch)
     # Only labels that are not the smallest of their new component change.
     moved = written(found.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("to")), "moved", scratch)
-    labels = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    sizes = known.sizes.unionByName(fresh.select(F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))).join(moved, "component", "left")
+    labels = labels.join(dealt(moved), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    sizes = known.sizes.unionByName(fresh.select(F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))).join(dealt(moved), "component", "left")
     sizes = sizes.groupBy(F.coalesce("to", "component").alias("component")).agg(F.sum("size").alias("size"))
     return Components(written(labels, "labels", scratch), written(sizes, "sizes", scratch))

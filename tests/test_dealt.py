@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import graph as G
+from quire.operators import growing as N
 from quire.operators import links as L
 from quire.operators import peaks as P
 from quire.scratch import written
@@ -34,6 +35,16 @@ def test_series_are_dealt_out(spark, correlation):
     assert sent_whole(spark, lambda: edges.write.format("noop").mode("overwrite").save()) == 0
 
 
+def test_components_are_dealt_out(spark):
+    vertices, tree = spark.range(1, 3000), spark.range(2, 3000).select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"))
+
+    def run():
+        known = N.extend(N.begin(vertices.where("id % 2 = 0"), tree.where("src % 3 = 0")), tree.where("src % 3 > 0"), vertices)
+        assert known.largest().collect() == [(1, 2999)]
+
+    assert sent_whole(spark, run) == 0
+
+
 def test_only_the_largest_component_is_sent(spark):
     vertices = spark.range(1, 3000)
     tree = spark.range(2, 3000).select(F.col("id").alias("src"), F.floor(F.col("id") / 2).alias("dst"), F.lit(1.0).alias("weight"))
