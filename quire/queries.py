@@ -694,7 +694,7 @@ def components(spark, sf):
 def _grown(spark, sf):
     """Components of the forest, whose edges come in three batches by the size of their part, with the first half of the vertices."""
     vertices, tree = forest(spark, sf)
-    sized = tree.join(_read(spark, sf, "part").select(F.col("p_partkey").alias("src"), "p_size"), "src")
+    sized = tree.join(G.dealt(_read(spark, sf, "part").select(F.col("p_partkey").alias("src"), "p_size")), "src")
     batch = [sized.where(c).select("src", "dst") for c in ("p_size <= 12", "p_size > 12 AND p_size <= 24", "p_size > 24")]
     known = N.begin(vertices.where("id % 2 = 0"), batch[0])
     for more in batch[1:]:

@@ -68,3 +68,9 @@ def test_pages_are_dealt_out(spark):
         assert direct.count() == 356
 
     assert sent_whole(spark, run) == 0
+
+
+def test_query_of_the_grown_graph(spark):
+    from quire import queries as Q
+
+    assert sent_whole(spark, lambda: Q.QUERIES["largest_component_grown"](spark, "/root/testdata/sf0.001").collect()) == 0
