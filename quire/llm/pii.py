@@ -67,6 +67,8 @@ MIN_SCORE = 0.9
 FIRST_DOCS = 2_000
 #: Patterns up to which texts are searched for each of them before their words are; any number gives the same result.
 NEEDLES = 32
+#: Words before slots up to which other words are passed over; any number gives the same result.
+LEADS = 20_000
 #: Characters beside a token that are searched for its context words.
 CONTEXT_CHARS = 80
 
@@ -233,16 +235,21 @@ _LEAD = r"^([^\p{L}\p{N}]*)"
 _NAME = r"^([^=:]*\p{L}[^=:]*[=:]['\"]?)(?=[\p{L}\p{N}])"
 
 
-def _slots(low: str, sorts: set[str]) -> Column:
-    """Array of (pattern, word, at) of a column of lower-case words: the patterns of the given sorts that each word stands in."""
+def _slots(low: str, sorts: set[str], leads: list[str] | None = None) -> Column:
+    """Array of (pattern, word, at) of a column of lower-case words: the patterns of the given sorts that each word stands in.
+
+    With leads, words that come after none of these are passed over, unless a sort without a word before the slot may take them.
+    """
     n = F.size(low)
     blank = F.array(F.lit(""))
     # No lambda may name the array itself: it would be made again for every element.
     before = lambda k: F.concat(*[blank] * k, F.slice(low, F.lit(1), F.greatest(n - k, F.lit(0))))
-    zipped = F.arrays_zip(F.col(low).alias("w"), before(1).alias("l1"), before(2).alias("l2"), F.concat(F.slice(low, F.lit(2), n), blank).alias("r1"))
+    zipped = F.arrays_zip(F.col(low).alias("w"), before(1).alias("l1"), before(2).alias("l2"), F.concat(F.slice(low, F.lit(2), n), blank).alias("r1"), F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")).alias("at"))
+    if leads is not None:
+        zipped = F.filter(zipped, lambda x: _may_stand(x, sorts, leads))
 
-    def of(x: Column, i: Column) -> Column:
-        w = x["w"]
+    def of(x: Column) -> Column:
+        w, i = x["w"], x["at"]
         lead = F.regexp_extract(w, _LEAD, 1)
         tail = F.regexp_extract(w, r"([^\p{L}\p{N}]*)$", 1)
         rest = F.substr(w, F.length(lead) + 1)
@@ -260,6 +267,22 @@ def _slots(low: str, sorts: set[str]) -> Column:
     return F.flatten(F.transform(zipped, of)).cast("array<struct<pattern:string,word:string,at:int>>")
 
 
+def _may_stand(x: Column, sorts: set[str], leads: list[str]) -> Column:
+    """False for words in whose place no pattern of these sorts, with these words before the slot, can be; a look at each word that costs little."""
+    can = x["l1"].isin(leads) if leads else F.lit(False)
+    if "glued" in sorts:
+        can |= x["w"].contains("=") | x["w"].contains(":")
+    return can | (F.length(x["w"]) >= AFFIX_LENGTH) if "affix" in sorts else can
+
+
+def _leads_of(patterns: DataFrame) -> list[str] | None:
+    """The words right before the slots of the patterns, for the sorts that have one; None if there are too many to look for."""
+    words = F.split(F.regexp_replace("pattern", "^[a-z]+:", ""), " ")
+    lead = F.get(words, F.when(F.col("pattern").startswith("two:"), 1).otherwise(0))
+    some = patterns.where(~F.substring_index("pattern", ":", 1).isin("glued", "affix")).select(lead).distinct().limit(LEADS + 1).collect()
+    return [r[0] for r in some] if len(some) <= LEADS else None
+
+
 def _sorts_of(patterns: DataFrame) -> set[str]:
     """The sorts that occur: a handful at most."""
     return {r[0] for r in patterns.select(F.substring_index("pattern", ":", 1)).distinct().collect()}
@@ -290,7 +313,7 @@ def slot_words(docs: DataFrame, edges: DataFrame, trusted: DataFrame) -> tuple[D
     def filled(texts: DataFrame, patterns: DataFrame) -> DataFrame:
         low = texts.withColumn("lower", F.lower("text")).where(_may_hold(F.col("lower"), patterns))
         low = low.select("doc_id", "mark", F.regexp_extract_all("lower", F.lit(f"({WORD})"), F.lit(1)).alias("low"))
-        return low.select("doc_id", "mark", F.inline(_slots("low", _sorts_of(patterns)))).join(patterns.select("pattern"), "pattern")
+        return low.select("doc_id", "mark", F.inline(_slots("low", _sorts_of(patterns), _leads_of(patterns)))).join(patterns.select("pattern"), "pattern")
 
     def doubted(fills: DataFrame, patterns: DataFrame) -> DataFrame:
         fills = fills.select("pattern", _bare(F.col("word")).alias("word")).distinct()
