@@ -23,6 +23,19 @@ def ratio_similarity(a: Column, b: Column, least: float = 0.5) -> Column:
     return F.aggregate(F.filter(ratio, lambda r: ~F.isnan(r) & (r > least)), F.lit(0.0), lambda s, r: s + r)
 
 
+def sparse(a: Column) -> Column:
+    """struct(at, values): the hours of a series that are neither 0 nor null, and what they hold."""
+    pairs = F.filter(F.transform(a, lambda v, i: F.struct(i.alias("at"), v.alias("v"))), lambda p: p["v"] != 0)
+    # In an array of one, so that the pairs are made once for both fields.
+    return F.get(F.transform(F.array(pairs), lambda p: F.struct(F.transform(p, lambda x: x["at"]).alias("at"), F.transform(p, lambda x: x["v"]).alias("values"))), 0)
+
+
+def sparse_ratio_similarity(a: Column, b: Column, least: float = 0.5) -> Column:
+    """ratio_similarity of a sparse series and a whole one, for least from 0 on: hours of 0 never count there."""
+    ratio = F.zip_with(a["at"], a["values"], lambda at, x: F.try_divide(F.least(x, F.get(b, at)), F.greatest(x, F.get(b, at))))
+    return F.aggregate(F.filter(ratio, lambda r: ~F.isnan(r) & (r > least)), F.lit(0.0), lambda s, r: s + r)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 

@@ -106,8 +106,14 @@ def similar_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, ho
     if min_weight < 0:
         return G.prune_edges(weighted(vertices, edges, shapes, hours, correlation, least), min_weight)
     some = possible_edges(vertices, edges, sketched, hours, min_weight, correlation, least)
-    rows = G.triplets(shapes.withColumnRenamed("page_id", "id"), some, "shape")
-    weight = _likeness(F.col("src_shape"), F.col("dst_shape"), hours, correlation, least)
+    if correlation or least < 0:
+        rows = G.triplets(shapes.withColumnRenamed("page_id", "id"), some, "shape")
+        weight = _likeness(F.col("src_shape"), F.col("dst_shape"), hours, correlation, least)
+    else:
+        # The src series goes with every edge: only its hours other than 0 do, as the rest add nothing.
+        src = shapes.select(F.col("page_id").alias("src"), X.sparse(F.col("shape")).alias("src_shape"))
+        rows = some.join(G.looked_up(src), "src").join(G.looked_up(shapes.select(F.col("page_id").alias("dst"), F.col("shape").alias("dst_shape"))), "dst")
+        weight = F.nanvl(F.coalesce(X.sparse_ratio_similarity(F.col("src_shape"), F.col("dst_shape"), least), F.lit(0.0)), F.lit(0.0))
     return G.prune_edges(rows.select("src", "dst", weight.alias("weight")), min_weight)
 
 
