@@ -40,6 +40,34 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def packed(a: Column) -> Column:
+    """struct(n, base, at, values): the hours of a series of n that differ from its least value, base, and by how much.
+
+    Where that takes more room than the series, at is null and values holds it whole.
+    """
+
+    def pairs(m: Column) -> Column:
+        return F.filter(F.transform(a, lambda v, i: F.struct(i.alias("at"), (v - m["base"]).alias("v"))), lambda p: ~p["v"].eqNullSafe(F.lit(0.0)))
+
+    def row(x: Column) -> Column:
+        few = F.size(x["pairs"]) * 12 <= F.size(a) * 8  # bytes of an hour and its value, and of a value
+        return F.struct(
+            F.size(a).alias("n"), x["base"].alias("base"), F.when(few, F.transform(x["pairs"], lambda p: p["at"])).alias("at"),
+            F.when(few, F.transform(x["pairs"], lambda p: p["v"])).otherwise(a).alias("values"),
+        )
+
+    # In arrays of one, so that base is found once for all values, and pairs are made once for all fields.
+    least = F.array(F.struct(F.coalesce(F.array_min(a), F.lit(0.0)).alias("base")))
+    known = F.transform(least, lambda m: F.struct(m["base"].alias("base"), pairs(m).alias("pairs")))
+    return F.when(a.isNotNull(), F.get(F.transform(known, row), 0))
+
+
+def packed_dot(a: Column, b: Column, total_b: Column) -> Column:
+    """The dot product of a packed series and a whole one, whose total is given; null if lengths differ."""
+    more = F.aggregate(F.zip_with(a["at"], a["values"], lambda at, v: v * F.get(b, at)), F.lit(0.0), lambda s, v: s + v)
+    return F.when(a["at"].isNull(), dot(a["values"], b)).when(a["n"] == F.size(b), a["base"] * total_b + more)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 

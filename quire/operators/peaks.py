@@ -61,7 +61,14 @@ def shapes_of(series: DataFrame, hours: int, correlation: bool = True, filtered:
 
 
 def _likeness(a: Column, b: Column, hours: int, correlation: bool, least: float) -> Column:
-    weight = F.greatest(X.dot(a, b), F.lit(0.0)) * hours if correlation else X.ratio_similarity(a, b, least)
+    if correlation:
+        return _correlation(X.packed(a), b, X.total(b), hours)
+    return F.nanvl(F.when(a.isNull() | b.isNull(), 0.0).otherwise(X.ratio_similarity(a, b, least)), F.lit(0.0))
+
+
+def _correlation(a: Column, b: Column, total_b: Column, hours: int) -> Column:
+    """The likeness of a packed shape and a whole one, whose total is given."""
+    weight = F.greatest(X.packed_dot(a, b, total_b), F.lit(0.0)) * hours
     return F.nanvl(F.when(a.isNull() | b.isNull(), 0.0).otherwise(weight), F.lit(0.0))
 
 
@@ -89,7 +96,9 @@ def with_sketches(shapes: DataFrame, correlation: bool = True, width: int = K.SE
 def possible_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, hours: int, min_weight: float, correlation: bool = True, least: float = 0.5) -> DataFrame:
     """(src, dst) of the edges whose sketches allow a weight above min_weight (at least 0)."""
     known = vertices.select("id").join(G.looked_up(sketched.select(F.col("page_id").alias("id"), "sketch")), "id")
-    rows = G.triplets(known, edges.select("src", "dst"), "sketch")
+    # By id alone first: no edge carries a sketch to a page that has none.
+    inside = edges.select("src", "dst").join(G.looked_up(known.select(F.col("id").alias("dst"))), "dst", "left_semi").select("src", "dst")
+    rows = G.triplets(known, inside, "sketch")
     a, b = F.col("src_sketch"), F.col("dst_sketch")
     bound = K.dot_bound(a, b) * hours if correlation else K.ratio_bound(a, b, least)
     return rows.where(bound > min_weight).select("src", "dst")
@@ -106,13 +115,18 @@ def similar_edges(vertices: DataFrame, edges: DataFrame, sketched: DataFrame, ho
     if min_weight < 0:
         return G.prune_edges(weighted(vertices, edges, shapes, hours, correlation, least), min_weight)
     some = possible_edges(vertices, edges, sketched, hours, min_weight, correlation, least)
-    if correlation or least < 0:
+    # The src series goes with every edge: only the hours do in which it differs from its least value.
+    src, dst = shapes.withColumnRenamed("page_id", "src"), shapes.withColumnRenamed("page_id", "dst")
+    if correlation:
+        rows = some.join(G.looked_up(src.select("src", X.packed(F.col("shape")).alias("src_shape"))), "src")
+        rows = rows.join(G.looked_up(dst.select("dst", F.col("shape").alias("dst_shape"), X.total(F.col("shape")).alias("dst_total"))), "dst")
+        weight = _correlation(F.col("src_shape"), F.col("dst_shape"), F.col("dst_total"), hours)
+    elif least < 0:
         rows = G.triplets(shapes.withColumnRenamed("page_id", "id"), some, "shape")
         weight = _likeness(F.col("src_shape"), F.col("dst_shape"), hours, correlation, least)
     else:
-        # The src series goes with every edge: only its hours other than 0 do, as the rest add nothing.
-        src = shapes.select(F.col("page_id").alias("src"), X.sparse(F.col("shape")).alias("src_shape"))
-        rows = some.join(G.looked_up(src), "src").join(G.looked_up(shapes.select(F.col("page_id").alias("dst"), F.col("shape").alias("dst_shape"))), "dst")
+        # Or those other than 0, as the rest add nothing.
+        rows = some.join(G.looked_up(src.select("src", X.sparse(F.col("shape")).alias("src_shape"))), "src").join(G.looked_up(dst.select("dst", F.col("shape").alias("dst_shape"))), "dst")
         weight = F.nanvl(F.coalesce(X.sparse_ratio_similarity(F.col("src_shape"), F.col("dst_shape"), least), F.lit(0.0)), F.lit(0.0))
     return G.prune_edges(rows.select("src", "dst", weight.alias("weight")), min_weight)
 

@@ -594,9 +594,11 @@ _NEAR = f"""near AS (SELECT DISTINCT least(l_partkey, l_suppkey) AS src, greates
 
 def _near(spark, sf):
     """(vertices, edges, series): linked pages that both have visits."""
-    series = V.dense(visits(spark, sf), START, END)
-    pairs = G.undirected(edges(spark, sf).where("src <> dst"), F.max)
-    return series.select(F.col("page_id").alias("id")), pairs, series
+    series = written(V.dense(visits(spark, sf), START, END), "series")
+    vertices = series.select(F.col("page_id").alias("id"))
+    # Links of pages without visits go before links are joined into pairs.
+    inside = G.induced(vertices, edges(spark, sf).where("src <> dst"), vertices)[1]
+    return vertices, G.undirected(inside, F.max), series
 
 
 @query("similar_edges", f"""WITH {_VISITS}, {_NEAR}, sums AS (SELECT page_id, sum(CAST("count" AS DOUBLE)) AS s, sum(CAST("count" AS DOUBLE) * "count") AS q FROM visits GROUP BY 1),
