@@ -10,6 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,7 +103,9 @@ class Smoother:
     A fit is a ratio of weighted sums over the places near by, and these sums are
     products with matrices that depend on the places alone. Inside, all places
     have the same neighbours and share one small matrix; near the ends, and where
-    a window holds all values, each place has a column of its own.
+    a window holds all values, each place has a column of its own. Places with
+    the same neighbours are taken in runs of a window's length: the windows of a
+    run lie in one stretch of values, and the run is one product with a band matrix.
     """
 
     def __init__(self, n: int, width: int, degree: int, before: int = 0, after: int = 0):
@@ -119,7 +123,13 @@ class Smoother:
         inner = np.flatnonzero((first > 0) & (first < n - q))
         self.inner, self.first = inner, first
         self.ends = [(k, moments[:, k].transpose(2, 0, 1).reshape(q, -1)) for k in (self.head, self.tail)]
-        self.middle = moments[:, inner[0]].T if len(inner) else None  # (q, 3)
+        # (2q - 1, 3q): the sums of a run from its stretch of values, by power and place.
+        self.band = None
+        if len(inner):
+            self.band = np.zeros((2 * q - 1, 3, q))
+            for i in range(q):
+                self.band[i : i + q, :, i] = moments[:, inner[0]].T
+            self.band = self.band.reshape(2 * q - 1, -1)
         self.places = len(at)
 
     def sums(self, x: np.ndarray, powers: int) -> np.ndarray:
@@ -127,10 +137,15 @@ class Smoother:
         out = np.empty((powers, len(x), self.places))
         for (k, matrix), part in zip(self.ends, (x[:, : self.q], x[:, self.n - self.q :]), strict=True):
             if len(k):
-                out[:, :, k] = (part @ matrix[:, : powers * len(k)]).reshape(len(x), powers, len(k)).transpose(1, 0, 2)
-        if self.middle is not None:
-            windows = np.lib.stride_tricks.sliding_window_view(x, self.q, axis=1)[:, self.first[self.inner[0]] : self.first[self.inner[-1]] + 1]
-            out[:, :, self.inner] = (windows @ self.middle[:, :powers]).transpose(2, 0, 1)
+                out[:, :, k[0] : k[-1] + 1] = (part @ matrix[:, : powers * len(k)]).reshape(len(x), powers, len(k)).transpose(1, 0, 2)
+        if self.band is not None:
+            q, start, places = self.q, self.first[self.inner[0]], len(self.inner)
+            runs = -(-places // q)
+            padded = np.zeros((len(x), (runs + 1) * q - 1))
+            padded[:, : places + q - 1] = x[:, start : start + places + q - 1]
+            stretches = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 2 * q - 1, axis=1)[:, ::q]).reshape(-1, 2 * q - 1)
+            found = (stretches @ self.band[:, : powers * q]).reshape(len(x), runs, powers, q).transpose(2, 0, 1, 3).reshape(powers, len(x), runs * q)
+            out[:, :, self.inner[0] : self.inner[-1] + 1] = found[:, :, :places]
         return out
 
     def __call__(self, y: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
@@ -238,10 +253,24 @@ def _stacked(values: pd.Series, work) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def trend_of(values: pd.Series) -> pd.Series:
+def _series_of(values: pa.Array, work, empty: bool = True) -> pa.Array:
+    """The series that work makes of stacks of one length, straight from and to Arrow's buffers. Null stays null, and so do empty ones unless they may be."""
+    size = pc.fill_null(pc.list_value_length(values), -1).to_numpy(zero_copy_only=False)
+    flat = pc.cast(values.flatten(), pa.float64()).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+    out = np.empty(len(flat))
+    for n in np.unique(size[size > 0]):
+        own = np.flatnonzero(size == n)
+        for at in range(0, len(own), STACK):
+            places = ends[own[at : at + STACK], None] + np.arange(n)
+            out[places] = work(flat[places])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, from_pandas=True), mask=pa.array(size < (0 if empty else 1)))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def trend_of(values: pa.Array) -> pa.Array:
     """The trend of each hourly series: what is left without daily variation."""
-    return _stacked(values, stl_trend)
+    return _series_of(values, stl_trend)
 
 
 def standardised(y: np.ndarray) -> np.ndarray:
@@ -252,10 +281,10 @@ def standardised(y: np.ndarray) -> np.ndarray:
     return np.where(varies, middle / np.where(varies, length, 1.0), 0.0)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def standard_trend_of(values: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def standard_trend_of(values: pa.Array) -> pa.Array:
     """The standardised trend of each series: the dot product of two is their correlation. An empty series is null."""
-    return _stacked(values, lambda y: standardised(stl_trend(y)) if y.shape[1] else [None] * len(y))
+    return _series_of(values, lambda y: standardised(stl_trend(y)), empty=False)
 
 
 def active_hours_of(lag: int, threshold: float, influence: float, skip: int):
