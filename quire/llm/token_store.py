@@ -40,6 +40,10 @@ PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-‧€]*"
 _LINE = "\x01"
 #: Each is a word of its own to the pre-tokenizer after a letter.
 MARKS = ".,!?:;"
+#: Bytes of the characters of PLAIN that are ASCII, white space but for space and line end, and pairs of these two.
+_ASCII = bytes([*range(9, 14), *range(32, 127)])
+_RARE = "\t\v\f\r"
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 #: Parts that one worker remembers: the first ones it meets, among them all frequent ones.
 REMEMBERED = 250_000
 #: New parts given to the library at once.
@@ -85,6 +89,14 @@ class Encoder:
         found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
 
+    def _falls_apart(self, text: str) -> bool:
+        """Whether a text is of plain characters without two white spaces in a row; most need no regular expression for that."""
+        if any(x in text for x in _PAIRS):
+            return False
+        if not (text.isascii() and not text.encode().translate(None, _ASCII) or self.plain(text)):
+            return False
+        return not any(x in text for x in _RARE) or not self.gap(text)
+
     def _holds_added(self, text: str) -> bool:
         return any(x in text for x in self.added)
 
@@ -134,7 +146,7 @@ class Encoder:
         """(ids, counts): the ids of all texts one after the other, each followed by end, and how many each has."""
         cut, heads = [], []
         for text in texts:
-            if self.by_part and self.plain(text) and not self.gap(text) and not self._holds_added(text):
+            if self.by_part and self._falls_apart(text) and not self._holds_added(text):
                 cut.append(text := text.replace("\n", " " + _LINE))
                 heads.append(text.partition(" ")[0])
             else:
