@@ -17,10 +17,13 @@ own. An id with more than SAME_ID_ROWS rows is dealt to several tasks.
 from __future__ import annotations
 
 import json
+import os
+import string
 import uuid
 import zlib
+from codecs import charmap_decode
 from collections.abc import Iterator
-from itertools import chain, pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +35,23 @@ from pyspark.sql.window import Window
 
 from quire.scratch import scratch_dir
 
+from .backtrack_bpe import byte_letters
 from .common import require, small_batches, whole_text
 
 #: Texts of these characters are cut exactly as the library cuts them.
 PLAIN = r"[\t-\r\x20-\x7e\xa1-ɏͰ-ͳΑ-ΡΣ-ωА-я‐-‧€]*"
 #: Stands before a part that follows a line end; not a plain character.
 _LINE = "\x01"
-#: Each is a word of its own to the pre-tokenizer after a letter.
-MARKS = ".,!?:;"
+#: A run of these is a word of its own to the pre-tokenizer after a letter and before the end of a part.
+SYMBOLS = string.punctuation
 #: Bytes of the characters of PLAIN that are ASCII, white space but for space and line end, and pairs of these two.
 _ASCII = bytes([*range(9, 14), *range(32, 127)])
 _RARE = "\t\v\f\r"
 _PAIRS = ("  ", " \n", "\n ", "\n\n")
-#: Parts that one worker remembers: the first ones it meets, among them all frequent ones.
+#: Words and parts that one worker remembers: the first ones it meets, among them all frequent ones.
 REMEMBERED = 250_000
-#: New parts given to the library at once.
-JOINED = 200
+#: New words given to the library at once; more are slower by the word.
+JOINED = 50
 #: Bytes of text encoded at once.
 TEXT_BYTES = 7 << 20
 #: Rows of one id that stay in one range.
@@ -62,9 +66,11 @@ class Encoder:
 
     A text of plain characters without two white spaces in a row falls apart at
     its spaces and line ends: the pre-tokenizer never joins what lies on both
-    sides of the start of one. Its parts are numbered by Arrow, looked up among
-    the known ones, and the new ones go to the library joined, with its word
-    numbers to tell them apart. Any other text goes to the library whole, and so
+    sides of the start of one. Its parts are numbered by Arrow. Those that are
+    letters and then symbols fall apart into words of the pre-tokenizer. Words are
+    looked up among the known ones, and the library's model encodes the new ones,
+    many at a time, in its byte alphabet: the lengths of tokens tell them apart.
+    Other new parts go to the library as they are, and any other text whole, as
     does a text that holds the content of an added token. literal takes special
     tokens in a text for plain characters; else they are what the library makes
     of them as loaded.
@@ -72,75 +78,92 @@ class Encoder:
 
     def __init__(self, content: str, literal: bool = False):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # Spark's tasks are all the parallelism there is.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_str(content)
         if literal:
             self.tokenizer.encode_special_tokens = True
-        self.added = [x["content"] for x in json.loads(content).get("added_tokens") or []]
-        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
-        self.by_part = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not self.tokenizer.normalizer
+        file = json.loads(content)
+        self.added = [x["content"] for x in file.get("added_tokens") or []]
+        pre, model, letters = file.get("pre_tokenizer") or {}, file["model"], byte_letters()
+        cut = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not any(file.get(x) for x in ("normalizer", "truncation", "padding"))
+        # Every byte is a token, and no token is longer or shorter than what it stands for.
+        plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")) and model["vocab"].keys() >= set(letters)
+        self.by_part = cut and plain
+        if self.by_part:
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            #: The byte alphabet, with the space for a zero byte, which plain characters do not have.
+            self.letters = " " + letters[1:]
+            self.length = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            self.length[list(model["vocab"].values())] = list(map(len, model["vocab"]))
         self.plain, self.gap = regex.compile(PLAIN).fullmatch, regex.compile(r"[\t-\r\x20]{2}").search
-        self.words = pa.array([], pa.string())
-        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        #: Where the ids of words and parts that were met lie; the empty one has none.
+        self.known = {"": 0}
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of texts, one by one."""
-        found = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.array(list(chain.from_iterable(found)), np.uint32), np.array(list(map(len, found)), np.int64)
 
     def _falls_apart(self, text: str) -> bool:
         """Whether a text is of plain characters without two white spaces in a row; most need no regular expression for that."""
         if any(x in text for x in _PAIRS):
             return False
-        if not (text.isascii() and not text.encode().translate(None, _ASCII) or self.plain(text)):
+        others = text.encode().translate(None, _ASCII)
+        if others and not self.plain(others.decode()):
             return False
         return not any(x in text for x in _RARE) or not self.gap(text)
 
     def _holds_added(self, text: str) -> bool:
         return any(x in text for x in self.added)
 
-    def _joined(self, parts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of parts that are so many words each to the pre-tokenizer."""
-        ids, size = [], []
-        for at in range(0, len(parts), JOINED):
-            some = parts[at : at + JOINED]
-            if self._holds_added("".join(some)):
-                found = self._library(some)
-                ids.append(found[0])
-                size.append(found[1])
-                continue
-            x = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            ids.append(np.array(x.ids, np.uint32))
-            size.append(np.bincount(np.array(x.word_ids, np.int64) // words, minlength=len(some)))
-            if len(size[-1]) != len(some):
-                raise RuntimeError("the library cuts words otherwise")
-        return np.concatenate(ids), np.concatenate(size)
-
-    def _new(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of words of the pre-tokenizer."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        named = charmap_decode("\0".join(words).encode(), "strict", self.letters)[0].split(" ")
+        ids = [self.model.encode_batch_fast([" ".join(named[at : at + JOINED])], add_special_tokens=False)[0].ids for at in range(0, len(named), JOINED)]
+        flat = np.array(list(chain.from_iterable(ids)), np.uint32)
+        ends, stops = np.cumsum(self.length[flat]), np.cumsum(np.array(list(map(len, named)), np.int64))
+        after = np.searchsorted(ends, stops, "right")
+        if after[-1] != len(flat) or not np.array_equal(ends[after - 1], stops):
+            raise RuntimeError("the library cuts words otherwise")
+        return flat, np.diff(after, prepend=0)
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts) of distinct parts; a part that starts with \\x01 follows a line end, any other a space."""
-        line, mark = pc.starts_with(parts, _LINE).to_numpy(False), pc.match_substring_regex(parts, f"[{MARKS}]$").to_numpy(False)
-        simple = pc.match_substring_regex(parts, rf"^\x01?\p{{L}}+[{MARKS}]?$").to_numpy(False)
-        ids, size, order = [], [], []
-        for after_line in (False, True):
-            for with_mark in (False, True):
-                rows = np.flatnonzero(simple & (line == after_line) & (mark == with_mark))
-                if len(rows):
-                    some = parts.take(pa.array(rows)).to_pylist()
-                    some = [x.replace(_LINE, "\n") for x in some] if after_line else [" " + x for x in some]
-                    found = self._joined(some, 1 + after_line + with_mark)
-                    ids.append(found[0])
-                    size.append(found[1])
-                    order.append(rows)
-        rows = np.flatnonzero(~simple)
-        some = [x.replace(_LINE, "\n") if x[:1] == _LINE else " " + x for x in parts.take(pa.array(rows)).to_pylist()]
-        found = self._library(some)
-        ids, size, order = np.concatenate([*ids, found[0]]), np.concatenate([*size, found[1]]), np.concatenate([*order, rows])
-        # Back in the order of the parts.
-        start = np.empty(len(parts), np.int64)
-        count = np.empty(len(parts), np.int64)
-        start[order], count[order] = np.cumsum(size) - size, size
-        return ids[_places(start, count)], count
+        # Each part is cut in two in place: what stands before the symbols at its end, and these.
+        _, offsets, content = parts.buffers()
+        at = np.frombuffer(offsets, np.int32)[parts.offset : parts.offset + len(parts) + 1]
+        cut = np.repeat(at, 2)[: 2 * len(parts) + 1]
+        cut[1::2] += pc.binary_length(pc.ascii_rtrim(parts, characters=SYMBOLS)).to_numpy()
+        pieces = pa.StringArray.from_buffers(2 * len(parts), pa.py_buffer(cut), content).dictionary_encode()
+        words = ["", "\n", *[" " + x if x.isalpha() else _word(x) for x in pieces.dictionary.to_numpy(False).tolist()]]
+        stem, symbols = pieces.indices.to_numpy().reshape(-1, 2).T + 2
+        # A line end or nothing, a stem, symbols or nothing; or else an entry of its own, which the library gets as it is.
+        at = np.stack([pc.starts_with(parts, _LINE).to_numpy(False).astype(np.int64), stem, symbols], 1)
+        rows = np.flatnonzero(~np.array(list(map(bool, words)))[stem])
+        at[rows] = 0
+        at[rows, 0] = len(words) + np.arange(len(rows))
+        keys = words + ["\n" + x[1:] if x[:1] == _LINE else " " + x for x in parts.take(pa.array(rows)).to_numpy(False).tolist()]
+        known = self.known.get
+        entry = np.array([known(x, -1) for x in keys], np.int64)
+        new = np.flatnonzero(entry < 0)
+        start, size, flat = self.start[entry], self.size[entry], self.flat
+        if len(new):
+            fresh, n = [keys[i] for i in new.tolist()], int(np.searchsorted(new, len(words)))
+            (ids, own), (more_ids, more) = self._words(fresh[:n]), self._library(fresh[n:])
+            size[new] = own = np.concatenate([own, more])
+            start[new] = len(flat) + np.cumsum(own) - own
+            flat = np.concatenate([flat, ids, more_ids])
+            if len(self.known) < REMEMBERED:
+                self.known.update(zip(fresh, range(len(self.start), len(self.start) + len(fresh)), strict=True))
+                self.start, self.size, self.flat = np.concatenate([self.start, start[new]]), np.concatenate([self.size, own]), flat
+        return flat[_places(start[at.ravel()], size[at.ravel()])], size[at].sum(1)
 
     def encode(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(ids, counts): the ids of all texts one after the other, each followed by end, and how many each has."""
@@ -155,27 +178,25 @@ class Encoder:
         parts = pc.split_pattern(pa.array(cut, pa.string()), " ")
         ends = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.dictionary_encode()
-        known = pc.index_in(words.dictionary, value_set=self.words).fill_null(-1).to_numpy()
-        new = np.flatnonzero(known < 0)
-        new_words = words.dictionary.take(pa.array(new))
-        new_ids, new_size = self._new(new_words) if len(new) else (self.flat[:0], self.size[:0])
+        ids, size = self._parts(words.dictionary)
         head_ids, head_size = self._library(heads)
         tail = np.frombuffer(end, "<u4")
         # The first part of a text, or a text that is not cut, is an entry of its own, and so is the end.
-        size = np.concatenate([self.size[known] if len(self.size) else np.zeros(len(known), np.int64), head_size, [len(tail)]])
-        start = np.concatenate([self.start[known] if len(self.size) else np.zeros(len(known), np.int64), len(self.flat) + len(new_ids) + np.cumsum(head_size) - head_size, [len(self.flat) + len(new_ids) + len(head_ids)]])
-        size[new], start[new] = new_size, len(self.flat) + np.cumsum(new_size) - new_size
-        flat = np.concatenate([self.flat, new_ids, head_ids, tail])
+        size = np.concatenate([size, head_size, [len(tail)]])
+        start, flat = np.cumsum(size) - size, np.concatenate([ids, head_ids, tail])
         at = words.indices.to_numpy().copy()
         at[ends[:-1]] = len(words.dictionary) + np.arange(len(texts))
         at = np.insert(at, ends[1:], len(size) - 1)
         each = size[at]
         total = np.concatenate([[0], np.cumsum(each)])
-        out = flat[_places(start[at], each)], np.diff(total[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])])
-        if len(new) and len(self.words) < REMEMBERED:
-            self.words = pa.concat_arrays([self.words, new_words])
-            self.start, self.size, self.flat = np.concatenate([self.start, start[new]]), np.concatenate([self.size, new_size]), np.concatenate([self.flat, new_ids])
-        return out
+        return flat[_places(start[at], each)], np.diff(total[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])])
+
+
+def _word(piece: str) -> str:
+    """The word of the pre-tokenizer that a piece of a part is, if it is one: symbols, or letters after a line end."""
+    if piece[:1] == _LINE:
+        return piece[1:] if piece[1:].isalpha() else ""
+    return piece if piece[-1:] in SYMBOLS else ""
 
 
 def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
