@@ -181,15 +181,15 @@ class Encoder:
         ids, size = self._parts(words.dictionary)
         head_ids, head_size = self._library(heads)
         tail = np.frombuffer(end, "<u4")
-        # The first part of a text, or a text that is not cut, is an entry of its own, and so is the end.
-        size = np.concatenate([size, head_size, [len(tail)]])
-        start, flat = np.cumsum(size) - size, np.concatenate([ids, head_ids, tail])
+        # The first part of a text, or a text that is not cut, is an entry of its own, and so is the end. Entries are strings of bytes to Arrow.
+        flat = np.concatenate([ids, head_ids, tail])
+        entries = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size) + len(texts) + 1, [None, pa.py_buffer(4 * np.cumsum(np.concatenate([[0], size, head_size, [len(tail)]]))), pa.py_buffer(flat)])
         at = words.indices.to_numpy().copy()
-        at[ends[:-1]] = len(words.dictionary) + np.arange(len(texts))
-        at = np.insert(at, ends[1:], len(size) - 1)
-        each = size[at]
-        total = np.concatenate([[0], np.cumsum(each)])
-        return flat[_places(start[at], each)], np.diff(total[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])])
+        at[ends[:-1]] = len(size) + np.arange(len(texts))
+        at = np.insert(at, ends[1:], len(entries) - 1)
+        _, offsets, content = entries.take(pa.array(at)).buffers()
+        stops = np.frombuffer(offsets, np.int64)[np.concatenate([[0], ends[1:] + np.arange(1, len(texts) + 1)])] // 4
+        return np.frombuffer(content, np.uint32, int(stops[-1])), np.diff(stops)
 
 
 def _word(piece: str) -> str:
